@@ -5,15 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import langid, quality
+from tidemark.llm import langid, line_dedup, near_dedup, packing, quality
 from tidemark.llm.common import stored
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that the quality classifier rejects."""
     model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    scored = quality.score(docs, model, keep=True)
-    return scored.where(F.col("_predicted") == 1).select(*docs.columns)
+    return quality.score(docs, model, keep=True).where(F.col("_predicted") == 1).select(*docs.columns)
 
 
 def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,14 +21,33 @@ def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return found.where((F.col("_lang_pred") != langid.UNDETERMINED) & (F.col("_score") >= 0.5)).select(*docs.columns)
 
 
-STAGES = [("quality", keep_good), ("language", keep_identified)]
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Takes lines that an earlier document has out of the texts; ``n_chars`` follows. Emptied documents stay, with empty texts."""
+    index = line_dedup.insert(line_dedup.LineIndex(spark), docs)
+    found = line_dedup.clean(index, docs)
+    return found.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
-#: Boosted trees and Viterbi labels have no SQL form; the tests hold the stages against plain versions.
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document of the smallest id of each group of near-duplicates. Rows without an id stay."""
+    kept = near_dedup.near_duplicates(docs).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
+    alone = docs.where(F.col("doc_id").isNull())
+    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns).unionByName(alone)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Packs the texts into sequences of 1024 tokens."""
+    return packing.pack_documents(docs)
+
+
+STAGES = [("quality", keep_good), ("language", keep_identified), ("lines", drop_repeated_lines), ("near copies", drop_near_copies), ("packing", pack)]
+
+#: Boosted trees, Viterbi labels and packing have no SQL form; the tests hold the stages against plain versions.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), name)
+        docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
     return STAGES[-1][1](spark, docs, sf_dir)
