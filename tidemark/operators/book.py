@@ -110,7 +110,6 @@ def touch_by_fold(updates: DataFrame, block: int = FOLD_BLOCK) -> DataFrame:
 def touch_by_join(updates: DataFrame, bucket: int = JOIN_BUCKET) -> DataFrame:
     """The same by a range join: updates meet the level intervals of their book, bucketed by sequence number."""
     number = lambda c: F.floor(F.col(c) / F.lit(bucket)).cast("long")
-    span = levels(updates).where("size > 0")
     last = F.max("seq").over(Window.partitionBy(*BOOK))
     span = levels(updates).withColumn("end", F.coalesce("until", last + 1)).where("size > 0")
     span = span.select(*BOOK, "side", "price", "size", F.col("seq").alias("start"), "end", F.explode(F.sequence(number("seq"), F.floor((F.col("end") - 1) / F.lit(bucket)).cast("long"))).alias("bucket"))
@@ -182,8 +181,8 @@ def shape_samples(updates: DataFrame, every: int) -> DataFrame:
     last = updates.groupBy("book_epoch").agg(F.max("seq").alias("last_seq"))
     alive = alive.join(last, "book_epoch").withColumn("end", F.coalesce(F.col("until") - 1, F.col("last_seq")))
     first, final = F.ceil(F.col("start") / F.lit(every)).cast("long"), F.floor(F.col("end") / F.lit(every)).cast("long")
-    points = alive.where(first <= final).withColumn("at", F.explode(F.sequence(first, final)) * every)
-    side = points.groupBy(*BOOK, "at").agg(
+    points = alive.where(first <= final).withColumn("step", F.explode(F.sequence(first, final))).withColumn("point", F.col("step") * every)
+    side = points.groupBy(*BOOK, "point").agg(
         F.count_if(F.col("side") == "B").alias("bid_levels"), F.count_if(F.col("side") == "S").alias("ask_levels"),
         ((F.max(F.when(F.col("side") == "B", F.col("price"))) - F.min(F.when(F.col("side") == "B", F.col("price")))) / 100).cast("long").alias("bid_span"),
         ((F.max(F.when(F.col("side") == "S", F.col("price"))) - F.min(F.when(F.col("side") == "S", F.col("price")))) / 100).cast("long").alias("ask_span"),

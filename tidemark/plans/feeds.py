@@ -40,7 +40,7 @@ SELECT session, first_sequence, CAST(message_count AS BIGINT) AS message_count,
     SELECT seg, seg // 100 AS session, (seg % 100) * 5 + 1 AS first_sequence, n AS message_count, 'A' AS feed, CASE WHEN seg % 17 = 4 THEN 130 ELSE 0 END AS slot
     FROM (SELECT event_id // 5 AS seg, count(*) AS n FROM events GROUP BY event_id // 5) WHERE seg % 11 <> 3
   UNION ALL
-    SELECT seg, seg // 100, (seg % 100) * 5 + 1, n, 'B', 21 + ((seg * 13) % 7) * 40
+    SELECT seg, seg // 100, (seg % 100) * 5 + 1, n, 'B', 21 + ((seg * 13) % 7) * 41
     FROM (SELECT event_id // 5 AS seg, count(*) AS n FROM events GROUP BY event_id // 5) WHERE seg % 13 <> 5
 )
 """
@@ -60,7 +60,7 @@ def _columns(df: DataFrame, columns: str) -> DataFrame:
 
 def updates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Price-level updates: seq, book_epoch, symbol, side, flags, size, price, ts_nanos."""
-    return _columns(events(spark, sf_dir), _UPDATE_COLUMNS.format(div="div", text="STRING", buy=_BUY, group=", 1", micros="unix_micros(ts)"))
+    return _columns(events(spark, sf_dir), _UPDATE_COLUMNS.format(div="div", text="STRING", buy=_BUY, group=", 1", micros="timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', ts)"))
 
 
 def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,7 +73,7 @@ def arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
     seg = events(spark, sf_dir).groupBy(F.expr("event_id div 5").alias("seg")).agg(F.count("*").alias("n"))
     base = seg.select("seg", F.expr("seg div 100").alias("session"), F.expr("(seg % 100) * 5 + 1").alias("first_sequence"), F.col("n").alias("message_count"))
     a = base.where("seg % 11 <> 3").withColumn("feed", F.lit("A")).withColumn("slot", F.expr("CASE WHEN seg % 17 = 4 THEN 130 ELSE 0 END"))
-    b = base.where("seg % 13 <> 5").withColumn("feed", F.lit("B")).withColumn("slot", F.expr("21 + ((seg * 13) % 7) * 40"))
+    b = base.where("seg % 13 <> 5").withColumn("feed", F.lit("B")).withColumn("slot", F.expr("21 + ((seg * 13) % 7) * 41"))
     return a.unionByName(b).select("session", "first_sequence", "message_count", "feed", F.expr("seg * 40 + slot").alias("arrival_no"))
 
 
