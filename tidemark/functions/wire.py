@@ -9,6 +9,7 @@ from __future__ import annotations
 import struct
 from collections.abc import Iterator
 
+# Magics, block types and ether types of the public capture and network formats.
 CLASSIC = {b"\xa1\xb2\xc3\xd4": (">", 1000), b"\xa1\xb2\x3c\x4d": (">", 1), b"\xd4\xc3\xb2\xa1": ("<", 1000), b"\x4d\x3c\xb2\xa1": ("<", 1)}
 SECTION, INTERFACE, SIMPLE, ENHANCED = 0x0A0D0D0A, 1, 3, 6
 VLAN, IPV4, UDP = 0x8100, 0x0800, 17
@@ -141,7 +142,7 @@ def segment(payload: bytes) -> dict | None:
     return {"version": version, "protocol": protocol, "channel": channel, "session": session, "message_count": count, "stream_offset": offset, "first_sequence": first, "send_time": sent, "messages": bodies}
 
 
-#: After kind@0, one byte@1 and the time@2: fields by kind, as struct format and names ('_' skips).
+#: Fixed values of the message format. After kind@0, one byte@1 and the time@2: fields by kind, as struct format and names ('_' skips).
 _LAYOUTS = {
     0x38: ("8sIq", ("symbol", "size", "price"), "flags"), 0x35: ("8sIq", ("symbol", "size", "price"), "flags"),
     0x54: ("8sIqq", ("symbol", "size", "price", "trade_id"), "sale_condition"), 0x42: ("8sIqq", ("symbol", "size", "price", "trade_id"), "sale_condition"),

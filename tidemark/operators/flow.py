@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Least quotes and returns for a result, and the mark of significance.
 MIN_QUOTES, MIN_RETURNS, SIGNIFICANT = 100, 50, 1.96
 
 

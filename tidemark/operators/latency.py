@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Each power of two is divided into this many bits of buckets; values from 2^MAX_EXPONENT overflow.
+#: Fixed values. Each power of two is divided into this many bits of buckets; values from 2^MAX_EXPONENT overflow.
 SUB_BITS, MAX_EXPONENT = 11, 42
 
 

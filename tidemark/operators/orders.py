@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.market import symbol_bytes
 from tidemark.operators import book
 
+# The default rule (spread in 1/10000 dollar, shares) and the order message's token range.
 MIN_SPREAD, ORDER_SIZE, TOKEN_WRAP, U32 = 200, 100, 10**12, 2**32
 
 
@@ -43,6 +44,7 @@ def encoded(orders: DataFrame) -> DataFrame:
     An order in error has used its token.
     """
     fits = (F.col("price") >= 0) & (F.col("price") < U32)
+    # fixed values of the message: type, firm fields, time in force, display and flags, in this order below
     text = lambda s: F.encode(F.lit(s), "ISO-8859-1")
     message = F.concat(
         text("O"), F.encode("token", "ISO-8859-1"), F.encode("side", "ISO-8859-1"), big_endian(F.col("shares")), symbol_bytes(F.col("symbol")), big_endian(F.col("price")),
