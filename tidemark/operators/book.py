@@ -92,8 +92,8 @@ def touch_by_fold(updates: DataFrame, block: int = FOLD_BLOCK) -> DataFrame:
     cut = levels(updates).withColumn("block", number("seq"))
     own = cut.select(*BOOK, "block", "seq", "side", "price", "size", F.col("flags").cast("int").alias("flags"), F.lit(False).alias("seeded"))
     # a level that lives on past its block seeds every block up to the one where its next update lies
-    ends = Window.partitionBy("book_epoch", "symbol")
-    alive = cut.withColumn("to_block", F.coalesce(number("until"), F.max("block").over(ends))).where((F.col("size") > 0) & (F.col("to_block") > F.col("block")))
+    ends = cut.groupBy(*BOOK).agg(F.max("block").alias("last_block"))  # a row for each book
+    alive = cut.join(ends, BOOK).withColumn("to_block", F.coalesce(number("until"), F.col("last_block"))).where((F.col("size") > 0) & (F.col("to_block") > F.col("block")))
     seeds = alive.select(*BOOK, F.explode(F.sequence(F.col("block") + 1, F.col("to_block"))).alias("block"), F.lit(-1).cast("long").alias("seq"), "side", "price", "size", F.lit(0).alias("flags"), F.lit(True).alias("seeded"))
 
     def touches(table: pa.Table) -> pa.Table:
@@ -110,8 +110,8 @@ def touch_by_fold(updates: DataFrame, block: int = FOLD_BLOCK) -> DataFrame:
 def touch_by_join(updates: DataFrame, bucket: int = JOIN_BUCKET) -> DataFrame:
     """The same by a range join: updates meet the level intervals of their book, bucketed by sequence number."""
     number = lambda c: F.floor(F.col(c) / F.lit(bucket)).cast("long")
-    last = F.max("seq").over(Window.partitionBy(*BOOK))
-    span = levels(updates).withColumn("end", F.coalesce("until", last + 1)).where("size > 0")
+    last = updates.groupBy(*BOOK).agg(F.max("seq").alias("last_seq"))  # a row for each book
+    span = levels(updates).where("size > 0").join(last, BOOK).withColumn("end", F.coalesce(F.col("until"), F.col("last_seq") + 1))
     span = span.select(*BOOK, "side", "price", "size", F.col("seq").alias("start"), "end", F.explode(F.sequence(number("seq"), F.floor((F.col("end") - 1) / F.lit(bucket)).cast("long"))).alias("bucket"))
     at = updates.select(*BOOK, F.col("seq"), event_complete(F.col("flags")).alias("stable"), number("seq").alias("bucket"))
     met = at.join(span, [*BOOK, "bucket"], "left")
