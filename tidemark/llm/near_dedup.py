@@ -6,17 +6,17 @@ random order of bins (optimal densification: each full bin is as likely). Rows o
 a band's value is a bucket. Texts that agree in all their words are one class from the start, and
 only the class's smallest id enters buckets.
 
-In a bucket, one member is the centre and the others are candidates against it: a star, never all
-pairs. Candidates pass a size test and a sketch test, then are confirmed on the full shingle sets.
-Members that aren't linked to the centre meet further centres of the bucket, twice as many in each
-round, until they are linked or have met all: so a bucket leaves out no link for want of a centre.
+In a bucket one member, the one that meets most others over all its buckets, is the centre, and
+the others are candidates against it: a star, never all pairs. Candidates pass a size test and a
+sketch test, then are confirmed on the full shingle sets. A bucket whose members the stars have
+joined in one component is done. In the others the strays, which are outside the bucket's largest
+component, meet that component's bucket members and each other in blocks of bounded size, where
+sketches and then full sets are compared; only a link for each stray and component leaves a block.
 Components come from alternating large-star and small-star steps.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -25,15 +25,19 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import map_texts, stored
 
 WIDTH = 5
-BINS, ROWS = 128, 4
-BANDS = BINS // ROWS
-#: A pair whose sketches agree in fewer bins can't be a link: at 0.75 the mean is 96 with deviation 5.
-LEAST_AGREE = 60
+#: The sketch has all bins, the bands the first BANDS * ROWS of them.
+BINS, ROWS, BANDS = 256, 4, 32
+#: Deviations of the sketch's agreement below its mean at the threshold that still pass.
+DEVIATIONS = 4.5
+#: Sets up to this size skip the sketch test: shared bins would disturb it, and they are cheap to compare.
+SMALL = 64
+#: Documents, and shingles in all, of one side of a block of strays and members; shingles that make one task's group.
+BLOCK, BLOCK_SHINGLES, GROUP_SHINGLES = 2048, 1_000_000, 2_000_000
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _rng = np.random.Generator(np.random.PCG64(20240229))
 #: For each bin the order in which an empty one asks the others.
-_ORDER = np.stack([_rng.permutation(BINS) for _ in range(BINS)])
+_ORDER = np.stack([_rng.permutation(BINS) for _ in range(BINS)]).astype(np.int16)
 _FACTORS = _rng.integers(1 << 62, 1 << 63, WIDTH, np.uint64) | np.uint64(1)
 
 
@@ -101,7 +105,7 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         bands, sketches = [None] * len(n), [None] * len(n)
         if values:
             table = np.stack(values)
-            rows = table.reshape(len(values), BANDS, ROWS)
+            rows = table[:, : BANDS * ROWS].reshape(len(values), BANDS, ROWS)
             keys = np.zeros((len(values), BANDS), np.uint64) + band_no
             for k in range(ROWS):
                 keys = _mix(keys * _GOLD + rows[:, :, k])
@@ -127,24 +131,37 @@ def shingle_sets(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id", text_c
     return map_texts(chosen.select("id", "text"), run, "id long, shingles array<long>")
 
 
-def _sketches_agree(pairs: DataFrame) -> DataFrame:
-    """The pairs ``(a, b, sketch_a, sketch_b)`` whose sketches agree in enough bins."""
+def least_agree(percent: int) -> int:
+    """Bins in which the sketches of a link agree, but for a chance of some millionths."""
+    j = percent / 100
+    return int(BINS * j - DEVIATIONS * (BINS * j * (1 - j)) ** 0.5)
+
+
+def _sketches_agree(pairs: DataFrame, percent: int) -> DataFrame:
+    """The pairs ``(a, b, sketch_a, sketch_b, small)`` that are small or whose sketches agree in enough bins."""
+    least = least_agree(percent)
 
     def run(batches):
         for batch in batches:
             if batch.num_rows:
                 a, b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, BINS) for k in (2, 3))
-                batch = batch.filter(pa.array((a == b).sum(1) >= LEAST_AGREE))
+                small = batch.column(4).to_numpy(zero_copy_only=False).astype(bool)
+                batch = batch.filter(pa.array(small | ((a == b).sum(1) >= least)))
             yield batch.select(["a", "b"])
 
     return pairs.mapInArrow(run, "a long, b long")
 
 
-def confirmed(pairs: DataFrame, known: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """Of the distinct pairs ``(a, b)`` those that share enough of their full shingle sets, as a stored table."""
+def likely_stars(stars: DataFrame, known: DataFrame, percent: int) -> DataFrame:
+    """Of the distinct pairs ``(a, b)`` those that pass the size and sketch tests."""
     side = lambda c: known.select(F.col("doc_id").alias(c), F.col("n_shingles").alias(f"n_{c}"), F.col("sketch").alias(f"sketch_{c}"))
-    sized = pairs.join(side("a"), "a").join(side("b"), "b").where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
-    likely = stored(_sketches_agree(sized.select("a", "b", "sketch_a", "sketch_b")), "near-likely")
+    sized = stars.join(side("a"), "a").join(side("b"), "b").where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
+    return _sketches_agree(sized.select("a", "b", "sketch_a", "sketch_b", (F.greatest("n_a", "n_b") <= SMALL).alias("small")), percent)
+
+
+def confirmed(likely: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """Of the pairs ``(a, b)`` those that share enough of their full shingle sets, as a stored table."""
+    likely = stored(likely.distinct(), "near-likely")
     ids = likely.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     sets = stored(shingle_sets(docs, ids), "near-sets")
     both = likely.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("set_a")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("set_b")), "b")
@@ -153,34 +170,79 @@ def confirmed(pairs: DataFrame, known: DataFrame, docs: DataFrame, percent: int)
     return stored(both.where(fits).select("a", "b"), "near-links")
 
 
+def stray_links(pool: DataFrame, links: DataFrame, known: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """Confirmed links ``(a, b)`` between different components that share a bucket; ``pool`` is ``(bucket, doc_id)``.
+
+    Of the links between a stray and one component, which all join the same, one is given.
+    """
+    roots = components(links).withColumnRenamed("node", "doc_id")
+    pool = stored(pool.select("bucket", "doc_id").join(roots, "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id")), "near-rooted")
+    by_root = pool.groupBy("bucket", "root").agg(F.count("*").alias("n"))
+    open_ = by_root.groupBy("bucket").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("roots")).where(F.col("roots") > 1).select("bucket", "main")
+    met = stored(pool.join(open_, "bucket").select("main", "doc_id", "root").distinct().join(known.select("doc_id", "n_shingles"), "doc_id"), "near-met")
+    stray = F.col("root") != F.col("main")
+    blocks = lambda n, size: F.greatest(F.ceil(n / F.lit(BLOCK)), F.ceil(size / F.lit(BLOCK_SHINGLES))).cast("int")
+    sizes = met.groupBy("main").agg(
+        blocks(F.count("*"), F.sum("n_shingles")).alias("n_m"), blocks(F.count_if(stray), F.sum(F.when(stray, F.col("n_shingles")))).alias("n_s")
+    )
+    rows = met.join(sizes, "main")
+    own = lambda n: F.pmod(F.xxhash64("doc_id"), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    strays = rows.where(stray).withColumn("s", own("n_s")).withColumn("m", each("n_m")).withColumn("stray", F.lit(True))
+    members = rows.withColumn("m", own("n_m")).withColumn("s", each("n_s")).withColumn("stray", F.lit(False))
+    cells = strays.unionByName(members).select("main", "s", "m", "stray", "doc_id", "root", "n_shingles")
+    total = cells.agg(F.sum("n_shingles")).first()[0] or 0
+    sets = shingle_sets(docs, met.select(F.col("doc_id").alias("id")).distinct()).withColumnRenamed("id", "doc_id").dropDuplicates(["doc_id"])
+    full = stored(sets.join(known.select("doc_id", "sketch"), "doc_id"), "near-sets")
+    groups = max(12, -(-total // GROUP_SHINGLES))
+    dealt = cells.join(full, "doc_id").withColumn("group", F.pmod(F.xxhash64("main", "s", "m"), F.lit(groups)))
+    least = least_agree(percent)
+
+    def meet(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("main", "ascending"), ("s", "ascending"), ("m", "ascending"), ("stray", "ascending")]).combine_chunks()
+        doc, root, n, stray, main, s, m = (table[c].to_numpy() for c in ("doc_id", "root", "n_shingles", "stray", "main", "s", "m"))
+        sketch = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint8).reshape(-1, BINS)
+        lists = table["shingles"].chunk(0)
+        values, starts = lists.values.to_numpy(), lists.offsets.to_numpy()
+        edges = np.flatnonzero(np.r_[True, (main[1:] != main[:-1]) | (s[1:] != s[:-1]) | (m[1:] != m[:-1]), True])
+        found = []
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            cut = a + int(np.searchsorted(stray[a:b], True))
+            sets: dict[int, frozenset] = {}
+
+            def set_of(i: int, sets=sets) -> frozenset:
+                if i not in sets:
+                    sets[i] = frozenset(values[starts[i] : starts[i + 1]].tolist())
+                return sets[i]
+
+            for i in range(cut, b):
+                fits = (root[a:cut] != root[i]) & (100 * np.minimum(n[a:cut], n[i]) >= percent * np.maximum(n[a:cut], n[i]))
+                at = a + np.flatnonzero(fits)
+                agree = (sketch[at] == sketch[i]).sum(1)
+                likely = (agree >= least) | (np.maximum(n[at], n[i]) <= SMALL)
+                joined: set[int] = set()
+                for j in at[likely][np.argsort(-agree[likely], kind="stable")].tolist():
+                    if root[j] not in joined:
+                        shared = len(set_of(i) & set_of(j))
+                        if 100 * shared >= percent * (len(set_of(i)) + len(set_of(j)) - shared):
+                            joined.add(root[j])
+                            found.append((min(doc[i], doc[j]), max(doc[i], doc[j])))
+        return pa.table({"a": pa.array([f[0] for f in found], pa.int64()), "b": pa.array([f[1] for f in found], pa.int64())})
+
+    return stored(dealt.groupBy("group").applyInArrow(meet, "a long, b long"), "near-links")
+
+
 def star_links(reps: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """Confirmed links ``(a, b)``, a < b, between the documents of ``reps`` (rows of :func:`signatures`)."""
+    """Confirmed links ``(a, b)``, a < b, that join the documents of ``reps`` (rows of :func:`signatures`)."""
     known = reps.select("doc_id", "n_shingles", "sketch")
-    buckets = reps.select(F.explode("bands").alias("bucket"), "doc_id", "n_shingles")
-    order = F.struct(F.xxhash64("bucket", "doc_id").alias("h"), F.col("doc_id").alias("id"))
-    centres = buckets.groupBy("bucket").agg(F.min(order).alias("c"), F.count("*").alias("size")).where(F.col("size") > 1).select("bucket", F.col("c.id").alias("centre"))
-    pool = stored(buckets.join(centres, "bucket"), "near-pool")
-    waiting = pool.where(F.col("doc_id") != F.col("centre"))
-    pool = pool.drop("centre")
-    used, links, stars = pool.limit(0).select("bucket", F.col("doc_id").alias("centre")), [], 1
-    met = waiting.select("bucket", "doc_id", "n_shingles", "centre")
-    while True:
-        pairs = met.select(F.least("doc_id", "centre").alias("a"), F.greatest("doc_id", "centre").alias("b")).where(F.col("a") < F.col("b")).distinct()
-        found = confirmed(pairs, known, docs, percent)
-        links.append(found)
-        linked = met.join(found, (F.least("doc_id", "centre") == found["a"]) & (F.greatest("doc_id", "centre") == found["b"]), "left_semi").select("bucket", "doc_id").distinct()
-        used = stored(used.union(met.select("bucket", "centre").distinct()), "near-used")
-        waiting = stored(waiting.join(linked, ["bucket", "doc_id"], "left_anti").select("bucket", "doc_id", "n_shingles"), "near-waiting")
-        if waiting.isEmpty():
-            break
-        open_ = pool.join(waiting.select("bucket").distinct(), "bucket", "left_semi").join(used.withColumnRenamed("centre", "doc_id"), ["bucket", "doc_id"], "left_anti")
-        further = open_.groupBy("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(stars)).alias("star")).agg(F.min(F.struct(F.xxhash64("bucket", "doc_id").alias("h"), F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"))).alias("c"))
-        further = further.select("bucket", F.col("c.id").alias("centre"), F.col("c.n").alias("n"))
-        met = stored(waiting.join(further, "bucket"), "near-met")
-        if met.isEmpty():
-            break
-        stars *= 2
-    return reduce(DataFrame.union, links).distinct()
+    buckets = reps.select(F.explode("bands").alias("bucket"), "doc_id")
+    shared = buckets.groupBy("bucket").agg(F.count("*").alias("size")).where(F.col("size") > 1)
+    pool = stored(buckets.join(shared, "bucket"), "near-pool")
+    popular = pool.groupBy("doc_id").agg(F.sum("size").alias("met"))
+    centre = pool.join(popular, "doc_id").groupBy("bucket").agg(F.max(F.struct(F.col("met"), (-F.col("doc_id")).alias("id"))).alias("c")).select("bucket", (-F.col("c.id")).alias("centre"))
+    stars = pool.join(centre, "bucket").where(F.col("doc_id") != F.col("centre")).select(F.least("doc_id", "centre").alias("a"), F.greatest("doc_id", "centre").alias("b")).distinct()
+    links = confirmed(likely_stars(stars, known, percent), docs, percent)
+    return links.union(stray_links(pool, links, known, docs, percent)).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
