@@ -14,13 +14,14 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import map_texts
+from tidemark.llm.common import map_texts, stored
 
 ROLES = ("system", "user", "assistant")
 #: States 0 to 2 are first lines of the roles, 3 to 5 their later lines.
@@ -35,8 +36,8 @@ _MARKED = re.compile(
 )
 _QUOTED = re.compile(r"[ \t]*>[ \t]?")
 FEATURES = {"marker": 5, "length": 6, "start": 4, "end": 5}
-#: Rows of a conversation's order column that share a block.
-BLOCK = 256
+#: Values of a conversation's order column that share a block; rows of blocks that make one task's group.
+BLOCK, GROUP_ROWS = 256, 4000
 
 
 def strip_marker(line: str) -> tuple[int, str]:
@@ -166,9 +167,16 @@ def train(transcripts: DataFrame, sample: int = 2000) -> Hmm:
     return Hmm(first, moves, emissions)
 
 
-def _ordered(table: pa.Table) -> list[dict]:
-    """The block's rows in order; ties by text."""
-    return sorted(table.to_pylist(), key=lambda r: (r["turn"] is not None, r["turn"] or 0, r["text"]))
+def _blocks(table: pa.Table) -> list[tuple[tuple, list[dict]]]:
+    """The blocks of a group and their rows in order; ties by text."""
+    null = lambda v: (v is not None, v or 0)
+    rows = sorted(table.to_pylist(), key=lambda r: (null(r["conv_id"]), null(r["own"]), r["block"], null(r["turn"]), r["text"]))
+    return [(key, list(found)) for key, found in groupby(rows, key=lambda r: (r["conv_id"], r["own"], r["block"]))]
+
+
+def _lines(rows: list[dict]) -> list[tuple[int | None, int, str]]:
+    """Order value, line number and line of each line."""
+    return [(r["turn"], k, x) for r in rows for k, x in enumerate(r["text"].split("\n"))]
 
 
 def parse(transcripts: DataFrame, hmm: Hmm, conv_col: str = "conv_id", order_col: str = "turn", text_col: str = "text") -> DataFrame:
@@ -186,48 +194,58 @@ def parse(transcripts: DataFrame, hmm: Hmm, conv_col: str = "conv_id", order_col
         F.col(conv_col).cast("long").alias("conv_id"), order.alias("turn"), F.coalesce(F.col(text_col), F.lit("")).alias("text"),
         F.when(F.col(conv_col).isNull(), F.xxhash64(order, F.col(text_col))).alias("own"), F.coalesce(F.floor(order / F.lit(BLOCK)), F.lit(-(1 << 60))).cast("long").alias("block"),
     )
+    rows = stored(rows, "chat-rows")
+    groups = max(12, -(-rows.count() // GROUP_ROWS))
     keys = ["conv_id", "own", "block"]
 
     def matrices(table: pa.Table) -> pa.Table:
-        rows = _ordered(table)
-        scores = known.value.line_scores([x for r in rows for x in r["text"].split("\n")])
-        return pa.table({**{k: table[k].slice(0, 1) for k in keys}, "best": pa.array([transfer(known.value, scores).ravel()], pa.list_(pa.float64()))})
+        found = [(key, transfer(known.value, known.value.line_scores([x for _, _, x in _lines(rows)])).ravel()) for key, rows in _blocks(table)]
+        columns = {k: pa.array([key[i] for key, _ in found], pa.int64()) for i, k in enumerate(keys)}
+        return pa.table({**columns, "best": pa.array([m for _, m in found], pa.list_(pa.float64()))})
 
     def borders(table: pa.Table) -> pa.Table:
-        blocks = sorted(table.to_pylist(), key=lambda r: r["block"])
-        shapes = [np.array(b["best"]).reshape(STATES + 1, STATES) for b in blocks]
-        value, back = shapes[0][-1], []
-        for m in shapes[1:]:
-            step = value[:, None] + m[:-1]
-            back.append(step.argmax(0))
-            value = step.max(0)
-        ends = [int(value.argmax())]
-        for b in reversed(back):
-            ends.append(int(b[ends[-1]]))
-        ends.reverse()
-        columns = {k: pa.array([b[k] for b in blocks], pa.int64()) for k in keys}
-        return pa.table({**columns, "before": pa.array([-1, *ends[:-1]], pa.int32()), "ends": pa.array(ends, pa.int32())})
-
-    def turns(table: pa.Table, edge: pa.Table) -> pa.Table:
-        rows = _ordered(table)
-        lines = [(r["turn"], k, x) for r in rows for k, x in enumerate(r["text"].split("\n"))]
-        states = decode(known.value, known.value.line_scores([x for _, _, x in lines]), edge["before"][0].as_py(), edge["ends"][0].as_py())
-        begun = [i for i, s in enumerate(states) if i == 0 or s < len(ROLES) or s % len(ROLES) != states[i - 1] % len(ROLES)]
-        out: dict[str, list] = {"turn": [], "line": [], "role": [], "text": [], "rendered": []}
-        for a, b in zip(begun, [*begun[1:], len(lines)], strict=True):
-            role = ROLES[states[a] % len(ROLES)]
-            body = [strip_marker(lines[a][2])[1], *(x for _, _, x in lines[a + 1 : b])]
-            if role == "user" and all(not x or _QUOTED.match(x) for x in body[1:]):
-                body[1:] = [_QUOTED.sub("", x, count=1) for x in body[1:]]
-            for name, value in zip(out, (lines[a][0], lines[a][1], role, "\n".join(body).strip(), render(role, body)), strict=True):
-                out[name].append(value)
-        conv = table["conv_id"][0].as_py()
-        return pa.table({"conv_id": pa.array([conv] * len(begun), pa.int64()), "turn": pa.array(out["turn"], pa.int64()), "line": pa.array(out["line"], pa.int32()), **{k: pa.array(out[k], pa.string()) for k in ("role", "text", "rendered")}})
-
+        found: list[tuple] = []
+        by_conversation: dict[tuple, list] = {}
+        for r in table.to_pylist():
+            by_conversation.setdefault((r["conv_id"], r["own"]), []).append((r["block"], r["best"]))
+        for key, blocks in by_conversation.items():
+            blocks.sort()
+            shapes = [np.array(best).reshape(STATES + 1, STATES) for _, best in blocks]
+            value, back = shapes[0][-1], []
+            for m in shapes[1:]:
+                step = value[:, None] + m[:-1]
+                back.append(step.argmax(0))
+                value = step.max(0)
+            ends = [int(value.argmax())]
+            for b in reversed(back):
+                ends.append(int(b[ends[-1]]))
+            ends.reverse()
+            found += [(*key, block, before, end) for (block, _), before, end in zip(blocks, [-1, *ends[:-1]], ends, strict=True)]
+        names = [*keys, "before", "ends"]
+        return pa.table({n: pa.array([f[i] for f in found], pa.int64()) for i, n in enumerate(names)})
+
+    def turns(table: pa.Table, edges: pa.Table) -> pa.Table:
+        known_edges = {(e["conv_id"], e["own"], e["block"]): (e["before"], e["ends"]) for e in edges.to_pylist()}
+        out: dict[str, list] = {"conv_id": [], "turn": [], "line": [], "role": [], "text": [], "rendered": []}
+        for key, rows in _blocks(table):
+            lines = _lines(rows)
+            states = decode(known.value, known.value.line_scores([x for _, _, x in lines]), *known_edges[key]).tolist()
+            begun = [i for i, s in enumerate(states) if i == 0 or s < len(ROLES) or s % len(ROLES) != states[i - 1] % len(ROLES)]
+            for a, b in zip(begun, [*begun[1:], len(lines)], strict=True):
+                role = ROLES[states[a] % len(ROLES)]
+                body = [strip_marker(lines[a][2])[1], *(x for _, _, x in lines[a + 1 : b])]
+                if role == "user" and all(not x or _QUOTED.match(x) for x in body[1:]):
+                    body[1:] = [_QUOTED.sub("", x, count=1) for x in body[1:]]
+                for name, value in zip(out, (key[0], lines[a][0], lines[a][1], role, "\n".join(body).strip(), render(role, body)), strict=True):
+                    out[name].append(value)
+        kinds = {"conv_id": pa.int64(), "turn": pa.int64(), "line": pa.int32()}
+        return pa.table({n: pa.array(v, kinds.get(n, pa.string())) for n, v in out.items()})
+
+    dealt = lambda df, *by: df.withColumn("_group", F.pmod(F.xxhash64(*by), F.lit(groups)))
     kind = "conv_id long, own long, block long"
-    best = rows.groupBy(*keys).applyInArrow(matrices, f"{kind}, best array<double>")
-    edges = best.groupBy("conv_id", "own").applyInArrow(borders, f"{kind}, before int, ends int")
-    return rows.groupBy(*keys).cogroup(edges.groupBy(*keys)).applyInArrow(turns, "conv_id long, turn long, line int, role string, text string, rendered string")
+    best = dealt(rows, *keys).groupBy("_group").applyInArrow(matrices, f"{kind}, best array<double>")
+    edges = dealt(best, "conv_id", "own").groupBy("_group").applyInArrow(borders, f"{kind}, before long, ends long")
+    return dealt(rows, *keys).groupBy("_group").cogroup(dealt(edges, *keys).groupBy("_group")).applyInArrow(turns, "conv_id long, turn long, line int, role string, text string, rendered string")
 
 
 def agreement(turns: DataFrame, transcripts: DataFrame) -> Column:
