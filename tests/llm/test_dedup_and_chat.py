@@ -65,6 +65,21 @@ def test_lines_are_dropped_and_come_back(spark):
     assert cleaned(spark, index, both) == brute_lines(both)
 
 
+def test_lines_survive_colliding_fingerprints(spark):
+    rng = random.Random(5)
+    rows = [(i, "\n".join(f"line of the pool {k}" for k in rng.sample(range(900), 12))) for i in range(160)]
+    frame = lambda some: docs(spark, [(*r, "x") for r in some])
+    index = line_dedup.insert(line_dedup.LineIndex(spark, bits=3), frame(rows[:80]))  # seven fingerprints: most keys collide
+    index = line_dedup.insert(index, frame(rows[80:]))
+    gone = [r for r in rows if r[0] % 2]
+    index = line_dedup.delete(index, spark.createDataFrame([(r[0],) for r in gone], "doc_id long"))
+    keys = index.latest_counts().where("n_lines > 0").select("shard", "key")
+    assert index.filters.agg(F.sum("n")).first()[0] == keys.count()  # one fingerprint for each live key
+    assert line_dedup._by_shard(index, keys, line_dedup.known_keys, "shard int, key binary").count() == keys.count()
+    index = line_dedup.insert(index, frame(gone))
+    assert cleaned(spark, index, rows) == brute_lines(rows)
+
+
 def test_lines_of_an_empty_table(spark):
     index = line_dedup.insert(line_dedup.LineIndex(spark), docs(spark, []))
     assert line_dedup.clean(index, docs(spark, [])).count() == 0

@@ -3,13 +3,14 @@
 An index holds, in shards by a hash of the line's key:
 
 * ``refs``: how often each document holds each key;
-* ``counts``: each key's first and last document and its number of lines, in versions;
+* ``counts``: each key's first and last document, its number of lines and its filter (``part``), in versions;
 * ``filters``: cuckoo filters over the keys, a few binary rows for each shard.
 
 Inserting documents asks the filters first: a key that they don't know is new and needs no look at
-the tables; one that they may know is settled by its exact row. Deleting documents takes their
+the tables; one that they may know is settled by its exact row. Every key without a live exact row,
+the filters' false positives too, gets a fingerprint of its own. Deleting documents takes their
 references back, recounts the keys concerned, and removes keys that nothing holds any more from
-the filters. A line goes when its key is held by two documents or more and this isn't the first.
+the filter that got them: each live key always has one fingerprint. A line goes when its key is held by two documents or more and this isn't the first.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ from pyspark.sql import types as T
 from tidemark.llm.common import SPACE, map_texts, slices, stored
 
 SLOTS = 4
+#: Bits of a fingerprint.
+BITS = 16
 #: Share of its slots that a filter fills before the shard gets another, larger one.
 FULL = 0.8
 #: Rounds of evictions before an insertion counts as failed and goes to a larger filter.
@@ -33,22 +36,22 @@ ROUNDS = 400
 
 
 class CuckooFilter:
-    """16-bit fingerprints in buckets of four; every operation works on arrays of 64-bit hashes."""
+    """Fingerprints of ``bits`` (16 at most) in buckets of four; every operation works on arrays of 64-bit hashes."""
 
-    def __init__(self, buckets: int, slots: np.ndarray | None = None, n: int = 0):
-        self.mask, self.n = np.int64(buckets - 1), n
+    def __init__(self, buckets: int, slots: np.ndarray | None = None, n: int = 0, bits: int = BITS):
+        self.mask, self.n, self.print_mask = np.int64(buckets - 1), n, np.uint64((1 << bits) - 1)
         self.slots = np.zeros((buckets, SLOTS), np.uint16) if slots is None else slots
 
     @classmethod
-    def sized(cls, keys: int) -> CuckooFilter:
-        return cls(1 << max(4, int(np.ceil(np.log2(max(1, keys) / (SLOTS * FULL * 0.9))))))
+    def sized(cls, keys: int, bits: int = BITS) -> CuckooFilter:
+        return cls(1 << max(4, int(np.ceil(np.log2(max(1, keys) / (SLOTS * FULL * 0.9))))), bits=bits)
 
     @property
     def room(self) -> int:
         return int(self.slots.size * FULL) - self.n
 
     def _places(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        prints = (hashes & np.uint64(0xFFFF)).astype(np.uint16)
+        prints = (hashes & self.print_mask).astype(np.uint16)
         prints[prints == 0] = 1
         return prints, (hashes >> np.uint64(20)).astype(np.int64) & self.mask
 
@@ -118,6 +121,7 @@ class LineIndex:
     counts: DataFrame | None = None
     filters: DataFrame | None = None
     deleted: DataFrame | None = None
+    bits: int = BITS
 
     def live_refs(self) -> DataFrame:
         """References that no later deletion took back."""
@@ -130,7 +134,7 @@ class LineIndex:
         """The current row of each key."""
         if self.version < 2:
             return self.counts
-        row = F.max_by(F.struct("first_doc", "last_doc", "n_lines"), "version").alias("row")
+        row = F.max_by(F.struct("first_doc", "last_doc", "n_lines", "part"), "version").alias("row")
         return self.counts.groupBy("shard", "key").agg(row).select("shard", "key", "row.*")
 
 
@@ -170,57 +174,63 @@ def _hashes(keys: pa.ChunkedArray) -> np.ndarray:
     return np.frombuffer(data, np.uint64).reshape(-1, 2)[:, 0].copy() if data else np.empty(0, np.uint64)
 
 
-def _read(filters: pa.Table) -> list[CuckooFilter]:
+def _read(filters: pa.Table, bits: int) -> list[CuckooFilter]:
     rows = sorted(zip(filters["part"].to_pylist(), filters["n"].to_pylist(), filters["slots"].to_pylist(), strict=True))
-    return [CuckooFilter(len(s) // (2 * SLOTS), np.frombuffer(s, np.uint16).reshape(-1, SLOTS).copy(), n) for _, n, s in rows]
+    return [CuckooFilter(len(s) // (2 * SLOTS), np.frombuffer(s, np.uint16).reshape(-1, SLOTS).copy(), n, bits) for _, n, s in rows]
 
 
-def _written(shard: int, filters: list[CuckooFilter], keys: list[bytes]) -> pa.Table:
-    """Filter rows, then rows of keys, in one table."""
-    n_f, n_k = len(filters), len(keys)
+def _written(keys: pa.Table, filters: pa.Table, chain: list[CuckooFilter]) -> pa.Table:
+    """One shard's filter rows."""
+    shard = (keys if keys.num_rows else filters)["shard"][0].as_py()
     return pa.table(
         {
-            "shard": pa.array([shard] * (n_f + n_k), pa.int32()), "part": pa.array([*range(n_f), *[None] * n_k], pa.int32()),
-            "n": pa.array([*(f.n for f in filters), *[None] * n_k], pa.int64()), "slots": pa.array([*(f.slots.tobytes() for f in filters), *[None] * n_k], pa.binary()), "key": pa.array([*[None] * n_f, *keys], pa.binary()),
+            "shard": pa.array([shard] * len(chain), pa.int32()), "part": pa.array(range(len(chain)), pa.int32()),
+            "n": pa.array([f.n for f in chain], pa.int64()), "slots": pa.array([f.slots.tobytes() for f in chain], pa.binary()),
         }
     )
 
 
-def probe_and_insert(keys: pa.Table, filters: pa.Table) -> pa.Table:
-    """One shard: which of the batch's keys the filters may know; the filters with the others put in."""
-    shard = (keys if keys.num_rows else filters)["shard"][0].as_py()
-    chain, hashes = _read(filters), _hashes(keys["key"])
+def known_keys(keys: pa.Table, filters: pa.Table, bits: int = BITS) -> pa.Table:
+    """One shard: the keys that the filters may know."""
+    hashes = _hashes(keys["key"])
     known = np.zeros(len(hashes), bool)
-    for f in chain:
+    for f in _read(filters, bits):
         known |= f.contains(hashes)
-    new = hashes[~known]
+    return keys.select(["shard", "key"]).filter(pa.array(known))
+
+
+def insert_keys(keys: pa.Table, filters: pa.Table, bits: int = BITS) -> pa.Table:
+    """One shard: the filters with the keys put in, all of them into the last one."""
+    chain, new = _read(filters, bits), _hashes(keys["key"])
     if len(new):
         size = len(new)
         if not chain or chain[-1].room < size or not chain[-1].insert(new):
             while True:
-                chain.append(CuckooFilter.sized(max(size, 2 * chain[-1].n if chain else 0)))
+                chain.append(CuckooFilter.sized(max(size, 2 * chain[-1].n if chain else 0), bits))
                 if chain[-1].insert(new):
                     break
                 chain.pop()
                 size *= 2
-    listed = keys["key"].to_pylist()
-    return _written(shard, chain, [listed[i] for i in np.flatnonzero(known)])
+    return _written(keys, filters, chain)
 
 
-def remove_keys(keys: pa.Table, filters: pa.Table) -> pa.Table:
-    """One shard: the filters without the keys."""
-    shard = (keys if keys.num_rows else filters)["shard"][0].as_py()
-    chain, hashes = _read(filters), _hashes(keys["key"])
-    for f in chain:
-        hashes = hashes[~f.delete(hashes)]
-    return _written(shard, chain, [])
+def remove_keys(keys: pa.Table, filters: pa.Table, bits: int = BITS) -> pa.Table:
+    """One shard: the filters without the keys, each taken from the filter of its ``part``."""
+    chain, hashes, parts = _read(filters, bits), _hashes(keys["key"]), keys["part"].to_numpy()
+    for part, f in enumerate(chain):
+        f.delete(hashes[parts == part])
+    return _written(keys, filters, chain)
 
 
-def _by_shard(index: LineIndex, keys: DataFrame, fn, name: str) -> tuple[DataFrame, DataFrame]:
-    """New filter rows, and the keys that ``fn`` gave back."""
+def _by_shard(index: LineIndex, keys: DataFrame, fn, schema: str) -> DataFrame:
+    """``fn`` over each shard's keys and filters."""
     filters = index.filters if index.filters is not None else index.spark.createDataFrame([], _FILTERS)
-    made = stored(keys.select("shard", "key").groupBy("shard").cogroup(filters.groupBy("shard")).applyInArrow(fn, _FILTERS + ", key binary"), name)
-    return made.where(F.col("part").isNotNull()).select("shard", "part", "n", "slots"), made.where(F.col("key").isNotNull()).select("shard", "key")
+    bits = index.bits
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        return fn(left, right, bits)
+
+    return keys.groupBy("shard").cogroup(filters.groupBy("shard")).applyInArrow(run, schema)
 
 
 def _joined(old: DataFrame | None, new: DataFrame) -> DataFrame:
@@ -234,14 +244,21 @@ def insert(index: LineIndex, docs: DataFrame, id_col: str = "doc_id", text_col:
     shards = index.shards or max(12, -(-found.count() // shard_keys))
     refs = found.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int")).withColumn("version", F.lit(version))
     batch = stored(refs.groupBy("shard", "key").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"), F.sum("n").alias("n_lines")), "line-counts")
-    filters, known = _by_shard(index, batch, probe_and_insert, "line-filters")
+    new, part = batch, F.lit(0)  # the first filter of every shard
     if index.version:
+        known = _by_shard(index, batch.select("shard", "key"), known_keys, "shard int, key binary")
         old = index.latest_counts().join(known, ["shard", "key"], "left_semi").where(F.col("n_lines") > 0)
-        old = old.select("shard", "key", *(F.col(c).alias(f"old_{c}") for c in ("first_doc", "last_doc", "n_lines")))
+        old = old.select("shard", "key", *(F.col(c).alias(f"old_{c}") for c in ("first_doc", "last_doc", "n_lines", "part")))
         batch = batch.join(old, ["shard", "key"], "left").select(
-            "shard", "key", F.least("first_doc", "old_first_doc").alias("first_doc"), F.greatest("last_doc", "old_last_doc").alias("last_doc"), (F.col("n_lines") + F.coalesce("old_n_lines", F.lit(0))).alias("n_lines")
+            "shard", "key", F.least("first_doc", "old_first_doc").alias("first_doc"), F.greatest("last_doc", "old_last_doc").alias("last_doc"), (F.col("n_lines") + F.coalesce("old_n_lines", F.lit(0))).alias("n_lines"), "old_part"
         )
         batch = stored(batch, "line-counts")
+        new = batch.where(F.col("old_part").isNull())
+    filters = stored(_by_shard(index, new.select("shard", "key"), insert_keys, _FILTERS), "line-filters")
+    if index.version:
+        batch = batch.join(F.broadcast(filters.groupBy("shard").agg(F.max("part").alias("last_part"))), "shard", "left")
+        part = F.coalesce("old_part", "last_part")
+    batch = batch.select("shard", "key", "first_doc", "last_doc", "n_lines", part.cast("int").alias("part"))
     counts = batch.withColumn("version", F.lit(version))
     return replace(index, shards=shards, version=version, refs=_joined(index.refs, refs), counts=_joined(index.counts, counts), filters=filters)
 
@@ -256,8 +273,11 @@ def delete(index: LineIndex, ids: DataFrame, id_col: str = "doc_id") -> LineInde
     touched = stored(index.live_refs().join(ids, "doc_id", "left_semi").select("shard", "key").distinct(), "line-touched")
     after = replace(index, version=version, deleted=_joined(index.deleted, gone))
     left = after.live_refs().join(touched, ["shard", "key"], "left_semi").groupBy("shard", "key").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"), F.sum("n").alias("n_lines"))
-    recount = stored(touched.join(left, ["shard", "key"], "left").fillna(0, ["n_lines"]).withColumn("version", F.lit(version)), "line-counts")
-    filters, _ = _by_shard(index, recount.where(F.col("n_lines") == 0), remove_keys, "line-filters")
+    parts = index.latest_counts().select("shard", "key", "part")
+    recount = touched.join(left, ["shard", "key"], "left").fillna(0, ["n_lines"]).join(parts, ["shard", "key"])
+    recount = stored(recount.select("shard", "key", "first_doc", "last_doc", "n_lines", "part").withColumn("version", F.lit(version)), "line-counts")
+    emptied = recount.where(F.col("n_lines") == 0).select("shard", "key", "part")
+    filters = stored(_by_shard(index, emptied, remove_keys, _FILTERS), "line-filters")
     return replace(after, counts=_joined(index.counts, recount), filters=filters)
 
 
