@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.market import symbol_bytes
-from tidemark.operators import book
+from tidemark.operators import book, sequencing
+from tidemark.sources import capture
 
 # The default rule (spread in 1/10000 dollar, shares) and the order message's token range.
 MIN_SPREAD, ORDER_SIZE, TOKEN_WRAP, U32 = 200, 100, 10**12, 2**32
@@ -83,3 +84,64 @@ def counters(updates: DataFrame, upto: str = "encode") -> DataFrame:
     else:
         orders = made.agg(F.count("*").alias("quotes"), F.count("message").alias("orders_encoded"), F.count("error").alias("encode_errors"))
     return base.join(F.broadcast(orders))  # one row each
+
+
+def arrivals_of(segments: DataFrame) -> DataFrame:
+    """Segments as arrivals in packet order, for the sequencer."""
+    return segments.select("capture_id", "channel", F.col("packet_no").alias("arrival_no"), "session", "first_sequence", "message_count")
+
+
+def sequenced(segments: DataFrame) -> DataFrame:
+    """The packets that the sequencer delivers: ``start``, the number of their first message in delivery order over all feeds, and ``book_epoch``.
+
+    A held segment is delivered from its last copy up to the arrival that releases it.
+    """
+    feed = ["capture_id", "channel"]
+    out = sequencing.sequence_exact(arrivals_of(segments)).where("delivery_no IS NOT NULL").select(*feed, "session", "first_sequence", "delivery_no", "book_epoch", "arrival_no")
+    copies = segments.where("message_count > 0").select(*feed, "session", "first_sequence", "packet_no", "message_count")
+    met = out.join(copies, [*feed, "session", "first_sequence"]).where("packet_no <= arrival_no")
+    last = F.max(F.struct("packet_no", "message_count")).alias("last")
+    packets = met.groupBy(*feed, "delivery_no", "book_epoch").agg(last).select(*feed, "delivery_no", "book_epoch", "last.*")
+    before = Window.orderBy(*feed).rowsBetween(Window.unboundedPreceding, -1)  # a row for each feed
+    sizes = packets.groupBy(*feed).agg(F.sum("message_count").alias("n"), (F.max("book_epoch") + 1).alias("epochs"))
+    starts = sizes.select(*feed, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"), F.coalesce(F.sum("epochs").over(before), F.lit(0)).alias("first_epoch"))
+    within = F.coalesce(F.sum("message_count").over(Window.partitionBy(*feed).orderBy("delivery_no").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    numbered = packets.withColumn("within", within).join(F.broadcast(starts), feed)
+    return numbered.select("capture_id", "packet_no", (F.col("first") + F.col("within")).alias("start"), (F.col("first_epoch") + F.col("book_epoch")).alias("book_epoch"))
+
+
+def received(packets: DataFrame) -> DataFrame:
+    """Typed messages of packets, each once and in sequence: ``seq`` numbers them in delivery order."""
+    segments = capture.segments(capture.datagrams(packets))
+    found = capture.messages(segments).join(sequenced(segments), ["capture_id", "packet_no"])
+    return found.withColumn("seq", F.col("start") + F.col("msg_no")).drop("start")
+
+
+def updates_of(messages: DataFrame) -> DataFrame:
+    """Price-level messages as updates of the book."""
+    levels = messages.where("error IS NULL").where(F.col("kind").isin(0x38, 0x35))
+    return levels.select("seq", "book_epoch", "symbol", F.when(F.col("kind") == 0x38, "B").otherwise("S").alias("side"), "flags", "size", "price", "ts_nanos")
+
+
+def feed_counters(packets: DataFrame, upto: str = "encode") -> DataFrame:
+    """One row from packets on: the counters of :func:`counters`, packets and the sequencer's losses, each 0 beyond the stage ``upto``.
+
+    A resynchronisation begins a new book, so ``book_resets`` are the ``resyncs`` from the book stage on.
+    """
+    if upto not in STAGES:
+        raise ValueError(f"unknown stage {upto!r}")
+    at = STAGES.index(upto)
+    out = packets.agg(F.count("*").alias("packets"))
+    none = lambda name: F.lit(0).cast("long").alias(name)
+    if at >= 1:
+        stats = sequencing.statistics(arrivals_of(capture.segments(capture.datagrams(packets))))
+        resyncs = F.coalesce(F.sum("resyncs"), F.lit(0))
+        lost = stats.agg(resyncs.alias("resyncs"), (resyncs if at >= 3 else F.lit(0).cast("long")).alias("book_resets"), F.coalesce(F.sum("messages_lost"), F.lit(0)).alias("messages_lost"))
+        out = out.join(F.broadcast(lost))  # one row each
+    else:
+        out = out.select("*", none("resyncs"), none("book_resets"), none("messages_lost"))
+    if at < 2:
+        return out.select("*", *map(none, ("messages", "book_updates", "quotes", "orders_encoded", "encode_errors")))
+    messages = received(packets)
+    out = out.join(F.broadcast(messages.agg(F.count_if(F.col("error").isNull()).alias("messages"))))
+    return out.join(F.broadcast(counters(updates_of(messages), upto).drop("messages")))
