@@ -191,6 +191,18 @@ def test_every_token_encodes_to_itself():
     assert all(np.frombuffer(ids, "<u4").tolist() == [ranks[t]] and text == t for t, (ids, text) in zip(tokens, found, strict=True))
 
 
+def test_all_tokens_and_long_pieces_encode_as_they_should():
+    import public_tokenizers as P
+
+    path, own, rng = P.path("byte_bpe_50k.tiktoken"), reference_encoding(), random.Random(9)
+    ranks = bpe_sql.read_ranks(path)
+    bpe, tokens = bpe_sql.SqlBpe(path), list(ranks)
+    assert all(np.frombuffer(ids, "<u4").tolist() == [ranks[t]] and text == t for t, (ids, text) in zip(tokens, bpe.encode(tokens), strict=True))
+    long = ["".join(rng.choices(rng.choice(("ab", "etaoinshr", "0=-", "aé中 ")), k=rng.randint(97, 400))).encode() for _ in range(200)]
+    long += [b"".join(rng.choices(tokens, k=rng.randint(97, 120))) for _ in range(100)]
+    assert [np.frombuffer(ids, "<u4").tolist() for ids, _ in bpe.encode(long)] == [own._encode_single_piece(x) for x in long]
+
+
 # ---- language ------------------------------------------------------------------------------
 
 TEXTS = {"en": "the and of with this that from which there when people water house garden", "de": "der die und nicht mit eine ist auch wenn über straße häuser garten wasser", "ru": "это был когда потому что человек вода дом сад город большой"}
