@@ -217,6 +217,13 @@ def test_odd_transcripts(spark):
     assert chat.parse(odd, chat.train(transcripts.limit(0))).count() > 0
 
 
+def test_equal_rows_without_an_id_are_transcripts_of_their_own(spark):
+    hmm = chat.train(chat.as_transcripts(conversations(spark, 20)))
+    alone = spark.createDataFrame([(None, 0, "plain words without a marker")] * 4 + [(None, None, None)] * 3, "conv_id long, turn long, text string")
+    found = chat.parse(alone, hmm).collect()
+    assert sorted(r.text for r in found) == [""] * 3 + ["plain words without a marker"] * 4
+
+
 # ---- pipeline ------------------------------------------------------------------------------
 
 

@@ -192,7 +192,7 @@ def parse(transcripts: DataFrame, hmm: Hmm, conv_col: str = "conv_id", order_col
     order = F.col(order_col).cast("long")
     rows = transcripts.select(
         F.col(conv_col).cast("long").alias("conv_id"), order.alias("turn"), F.coalesce(F.col(text_col), F.lit("")).alias("text"),
-        F.when(F.col(conv_col).isNull(), F.xxhash64(order, F.col(text_col))).alias("own"), F.coalesce(F.floor(order / F.lit(BLOCK)), F.lit(-(1 << 60))).cast("long").alias("block"),
+        F.when(F.col(conv_col).isNull(), F.monotonically_increasing_id()).alias("own"), F.coalesce(F.floor(order / F.lit(BLOCK)), F.lit(-(1 << 60))).cast("long").alias("block"),
     )
     rows = stored(rows, "chat-rows")
     groups = max(12, -(-rows.count() // GROUP_ROWS))
