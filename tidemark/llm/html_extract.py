@@ -1,17 +1,20 @@
 """Main text of web pages: flat text blocks classified by a decision tree.
 
-A page is cut into flat text blocks at block-level tags. A block has its word count, its link
-density, the same two of its neighbours, and where it stands: whether an ancestor marks
-boilerplate (a menu, footer, advert, form, comment list, ...), whether one marks the main article,
-and whether it is a heading. A decision tree trained on the labelled blocks below decides which
-blocks stay. Script and style content and markup never become text.
+A page is cut into flat text blocks at block-level tags. A block has its word count and link
+density, the same two of its neighbours, and what its ancestors say: whether it is a heading, which
+region of the page it is in, and how strongly tags and names mark it as boilerplate. Names are graded (``warning`` says less than ``advert``) and none of these
+decides alone: a decision tree trained on the labelled blocks of :mod:`labelled_pages` weighs them
+all. An inline element with a marked name is judged like a block of its own inside its paragraph.
+Script and style content and markup never become text.
 """
 
 from __future__ import annotations
 
 import html as htmllib
 import re
+from collections import Counter
 from functools import lru_cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import map_texts
+from tidemark.llm.labelled_pages import LABEL, PAGES
 from tidemark.llm.tree import FlatTree, train_tree
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -31,111 +35,140 @@ RAW = frozenset("script style textarea title iframe noscript".split())
 BOILER_TAGS = frozenset("nav footer aside form menu dialog fieldset header".split())
 MAIN_TAGS = frozenset("article main".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-#: Words in class, id or role that mark boilerplate or the article.
-BOILER_WORDS = frozenset(
-    """ad ads adv advert adverts advertisement advertising adsense banner banners breadcrumb breadcrumbs byline comment comments commentlist disqus reply replies respond
-    contentinfo consent cookie cookies copyright dialog disclaimer footer form gdpr header masthead menu menubar modal nav navbar navigation newsletter notice notices notification
-    alert pager pagination popup popover privacy promo promoted promotion recommended related share sharing sidebar sidebars side signup login search skip skyscraper social sponsor sponsored
-    subscribe subscription tags teaser toolbar topbar warning widget widgets complementary outbrain taboola""".split()
+#: Words in class, id or role that speak for boilerplate, and those that may as well name a part of an article.
+STRONG_WORDS = frozenset(
+    """ad ads adv advert adverts advertisement advertising adsense breadcrumb breadcrumbs comment comments commentlist disqus reply replies respond contentinfo consent cookie cookies
+    copyright footer gdpr masthead menu menubar modal nav navbar navigation newsletter pager pagination popup promo promoted promotion recommended related share sharing sidebar sidebars
+    signup login skip skyscraper social sponsor sponsored subscribe subscription toolbar widget widgets complementary outbrain taboola""".split()
 )
-MAIN_WORDS = frozenset("article articlebody body content entry entrycontent main maincontent post postbody postcontent story storybody text".split())
+WEAK_WORDS = frozenset("alert banner banners byline dialog disclaimer form header notice notices notification popover privacy search side tags teaser topbar warning".split())
+MAIN_WORDS = frozenset("article articlebody body content entry main maincontent post story text".split())
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 #: A start of one of these ends an open paragraph.
 ENDS_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
-ATTR = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'=<>`]+)))?""")
+# As HTML5 tokenizes: a name has any characters but white space, slash, > and (after its first) =; a
+# stray quote is a name. Possessive groups keep the scan linear.
+_ATTR = r"""([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(?:"([^"]*+)(?:"|\Z)|'([^']*+)(?:'|\Z)|([^\s>"'][^\s>]*+))?+)?+"""
+TOKEN = re.compile(r"<!--(?:-?>|.*?(?:--!?>|\Z))|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[\s/]++|" + re.sub(r"\((?!\?)", "(?:", _ATTR) + r")*+)(?:>|\Z)", re.S)
+ATTR = re.compile(_ATTR)
 SPLIT = re.compile(r"[^a-z0-9]+")
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 BLANK = re.compile(r"\s+")
+HIDES = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
-FEATURES = ("words", "link_density", "prev_words", "prev_link_density", "next_words", "next_link_density", "boiler", "main", "heading")
-#: The labelled blocks: FEATURES in this order, then 1 for article text and 0 for what surrounds it.
-LABELLED = (
-    # inside the article
-    (9, 0, 6, 1, 40, 0, 0, 1, 1, 1), (3, 0, 45, 0, 60, 0, 0, 1, 1, 1), (1, 0, 80, 0, 12, 0, 0, 1, 0, 1), (2, 0, 30, 0, 90, 0, 0, 1, 0, 1),
-    (40, 0, 9, 0, 120, 0, 0, 1, 0, 1), (120, .05, 40, 0, 33, 0, 0, 1, 0, 1), (33, 0, 120, .1, 0, 0, 0, 1, 0, 1), (7, .3, 33, 0, 70, .1, 0, 1, 0, 1),
-    (25, .5, 60, 0, 44, 0, 0, 1, 0, 1), (6, 0, 0, 0, 0, 0, 0, 1, 0, 1), (15, 0, 3, 1, 2, 0, 0, 1, 0, 1), (70, 0, 9, 1, 12, .8, 0, 1, 0, 1),
-    (12, 0, 70, 0, 5, 1, 0, 1, 0, 1), (1, 1, 40, 0, 30, 0, 0, 1, 0, 1), (2, .9, 35, 0, 50, 0, 0, 1, 0, 1), (8, 0, 1, 1, 5, 0, 0, 1, 1, 1),
-    (4, 0, 6, 0, 6, 0, 0, 1, 0, 1), (1, 0, 1, 0, 1, 0, 0, 1, 0, 1), (20, .1, 0, 0, 14, 0, 0, 1, 0, 1), (300, .02, 12, 0, 8, 1, 0, 1, 0, 1),
-    # boilerplate by its place, the article around it or not
-    (1, 1, 0, 0, 1, 1, 1, 0, 0, 0), (1, 1, 1, 1, 1, 1, 1, 0, 0, 0), (2, 1, 1, 1, 9, 0, 1, 0, 0, 0), (8, 0, 1, 1, 9, 0, 1, 0, 0, 0),
-    (25, 0, 1, 1, 12, 0, 1, 0, 0, 0), (60, 0, 2, 1, 30, 0, 1, 0, 0, 0), (140, 0, 60, 0, 40, 0, 1, 0, 0, 0), (9, 0, 80, 0, 0, 0, 1, 0, 0, 0),
-    (14, .2, 33, 0, 0, 0, 1, 0, 0, 0), (30, 0, 44, 0, 50, 0, 1, 1, 0, 0), (4, 1, 60, 0, 70, 0, 1, 1, 0, 0), (3, 0, 20, 0, 15, 0, 1, 1, 1, 0),
-    (90, 0, 100, 0, 80, 0, 1, 1, 0, 0), (6, 0, 0, 0, 20, 0, 1, 0, 1, 0), (12, 0, 6, 0, 2, 1, 1, 0, 1, 0), (200, .01, 10, 0, 0, 0, 1, 0, 0, 0),
-    (2, 0, 120, 0, 3, 1, 1, 1, 0, 0), (5, .5, 9, 0, 40, 0, 1, 1, 0, 0), (45, .1, 3, 0, 5, .4, 1, 0, 0, 0), (1, 0, 50, 0, 25, 0, 1, 1, 0, 0),
-    # no mark of either kind: the figures of the block and of its neighbours decide
-    (60, 0, 5, 1, 80, 0, 0, 0, 0, 1), (80, .05, 60, 0, 45, .1, 0, 0, 0, 1), (45, .1, 80, 0, 4, 1, 0, 0, 0, 1), (22, 0, 3, 1, 30, 0, 0, 0, 0, 1),
-    (30, 0, 22, 0, 18, 0, 0, 0, 0, 1), (18, 0, 30, 0, 2, 1, 0, 0, 0, 1), (6, 0, 60, 0, 70, 0, 0, 0, 0, 1), (3, 0, 44, 0, 38, 0, 0, 0, 0, 1),
-    (8, 0, 2, 1, 50, 0, 0, 0, 1, 1), (4, 0, 40, 0, 55, 0, 0, 0, 1, 1), (5, 0, 0, 0, 35, 0, 0, 0, 1, 1), (150, .1, 4, 1, 4, 1, 0, 0, 0, 1),
-    (9, 0, 35, 0, 26, 0, 0, 0, 0, 1), (2, 0, 28, 0, 64, 0, 0, 0, 0, 1), (26, .2, 9, 0, 40, 0, 0, 0, 0, 1), (12, 0, 25, 0, 16, 0, 0, 0, 0, 1),
-    (1, 1, 1, 1, 1, 1, 0, 0, 0, 0), (2, 1, 1, 1, 3, 1, 0, 0, 0, 0), (3, 1, 2, 1, 60, 0, 0, 0, 0, 0), (4, 1, 50, 0, 5, 1, 0, 0, 0, 0),
-    (20, .9, 6, 1, 15, 1, 0, 0, 0, 0), (15, .8, 70, 0, 8, 1, 0, 0, 0, 0), (6, .7, 3, 1, 4, .6, 0, 0, 0, 0), (2, 0, 1, 1, 1, 1, 0, 0, 0, 0),
-    (5, 0, 3, 1, 2, 1, 0, 0, 0, 0), (4, 0, 2, 1, 0, 0, 0, 0, 0, 0), (7, .5, 4, 1, 3, 1, 0, 0, 0, 0), (3, 0, 0, 0, 2, 1, 0, 0, 0, 0),
-    (4, 0, 5, 1, 6, 1, 0, 0, 1, 0), (2, 0, 60, 0, 3, 1, 0, 0, 1, 0), (9, .6, 40, 0, 0, 0, 0, 0, 0, 0), (40, .7, 3, 1, 5, 1, 0, 0, 0, 0),
-    (30, 0, 1, 0, 1, 1, 0, 0, 0, 1), (16, 0, 1, 1, 2, 1, 0, 0, 0, 1), (11, .1, 2, 1, 3, 1, 0, 0, 0, 1), (13, 0, 0, 0, 0, 0, 0, 0, 0, 1),
-    (1, 0, 40, 0, 30, 0, 0, 0, 0, 1), (1, 0, 12, 0, 14, 0, 0, 0, 0, 1), (5, 0, 18, 0, 11, 0, 0, 0, 0, 1), (4, 0, 90, 0, 15, .2, 0, 0, 0, 1),
-    (1, 1, 30, 0, 2, 1, 0, 0, 0, 0), (2, 1, 1, 1, 0, 0, 0, 0, 0, 0), (1, 1, 1, 1, 25, 0, 0, 0, 0, 0), (9, 1, 9, 1, 9, 1, 0, 0, 0, 0),
-    (1, 0, 0, 0, 0, 0, 0, 0, 0, 0), (3, 0, 1, 1, 0, 0, 0, 0, 0, 0), (5, .2, 2, 1, 1, 1, 0, 0, 0, 0), (25, .8, 40, 0, 40, 0, 0, 0, 0, 0),
-    (10, 0, 4, 0, 0, 0, 0, 0, 0, 1), (35, .3, 20, 0, 2, 1, 0, 0, 0, 1), (14, 0, 6, 1, 11, 0, 0, 0, 0, 1), (50, 0, 0, 0, 0, 0, 0, 0, 0, 1),
-)
+FEATURES = ("words", "link_density", "prev_words", "prev_link_density", "next_words", "next_link_density", "tag_mark", "name_mark", "region", "heading", "inline")
 
 
-@lru_cache(1)
-def model() -> FlatTree:
-    table = np.array(LABELLED, float)
-    return train_tree(table[:, :-1], table[:, -1], max_depth=6, least=2)
-
-
-def _marks(tag: str, attrs: str, in_main: bool) -> tuple[bool, bool, bool]:
-    """Whether an element hides its content, marks boilerplate, or marks the article."""
-    boiler, main, hidden = tag in BOILER_TAGS, tag in MAIN_TAGS, tag in HIDDEN
-    if attrs and not hidden:
-        for name, *values in ATTR.findall(attrs):
-            name, value = name.lower(), htmllib.unescape("".join(values))
-            if name in ("class", "id", "role", "itemprop"):
-                words = {w for v in value.split() for w in (*SPLIT.split(CAMEL.sub(" ", v).lower()), re.sub(r"[^a-z]", "", v.lower()))}
-                if tag not in ("body", "html"):
-                    boiler |= bool(words & BOILER_WORDS)
-                    main |= bool(words & MAIN_WORDS)
-            elif name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I)):
-                hidden = True
-    return hidden, boiler, main and not boiler
-
-
-def blocks(page: str) -> list[tuple[str, int, int, bool, bool, bool]]:
-    """The page's text blocks: text, words, words in links, boilerplate, main, heading."""
-    found: list = []
-    stack: list[tuple[str, bool, bool, bool, bool]] = []  # tag, hidden, boiler, main, heading
-    text: list[str] = []
-    state, links, linked = (False, False, False, False), 0, []
+class Marks(NamedTuple):
+    """What an element and its ancestors say about the text inside."""
+
+    hidden: bool = False
+    tag: bool = False
+    name: float = 0.0
+    main: bool = False
+    heading: bool = False
+    label: float = -1.0
+
+
+class Block(NamedTuple):
+    """``parts`` are texts with the number of the marked inline element they stand in, or -1."""
+
+    parts: list[tuple[str, int]]
+    words: int
+    linked: int
+    marks: Marks
+    inline: list[tuple[int, int, float, float]]  # words, words in links, mark, label of each inline element
+
+
+def name_mark(names: str) -> float:
+    """How far class, id or role names speak for boilerplate: 0, 0.5 or 1.
+
+    Of the known words in a compound name the last one counts, as it says what the thing is; a
+    strong word that isn't last makes it doubtful.
+    """
+    most = 0.0
+    for name in CAMEL.sub("-", names).lower().split():
+        words = [w for w in SPLIT.split(name) if w in STRONG_WORDS or w in WEAK_WORDS or w in MAIN_WORDS]
+        if words:
+            last = 1.0 if words[-1] in STRONG_WORDS else 0.5 if words[-1] in WEAK_WORDS else 0.0
+            most = max(most, last if last or len(words) == 1 or words[0] not in STRONG_WORDS else 0.5)
+    return most
+
+
+def attributes(tag: str, attrs: str) -> tuple[bool, float, bool, float]:
+    """Whether the element hides its content, its name mark, whether it names the article, its label (-1: none)."""
+    hidden, name, main, label = tag in HIDDEN, 0.0, False, -1.0
+    for key, *values in ATTR.findall(attrs) if attrs else ():
+        key, value = key.lower(), htmllib.unescape("".join(values))
+        if key in ("class", "id", "role", "itemprop"):
+            if tag not in ("body", "html"):
+                name = max(name, name_mark(value))
+                main |= any(w in MAIN_WORDS for n in value.split() for w in (SPLIT.split(CAMEL.sub("-", n).lower())[-1], n.lower()))
+        elif key == "hidden" or (key == "aria-hidden" and value.lower() == "true") or (key == "style" and HIDES.search(value)):
+            hidden = True
+        elif key == LABEL:
+            label = float(value)
+    if tag in HEADINGS or tag == "p":
+        name = min(name, 0.5)  # it names a line, not a part of the page
+    return hidden, name, main, label
+
+
+def inside(tag: str, attrs: str, outer: Marks) -> Marks:
+    """The marks of an element that starts within ``outer``."""
+    hidden, name, main, label = attributes(tag, attrs)
+    boiler = tag in BOILER_TAGS and not (tag == "header" and outer.main and name < 1)  # an article's own header holds its title
+    fresh = tag in MAIN_TAGS and outer.name < 1  # doubtful names around an article don't speak about it
+    name = max(name, 0.0 if fresh else outer.name)
+    tagged = outer.tag or boiler
+    return Marks(outer.hidden or hidden, tagged, name, (outer.main or tag in MAIN_TAGS or main) and name < 1 and not tagged, outer.heading or tag in HEADINGS, label if label >= 0 else outer.label)
+
+
+def blocks(page: str) -> list[Block]:
+    """The page's text blocks in order."""
+    found: list[Block] = []
+    stack: list[tuple[str, Marks]] = []
+    is_open: Counter = Counter()
+    parts: list[tuple[str, int]] = []
+    linked: list[str] = []
+    inline: list[tuple[str, float, float, list[str]]] = []  # tag, mark, label, texts in links
+    links, marked, depth = 0, -1, 0
+    hush: str | None = None  # tag of a hidden inline element
+    state = Marks()
 
     def flush() -> None:
-        if text:
-            body = BLANK.sub(" ", htmllib.unescape("".join(text))).strip()
-            if body:
-                in_links = len(htmllib.unescape(" ".join(linked)).split())
-                found.append((body, n := len(body.split()), min(n, in_links), *state[1:]))
-            text.clear()
-            linked.clear()
-
-    def reset() -> None:
-        nonlocal state
-        state = stack[-1][1:] if stack else (False, False, False, False)
+        nonlocal marked, depth, hush
+        if parts:
+            count = lambda texts: len(htmllib.unescape("".join(texts)).split())
+            words = count(p for p, _ in parts)
+            if words:
+                subs = []
+                for k, (_, mark, label, in_links) in enumerate(inline):
+                    n = count(p for p, at in parts if at == k)
+                    subs.append((n, min(n, count(in_links)), mark, label))
+                found.append(Block(parts.copy(), words, min(words, count(linked)), state, subs))
+            parts.clear()
+        linked.clear()
+        inline.clear()
+        marked, depth, hush = -1, 0, None
 
     def close(tag: str) -> None:
         """Ends the innermost open ``tag`` and what is open inside it; a stray end tag does nothing."""
-        for i in range(len(stack) - 1, -1, -1):
-            if stack[i][0] == tag:
-                del stack[i:]
-                reset()
-                return
+        nonlocal state
+        while is_open[tag]:
+            top = stack.pop()[0]
+            is_open[top] -= 1
+            if top == tag:
+                break
+        state = stack[-1][1] if stack else Marks()
 
     def put(piece: str) -> None:
-        if not state[0]:
-            text.append(piece)
+        if piece and not state.hidden and hush is None:
+            parts.append((piece, marked))
             if links:
                 linked.append(piece)
+                if marked >= 0:
+                    inline[marked][3].append(piece)
 
     pos, end = 0, len(page)
     while pos < end:
@@ -144,91 +177,119 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool, bool]]:
         if not m:
             break
         pos = m.end()
-        tag = (m[2] or "").lower()
+        tag, attrs = (m[2] or "").lower(), m[3]
         if not tag:
             if m[0].startswith("<![CDATA["):
                 put(htmllib.escape(m[0][9:].removesuffix("]]>")))
-            continue
-        if m[1]:
-            if tag not in INLINE:
-                flush()
-            elif tag == "br":
-                put(" ")
+        elif tag == "br":
+            put(" ")
+        elif tag in INLINE:
             if tag == "a":
-                links = max(0, links - 1)
-                if not links:
-                    linked.append(" ")
-            elif tag not in INLINE and tag not in VOID:
+                links = 0 if m[1] else 1
+                linked.append(" ")
+            if m[1]:
+                if depth and tag in (hush, inline[marked][0] if marked >= 0 else None):
+                    depth -= 1
+                    if not depth:
+                        marked, hush = -1, None
+            elif depth:
+                depth += tag in (hush, inline[marked][0] if marked >= 0 else None) and not attrs.endswith("/")
+            elif attrs and tag not in VOID and not attrs.endswith("/"):
+                hidden, name, _, label = attributes(tag, attrs)
+                if hidden:
+                    hush, depth = tag, 1
+                elif name > state.name:
+                    inline.append((tag, name, label, []))
+                    marked, depth = len(inline) - 1, 1
+        elif m[1]:
+            flush()
+            if tag not in VOID:
                 close(tag)
-            continue
-        if tag == "br":
-            put(" ")
-            continue
-        if tag == "a":
-            links = 1
-            continue
-        if tag in INLINE:
-            if m[3]:
-                hidden, *_ = _marks(tag, m[3], state[2])
-                if hidden and not m[3].endswith("/") and tag not in VOID and (after := re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, pos)):
-                    pos = after.end()
-            continue
-        flush()
-        if tag in VOID:
-            continue
-        if tag in ENDS_P and any(s[0] == "p" for s in stack):
-            close("p")
-        if tag in CLOSED_BY and stack and stack[-1][0] in CLOSED_BY[tag]:
-            stack.pop()
-            reset()
-        if tag in RAW:
-            after = re.compile(rf"</{tag}\s*>", re.I).search(page, pos)
-            pos = after.end() if after else (end if tag in ("script", "style") else pos)
-            continue
-        if m[3].endswith("/") and tag in ("svg", "math", "object"):
-            continue
-        links = 0 if tag in ENDS_P and tag != "div" else links
-        hidden, boiler, main = _marks(tag, m[3], state[2])
-        if tag == "header" and state[2] and not boiler_by_words(m[3]):
-            boiler = False  # an article's own header holds its title
-        stack.append((tag, state[0] or hidden, state[1] or boiler, state[2] or main, state[3] or tag in HEADINGS))
-        reset()
+        else:
+            flush()
+            if tag in VOID:
+                continue
+            if tag in ENDS_P and is_open["p"]:
+                close("p")
+            if tag in CLOSED_BY and stack and stack[-1][0] in CLOSED_BY[tag]:
+                close(stack[-1][0])
+            if tag in RAW:
+                after = re.compile(rf"</{tag}\s*>", re.I).search(page, pos)
+                pos = after.end() if after else (end if tag in ("script", "style") else pos)
+                continue
+            if attrs.endswith("/") and tag in ("svg", "math", "object"):
+                continue
+            links = 0 if tag in ENDS_P and tag != "div" else links
+            state = inside(tag, attrs, state)
+            stack.append((tag, state))
+            is_open[tag] += 1
     flush()
     return found
 
 
-def boiler_by_words(attrs: str) -> bool:
-    """Whether class, id or role mark boilerplate, ``header`` itself aside."""
-    return any(name.lower() in ("class", "id", "role") and set(SPLIT.split("".join(values).lower())) & (BOILER_WORDS - {"header"}) for name, *values in ATTR.findall(attrs))
+def features(found: list[Block]) -> np.ndarray:
+    """A row of FEATURES for each block, then one for each marked inline element, whose neighbours are its own block."""
+    has_main = any(b.marks.main for b in found)
+    region = [1 if b.marks.main else -1 if has_main else 0 for b in found]
+    own = np.array([(b.words, b.linked / b.words) for b in found], float).reshape(-1, 2)
+    x = np.zeros((len(found), len(FEATURES)))
+    x[:, :2], x[1:, 2:4], x[:-1, 4:6] = own, own[:-1], own[1:]
+    x[:, 6:10] = [(b.marks.tag, b.marks.name, r, b.marks.heading) for b, r in zip(found, region, strict=True)]
+    inline = [
+        (n, k / n, *own[i], *own[i], b.marks.tag, mark, region[i], b.marks.heading, 1)
+        for i, b in enumerate(found) for n, k, mark, _ in b.inline if n
+    ]
+    return np.vstack([x, inline]) if inline else x
+
+
+@lru_cache(1)
+def labelled() -> tuple[np.ndarray, np.ndarray]:
+    """Features and labels of the labelled pages' blocks."""
+    xs, ys = [], []
+    for page in PAGES:
+        found = blocks(page)
+        xs.append(features(found))
+        ys += [b.marks.label for b in found] + [label if label >= 0 else b.marks.label for b in found for n, _, _, label in b.inline if n]
+    return np.vstack(xs), np.array(ys)
 
 
-def features(found: list[tuple]) -> np.ndarray:
-    n = len(found)
-    x = np.zeros((n, len(FEATURES)))
-    x[:, 0] = [b[1] for b in found]
-    x[:, 1] = [b[2] / b[1] for b in found]
-    x[1:, 2:4], x[:-1, 4:6] = x[:-1, :2], x[1:, :2]
-    x[:, 6:] = [b[3:] for b in found]
-    return x
+@lru_cache(1)
+def model() -> FlatTree:
+    x, y = labelled()
+    return train_tree(x[y >= 0], y[y >= 0], max_depth=7, least=2)
 
 
 def extract(pages: list[str | None]) -> list[str]:
     """Main texts of whole pages; the tree scores the blocks of all pages at once."""
     cut = [blocks(p) if p else [] for p in pages]
     parts = [features(b) for b in cut if b]
-    keep = model().predict(np.concatenate(parts)) >= 0.5 if parts else []
+    keep = (model().predict(np.concatenate(parts)) >= 0.5).tolist() if parts else []
     texts, at = [], 0
-    for b in cut:
-        texts.append("\n\n".join(x[0] for x, k in zip(b, keep[at : at + len(b)], strict=True) if k))
-        at += len(b)
+    for found in cut:
+        inline_at, kept = at + len(found), []
+        for i, b in enumerate(found):
+            stays = []
+            for n, *_ in b.inline:
+                stays.append(n == 0 or keep[inline_at])
+                inline_at += n > 0
+            if keep[at + i]:
+                text = BLANK.sub(" ", htmllib.unescape("".join(p for p, k in b.parts if k < 0 or stays[k]))).strip()
+                if text:
+                    kept.append(text)
+        at = inline_at
+        texts.append("\n\n".join(kept))
     return texts
 
 
 def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """``(page_id, url, text, n_chars)`` of every page.
 
-    Null or empty html gives an empty text. Null ids and urls are kept, repeated rows stay rows of
-    their own, other columns are left out. Blocks are joined by a blank line, in page order.
+    Null or empty html, and pages without article text, give an empty text. Null ids and urls are
+    kept, repeated rows stay rows of their own, other columns are left out, an empty table gives no
+    rows. Blocks are joined by a blank line, in page order. Malformed pages are read as HTML5 reads
+    them as far as blocks are concerned: a stray end tag does nothing, an open element ends with
+    the page, a tag cut by the end of the page is dropped. A page is read once from its start to
+    its end, in time and memory in proportion to its length.
     """
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
