@@ -73,13 +73,49 @@ def test_lines_survive_colliding_fingerprints(spark):
     index = line_dedup.insert(index, frame(rows[80:]))
     gone = [r for r in rows if r[0] % 2]
     index = line_dedup.delete(index, spark.createDataFrame([(r[0],) for r in gone], "doc_id long"))
-    keys = index.latest_counts().where("n_lines > 0").select("shard", "key")
+    keys = index.latest_counts().where("n_lines > 0").select("key")
     assert index.filters.agg(F.sum("n")).first()[0] == keys.count()  # one fingerprint for each live key
-    assert line_dedup._by_shard(index, keys, line_dedup.known_keys, "shard int, key binary").count() == keys.count()
+    assert line_dedup._by_shard(index, keys, line_dedup.known_keys, "key binary").count() == keys.count()
     index = line_dedup.insert(index, frame(gone))
     assert cleaned(spark, index, rows) == brute_lines(rows)
 
 
+def test_deletion_and_growth_with_many_keys(spark):
+    """150,000 lines in, as many others in, the first out, and a copy of the second must be caught whole."""
+    text = lambda name: "\n".join(f"{name} line number {i}" for i in range(150_000))
+    one, two = (1, text("first")), (2, text("second"))
+    index = line_dedup.insert(line_dedup.LineIndex(spark), docs(spark, [(*one, "x")]), shard_keys=5000)
+    assert index.shards == 32 and index.keys == 150_000
+    index = line_dedup.insert(index, docs(spark, [(*two, "x")]), shard_keys=5000)
+    assert index.shards == 64 and index.keys == 300_000  # shards have grown
+    index = line_dedup.delete(index, spark.createDataFrame([(1,)], "doc_id long"))
+    live = index.latest_counts().where("n_lines > 0").select("key")
+    assert index.keys == live.count() == index.filters.agg(F.sum("n")).first()[0] == 150_000
+    assert line_dedup._by_shard(index, live, line_dedup.known_keys, "key binary").count() == 150_000
+    three = (3, two[1] + "\n" + one[1])
+    index = line_dedup.insert(index, docs(spark, [(*three, "x")]), shard_keys=5000)
+    (found,) = line_dedup.clean(index, docs(spark, [(*three, "x")])).collect()
+    assert (found.n_lines, found.n_dropped) == (300_000, 150_000) and found.text == one[1]
+
+
+def test_build_asks_the_filters_and_equals_brute_force(spark, monkeypatch):
+    rows = corpus(3, range(60)) + [(70, None), (None, "Shared line number 2 é"), (71, "\n".join(["Shared line number 1 é"] * 3))]
+    frame = docs(spark, [(*r, "clash") for r in rows])
+    for insertions in (1, 2, 5):
+        assert cleaned(spark, line_dedup.build(spark, frame, insertions), rows) == brute_lines(rows)
+    monkeypatch.setattr(line_dedup, "known_keys", lambda keys, filters, bits: keys.select(["key"]).slice(0, 0))  # filters that know nothing
+    assert cleaned(spark, line_dedup.build(spark, frame, 3), rows) != brute_lines(rows)
+
+
+def test_hot_keys_are_joined_apart(spark):
+    from tidemark.llm.common import join_facts
+
+    rows = spark.range(3000).select(F.when(F.col("id") < 2500, 7).otherwise(F.col("id")).alias("key"), "id")
+    facts = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("least"))
+    found = join_facts(rows, facts, "key", "n")
+    assert found.count() == 3000 and found.where("key = 7 AND least = 0 AND n = 2500").count() == 2500
+
+
 def test_lines_of_an_empty_table(spark):
     index = line_dedup.insert(line_dedup.LineIndex(spark), docs(spark, []))
     assert line_dedup.clean(index, docs(spark, [])).count() == 0

@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: ASCII white space as the contracts have it: 0x20 and 0x09 to 0x0D.
@@ -37,6 +38,24 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: A key with more than this share of all rows is joined by broadcast.
+HOT_SHARE = 2000
+
+
+def join_facts(rows: DataFrame, facts: DataFrame, key: str, n: str) -> DataFrame:
+    """``rows`` joined to ``facts`` by ``key``, no key's rows meeting in one task beyond 1 / HOT_SHARE of all.
+
+    ``facts`` has one row for each key and in ``n`` the number of its rows (an upper bound will do).
+    Keys with more than that share are at most HOT_SHARE, whatever the size of the tables: they are
+    broadcast, and their rows stay where they are. The others are joined by a shuffle.
+    """
+    facts = stored(facts, "facts")
+    total = facts.agg(F.sum(n)).first()[0] or 0
+    hot = F.col(n) > total // HOT_SHARE
+    keys = F.broadcast(facts.where(hot))
+    return rows.join(keys, key).unionByName(rows.join(F.broadcast(facts.where(hot).select(key)), key, "left_anti").join(facts.where(~hot), key))
+
+
 def map_texts(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch] | pa.RecordBatch], schema, chars: int = 4_000_000) -> DataFrame:
     """``mapInArrow`` in slices of about ``chars`` bytes of the last column, so that memory doesn't follow the batch size."""
 

@@ -1,16 +1,20 @@
 """Reversible line deduplication: sharded cuckoo filters before exact reference-count tables.
 
-An index holds, in shards by a hash of the line's key:
+An index holds, dealt into shards by a hash of the line's key:
 
 * ``refs``: how often each document holds each key;
 * ``counts``: each key's first and last document, its number of lines and its filter (``part``), in versions;
 * ``filters``: cuckoo filters over the keys, a few binary rows for each shard.
 
-Inserting documents asks the filters first: a key that they don't know is new and needs no look at
-the tables; one that they may know is settled by its exact row. Every key without a live exact row,
-the filters' false positives too, gets a fingerprint of its own. Deleting documents takes their
-references back, recounts the keys concerned, and removes keys that nothing holds any more from
-the filter that got them: each live key always has one fingerprint. A line goes when its key is held by two documents or more and this isn't the first.
+A corpus goes in by several insertions (:func:`build`). Each asks the filters first: a key that they
+don't know is new and never meets the tables; one that they may know is settled by its exact row.
+Every key without a live exact row, the filters' false positives too, gets a fingerprint of its own.
+Deleting documents takes their references back, recounts the keys concerned, and removes keys that
+nothing holds any more from the filter that got them: each live key always has one fingerprint. So
+the rows that come out depend on what the filters answer at every insertion but the first. Shards
+double as the index grows, and their filters are then made anew from the exact table.
+
+A line goes when its key is held by two documents or more and this isn't the first.
 """
 
 from __future__ import annotations
@@ -24,13 +28,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import SPACE, map_texts, slices, stored
+from tidemark.llm.common import SPACE, join_facts, map_texts, slices, stored
 
 SLOTS = 4
 #: Bits of a fingerprint.
 BITS = 16
 #: Share of its slots that a filter fills before the shard gets another, larger one.
 FULL = 0.8
+#: Keys of a shard on average, beyond which shards double.
+SHARD_KEYS = 200_000
 #: Rounds of evictions before an insertion counts as failed and goes to a larger filter.
 ROUNDS = 400
 
@@ -111,12 +117,13 @@ class CuckooFilter:
 
 @dataclass(frozen=True)
 class LineIndex:
-    """The tables of an index; ``shards`` is fixed by the first insertion."""
+    """The tables of an index. ``shards`` is a power of two and grows with the keys, ``keys`` is their number."""
 
     spark: SparkSession
     min_chars: int = 10
     shards: int = 0
     version: int = 0
+    keys: int = 0
     refs: DataFrame | None = None
     counts: DataFrame | None = None
     filters: DataFrame | None = None
@@ -135,7 +142,11 @@ class LineIndex:
         if self.version < 2:
             return self.counts
         row = F.max_by(F.struct("first_doc", "last_doc", "n_lines", "part"), "version").alias("row")
-        return self.counts.groupBy("shard", "key").agg(row).select("shard", "key", "row.*")
+        return self.counts.groupBy("key").agg(row).select("key", "row.*")
+
+    def sharded(self, keys: DataFrame) -> DataFrame:
+        """``keys`` with the shard of each."""
+        return keys.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(self.shards)).cast("int"))
 
 
 _FILTERS = "shard int, part int, n long, slots binary"
@@ -196,7 +207,7 @@ def known_keys(keys: pa.Table, filters: pa.Table, bits: int = BITS) -> pa.Table:
     known = np.zeros(len(hashes), bool)
     for f in _read(filters, bits):
         known |= f.contains(hashes)
-    return keys.select(["shard", "key"]).filter(pa.array(known))
+    return keys.select(["key"]).filter(pa.array(known))
 
 
 def insert_keys(keys: pa.Table, filters: pa.Table, bits: int = BITS) -> pa.Table:
@@ -223,44 +234,73 @@ def remove_keys(keys: pa.Table, filters: pa.Table, bits: int = BITS) -> pa.Table
 
 
 def _by_shard(index: LineIndex, keys: DataFrame, fn, schema: str) -> DataFrame:
-    """``fn`` over each shard's keys and filters."""
+    """``fn`` over each shard's keys (of about SHARD_KEYS, as shards grow with them) and filters."""
     filters = index.filters if index.filters is not None else index.spark.createDataFrame([], _FILTERS)
     bits = index.bits
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         return fn(left, right, bits)
 
-    return keys.groupBy("shard").cogroup(filters.groupBy("shard")).applyInArrow(run, schema)
+    return index.sharded(keys).groupBy("shard").cogroup(filters.groupBy("shard")).applyInArrow(run, schema)
 
 
-def _joined(old: DataFrame | None, new: DataFrame) -> DataFrame:
-    return new if old is None else old.unionByName(new)
+def build(spark: SparkSession, docs: DataFrame, insertions: int = 3, id_col: str = "doc_id", text_col: str = "text", **options) -> LineIndex:
+    """An index of ``docs``, put in by ``insertions`` successive insertions of documents dealt by a hash of their ids."""
+    index = LineIndex(spark, **options)
+    found = stored(document_keys(docs, index.min_chars, id_col, text_col), "line-keys")
+    turn = F.pmod(F.xxhash64("doc_id"), F.lit(insertions))
+    for k in range(insertions):
+        index = insert_refs(index, found.where(turn == k))
+    return index
 
 
-def insert(index: LineIndex, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard_keys: int = 200_000) -> LineIndex:
+def insert(index: LineIndex, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard_keys: int = SHARD_KEYS) -> LineIndex:
     """The index with ``docs`` added. A document should be inserted once; its repeated rows add up."""
+    return insert_refs(index, stored(document_keys(docs, index.min_chars, id_col, text_col), "line-keys"), shard_keys)
+
+
+def insert_refs(index: LineIndex, found: DataFrame, shard_keys: int = SHARD_KEYS) -> LineIndex:
+    """The index with the references ``(key, doc_id, n)`` of new documents added."""
     version = index.version + 1
-    found = stored(document_keys(docs, index.min_chars, id_col, text_col), "line-keys")
-    shards = index.shards or max(12, -(-found.count() // shard_keys))
-    refs = found.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int")).withColumn("version", F.lit(version))
-    batch = stored(refs.groupBy("shard", "key").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"), F.sum("n").alias("n_lines")), "line-counts")
-    new, part = batch, F.lit(0)  # the first filter of every shard
-    if index.version:
-        known = _by_shard(index, batch.select("shard", "key"), known_keys, "shard int, key binary")
-        old = index.latest_counts().join(known, ["shard", "key"], "left_semi").where(F.col("n_lines") > 0)
-        old = old.select("shard", "key", *(F.col(c).alias(f"old_{c}") for c in ("first_doc", "last_doc", "n_lines", "part")))
-        batch = batch.join(old, ["shard", "key"], "left").select(
-            "shard", "key", F.least("first_doc", "old_first_doc").alias("first_doc"), F.greatest("last_doc", "old_last_doc").alias("last_doc"), (F.col("n_lines") + F.coalesce("old_n_lines", F.lit(0))).alias("n_lines"), "old_part"
-        )
-        batch = stored(batch, "line-counts")
-        new = batch.where(F.col("old_part").isNull())
-    filters = stored(_by_shard(index, new.select("shard", "key"), insert_keys, _FILTERS), "line-filters")
-    if index.version:
-        batch = batch.join(F.broadcast(filters.groupBy("shard").agg(F.max("part").alias("last_part"))), "shard", "left")
-        part = F.coalesce("old_part", "last_part")
-    batch = batch.select("shard", "key", "first_doc", "last_doc", "n_lines", part.cast("int").alias("part"))
-    counts = batch.withColumn("version", F.lit(version))
-    return replace(index, shards=shards, version=version, refs=_joined(index.refs, refs), counts=_joined(index.counts, counts), filters=filters)
+    refs = found.withColumn("version", F.lit(version))
+    batch = found.groupBy("key").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"), F.sum("n").alias("n_lines"))
+    if not index.version:
+        counts = stored(batch.withColumn("part", F.lit(0)), "line-counts")  # the first filter of every shard
+        keys = counts.count()
+        index = replace(index, shards=_shards_for(keys, shard_keys, 16))
+        filters = stored(_by_shard(index, counts.select("key"), insert_keys, _FILTERS), "line-filters")
+        return replace(index, version=version, keys=keys, refs=refs, counts=counts.withColumn("version", F.lit(version)), filters=filters)
+    batch = stored(batch, "line-batch")
+    known = _by_shard(index, batch.select("key"), known_keys, "key binary")
+    old = index.latest_counts().where("n_lines > 0").select("key", *(F.col(c).alias(f"old_{c}") for c in ("first_doc", "last_doc", "n_lines", "part")))
+    met = stored(known.join(old, "key"), "line-met")  # only what the filters may know is looked up
+    new = batch.join(met, "key", "left_anti")
+    filters = stored(_by_shard(index, new.select("key"), insert_keys, _FILTERS), "line-filters")
+    last = filters.groupBy("shard").agg(F.max("part").alias("last_part"))  # a row for each SHARD_KEYS keys
+    fresh = index.sharded(new).join(last, "shard").select("key", "first_doc", "last_doc", "n_lines", F.col("last_part").cast("int").alias("part"))
+    again = batch.join(met, "key").select(
+        "key", F.least("first_doc", "old_first_doc").alias("first_doc"), F.greatest("last_doc", "old_last_doc").alias("last_doc"), (F.col("n_lines") + F.col("old_n_lines")).alias("n_lines"), F.col("old_part").cast("int").alias("part")
+    )
+    counts = stored(fresh.unionByName(again).withColumn("version", F.lit(version)), "line-counts")
+    keys = index.keys + counts.count() - met.count()
+    index = replace(index, version=version, keys=keys, refs=index.refs.unionByName(refs), counts=index.counts.unionByName(counts), filters=filters)
+    wanted = _shards_for(keys, shard_keys, index.shards)
+    return index if wanted == index.shards else resharded(index, wanted)
+
+
+def _shards_for(keys: int, shard_keys: int, least: int) -> int:
+    """The smallest power of two, from ``least``, that leaves a shard ``shard_keys`` keys."""
+    while least * shard_keys < keys:
+        least *= 2
+    return least
+
+
+def resharded(index: LineIndex, shards: int) -> LineIndex:
+    """The index dealt into ``shards`` shards, each with one filter made from the exact table."""
+    index = replace(index, shards=shards, filters=None)
+    live = stored(index.latest_counts().withColumn("part", F.lit(0)).withColumn("version", F.lit(index.version)), "line-counts")
+    filters = stored(_by_shard(index, live.where("n_lines > 0").select("key"), insert_keys, _FILTERS), "line-filters")
+    return replace(index, counts=live, filters=filters)
 
 
 def delete(index: LineIndex, ids: DataFrame, id_col: str = "doc_id") -> LineIndex:
@@ -270,15 +310,22 @@ def delete(index: LineIndex, ids: DataFrame, id_col: str = "doc_id") -> LineInde
     version = index.version + 1
     ids = ids.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id")).distinct()
     gone = ids.withColumn("version", F.lit(version))
-    touched = stored(index.live_refs().join(ids, "doc_id", "left_semi").select("shard", "key").distinct(), "line-touched")
-    after = replace(index, version=version, deleted=_joined(index.deleted, gone))
-    left = after.live_refs().join(touched, ["shard", "key"], "left_semi").groupBy("shard", "key").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"), F.sum("n").alias("n_lines"))
-    parts = index.latest_counts().select("shard", "key", "part")
-    recount = touched.join(left, ["shard", "key"], "left").fillna(0, ["n_lines"]).join(parts, ["shard", "key"])
-    recount = stored(recount.select("shard", "key", "first_doc", "last_doc", "n_lines", "part").withColumn("version", F.lit(version)), "line-counts")
-    emptied = recount.where(F.col("n_lines") == 0).select("shard", "key", "part")
+    touched = stored(index.live_refs().join(ids, "doc_id", "left_semi").select("key").distinct(), "line-touched")
+    after = replace(index, version=version, deleted=gone if index.deleted is None else index.deleted.unionByName(gone))
+    left = after.live_refs().join(touched, "key", "left_semi").groupBy("key").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"), F.sum("n").alias("n_lines"))
+    parts = index.latest_counts().select("key", "part")
+    recount = touched.join(left, "key", "left").fillna(0, ["n_lines"]).join(parts, "key")
+    recount = stored(recount.select("key", "first_doc", "last_doc", "n_lines", "part").withColumn("version", F.lit(version)), "line-counts")
+    emptied = stored(recount.where("n_lines = 0").select("key", "part"), "line-emptied")
     filters = stored(_by_shard(index, emptied, remove_keys, _FILTERS), "line-filters")
-    return replace(after, counts=_joined(index.counts, recount), filters=filters)
+    return replace(after, keys=index.keys - emptied.count(), counts=index.counts.unionByName(recount), filters=filters)
+
+
+def dropped_keys(index: LineIndex) -> DataFrame:
+    """``(doc_id, key)`` of the lines that go. A line that very many documents hold doesn't meet in one task."""
+    repeated = index.latest_counts().where((F.col("n_lines") > 0) & (F.col("first_doc") < F.col("last_doc"))).select("key", "first_doc", "n_lines")
+    held = index.live_refs().select("key", "doc_id")
+    return join_facts(held, repeated, "key", "n_lines").where(F.col("doc_id") > F.col("first_doc")).select("doc_id", "key")
 
 
 def clean(index: LineIndex, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -288,8 +335,7 @@ def clean(index: LineIndex, docs: DataFrame, id_col: str = "doc_id", text_col: s
     doesn't hold, lose nothing. Repeated rows are cleaned alike. Input columns named ``n_lines`` or
     ``n_dropped`` are replaced, all others stay.
     """
-    repeated = index.latest_counts().where((F.col("n_lines") > 0) & (F.col("first_doc") < F.col("last_doc"))).select("shard", "key", "first_doc")
-    drops = index.live_refs().join(repeated, ["shard", "key"]).where(F.col("doc_id") > F.col("first_doc")).groupBy(F.col("doc_id").alias("_drop_id")).agg(F.collect_set("key").alias("_drop"))
+    drops = dropped_keys(index).groupBy(F.col("doc_id").alias("_drop_id")).agg(F.collect_set("key").alias("_drop"))
     kept = [f for f in docs.schema.fields if f.name not in (text_col, "n_lines", "n_dropped")]
     schema = T.StructType([*kept, T.StructField(text_col, T.StringType()), T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
     least = index.min_chars

@@ -20,7 +20,7 @@ def op1_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    cleaned = line_dedup.clean(line_dedup.insert(line_dedup.LineIndex(spark), docs), docs)
+    cleaned = line_dedup.clean(line_dedup.build(spark, docs), docs)
     return cleaned.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
