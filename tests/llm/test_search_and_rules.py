@@ -249,6 +249,72 @@ def test_boosted_trees_learn_and_flatten():
     assert np.allclose([walk(r) for r in x[:50]], one.predict(x[:50]))
 
 
+def plain_boost(x, y, trees, depth, rate, bins=64, ridge=1.0, least=1.0):
+    """Boosting one node at a time over raw values; gives the training rows' probabilities."""
+    p0 = np.clip(y.mean(), 0.01, 0.99)
+    total = np.full(len(y), np.log(p0 / (1 - p0)))
+    cuts = [np.unique(np.quantile(x[:, f], np.linspace(0, 1, bins + 1)[1:-1])) for f in range(x.shape[1])]
+
+    def grow(rows, g, h, left):
+        best = (1e-9, None, None)
+        G, H = g[rows].sum(), h[rows].sum()
+        for f in range(x.shape[1]) if left else ():
+            for c in cuts[f]:
+                side = rows[x[rows, f] <= c]
+                gl, hl = g[side].sum(), h[side].sum()
+                if hl < least or H - hl < least:
+                    continue
+                gain = gl**2 / (hl + ridge) + (G - gl) ** 2 / (H - hl + ridge) - G**2 / (H + ridge)
+                if gain > best[0] + 1e-9:
+                    best = (gain, f, c)
+        if best[1] is None:
+            step[rows] = rate * G / (H + ridge)
+        else:
+            under = x[rows, best[1]] <= best[2]
+            grow(rows[under], g, h, left - 1)
+            grow(rows[~under], g, h, left - 1)
+
+    for _ in range(trees):
+        p = 1 / (1 + np.exp(-total))
+        step = np.zeros(len(y))
+        grow(np.arange(len(y)), y - p, p * (1 - p), depth)
+        total = total + step
+    return 1 / (1 + np.exp(-total))
+
+
+def test_boosting_equals_a_plain_version():
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(150, 3))
+    y = (x[:, 0] + 0.5 * x[:, 1] > 0.2).astype(float)
+    found = quality.boost(x, y, trees=5, depth=3, bins=16).predict(x)
+    assert np.allclose(found, plain_boost(x, y, 5, 3, 0.15, 16), atol=1e-6)
+
+
+def test_statistics_equal_a_plain_version():
+    import re
+
+    rng = random.Random(8)
+    for _ in range(60):
+        text = "".join(rng.choice("aB é7.,!?#|-\n \t'") for _ in range(rng.randint(1, 120))) + "\nEnd."
+        words, lines = re.findall(r"[^ \t\n\x0b\x0c\r]+", text), [x for x in text.split("\n") if x.strip(" \t\n\x0b\x0c\r")]
+        s = dict(zip(quality.FEATURES, quality.statistics(text), strict=True))
+        n = len(words)
+        want = {
+            "log_words": np.log1p(n), "mean_word": np.mean([len(w.encode()) for w in words]), "longest_word": max(len(w.encode()) for w in words), "digit_share": text.count("7") / len(text),
+            "symbol_share": text.count("#") / n, "bang_share": text.count("!") / n, "pipe_share": text.count("|") / n, "stop_share": (text.count(".") + text.count("?")) / n, "comma_share": text.count(",") / n,
+            "type_token": len(set(words)) / n, "top_word": max(map(words.count, words)) / n, "log_lines": np.log1p(len(lines)), "dup_lines": 1 - len(set(lines)) / len(lines), "ends_well": 1.0,
+            "upper_share": sum(c in "BE" for c in text) / max(1, sum(map(str.isalpha, text))), "adjacent_repeats": sum(a == b for a, b in zip(words, words[1:])) / n,
+        }
+        assert {k: s[k] for k in want} == pytest.approx(want)
+
+
+def test_quality_of_long_texts_and_clashing_columns(spark):
+    frame = spark.createDataFrame([(i, "Some words that read well. " * (20_000 if i == 3 else 2), 7, "x") for i in range(10)], "doc_id long, text string, _score int, _predicted string")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(10)], "doc_id long, quality int, toxic int")
+    found = quality.score(frame, quality.train(frame, labels), keep=True)
+    assert found.columns == ["doc_id", "_score", "_predicted", "text", "_score_", "_predicted_"] and {(r._score, r._predicted) for r in found.collect()} == {(7, "x")}
+
+
 def test_quality_held_out_and_odd_rows(spark):
     good = [(i, f"Some plain words that read well, number {i}. And then a second sentence follows here.") for i in range(0, 300, 2)]
     bad = [(i, f"BUY!! NOW!! $$$ {i} *** CHEAP!! *** !!!") for i in range(1, 300, 2)]
@@ -343,6 +409,30 @@ def test_viterbi_equals_brute_force():
             assert value(got.tolist()) == pytest.approx(best)
 
 
+def test_long_texts_are_labelled_as_in_one_pass():
+    rng = np.random.default_rng(6)
+    scores = np.minimum(rng.normal(-1, 1.5, (60, 4)), 0.0)
+    codes = [rng.integers(0, 60, n) for n in (20_000, 3, 0, 4096, 4097, 9_000)]
+    total = lambda c, labels: scores[c, labels].sum() - 3.0 * (labels[1:] != labels[:-1]).sum()
+    whole = langid.label_words(codes, scores, 3.0, block=10**6)
+    for block in (7, 1000, 4096):
+        for c, one, cut in zip(codes, whole, langid.label_words(codes, scores, 3.0, block), strict=True):
+            assert total(c, cut) == pytest.approx(total(c, one)) and (one != cut).mean() < 1e-3 if len(c) else not len(cut)
+
+
+def test_script_of_a_word_is_that_of_most_letters():
+    assert [langid.SCRIPTS[k] for k in langid.Words(["aбвг дом garden ж"]).scripts] == ["cyrillic", "cyrillic", "latin", "cyrillic"]
+
+
+def test_language_of_clashing_columns_and_of_an_empty_table(spark):
+    frame = spark.createDataFrame([(i, TEXTS["de"], "de", 1, "x") for i in range(20)], "doc_id long, text string, lang string, _score int, _lang_pred string")
+    model = langid.train(frame)
+    found = langid.predict(frame, model, keep=True)
+    assert found.columns == ["doc_id", "lang", "_score", "_lang_pred", "text", "_lang_pred_", "_score_"]
+    assert {(r._score, r._lang_pred, r._lang_pred_) for r in found.collect()} == {(1, "x", "de")}
+    assert langid.predict(frame.limit(0), model).count() == 0
+
+
 # ---- packing -------------------------------------------------------------------------------
 
 

@@ -67,6 +67,14 @@ def map_texts(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBa
     return df.mapInArrow(run, schema)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name`` with as many underscores more as it takes for no column of ``df`` to have it, in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def with_results(docs: DataFrame, fn: Callable[[list], dict[str, pa.Array]], text_col: str, results: str, chars: int = 4_000_000, keep_text: bool = True) -> DataFrame:
     """``docs`` with the columns that ``fn`` makes from its texts; ``results`` is their schema. Columns of the same names are replaced."""
     added = T.StructType.fromDDL(results)

@@ -3,8 +3,8 @@
 Every word is scored for each learned language by log probabilities of its hashed character
 n-grams. The script of a word, from fixed code point ranges, leaves only the languages seen in
 that script. A Viterbi pass over the words, where changing the language costs a penalty, labels
-spans; the language of most letters is the text's. The pass runs in step for all texts of a slice,
-over blocks of a fixed number of words.
+spans; the language of most letters is the text's. The pass runs in step for all texts of a slice;
+long texts are cut into pieces whose max-plus matrices carry it over the cuts.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import map_texts, with_results
+from tidemark.llm.common import free_name, map_texts, with_results
 
 #: Scripts by first and last code point (Unicode blocks).
 SCRIPT_RANGES = (
@@ -67,7 +67,7 @@ def gram_buckets(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Words:
-    """The distinct words of a slice, and each text's words by number."""
+    """The distinct words of a slice, each in the script of most of its letters, and each text's words by number."""
 
     def __init__(self, texts: list[str | None]):
         numbers: defaultdict = defaultdict()
@@ -76,8 +76,10 @@ class Words:
         self.codes = [np.fromiter(map(numbers.__getitem__, find(t.lower())) if t else (), np.int64) for t in texts]
         self.words = list(numbers)
         self.letters = np.array([len(w) if w.isalpha() else sum(map(str.isalpha, w)) for w in self.words], np.int64)
-        first = np.array([ord(w[0]) for w in self.words], np.int64)
-        self.scripts = scripts_of(first)
+        points = scripts_of(np.frombuffer("".join(self.words).encode("utf-32-le", "replace"), np.uint32).astype(np.int64))
+        owner = np.repeat(np.arange(len(self.words)), [len(w) for w in self.words])
+        by_script = np.bincount(owner * len(SCRIPTS) + points, minlength=len(self.words) * len(SCRIPTS)).reshape(-1, len(SCRIPTS))
+        self.scripts = by_script.argmax(1) if len(self.words) else np.empty(0, np.int64)
 
 
 class Model:
@@ -101,37 +103,72 @@ class Model:
         return np.where(known[:, None], scores, 0.0)
 
 
-def label_words(codes: list[np.ndarray], scores: np.ndarray, penalty: float, block: int = 4096) -> list[np.ndarray]:
-    """Viterbi labels of each text's words: best sum of scores less ``penalty`` for each change, blocks of ``block`` words apart."""
-    pieces = [(i, c[a : a + block]) for i, c in enumerate(codes) for a in range(0, len(c), block)]
-    by_size = sorted(range(len(pieces)), key=lambda p: -len(pieces[p][1]))
-    sizes = np.array([len(pieces[p][1]) for p in by_size], np.int64)
-    flat = np.concatenate([pieces[p][1] for p in by_size]) if pieces else np.empty(0, np.int64)
-    starts = np.cumsum(sizes) - sizes
-    value = np.zeros((len(pieces), scores.shape[1]))
-    steps = []
+def _in_step(starts: np.ndarray, sizes: np.ndarray, flat: np.ndarray, scores: np.ndarray, penalty: float, value: np.ndarray, note=None) -> np.ndarray:
+    """Best sums at each piece's end, from ``value`` before its first word; pieces are in falling order of size.
+
+    ``value`` ends in the languages; a dimension before it, if any, is that of separate starts.
+    ``note`` receives each step's best language before and where changing to it pays.
+    """
     for t in range(int(sizes.max(initial=0))):
-        live = int(np.searchsorted(-sizes, -t, "left"))  # the texts with more than t words
+        live = int(np.searchsorted(-sizes, -t, "left"))  # the pieces with more than t words
         v = value[:live]
-        if t:
-            best = v.argmax(1)
-            change = v[np.arange(live), best] - penalty
-            changed = change[:, None] > v
-            steps.append((best.astype(np.int16), changed))
-            np.maximum(v, change[:, None], out=v)
-        v += scores[flat[starts[:live] + t]]
+        best = v.argmax(-1)
+        change = np.take_along_axis(v, best[..., None], -1) - penalty
+        if note is not None:
+            note(best, change > v)
+        np.maximum(v, change, out=v)
+        gain = scores[flat[starts[:live] + t]]
+        v += gain if v.ndim == 2 else gain[:, None]
+    return value
+
+
+def label_words(codes: list[np.ndarray], scores: np.ndarray, penalty: float, block: int = 4096) -> list[np.ndarray]:
+    """Viterbi labels of each text's words: best sum of scores less ``penalty`` for each change.
+
+    A text is cut into pieces of ``block`` words, so that long and short texts move in step. A
+    piece's best score from every language before it to every language at its end (a max-plus
+    matrix) carries the values over the borders: the labels are those of one pass at any ``block``.
+    """
+    n_langs = scores.shape[1]
+    pieces = [(i, a) for i, c in enumerate(codes) for a in range(0, len(c), block)]
+    by_size = sorted(range(len(pieces)), key=lambda p: -min(block, len(codes[pieces[p][0]]) - pieces[p][1]))
+    place = {p: k for k, p in enumerate(by_size)}
+    cut = [codes[pieces[p][0]][pieces[p][1] : pieces[p][1] + block] for p in by_size]
+    sizes = np.array([len(c) for c in cut], np.int64)
+    flat = np.concatenate(cut) if cut else np.empty(0, np.int64)
+    starts = np.cumsum(sizes) - sizes
+    # matrices only of pieces of texts that have several
+    several = np.array([k for k, p in enumerate(by_size) if len(codes[pieces[p][0]]) > block], np.int64)
+    matrix = np.full((len(several), n_langs, n_langs), -np.inf)
+    matrix[:, np.arange(n_langs), np.arange(n_langs)] = 0.0
+    _in_step(starts[several], sizes[several], flat, scores, penalty, matrix)
+    row = dict(zip(several.tolist(), range(len(several)), strict=True))
+    before = np.zeros((len(pieces), n_langs))  # values before each piece
+    ends = np.full(len(pieces), -1, np.int64)
+    for p, (i, a) in enumerate(pieces):
+        if a:
+            before[place[p]] = (before[place[p - 1]][:, None] + matrix[row[place[p - 1]]]).max(0)
+    for p in range(len(pieces) - 1, -1, -1):  # languages at the ends, from each text's last piece back
+        i, a = pieces[p]
+        if len(codes[i]) > block:
+            k = place[p]
+            if a + block >= len(codes[i]):
+                ends[k] = (before[k][:, None] + matrix[row[k]]).max(0).argmax()
+            if a:
+                ends[place[p - 1]] = (before[k] + matrix[row[k]][:, ends[k]]).argmax()
+    steps: list = []
+    value = _in_step(starts, sizes, flat, scores, penalty, before.copy(), lambda best, changed: steps.append((best.astype(np.int16), changed)))
+    at = np.where(ends >= 0, ends, value.argmax(1)) if len(pieces) else ends
     labels = np.empty(len(flat), np.int16)
-    at = value.argmax(1) if len(pieces) else np.empty(0, np.int64)
-    for t in range(int(sizes.max(initial=0)) - 1, -1, -1):
-        live = int(np.searchsorted(-sizes, -t, "left"))
-        labels[starts[:live] + t] = at[:live]
-        if t:
-            best, changed = steps[t - 1]
-            here = at[:live]
-            at[:live] = np.where(changed[np.arange(live), here], best, here)
+    for t in range(len(steps) - 1, -1, -1):
+        best, changed = steps[t]
+        here = at[: len(best)]
+        labels[starts[: len(best)] + t] = here
+        at[: len(best)] = np.where(changed[np.arange(len(best)), here], best, here)
     found: list[list] = [[] for _ in codes]
-    for p, a, n in sorted(zip(by_size, starts, sizes, strict=True)):
-        found[pieces[p][0]].append(labels[a : a + n])
+    for p, (i, _) in enumerate(pieces):
+        k = place[p]
+        found[i].append(labels[starts[k] : starts[k] + sizes[k]])
     return [np.concatenate(f) if f else np.empty(0, np.int16) for f in found]
 
 
@@ -142,8 +179,10 @@ def _train_fold(id_col: str):
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = 600) -> Model:
     """A model from about ``per_lang`` whole texts of each language, chosen by a hash of the id outside the held-out fold.
 
-    What reaches the driver is a count for each language, then for each language and bucket.
-    Null ids, texts and languages are passed over.
+    What reaches the driver is a count for each language, then for each language and bucket: some
+    256 KB for each distinct value of ``lang_col``, which must be a set of languages, not free text.
+    Null ids, texts and languages are passed over; repeated rows count again; an empty table gives
+    a model without languages.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")).where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & _train_fold("doc_id"))
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
@@ -206,22 +245,25 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     """``(doc_id, held_out, lang_pred, score)`` of every whole text, with ``spans`` on request.
 
     ``lang_pred`` has the most letters in its spans, ``score`` is its share of all letters; letters
-    of scripts that no learned language has count for none. Null texts and texts without a letter
+    of scripts that no learned language has count for none. Whole texts are labelled by one Viterbi
+    pass whatever their length. Null texts and texts without a letter
     are ``und`` with score 0, as are all texts if nothing could be learned. With ``keep`` the
-    input's own columns stay, and ``_lang_pred`` and ``_score`` are added. Null ids are kept (``held_out`` false),
+    input's own columns stay, and ``_lang_pred`` and ``_score`` are added, under the names that
+    :func:`free_name` gives where the input has these. Null ids are kept (``held_out`` false),
     repeated rows stay rows of their own; without ``keep`` other columns are left out.
     """
     known = docs.sparkSession.sparkContext.broadcast(model)  # 256 KB for each language
+    names = [free_name(docs, n) if keep else n for n in ("_lang_pred", "_score")]
 
     def run(texts: list[str | None]) -> dict[str, pa.Array]:
         found = identify(texts, known.value, penalty)
-        made = {"_lang_pred": pa.array([f[0] for f in found], pa.string()), "_score": pa.array([f[1] for f in found], pa.float64())}
+        made = {names[0]: pa.array([f[0] for f in found], pa.string()), names[1]: pa.array([f[1] for f in found], pa.float64())}
         if spans:
             kind = pa.list_(pa.struct([("lang", pa.string()), ("start", pa.int32()), ("stop", pa.int32())]))
             made["spans"] = pa.array([[dict(zip(("lang", "start", "stop"), s, strict=True)) for s in f[2]] for f in found], kind)
         return made
 
-    results = "_lang_pred string, _score double" + ", spans array<struct<lang: string, start: int, stop: int>>" * spans
+    results = f"{names[0]} string, {names[1]} double" + ", spans array<struct<lang: string, start: int, stop: int>>" * spans
     if keep:
         return with_results(docs, run, text_col, results, chars=8_000_000)
     chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(~_train_fold(id_col), F.lit(False)).alias("held_out"), F.col(text_col).alias("text"))

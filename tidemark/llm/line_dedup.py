@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import SPACE, join_facts, map_texts, slices, stored
+from tidemark.llm.common import SPACE, free_name, join_facts, map_texts, slices, stored
 
 SLOTS = 4
 #: Bits of a fingerprint.
@@ -328,31 +328,32 @@ def dropped_keys(index: LineIndex) -> DataFrame:
     return join_facts(held, repeated, "key", "n_lines").where(F.col("doc_id") > F.col("first_doc")).select("doc_id", "key")
 
 
-def clean(index: LineIndex, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` (that the index holds) with ``text`` less its dropped lines, and ``n_lines``, ``n_dropped``.
+def clean(index: LineIndex, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", counts: tuple[str, str] = ("n_lines", "n_dropped")) -> DataFrame:
+    """``docs`` (that the index holds) with ``text`` less its dropped lines, and its lines and dropped lines under the names ``counts``.
 
     Null and empty texts are one empty line. Rows with a null id, and documents that the index
-    doesn't hold, lose nothing. Repeated rows are cleaned alike. Input columns named ``n_lines`` or
-    ``n_dropped`` are replaced, all others stay.
+    doesn't hold, lose nothing. Repeated rows are cleaned alike, an empty table gives no rows.
+    Input columns of the names ``counts`` are replaced, all others stay.
     """
-    drops = dropped_keys(index).groupBy(F.col("doc_id").alias("_drop_id")).agg(F.collect_set("key").alias("_drop"))
-    kept = [f for f in docs.schema.fields if f.name not in (text_col, "n_lines", "n_dropped")]
-    schema = T.StructType([*kept, T.StructField(text_col, T.StringType()), T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
+    drop_id, drop = free_name(docs, "_drop_id"), free_name(docs, "_drop")
+    drops = dropped_keys(index).groupBy(F.col("doc_id").alias(drop_id)).agg(F.collect_set("key").alias(drop))
+    kept = [f for f in docs.schema.fields if f.name not in (text_col, *counts)]
+    schema = T.StructType([*kept, T.StructField(text_col, T.StringType()), *(T.StructField(c, T.LongType()) for c in counts)])
     least = index.min_chars
 
     def run(batches):
         for batch in batches:
             for part in slices(batch, 4_000_000):
                 texts, n_lines, n_dropped = [], [], []
-                for text, drop in zip(part.column(len(kept) + 1).to_pylist(), part.column(len(kept)).to_pylist(), strict=True):
+                for text, keys in zip(part.column(len(kept) + 1).to_pylist(), part.column(len(kept)).to_pylist(), strict=True):
                     lines = (text or "").split("\n")
                     n_lines.append(len(lines))
-                    if drop:
-                        drop = set(drop)
-                        lines = [x for x, key in zip(lines, line_keys(text, least), strict=True) if key not in drop]
+                    if keys:
+                        gone = set(keys)
+                        lines = [x for x, key in zip(lines, line_keys(text, least), strict=True) if key not in gone]
                     n_dropped.append(n_lines[-1] - len(lines))
                     texts.append("\n".join(lines))
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(kept)], pa.array(texts, pa.string()), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())], schema.names)
 
-    joined = docs.join(drops, F.col(f"`{id_col}`").cast("long") == F.col("_drop_id"), "left")
-    return joined.select(*(docs[f"`{f.name}`"] for f in kept), F.col("_drop"), docs[f"`{text_col}`"]).mapInArrow(run, schema)
+    joined = docs.join(drops, F.col(f"`{id_col}`").cast("long") == F.col(drop_id), "left")
+    return joined.select(*(docs[f"`{f.name}`"] for f in kept), F.col(drop), docs[f"`{text_col}`"]).mapInArrow(run, schema)

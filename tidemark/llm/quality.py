@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import SPACE, map_texts, with_results
+from tidemark.llm.common import SPACE, free_name, map_texts, with_results
 
 FEATURES = (
     "log_words", "mean_word", "std_word", "longest_word", "upper_share", "digit_share", "symbol_share", "bang_share", "pipe_share", "stop_share", "comma_share",
@@ -138,7 +138,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 20_000) -> BoostedTr
 def score(docs: DataFrame, model: BoostedTrees, id_col: str = "doc_id", text_col: str = "text", cut: float = 0.3, keep: bool = False) -> DataFrame:
     """``(doc_id, held_out, score, predicted)`` of every whole text; ``predicted`` is 1 from a score of ``cut``.
 
-    With ``keep`` the input's own columns stay, and ``_score`` and ``_predicted`` are added. Null
+    With ``keep`` the input's own columns stay, and ``_score`` and ``_predicted`` are added, under the
+    names that :func:`free_name` gives where the input has these. Null
     and empty texts are scored as texts without words. Null ids are kept (``held_out`` is then
     false), repeated rows stay rows of their own; without ``keep`` other columns are left out.
     """
@@ -146,9 +147,10 @@ def score(docs: DataFrame, model: BoostedTrees, id_col: str = "doc_id", text_col
 
     def run(texts: list[str | None]) -> dict[str, pa.Array]:
         p = known.value.predict(_stats_rows(texts))
-        return {"_score": pa.array(p), "_predicted": pa.array((p >= cut).astype(np.int32))}
+        return {names[0]: pa.array(p), names[1]: pa.array((p >= cut).astype(np.int32))}
 
-    results = "_score double, _predicted int"
+    names = [free_name(docs, n) if keep else n for n in ("_score", "_predicted")]
+    results = f"{names[0]} double, {names[1]} int"
     if keep:
         return with_results(docs, run, text_col, results)
     chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(_held_out(id_col), F.lit(False)).alias("held_out"), F.col(text_col).alias("text"))
