@@ -1,4 +1,8 @@
-"""A corpus pipeline: STAGES are applied to ``documents`` in order, each to all that the one before it kept."""
+"""A corpus pipeline: STAGES are applied to ``documents`` in order, each to all that the one before it kept.
+
+In every stage rows with null ids or texts are ordinary rows, an empty table gives an empty one, and
+columns of the input stay as they are, whatever their names.
+"""
 
 from __future__ import annotations
 
@@ -6,37 +10,49 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import langid, line_dedup, near_dedup, packing, quality
-from tidemark.llm.common import stored
+from tidemark.llm.common import free_name, stored
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that the quality classifier rejects."""
+    """Drops documents that the quality classifier rejects: by their texts alone, so repeated rows go or stay together."""
     model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality.score(docs, model, keep=True).where(F.col("_predicted") == 1).select(*docs.columns)
+    found = quality.score(docs, model, keep=True)
+    return found.where(F.col(free_name(docs, "_predicted")) == 1).select(*docs.columns)
 
 
 def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents whose language can't be told: no letter, or no language with half of the letters."""
+    """Drops documents whose language can't be told: no letter, or no language with half of the letters. Null and empty texts go."""
     found = langid.predict(docs, langid.train(docs), keep=True)
-    return found.where((F.col("_lang_pred") != langid.UNDETERMINED) & (F.col("_score") >= 0.5)).select(*docs.columns)
+    told = (F.col(free_name(docs, "_lang_pred")) != langid.UNDETERMINED) & (F.col(free_name(docs, "_score")) >= 0.5)
+    return found.where(told).select(*docs.columns)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes lines that an earlier document has out of the texts; ``n_chars`` follows. Emptied documents stay, with empty texts."""
-    index = line_dedup.insert(line_dedup.LineIndex(spark), docs)
-    found = line_dedup.clean(index, docs)
+    """Takes lines that an earlier document has out of the texts; ``n_chars`` follows.
+
+    Emptied documents stay, with empty texts, as do documents without an id, unchanged. Repeated
+    rows of one document are cleaned alike.
+    """
+    counts = (free_name(docs, "_n_lines"), free_name(docs, "_n_dropped"))
+    found = line_dedup.clean(line_dedup.build(spark, docs), docs, counts=counts)
     return found.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of the smallest id of each group of near-duplicates. Rows without an id stay."""
-    kept = near_dedup.near_duplicates(docs).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    alone = docs.where(F.col("doc_id").isNull())
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns).unionByName(alone)
+    """Keeps the document of the smallest id of each group of near-duplicates, in one row.
+
+    Of rows that repeat an id the smallest stays (by text, then by the other columns, which must
+    have an order). Documents without words and rows without an id stay.
+    """
+    kept = near_dedup.near_duplicates(docs).where("kept AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n"))
+    once, again = (docs.join(kept.where(c).select("doc_id"), "doc_id", "left_semi").select(*docs.columns) for c in ("n = 1", "n > 1"))
+    row = F.struct("text", *(c for c in docs.columns if c not in ("doc_id", "text")))
+    smallest = again.groupBy("doc_id").agg(F.min(row).alias("row")).select("doc_id", "row.*").select(*docs.columns)
+    return once.unionByName(smallest).unionByName(docs.where(F.col("doc_id").isNull()))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs the texts into sequences of 1024 tokens."""
+    """Packs the texts into sequences of 1024 tokens; a null text is an empty one, repeated rows are packed each."""
     return packing.pack_documents(docs)
 
 
