@@ -217,17 +217,46 @@ def test_roles_are_recovered(spark):
     assert row.rendered == f"<|{row.role}|>\n{row.text}\n<|end|>" and row.text == "How do I do this thing?"
 
 
-def test_blocks_equal_one_pass(spark):
-    transcripts = chat.as_transcripts(conversations(spark, 20)).cache()
+def plain_turns(rows, hmm):
+    """Turns of one transcript's ``(turn, text)`` rows by one Viterbi pass, a line at a time."""
+    lines = [(t, k, x) for t, text in sorted(rows) for k, x in enumerate(text.split("\n"))]
+    scores = [sum(e[:, v] for e, v in zip(hmm.emissions, chat.observe(x))) for _, _, x in lines]
+    value, back = hmm.first + scores[0], []
+    for s in scores[1:]:
+        back.append([max(range(6), key=lambda a: value[a] + hmm.moves[a, b]) for b in range(6)])  # noqa: B023
+        value = np.array([value[back[-1][b]] + hmm.moves[back[-1][b], b] for b in range(6)]) + s
+    states = [int(np.argmax(value))]
+    for b in reversed(back):
+        states.append(b[states[-1]])
+    states.reverse()
+    out = []
+    for i, (state, (t, k, x)) in enumerate(zip(states, lines)):
+        if i == 0 or state < 3 or state % 3 != states[i - 1] % 3:
+            out.append([t, k, chat.ROLES[state % 3], [chat.strip_marker(x)[1]]])
+        else:
+            out[-1][3].append(x)
+    return [(t, k, role, "\n".join(chat.body_of(role, body)).strip()) for t, k, role, body in out]
+
+
+def test_turns_equal_one_plain_pass_whatever_the_blocks(spark, monkeypatch):
+    rng = random.Random(21)
+    base = conversations(spark, 15)
+    # long turns without a marker cross many blocks, some with quotes
+    lines = ["> and words that go on in lower case"] * 40 + ["> quoted words", "", "Short?", "User: hello", "### Assistant:"]
+    long = spark.createDataFrame([(100 + c, t, None, rng.choice(lines)) for c in range(3) for t in range(0, 900, c + 1)], "conv_id long, turn long, role string, text string")
+    transcripts = chat.as_transcripts(base.unionByName(long)).cache()
     hmm = chat.train(transcripts)
-    whole = chat.parse(transcripts, hmm).collect()
-    size, chat.BLOCK = chat.BLOCK, 2
-    try:
-        cut = chat.parse(transcripts, hmm).collect()
-    finally:
-        chat.BLOCK = size
-    roles = lambda rows: {(r.conv_id, r.turn, r.line): r.role for r in rows}
-    assert roles(whole).items() <= roles(cut).items()
+    hmm.moves[:, 3:] += 4.0  # long turns are likely
+    by_conversation = {}
+    for r in transcripts.collect():
+        by_conversation.setdefault(r.conv_id, []).append((r.turn, r.text))
+    want = sorted((c, *t) for c, rows in by_conversation.items() for t in plain_turns(rows, hmm))
+    assert any(text.count("\n") > 20 for *_, text in want)
+    for block, wide in ((256, 512), (2, 4), (5, 3)):
+        monkeypatch.setattr(chat, "BLOCK", block)
+        monkeypatch.setattr(chat, "WIDE", wide)
+        found = chat.parse(transcripts, hmm).collect()
+        assert sorted((r.conv_id, r.turn, r.line, r.role, r.text) for r in found) == want
 
 
 def test_viterbi_equals_brute_force():
@@ -235,12 +264,26 @@ def test_viterbi_equals_brute_force():
 
     rng = np.random.default_rng(8)
     hmm = chat.Hmm(rng.random(6), rng.random((6, 6)), [rng.random((6, n)) for n in chat.FEATURES.values()])
-    for n in (1, 2, 4):
-        scores = rng.normal(size=(n, 6)) * 2
-        value = lambda p: hmm.first[p[0]] + sum(scores[i, s] for i, s in enumerate(p)) + sum(hmm.moves[a, b] for a, b in zip(p, p[1:]))  # noqa: B023, E731
-        best = max(product(range(6), repeat=n), key=value)
-        assert chat.transfer(hmm, scores)[-1].max() == pytest.approx(value(best))
-        assert tuple(chat.decode(hmm, scores, -1, best[-1])) == best
+    sizes = np.array([2, 4, 1])
+    scores = rng.normal(size=(7, 6)) * 2
+    moved, at = chat.transfer(hmm, scores, sizes), 0
+    bests = []
+    for k, n in enumerate(sizes):
+        s = scores[at : at + n]
+        at += n
+        value = lambda p: hmm.first[p[0]] + sum(s[i, x] for i, x in enumerate(p)) + sum(hmm.moves[a, b] for a, b in zip(p, p[1:]))  # noqa: B023, E731
+        bests.append(max(product(range(6), repeat=n), key=value))
+        assert moved[k, -1].max() == pytest.approx(value(bests[-1]))
+    found = chat.decode(hmm, scores, sizes, np.array([-1, -1, -1]), np.array([b[-1] for b in bests]))
+    assert tuple(found) == tuple(x for b in bests for x in b)
+
+
+def test_roles_of_a_very_long_conversation(spark):
+    """20,000 turns are 79 blocks; nothing is lost or cut at their borders."""
+    rows = spark.range(20_000).select(F.lit(1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 2 == 0, "User: what is this?").otherwise("Assistant: a thing.").alias("text"))
+    hmm = chat.train(chat.as_transcripts(conversations(spark)))
+    found = chat.parse(rows, hmm)
+    assert found.count() == 20_000 and found.where("(turn % 2 = 0) != (role = 'user') OR line != 0").count() == 0
 
 
 def test_odd_transcripts(spark):
