@@ -352,15 +352,6 @@ def test_sql_bpe_equals_the_library_and_round_trips(spark):
     assert bpe_sql.encode_texts(docs(spark, [(1, "Plain words, here.")])).first().ids == own.encode_ordinary("Plain words, here.")
 
 
-def test_every_token_encodes_to_itself():
-    import public_tokenizers as P
-
-    ranks = bpe_sql.read_ranks(P.path("byte_bpe_50k.tiktoken"))
-    tokens = list(ranks)[::7]
-    found = bpe_sql.SqlBpe(P.path("byte_bpe_50k.tiktoken")).encode(tokens)
-    assert all(np.frombuffer(ids, "<u4").tolist() == [ranks[t]] and text == t for t, (ids, text) in zip(tokens, found, strict=True))
-
-
 def test_all_tokens_and_long_pieces_encode_as_they_should():
     import public_tokenizers as P
 
@@ -373,6 +364,31 @@ def test_all_tokens_and_long_pieces_encode_as_they_should():
     assert [np.frombuffer(ids, "<u4").tolist() for ids, _ in bpe.encode(long)] == [own._encode_single_piece(x) for x in long]
 
 
+def test_long_pieces_of_a_vocabulary_where_merges_make_lower_ranks(tmp_path):
+    """Here all places at once would be wrong: ``bc`` makes ``bcb``, which has a lower rank."""
+    import base64
+
+    import tiktoken
+
+    ranks = {bytes([b]): b for b in range(256)} | {b"bcb": 260, b"xbc": 261, b"cc": 270, b"ccd": 265, b"bc": 300, b"bcbc": 310, b"ab": 320, b"abab": 290}
+    path = tmp_path / "own.tiktoken"
+    path.write_bytes(b"".join(base64.b64encode(t) + b" %d\n" % r for t, r in ranks.items()))
+    own, bpe, rng = tiktoken.Encoding("low", pat_str=".+", mergeable_ranks=ranks, special_tokens={}), bpe_sql.SqlBpe(str(path)), random.Random(5)
+    pieces = [b"bcbc" * 40, b"abab" * 30, b"ccd" * 40, *("".join(rng.choices("abcdx", k=rng.randint(97, 300))).encode() for _ in range(40))]
+    assert len(bpe._encode(pieces, bpe_sql._LONG_STEP)[1]) > 20  # the check finds them
+    assert [np.frombuffer(ids, "<u4").tolist() for ids, _ in bpe.encode(pieces)] == [own._encode_single_piece(x) for x in pieces]
+    assert [text for _, text in bpe.encode(pieces)] == pieces
+
+
+def test_bpe_of_very_long_texts_clashing_columns_and_an_empty_table(spark):
+    own, rng = reference_encoding(), random.Random(12)
+    texts = ["a" * 60_000, "".join(rng.choices("abcdefgh", k=30_000)), "word " * 50_000, "\n" * 20_000]
+    frame = spark.createDataFrame([(i, t, "x", 1) for i, t in enumerate(texts)], "doc_id long, text string, ids_sha256 string, n_tokens int")
+    found = {r.doc_id: r.ids_sha256 for r in bpe_sql.bpe_digests(frame).collect()}
+    assert found == {i: hashlib.sha256(np.array(own.encode_ordinary(t), "<u4").tobytes()).hexdigest() for i, t in enumerate(texts)}
+    assert bpe_sql.bpe_digests(frame.limit(0)).count() == 0
+
+
 # ---- language ------------------------------------------------------------------------------
 
 TEXTS = {"en": "the and of with this that from which there when people water house garden", "de": "der die und nicht mit eine ist auch wenn über straße häuser garten wasser", "ru": "это был когда потому что человек вода дом сад город большой"}

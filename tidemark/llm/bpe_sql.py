@@ -5,6 +5,10 @@ encodes them: rows of token and position join the merge table, and each step con
 piece's leftmost pair of least rank until no pair merges. A second query joins the ids to the
 vocabulary and decodes each piece by an ordered aggregation. Texts are chains of pieces, so the
 results of pieces, kept in a bounded memory, give those of whole texts.
+
+Long pieces would take a step for each token, so there a step contracts all places of the least
+pair, from the left, and checks that this is what one place at a time would have done: that no
+contraction made a pair of lower rank. A piece that fails the check is encoded one place at a time.
 """
 
 from __future__ import annotations
@@ -21,9 +25,9 @@ from pyspark.sql import functions as F
 from tidemark.llm.chunks import ChunkMemory
 from tidemark.llm.common import map_texts
 
-#: A row's key is the piece's number above these bits and the token's position below.
-POSITION_BITS = 28
-#: Pieces of more bytes are contracted at all places of their least pair in one step.
+#: A row's key is the piece's number above these bits and the token's position below; no text has as many bytes.
+POSITION_BITS = 32
+#: Pieces of more bytes are contracted at all places of their least pair in one step, where that is the same.
 LONG = 96
 #: Bytes of pieces a query takes at once.
 QUERY_BYTES = 400_000
@@ -44,17 +48,32 @@ WITH RECURSIVE state(k, id, done) AS (
 SELECT k, id FROM state WHERE done ORDER BY k
 """.format(p=POSITION_BITS, mask=(1 << POSITION_BITS) - 1)
 
-#: One step for long pieces: of each piece's pairs of least rank, every other one of an unbroken run, from the left.
+#: The same for long pieces. A step takes, of each piece's pairs of least rank, every other one of an unbroken run from
+#: the left. ``wrong`` marks pieces where a contraction made a pair of lower rank: one that the next step finds, or one of
+#: the new token and the first half of the next place taken.
 _LONG_STEP = """
-CREATE OR REPLACE TEMP TABLE next AS
-WITH pairs AS (
-    SELECT a.k, a.k >> {p} AS piece, m.id AS merged
-    FROM now a JOIN now n ON n.k = a.k + 1 AND n.k >> {p} = a.k >> {p} JOIN merges m ON m.pair = a.id::BIGINT * 65536 + n.id
-), least AS (SELECT piece, min(merged) AS merged FROM pairs GROUP BY piece),
-hits AS (SELECT k, piece, merged, k - row_number() OVER (PARTITION BY piece ORDER BY k) AS run FROM pairs SEMI JOIN least USING (piece, merged)),
-chosen AS (SELECT k, merged FROM (SELECT *, row_number() OVER (PARTITION BY piece, run ORDER BY k) AS i FROM hits) WHERE i % 2 = 1)
-SELECT ((s.k >> {p}) << {p}) + row_number() OVER (PARTITION BY s.k >> {p} ORDER BY s.k) - 1 AS k, coalesce(c.merged, s.id) AS id
-FROM now s LEFT JOIN chosen c ON c.k = s.k ANTI JOIN chosen d ON d.k = s.k - 1
+WITH RECURSIVE state(k, id, last, wrong, done) AS (
+    SELECT k, id, -1, false, false FROM tokens
+  UNION ALL (
+    WITH pairs AS (
+        SELECT a.k, a.id, a.k >> {p} AS piece, m.id AS merged, a.last
+        FROM state a JOIN state n ON n.k = a.k + 1 JOIN merges m ON m.pair = a.id::BIGINT * 65536 + n.id WHERE NOT a.done
+    ), least AS (
+        SELECT piece, min(merged) AS merged, min(merged) < any_value(last) AS wrong FROM pairs GROUP BY piece
+    ), hits AS (
+        SELECT k, id, piece, merged, k - row_number() OVER (PARTITION BY piece ORDER BY k) AS run FROM pairs SEMI JOIN least USING (piece, merged)
+    ), chosen AS (
+        SELECT k, id, piece, merged FROM (SELECT *, row_number() OVER (PARTITION BY piece, run ORDER BY k) AS i FROM hits) WHERE i % 2 = 1
+    ), early AS (
+        SELECT DISTINCT c.piece FROM chosen c JOIN chosen d ON d.k = c.k + 2 JOIN merges m ON m.pair = c.merged::BIGINT * 65536 + d.id AND m.id < c.merged
+    )
+    SELECT ((s.k >> {p}) << {p}) + row_number() OVER (PARTITION BY s.k >> {p} ORDER BY s.k) - 1, coalesce(c.merged, s.id),
+           coalesce(l.merged, s.last), s.wrong OR coalesce(l.wrong, false) OR e.piece IS NOT NULL, l.piece IS NULL
+    FROM state s LEFT JOIN least l ON l.piece = s.k >> {p} LEFT JOIN early e ON e.piece = s.k >> {p} LEFT JOIN chosen c ON c.k = s.k
+    WHERE NOT s.done AND NOT EXISTS (SELECT 1 FROM chosen d WHERE d.k = s.k - 1)
+  )
+)
+SELECT k, id, wrong FROM state WHERE done ORDER BY k
 """.format(p=POSITION_BITS)
 
 _DECODE = """
@@ -77,7 +96,7 @@ class SqlBpe:
         if max(ranks.values(), default=0) >= 65536:
             raise ValueError("ids must fit in 16 bits")
         splits = [(ranks[t[:i]] * 65536 + ranks[t[i:]], rank) for t, rank in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
-        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": memory})
+        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": memory, "temp_directory": ""})
         self.load("merges", pair=np.array([s[0] for s in splits], np.int64), id=np.array([s[1] for s in splits], np.int32))
         self.load("vocabulary", id=np.array(list(ranks.values()), np.int32), hex=[t.hex() for t in ranks])
         self.byte_id = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
@@ -93,29 +112,33 @@ class SqlBpe:
     def encode(self, pieces: list[bytes]) -> list[tuple[bytes, bytes]]:
         """For each piece its ids (little-endian unsigned 32 bits) and the bytes these decode to."""
         found: list = [(b"", b"")] * len(pieces)
-        short = [i for i, p in enumerate(pieces) if len(p) <= LONG]
-        long = [i for i, p in enumerate(pieces) if len(p) > LONG]
-        for group, merge in ((short, self._short), (long, self._long)):
-            at = 0
-            while at < len(group):
-                end, size = at, 0
-                while end < len(group) and (end == at or size + len(pieces[group[end]]) <= QUERY_BYTES):
-                    size += len(pieces[group[end]])
-                    end += 1
-                part = group[at:end]
-                for i, result in zip(part, self._encode([pieces[i] for i in part], merge), strict=True):
-                    found[i] = result
-                at = end
+        self._encode_all(pieces, [i for i, p in enumerate(pieces) if len(p) <= LONG], _STEP, found)
+        wrong = self._encode_all(pieces, [i for i, p in enumerate(pieces) if len(p) > LONG], _LONG_STEP, found)
+        self._encode_all(pieces, wrong, _STEP, found)
         return found
 
-    def _encode(self, pieces: list[bytes], merge) -> list[tuple[bytes, bytes]]:
+    def _encode_all(self, pieces: list[bytes], chosen: list[int], step: str, found: list) -> list[int]:
+        """Puts the results of the chosen pieces in ``found``, a bounded number of bytes at a time; gives the pieces that failed the step's check."""
+        at, wrong = 0, []
+        while at < len(chosen):
+            end, size = at, 0
+            while end < len(chosen) and (end == at or size + len(pieces[chosen[end]]) <= QUERY_BYTES):
+                size += len(pieces[chosen[end]])
+                end += 1
+            part = chosen[at:end]
+            results, failed = self._encode([pieces[i] for i in part], step)
+            for i, result in zip(part, results, strict=True):
+                found[i] = result
+            wrong += [part[k] for k in failed]
+            at = end
+        return wrong
+
+    def _encode(self, pieces: list[bytes], step: str) -> tuple[list[tuple[bytes, bytes]], list[int]]:
         sizes = np.array([len(p) for p in pieces], np.int64)
-        if sizes.max(initial=0) >= 1 << POSITION_BITS:
-            raise ValueError("a piece is too long")
         number = np.repeat(np.arange(len(pieces), dtype=np.int64), sizes)
         position = np.arange(len(number)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
         self.load("tokens", k=(number << POSITION_BITS) + position, id=self.byte_id[np.frombuffer(b"".join(pieces), np.uint8)])
-        done = merge()
+        done = self.rows(step)
         self.load("ids", k=done["k"], id=done["id"])
         text = self.rows(_DECODE)
         ids, ends = np.asarray(done["id"], "<u4").tobytes(), np.zeros(len(pieces) + 1, np.int64)
@@ -124,20 +147,8 @@ class SqlBpe:
             ends[piece + 1] = n
             decoded[piece] = bytes.fromhex(hexed)
         ends = (4 * np.cumsum(ends)).tolist()
-        return [(ids[ends[i] : ends[i + 1]], decoded[i]) for i in range(len(pieces))]
-
-    def _short(self) -> dict[str, np.ndarray]:
-        return self.rows(_STEP)
-
-    def _long(self) -> dict[str, np.ndarray]:
-        """The same fixpoint with fewer steps: no merge makes a pair of lower rank, so equal pairs may merge together."""
-        self.db.execute("CREATE OR REPLACE TEMP TABLE now AS SELECT * FROM tokens")
-        size = -1
-        while size != (left := self.db.execute("SELECT count(*) FROM now").fetchone()[0]):
-            size = left
-            self.db.execute(_LONG_STEP)
-            self.db.execute("CREATE OR REPLACE TEMP TABLE now AS SELECT * FROM next")
-        return self.rows("SELECT k, id FROM now ORDER BY k")
+        failed = np.unique(done["k"][done["wrong"].astype(bool)] >> POSITION_BITS).tolist() if "wrong" in done else []
+        return [(ids[ends[i] : ends[i + 1]], decoded[i]) for i in range(len(pieces))], failed
 
 
 _memories: dict[str, ChunkMemory] = {}
@@ -162,8 +173,8 @@ def memory_for(path: str, pattern: str) -> ChunkMemory:
 def bpe_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranks_path: str | None = None, pattern: str | None = None) -> DataFrame:
     """``(doc_id, n_tokens, ids_sha256, decoded_sha256)`` of every whole text.
 
-    Null and empty texts have no tokens (digests of no bytes). Null ids and repeated rows stay,
-    other columns are left out.
+    Null and empty texts have no tokens (digests of no bytes). Pieces of any length are encoded
+    whole. Null ids and repeated rows stay, other columns are left out, an empty table gives no rows.
     """
     ranks_path, pattern = _defaults(ranks_path, pattern)
 
