@@ -112,8 +112,9 @@ def test_hot_keys_are_joined_apart(spark):
 
     rows = spark.range(3000).select(F.when(F.col("id") < 2500, 7).otherwise(F.col("id")).alias("key"), "id")
     facts = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("least"))
-    found = join_facts(rows, facts, "key", "n")
-    assert found.count() == 3000 and found.where("key = 7 AND least = 0 AND n = 2500").count() == 2500
+    found = join_facts(rows, facts, "key", "n", "id")
+    assert found.columns == ["key", "id", "least"] and found.count() == 3000 and found.where("key = 7 AND least = 0").count() == 2500
+    assert join_facts(rows.limit(0), facts.limit(0), "key", "n", "id").count() == 0
 
 
 def test_lines_of_an_empty_table(spark):
@@ -185,6 +186,36 @@ def test_near_duplicates_equal_brute_force(spark):
     assert near(spark, rows) == brute_components(rows)
 
 
+def test_a_popular_passage_and_small_blocks_lose_no_link(spark, monkeypatch):
+    """Many documents share a passage, and so buckets, without being linked; some have a twin among them."""
+    rng = random.Random(17)
+    word = lambda: f"v{rng.randint(0, 5000)}"
+    passage = [word() for _ in range(60)]
+    rows = []
+    for i in range(120):
+        words = passage + [word() for _ in range(50)]
+        rows.append((i, " ".join(words)))
+        if i % 3 == 0:
+            rows.append((1000 + i, " ".join(mutated(rng, words, 0.01))))
+    rows += [(5, "another text of the same id, which nothing else has"), (5000, rows[7][1]), (5000, "one id and two texts, this is the second one")]
+    monkeypatch.setattr(near_dedup, "BLOCK", 16)
+    monkeypatch.setattr(near_dedup, "GROUP_ROWS", 100)
+    monkeypatch.setattr(near_dedup, "MANY_EDGES", 10)
+    want = brute_components([r for r in rows if r not in rows[-3:]])
+    found = near(spark, [r for r in rows if r not in rows[-3:]])
+    assert found == want and sum(not k for *_, k in found) > 20
+    torn = {(r[0], r[1]): r[2] for r in near(spark, rows)}
+    assert torn[5000, len(shingle_set(rows[7][1]))] == torn[5000, 6] == rows[7][0] and torn[5, 6] == 5
+
+
+def test_near_duplicates_of_very_long_texts(spark):
+    rng = random.Random(2)
+    words = [f"z{rng.randint(0, 10**6)}" for _ in range(120_000)]
+    other = words[:60_000] + [f"y{i}" for i in range(60_000)]
+    rows = [(3, " ".join(words)), (4, " ".join(mutated(rng, words, 0.01))), (5, " ".join(other)), (6, "a " * 200_000)]
+    assert [(i, c) for i, _, c, _ in near(spark, rows)] == [(3, 3), (4, 3), (5, 5), (6, 6)]
+
+
 def test_near_duplicates_of_an_empty_table(spark):
     assert near(spark, []) == []
 

@@ -35,25 +35,40 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet in the shared folder and read again: cuts lineage, survives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    found = df.sparkSession.read.schema(df.schema).parquet(path)
+    found.stored_at = path
+    return found
 
 
-#: A key with more than this share of all rows is joined by broadcast.
+#: A key with more than this share of all rows is dealt to several tasks.
 HOT_SHARE = 2000
 
 
-def join_facts(rows: DataFrame, facts: DataFrame, key: str, n: str) -> DataFrame:
-    """``rows`` joined to ``facts`` by ``key``, no key's rows meeting in one task beyond 1 / HOT_SHARE of all.
+def join_facts(rows: DataFrame, facts: DataFrame, key: str, n: str, spread: str) -> DataFrame:
+    """``rows`` joined to ``facts`` by ``key`` (and without ``n``), no more than 1 / HOT_SHARE of all rows meeting in one key's task.
 
     ``facts`` has one row for each key and in ``n`` the number of its rows (an upper bound will do).
-    Keys with more than that share are at most HOT_SHARE, whatever the size of the tables: they are
-    broadcast, and their rows stay where they are. The others are joined by a shuffle.
+    The rows of keys beyond that share are dealt by a hash of their column ``spread``, and such a
+    key's facts are copied to each part. Keys beyond it are at most HOT_SHARE and the copies twice
+    that, whatever the size of the tables; only these keys and their parts are broadcast.
     """
     facts = stored(facts, "facts")
-    total = facts.agg(F.sum(n)).first()[0] or 0
-    hot = F.col(n) > total // HOT_SHARE
-    keys = F.broadcast(facts.where(hot))
-    return rows.join(keys, key).unionByName(rows.join(F.broadcast(facts.where(hot).select(key)), key, "left_anti").join(facts.where(~hot), key))
+    share = max(1, (facts.agg(F.sum(n)).first()[0] or 0) // HOT_SHARE)
+    parts = F.when(F.col(n) > share, F.ceil(F.col(n) / F.lit(share))).otherwise(1).cast("int")
+    hot = F.broadcast(facts.where(F.col(n) > share).select(key, parts.alias("_parts")))
+    part = F.coalesce(F.pmod(F.xxhash64(spread), F.col("_parts")), F.lit(0)).cast("int")
+    dealt = rows.join(hot, key, "left").withColumn("_part", part).drop("_parts")
+    copied = facts.withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop(n)
+    return dealt.join(copied, [key, "_part"]).drop("_part")
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes a table that :func:`stored` wrote, once nothing needs it any more."""
+    path = vars(df).pop("stored_at", None)
+    jvm = getattr(df.sparkSession, "_jvm", None)
+    if path and jvm:
+        folder = jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def map_texts(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch] | pa.RecordBatch], schema, chars: int = 4_000_000) -> DataFrame:

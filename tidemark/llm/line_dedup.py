@@ -325,7 +325,7 @@ def dropped_keys(index: LineIndex) -> DataFrame:
     """``(doc_id, key)`` of the lines that go. A line that very many documents hold doesn't meet in one task."""
     repeated = index.latest_counts().where((F.col("n_lines") > 0) & (F.col("first_doc") < F.col("last_doc"))).select("key", "first_doc", "n_lines")
     held = index.live_refs().select("key", "doc_id")
-    return join_facts(held, repeated, "key", "n_lines").where(F.col("doc_id") > F.col("first_doc")).select("doc_id", "key")
+    return join_facts(held, repeated, "key", "n_lines", "doc_id").where(F.col("doc_id") > F.col("first_doc")).select("doc_id", "key")
 
 
 def clean(index: LineIndex, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", counts: tuple[str, str] = ("n_lines", "n_dropped")) -> DataFrame:

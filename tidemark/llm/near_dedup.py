@@ -10,9 +10,10 @@ In a bucket one member, the one that meets most others over all its buckets, is
 the others are candidates against it: a star, never all pairs. Candidates pass a size test and a
 sketch test, then are confirmed on the full shingle sets. A bucket whose members the stars have
 joined in one component is done. In the others the strays, which are outside the bucket's largest
-component, meet that component's bucket members and each other in blocks of bounded size, where
-sketches and then full sets are compared; only a link for each stray and component leaves a block.
-Components come from alternating large-star and small-star steps.
+component, meet the members of their own bucket in blocks of bounded size. There sketches are
+compared first; only documents with a likely partner bring their full sets, and only a link for
+each stray and component leaves a block. Components come from alternating large-star and small-star
+steps. Buckets and centres that very many documents share are dealt to many tasks throughout.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import map_texts, stored
+from tidemark.llm.common import discard, join_facts, map_texts, stored
 
 WIDTH = 5
 #: The sketch has all bins, the bands the first BANDS * ROWS of them.
@@ -33,6 +34,10 @@ DEVIATIONS = 4.5
 SMALL = 64
 #: Documents, and shingles in all, of one side of a block of strays and members; shingles that make one task's group.
 BLOCK, BLOCK_SHINGLES, GROUP_SHINGLES = 2048, 1_000_000, 2_000_000
+#: Rows of blocks whose sketches make one task's group.
+GROUP_ROWS = 20_000
+#: Edges from which the nodes of very many edges are dealt to several tasks.
+MANY_EDGES = 1_000_000
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _rng = np.random.Generator(np.random.PCG64(20240229))
@@ -120,15 +125,17 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def shingle_sets(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id, shingles)`` of the documents in ``ids``."""
+    """``(id, words_digest, shingles)`` of the documents in ``ids``."""
+    from xxhash import xxh3_128_digest
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        hashes = _Hashes()
-        sets = [shingles(words_of(t), hashes).view(np.int64) for t in batch.column(1).to_pylist()]
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["id", "shingles"])
+        hashes, words = _Hashes(), [words_of(t) for t in batch.column(1).to_pylist()]
+        digests = [xxh3_128_digest(b" ".join(w)) if w else None for w in words]
+        sets = [shingles(w, hashes).view(np.int64) for w in words]
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), pa.array(sets, pa.list_(pa.int64()))], ["id", "words_digest", "shingles"])
 
     chosen = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(ids, "id", "left_semi")
-    return map_texts(chosen.select("id", "text"), run, "id long, shingles array<long>")
+    return map_texts(chosen.select("id", "text"), run, "id long, words_digest binary, shingles array<long>")
 
 
 def least_agree(percent: int) -> int:
@@ -138,7 +145,7 @@ def least_agree(percent: int) -> int:
 
 
 def _sketches_agree(pairs: DataFrame, percent: int) -> DataFrame:
-    """The pairs ``(a, b, sketch_a, sketch_b, small)`` that are small or whose sketches agree in enough bins."""
+    """The pairs ``(centre, doc_id, sketch_c, sketch_d, small)`` that are small or whose sketches agree in enough bins."""
     least = least_agree(percent)
 
     def run(batches):
@@ -147,116 +154,161 @@ def _sketches_agree(pairs: DataFrame, percent: int) -> DataFrame:
                 a, b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, BINS) for k in (2, 3))
                 small = batch.column(4).to_numpy(zero_copy_only=False).astype(bool)
                 batch = batch.filter(pa.array(small | ((a == b).sum(1) >= least)))
-            yield batch.select(["a", "b"])
+            yield batch.select(["centre", "doc_id"])
+
+    return pairs.mapInArrow(run, "centre long, doc_id long")
+
 
-    return pairs.mapInArrow(run, "a long, b long")
+def _with_centres(pairs: DataFrame, about: DataFrame) -> DataFrame:
+    """Pairs ``(centre, doc_id, ...)`` with what ``about`` says of their centres, of which some have very many pairs."""
+    of = pairs.groupBy("centre").agg(F.count("*").alias("_n")).join(about, "centre")
+    return join_facts(pairs, of, "centre", "_n", "doc_id")
 
 
 def likely_stars(stars: DataFrame, known: DataFrame, percent: int) -> DataFrame:
-    """Of the distinct pairs ``(a, b)`` those that pass the size and sketch tests."""
-    side = lambda c: known.select(F.col("doc_id").alias(c), F.col("n_shingles").alias(f"n_{c}"), F.col("sketch").alias(f"sketch_{c}"))
-    sized = stars.join(side("a"), "a").join(side("b"), "b").where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
-    return _sketches_agree(sized.select("a", "b", "sketch_a", "sketch_b", (F.greatest("n_a", "n_b") <= SMALL).alias("small")), percent)
+    """Of the distinct pairs ``(centre, doc_id)`` those that pass the size and sketch tests."""
+    side = lambda key, mark: known.select(F.col("doc_id").alias(key), F.col("n_shingles").alias(f"n_{mark}"), F.col("sketch").alias(f"sketch_{mark}"))
+    sized = _with_centres(stars, side("centre", "c")).join(side("doc_id", "d"), "doc_id").where(100 * F.least("n_c", "n_d") >= percent * F.greatest("n_c", "n_d"))
+    return _sketches_agree(sized.select("centre", "doc_id", "sketch_c", "sketch_d", (F.greatest("n_c", "n_d") <= SMALL).alias("small")), percent)
 
 
 def confirmed(likely: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """Of the pairs ``(a, b)`` those that share enough of their full shingle sets, as a stored table."""
+    """Links ``(a, b)``, a < b: the pairs ``(centre, doc_id)`` that share enough of their full shingle sets. A stored table."""
     likely = stored(likely.distinct(), "near-likely")
-    ids = likely.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    sets = stored(shingle_sets(docs, ids), "near-sets")
-    both = likely.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("set_a")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("set_b")), "b")
-    shared = F.size(F.array_intersect("set_a", "set_b"))
-    fits = 100 * shared >= percent * (F.size("set_a") + F.size("set_b") - shared)
-    return stored(both.where(fits).select("a", "b"), "near-links")
+    ids = likely.select(F.explode(F.array("centre", "doc_id")).alias("id")).distinct()
+    sets = stored(shingle_sets(docs, ids).dropDuplicates(["id", "words_digest"]), "near-sets")
+    both = _with_centres(likely, sets.select(F.col("id").alias("centre"), F.col("shingles").alias("set_c")))
+    both = both.join(sets.select(F.col("id").alias("doc_id"), F.col("shingles").alias("set_d")), "doc_id")
+    shared = F.size(F.array_intersect("set_c", "set_d"))
+    fits = 100 * shared >= percent * (F.size("set_c") + F.size("set_d") - shared)
+    return stored(both.where(fits).select(F.least("centre", "doc_id").alias("a"), F.greatest("centre", "doc_id").alias("b")).distinct(), "near-links")
+
+
+class Cells:
+    """The cells of a group of ``(bucket, s, m)`` rows, members before strays in each."""
+
+    def __init__(self, table: pa.Table):
+        self.table = table = table.sort_by([(c, "ascending") for c in ("bucket", "s", "m", "stray")]).combine_chunks()
+        self.doc, self.root, self.n, self.stray, bucket, s, m = (table[c].to_numpy() for c in ("doc_id", "root", "n_shingles", "stray", "bucket", "s", "m"))
+        self.sketch = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint8).reshape(-1, BINS)
+        edges = np.flatnonzero(np.r_[True, (bucket[1:] != bucket[:-1]) | (s[1:] != s[:-1]) | (m[1:] != m[:-1]), True]) if len(bucket) else [0]
+        self.cells = [(a, a + int(np.searchsorted(self.stray[a:b], True)), b) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+
+    def likely(self, percent: int):
+        """For each stray that has some, its likely partners of other components, and in how many bins they agree."""
+        least = least_agree(percent)
+        for a, cut, b in self.cells:
+            root, n, sketch = self.root[a:cut], self.n[a:cut], self.sketch[a:cut]
+            for i in range(cut, b):
+                at = np.flatnonzero((root != self.root[i]) & (100 * np.minimum(n, self.n[i]) >= percent * np.maximum(n, self.n[i])))
+                agree = (sketch[at] == self.sketch[i]).sum(1)
+                fits = (agree >= least) | (np.maximum(n[at], self.n[i]) <= SMALL)
+                if fits.any():
+                    yield i, a + at[fits], agree[fits]
 
 
 def stray_links(pool: DataFrame, links: DataFrame, known: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """Confirmed links ``(a, b)`` between different components that share a bucket; ``pool`` is ``(bucket, doc_id)``.
 
-    Of the links between a stray and one component, which all join the same, one is given.
+    Of the links between a stray and one component, which all join the same, one is given for each block.
     """
     roots = components(links).withColumnRenamed("node", "doc_id")
-    pool = stored(pool.select("bucket", "doc_id").join(roots, "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id")), "near-rooted")
+    pool = stored(pool.join(roots, "doc_id", "left").select("bucket", "doc_id", F.coalesce("root", "doc_id").alias("root")), "near-rooted")
     by_root = pool.groupBy("bucket", "root").agg(F.count("*").alias("n"))
-    open_ = by_root.groupBy("bucket").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("roots")).where(F.col("roots") > 1).select("bucket", "main")
-    met = stored(pool.join(open_, "bucket").select("main", "doc_id", "root").distinct().join(known.select("doc_id", "n_shingles"), "doc_id"), "near-met")
-    stray = F.col("root") != F.col("main")
-    blocks = lambda n, size: F.greatest(F.ceil(n / F.lit(BLOCK)), F.ceil(size / F.lit(BLOCK_SHINGLES))).cast("int")
-    sizes = met.groupBy("main").agg(
-        blocks(F.count("*"), F.sum("n_shingles")).alias("n_m"), blocks(F.count_if(stray), F.sum(F.when(stray, F.col("n_shingles")))).alias("n_s")
-    )
-    rows = met.join(sizes, "main")
+    open_ = by_root.groupBy("bucket").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("roots"), F.sum("n").alias("n"))
+    met = join_facts(pool, open_.where("roots > 1").drop("roots"), "bucket", "n", "doc_id")
+    met = stored(met.join(known.select("doc_id", "words_digest", "n_shingles"), "doc_id").withColumn("stray", F.col("root") != F.col("main")).drop("main"), "near-met")
+    blocks = lambda n, size: F.greatest(F.ceil(n / F.lit(BLOCK)), F.ceil(size / F.lit(BLOCK_SHINGLES)), F.lit(1)).cast("int")
+    sizes = met.groupBy("bucket").agg(
+        blocks(F.count("*"), F.sum("n_shingles")).alias("n_m"), blocks(F.count_if("stray"), F.sum(F.when(F.col("stray"), F.col("n_shingles")))).alias("n_s"), F.count("*").alias("n"), F.count_if("stray").alias("k")
+    )
+    sizes = stored(sizes, "near-sizes")
+    total = sizes.agg(F.sum(F.col("n") * F.col("n_s") + F.col("k") * F.col("n_m"))).first()[0] or 0
+    rows = join_facts(met, sizes.drop("k"), "bucket", "n", "doc_id")
     own = lambda n: F.pmod(F.xxhash64("doc_id"), F.col(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    strays = rows.where(stray).withColumn("s", own("n_s")).withColumn("m", each("n_m")).withColumn("stray", F.lit(True))
+    strays = rows.where("stray").withColumn("s", own("n_s")).withColumn("m", each("n_m"))
     members = rows.withColumn("m", own("n_m")).withColumn("s", each("n_s")).withColumn("stray", F.lit(False))
-    cells = strays.unionByName(members).select("main", "s", "m", "stray", "doc_id", "root", "n_shingles")
-    total = cells.agg(F.sum("n_shingles")).first()[0] or 0
-    sets = shingle_sets(docs, met.select(F.col("doc_id").alias("id")).distinct()).withColumnRenamed("id", "doc_id").dropDuplicates(["doc_id"])
-    full = stored(sets.join(known.select("doc_id", "sketch"), "doc_id"), "near-sets")
-    groups = max(12, -(-total // GROUP_SHINGLES))
-    dealt = cells.join(full, "doc_id").withColumn("group", F.pmod(F.xxhash64("main", "s", "m"), F.lit(groups)))
-    least = least_agree(percent)
+    columns = ["bucket", "s", "m", "stray", "doc_id", "words_digest", "root", "n_shingles"]
+    cells = strays.select(columns).unionByName(members.select(columns)).join(known.select("doc_id", "words_digest", "sketch"), ["doc_id", "words_digest"])
+    dealt = lambda df, n: df.groupBy(F.pmod(F.xxhash64("bucket", "s", "m"), F.lit(max(12, n))).alias("_group"))
+
+    def with_partners(table: pa.Table) -> pa.Table:
+        found = Cells(table)
+        some = np.zeros(len(found.doc), bool)
+        for i, at, _ in found.likely(percent):
+            some[i], some[at] = True, True
+        return found.table.select([*columns, "sketch"]).filter(pa.array(some))
+
+    kinds = "bucket long, s int, m int, stray boolean, doc_id long, words_digest binary, root long, n_shingles long, sketch binary"
+    hits = stored(dealt(cells, -(-total // GROUP_ROWS)).applyInArrow(with_partners, kinds), "near-hits")
+    weight = hits.agg(F.sum("n_shingles")).first()[0] or 0
+    sets = shingle_sets(docs, hits.select(F.col("doc_id").alias("id")).distinct()).withColumnRenamed("id", "doc_id").dropDuplicates(["doc_id", "words_digest"])
+    full = hits.join(sets, ["doc_id", "words_digest"])
 
     def meet(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("main", "ascending"), ("s", "ascending"), ("m", "ascending"), ("stray", "ascending")]).combine_chunks()
-        doc, root, n, stray, main, s, m = (table[c].to_numpy() for c in ("doc_id", "root", "n_shingles", "stray", "main", "s", "m"))
-        sketch = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint8).reshape(-1, BINS)
-        lists = table["shingles"].chunk(0)
+        cells, found = Cells(table), []
+        lists = cells.table["shingles"].chunk(0) if table.num_rows else pa.array([], pa.list_(pa.int64()))
         values, starts = lists.values.to_numpy(), lists.offsets.to_numpy()
-        edges = np.flatnonzero(np.r_[True, (main[1:] != main[:-1]) | (s[1:] != s[:-1]) | (m[1:] != m[:-1]), True])
-        found = []
-        for a, b in zip(edges[:-1], edges[1:], strict=True):
-            cut = a + int(np.searchsorted(stray[a:b], True))
-            sets: dict[int, frozenset] = {}
-
-            def set_of(i: int, sets=sets) -> frozenset:
-                if i not in sets:
-                    sets[i] = frozenset(values[starts[i] : starts[i + 1]].tolist())
-                return sets[i]
-
-            for i in range(cut, b):
-                fits = (root[a:cut] != root[i]) & (100 * np.minimum(n[a:cut], n[i]) >= percent * np.maximum(n[a:cut], n[i]))
-                at = a + np.flatnonzero(fits)
-                agree = (sketch[at] == sketch[i]).sum(1)
-                likely = (agree >= least) | (np.maximum(n[at], n[i]) <= SMALL)
-                joined: set[int] = set()
-                for j in at[likely][np.argsort(-agree[likely], kind="stable")].tolist():
-                    if root[j] not in joined:
-                        shared = len(set_of(i) & set_of(j))
-                        if 100 * shared >= percent * (len(set_of(i)) + len(set_of(j)) - shared):
-                            joined.add(root[j])
-                            found.append((min(doc[i], doc[j]), max(doc[i], doc[j])))
+        sets: dict[int, frozenset] = {}
+
+        def set_of(i: int) -> frozenset:
+            if i not in sets:
+                sets[i] = frozenset(values[starts[i] : starts[i + 1]].tolist())
+            return sets[i]
+
+        cell = 0
+        for i, at, agree in cells.likely(percent):
+            while i >= cells.cells[cell][2]:
+                cell += 1
+                sets.clear()
+            joined: set[int] = set()
+            for j in at[np.argsort(-agree, kind="stable")].tolist():
+                if cells.root[j] not in joined:
+                    shared = len(set_of(i) & set_of(j))
+                    if 100 * shared >= percent * (len(set_of(i)) + len(set_of(j)) - shared):
+                        joined.add(cells.root[j])
+                        found.append((min(cells.doc[i], cells.doc[j]), max(cells.doc[i], cells.doc[j])))
         return pa.table({"a": pa.array([f[0] for f in found], pa.int64()), "b": pa.array([f[1] for f in found], pa.int64())})
 
-    return stored(dealt.groupBy("group").applyInArrow(meet, "a long, b long"), "near-links")
+    return stored(dealt(full, -(-weight // GROUP_SHINGLES)).applyInArrow(meet, "a long, b long").distinct(), "near-links")
 
 
 def star_links(reps: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """Confirmed links ``(a, b)``, a < b, that join the documents of ``reps`` (rows of :func:`signatures`)."""
-    known = reps.select("doc_id", "n_shingles", "sketch")
-    buckets = reps.select(F.explode("bands").alias("bucket"), "doc_id")
-    shared = buckets.groupBy("bucket").agg(F.count("*").alias("size")).where(F.col("size") > 1)
-    pool = stored(buckets.join(shared, "bucket"), "near-pool")
+    known = reps.select("doc_id", "words_digest", "n_shingles", "sketch")
+    buckets = reps.select(F.explode("bands").alias("bucket"), "doc_id").distinct()
+    shared = buckets.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    pool = stored(join_facts(buckets, shared.withColumn("size", F.col("n")), "bucket", "n", "doc_id"), "near-pool")
     popular = pool.groupBy("doc_id").agg(F.sum("size").alias("met"))
-    centre = pool.join(popular, "doc_id").groupBy("bucket").agg(F.max(F.struct(F.col("met"), (-F.col("doc_id")).alias("id"))).alias("c")).select("bucket", (-F.col("c.id")).alias("centre"))
-    stars = pool.join(centre, "bucket").where(F.col("doc_id") != F.col("centre")).select(F.least("doc_id", "centre").alias("a"), F.greatest("doc_id", "centre").alias("b")).distinct()
-    links = confirmed(likely_stars(stars, known, percent), docs, percent)
-    return links.union(stray_links(pool, links, known, docs, percent)).distinct()
+    first = F.max(F.struct("met", (-F.col("doc_id")).alias("id"), "size")).alias("c")
+    centre = pool.join(popular, "doc_id").groupBy("bucket").agg(first).select("bucket", (-F.col("c.id")).alias("centre"), F.col("c.size").alias("n"))
+    stars = join_facts(pool.select("bucket", "doc_id"), centre, "bucket", "n", "doc_id").where("doc_id != centre").select("centre", "doc_id").distinct()
+    links = confirmed(likely_stars(stored(stars, "near-stars"), known, percent), docs, percent)
+    return links.union(stray_links(pool.select("bucket", "doc_id"), links, known, docs, percent)).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """``(node, root)`` for every node that isn't its component's smallest; edges are ``(a, b)``."""
-    now = stored(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where(F.col("u") != F.col("v")).distinct(), "near-edges")
+    """``(node, root)`` for every node that isn't its component's smallest; edges are ``(a, b)``.
+
+    Every step's table replaces the one before, which is deleted. From MANY_EDGES on, nodes with
+    very many edges are dealt to several tasks; the rows are the same.
+    """
+    now = stored(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct(), "near-edges")
     mark = lambda e: e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
     seen = mark(now)
     while seen["n"]:
-        both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
-        now = stored(small.where(F.col("u") != F.col("v")).distinct(), "near-edges")
+
+        def with_least(pairs: DataFrame, many: bool = seen["n"] > MANY_EDGES) -> DataFrame:
+            """Each pair ``(u, v)`` with ``m``, the least of ``u``'s neighbours."""
+            least = pairs.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+            return join_facts(pairs, least, "u", "n", "v") if many else pairs.join(least.drop("n"), "u")
+
+        both = with_least(now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v"))))
+        large = both.where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
+        small = with_least(large).select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
+        last, now = now, stored(small.where("u != v").distinct(), "near-edges")
+        discard(last)
         was, seen = seen, mark(now)
         if was == seen:
             break
@@ -267,21 +319,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """``(doc_id, n_shingles, component_id, kept)`` of every document.
 
     Null and empty texts have no shingles and are linked with nothing. A null id is in no component
-    and is kept. Rows that repeat an id are one document to the components, each keeps its own
-    ``n_shingles``; other columns are left out.
+    and is kept. Rows that repeat an id are one document to the components, linked with whatever one
+    of its texts is linked with; each row keeps its own ``n_shingles``. Texts of any length are
+    taken whole, other columns are left out, an empty table gives no rows.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     signed = stored(signatures(docs), "near-signatures")
-    able = signed.where(F.col("doc_id").isNotNull() & F.col("words_digest").isNotNull())
-    classes = stored(able.groupBy("words_digest").agg(F.min("doc_id").alias("rep")), "near-classes")
-    reps = able.join(classes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    same_id = able.join(classes, "words_digest").where(F.col("doc_id") != F.col("rep")).select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
-    reps = stored(reps.select("doc_id", "n_shingles", "bands", "sketch"), "near-reps")
-    links = stored(star_links(reps, docs, percent), "near-links")
+    worded = F.col("doc_id").isNotNull() & F.col("words_digest").isNotNull()
+    able = signed.where(worded)
+    classes = stored(able.groupBy("words_digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), "near-classes")
+    firsts = able.join(classes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    reps = stored(firsts.dropDuplicates(["doc_id", "words_digest"]).select("doc_id", "words_digest", "n_shingles", "bands", "sketch"), "near-reps")
+    links = star_links(reps, docs, percent)
     # an id whose rows have different texts joins their classes
-    torn = same_id.join(reps.select(F.col("doc_id").alias("b")).distinct(), "b", "left_semi").select("a", "b")
+    torn = reps.select("doc_id", "words_digest").join(classes, "words_digest").where("doc_id != rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
     roots = stored(components(links.union(torn)), "near-roots")
-    placed = classes.join(roots, F.col("rep") == F.col("node"), "left").select("words_digest", F.coalesce("root", "rep").alias("component"))
-    out = signed.select("doc_id", "n_shingles", "words_digest").join(placed, "words_digest", "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    placed = classes.join(roots, F.col("rep") == F.col("node"), "left").select("words_digest", F.coalesce("root", "rep").alias("component_id"), "n")
+    columns = ["doc_id", "n_shingles", "component_id"]
+    joined = join_facts(signed.select("doc_id", "n_shingles", "words_digest").where(worded), placed, "words_digest", "n", "doc_id").select(columns)
+    alone = signed.where(~worded).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    return joined.unionByName(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
