@@ -44,21 +44,23 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 HOT_SHARE = 2000
 
 
-def join_facts(rows: DataFrame, facts: DataFrame, key: str, n: str, spread: str) -> DataFrame:
+def join_facts(rows: DataFrame, facts: DataFrame, key: str, n: str, spread: str, counts: DataFrame | None = None) -> DataFrame:
     """``rows`` joined to ``facts`` by ``key`` (and without ``n``), no more than 1 / HOT_SHARE of all rows meeting in one key's task.
 
-    ``facts`` has one row for each key and in ``n`` the number of its rows (an upper bound will do).
-    The rows of keys beyond that share are dealt by a hash of their column ``spread``, and such a
-    key's facts are copied to each part. Keys beyond it are at most HOT_SHARE and the copies twice
-    that, whatever the size of the tables; only these keys and their parts are broadcast.
+    ``facts`` has one row for each key and in ``n`` the number of its rows (an upper bound will do);
+    where its rows are wide, ``counts`` has the two columns apart. The rows of keys beyond that
+    share are dealt by a hash of their column ``spread``, and such a key's facts are copied to each
+    part. Keys beyond it are at most HOT_SHARE and the copies twice that, whatever the size of the
+    tables; only these keys and their parts are broadcast.
     """
-    facts = stored(facts, "facts")
-    share = max(1, (facts.agg(F.sum(n)).first()[0] or 0) // HOT_SHARE)
-    parts = F.when(F.col(n) > share, F.ceil(F.col(n) / F.lit(share))).otherwise(1).cast("int")
-    hot = F.broadcast(facts.where(F.col(n) > share).select(key, parts.alias("_parts")))
+    if counts is None:
+        counts = facts = stored(facts, "facts")
+    share = max(1, (counts.agg(F.sum(n)).first()[0] or 0) // HOT_SHARE)
+    hot = F.broadcast(counts.where(F.col(n) > share).select(key, F.ceil(F.col(n) / F.lit(share)).cast("int").alias("_parts")))
     part = F.coalesce(F.pmod(F.xxhash64(spread), F.col("_parts")), F.lit(0)).cast("int")
     dealt = rows.join(hot, key, "left").withColumn("_part", part).drop("_parts")
-    copied = facts.withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop(n)
+    copies = F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_parts"), F.lit(1)) - 1))
+    copied = facts.drop(n).join(hot, key, "left").withColumn("_part", copies).drop("_parts")
     return dealt.join(copied, [key, "_part"]).drop("_part")
 
 

@@ -161,8 +161,8 @@ def _sketches_agree(pairs: DataFrame, percent: int) -> DataFrame:
 
 def _with_centres(pairs: DataFrame, about: DataFrame) -> DataFrame:
     """Pairs ``(centre, doc_id, ...)`` with what ``about`` says of their centres, of which some have very many pairs."""
-    of = pairs.groupBy("centre").agg(F.count("*").alias("_n")).join(about, "centre")
-    return join_facts(pairs, of, "centre", "_n", "doc_id")
+    counts = stored(pairs.groupBy("centre").agg(F.count("*").alias("_n")), "near-counts")
+    return join_facts(pairs, about, "centre", "_n", "doc_id", counts)
 
 
 def likely_stars(stars: DataFrame, known: DataFrame, percent: int) -> DataFrame:
@@ -176,7 +176,7 @@ def confirmed(likely: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """Links ``(a, b)``, a < b: the pairs ``(centre, doc_id)`` that share enough of their full shingle sets. A stored table."""
     likely = stored(likely.distinct(), "near-likely")
     ids = likely.select(F.explode(F.array("centre", "doc_id")).alias("id")).distinct()
-    sets = stored(shingle_sets(docs, ids).dropDuplicates(["id", "words_digest"]), "near-sets")
+    sets = stored(shingle_sets(docs, ids), "near-sets")
     both = _with_centres(likely, sets.select(F.col("id").alias("centre"), F.col("shingles").alias("set_c")))
     both = both.join(sets.select(F.col("id").alias("doc_id"), F.col("shingles").alias("set_d")), "doc_id")
     shared = F.size(F.array_intersect("set_c", "set_d"))
@@ -189,31 +189,38 @@ class Cells:
 
     def __init__(self, table: pa.Table):
         self.table = table = table.sort_by([(c, "ascending") for c in ("bucket", "s", "m", "stray")]).combine_chunks()
-        self.doc, self.root, self.n, self.stray, bucket, s, m = (table[c].to_numpy() for c in ("doc_id", "root", "n_shingles", "stray", "bucket", "s", "m"))
+        self.doc, self.root, self.n, self.stray, self.band, bucket, s, m = (table[c].to_numpy() for c in ("doc_id", "root", "n_shingles", "stray", "band", "bucket", "s", "m"))
         self.sketch = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint8).reshape(-1, BINS)
         edges = np.flatnonzero(np.r_[True, (bucket[1:] != bucket[:-1]) | (s[1:] != s[:-1]) | (m[1:] != m[:-1]), True]) if len(bucket) else [0]
         self.cells = [(a, a + int(np.searchsorted(self.stray[a:b], True)), b) for a, b in zip(edges[:-1], edges[1:], strict=True)]
 
     def likely(self, percent: int):
-        """For each stray that has some, its likely partners of other components, and in how many bins they agree."""
+        """For each stray that has some, its likely partners of other components, and in how many bins they agree.
+
+        Two documents that share several buckets are partners in the one of the least band: bands
+        whose rows agree in the sketch are taken as shared, which is wrong once in 2^32.
+        """
         least = least_agree(percent)
         for a, cut, b in self.cells:
             root, n, sketch = self.root[a:cut], self.n[a:cut], self.sketch[a:cut]
             for i in range(cut, b):
                 at = np.flatnonzero((root != self.root[i]) & (100 * np.minimum(n, self.n[i]) >= percent * np.maximum(n, self.n[i])))
                 agree = (sketch[at] == self.sketch[i]).sum(1)
-                fits = (agree >= least) | (np.maximum(n[at], self.n[i]) <= SMALL)
-                if fits.any():
-                    yield i, a + at[fits], agree[fits]
+                fits = np.flatnonzero((agree >= least) | (np.maximum(n[at], self.n[i]) <= SMALL))
+                at, agree = at[fits], agree[fits]
+                shared = (sketch[at, : BANDS * ROWS] == self.sketch[i, : BANDS * ROWS]).reshape(-1, BANDS, ROWS).all(2)
+                here = np.flatnonzero(shared.argmax(1) == self.band[i])
+                if len(here):
+                    yield i, a + at[here], agree[here]
 
 
 def stray_links(pool: DataFrame, links: DataFrame, known: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """Confirmed links ``(a, b)`` between different components that share a bucket; ``pool`` is ``(bucket, doc_id)``.
+    """Confirmed links ``(a, b)`` between different components that share a bucket; ``pool`` is ``(bucket, band, doc_id)``.
 
     Of the links between a stray and one component, which all join the same, one is given for each block.
     """
     roots = components(links).withColumnRenamed("node", "doc_id")
-    pool = stored(pool.join(roots, "doc_id", "left").select("bucket", "doc_id", F.coalesce("root", "doc_id").alias("root")), "near-rooted")
+    pool = stored(pool.join(roots, "doc_id", "left").select("bucket", "band", "doc_id", F.coalesce("root", "doc_id").alias("root")), "near-rooted")
     by_root = pool.groupBy("bucket", "root").agg(F.count("*").alias("n"))
     open_ = by_root.groupBy("bucket").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("roots"), F.sum("n").alias("n"))
     met = join_facts(pool, open_.where("roots > 1").drop("roots"), "bucket", "n", "doc_id")
@@ -229,7 +236,7 @@ def stray_links(pool: DataFrame, links: DataFrame, known: DataFrame, docs: DataF
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     strays = rows.where("stray").withColumn("s", own("n_s")).withColumn("m", each("n_m"))
     members = rows.withColumn("m", own("n_m")).withColumn("s", each("n_s")).withColumn("stray", F.lit(False))
-    columns = ["bucket", "s", "m", "stray", "doc_id", "words_digest", "root", "n_shingles"]
+    columns = ["bucket", "band", "s", "m", "stray", "doc_id", "words_digest", "root", "n_shingles"]
     cells = strays.select(columns).unionByName(members.select(columns)).join(known.select("doc_id", "words_digest", "sketch"), ["doc_id", "words_digest"])
     dealt = lambda df, n: df.groupBy(F.pmod(F.xxhash64("bucket", "s", "m"), F.lit(max(12, n))).alias("_group"))
 
@@ -240,7 +247,7 @@ def stray_links(pool: DataFrame, links: DataFrame, known: DataFrame, docs: DataF
             some[i], some[at] = True, True
         return found.table.select([*columns, "sketch"]).filter(pa.array(some))
 
-    kinds = "bucket long, s int, m int, stray boolean, doc_id long, words_digest binary, root long, n_shingles long, sketch binary"
+    kinds = "bucket long, band int, s int, m int, stray boolean, doc_id long, words_digest binary, root long, n_shingles long, sketch binary"
     hits = stored(dealt(cells, -(-total // GROUP_ROWS)).applyInArrow(with_partners, kinds), "near-hits")
     weight = hits.agg(F.sum("n_shingles")).first()[0] or 0
     sets = shingle_sets(docs, hits.select(F.col("doc_id").alias("id")).distinct()).withColumnRenamed("id", "doc_id").dropDuplicates(["doc_id", "words_digest"])
@@ -277,15 +284,15 @@ def stray_links(pool: DataFrame, links: DataFrame, known: DataFrame, docs: DataF
 def star_links(reps: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """Confirmed links ``(a, b)``, a < b, that join the documents of ``reps`` (rows of :func:`signatures`)."""
     known = reps.select("doc_id", "words_digest", "n_shingles", "sketch")
-    buckets = reps.select(F.explode("bands").alias("bucket"), "doc_id").distinct()
+    buckets = reps.select(F.posexplode("bands").alias("band", "bucket"), "doc_id")
     shared = buckets.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    pool = stored(join_facts(buckets, shared.withColumn("size", F.col("n")), "bucket", "n", "doc_id"), "near-pool")
+    pool = stored(join_facts(buckets, shared.withColumn("size", F.col("n")), "bucket", "n", "doc_id"), "near-pool")  # bucket, band, doc_id, size
     popular = pool.groupBy("doc_id").agg(F.sum("size").alias("met"))
     first = F.max(F.struct("met", (-F.col("doc_id")).alias("id"), "size")).alias("c")
     centre = pool.join(popular, "doc_id").groupBy("bucket").agg(first).select("bucket", (-F.col("c.id")).alias("centre"), F.col("c.size").alias("n"))
     stars = join_facts(pool.select("bucket", "doc_id"), centre, "bucket", "n", "doc_id").where("doc_id != centre").select("centre", "doc_id").distinct()
     links = confirmed(likely_stars(stored(stars, "near-stars"), known, percent), docs, percent)
-    return links.union(stray_links(pool.select("bucket", "doc_id"), links, known, docs, percent)).distinct()
+    return links.union(stray_links(pool.select("bucket", "band", "doc_id"), links, known, docs, percent)).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
