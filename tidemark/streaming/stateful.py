@@ -6,7 +6,6 @@ their sequence or arrival number before folding; the batch operators give the sa
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -15,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidemark.operators import book
-from tidemark.operators.sequencing import Sequencer, replay
+from tidemark.operators.sequencing import DELIVERED, Feed
 
 TOUCHES = "book_epoch long, symbol string, seq long, bid long, bid_size long, ask long, ask_size long, stable boolean"
 
@@ -44,26 +43,19 @@ def stream_touches(updates: DataFrame) -> DataFrame:
 
 def stream_sequenced(arrivals: DataFrame, replay_buffered: bool = True) -> DataFrame:
     """Actions and deliveries of a stream of arrivals, by capture and channel."""
-    schema = "capture_id string, channel long, session long, first_sequence long, delivery_no long, book_epoch long, action string, arrival_no long"
 
     def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        machine, epoch, number = Sequencer(), 0, 0
+        feed = Feed(replay=replay_buffered)
         if state.exists:
-            kept = json.loads(state.get[0])
-            epoch, number = kept["epoch"], kept["number"]
-            machine.session, machine.expected, machine.stats = kept["session"], kept["expected"], kept["stats"]
-            machine.held = {int(k): v for k, v in kept["held"].items()}
-        rows = pd.concat(list(batches)).sort_values("arrival_no", kind="stable").to_dict("records")
-        rows = [{k: int(r[k]) for k in ("arrival_no", "session", "first_sequence", "message_count")} for r in rows]
-        out, epoch, number = replay(rows, machine, epoch, number, replay_buffered)
-        state.update((json.dumps({"epoch": epoch, "number": number, "session": machine.session, "expected": machine.expected, "held": machine.held, "stats": machine.stats}),))
-        found = pd.DataFrame(out, columns=["session", "first_sequence", "delivery_no", "book_epoch", "action", "arrival_no"])
-        found.insert(0, "channel", key[1])
-        found.insert(0, "capture_id", key[0])
-        yield found.astype({"delivery_no": "Int64"})
+            feed.loads(state.get[0])
+        fresh = pd.concat(list(batches)).sort_values("arrival_no", kind="stable")
+        columns = (fresh[c].tolist() for c in ("arrival_no", "session", "first_sequence", "message_count"))
+        out = feed.rows(zip(*columns, strict=True))
+        state.update((feed.dumps(),))
+        yield pd.DataFrame({"capture_id": key[0], "channel": key[1], **out}).astype({"delivery_no": "Int64"})
 
     chosen = arrivals.select("capture_id", F.col("channel").cast("long").alias("channel"), *(F.col(c).cast("long").alias(c) for c in ("arrival_no", "session", "first_sequence", "message_count")))
-    return chosen.groupBy("capture_id", "channel").applyInPandasWithState(fold, schema, "machine string", "append", GroupStateTimeout.NoTimeout)
+    return chosen.groupBy("capture_id", "channel").applyInPandasWithState(fold, DELIVERED, "feed string", "append", GroupStateTimeout.NoTimeout)
 
 
 def stream_distinct(arrivals: DataFrame, delay: str = "10 minutes") -> DataFrame:
