@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.market import event_complete, is_delete
+from tidemark.operators.prefix import dense_blocks, previous, running
 
 LEVEL = ["book_epoch", "symbol", "side", "price"]
 BOOK = ["book_epoch", "symbol"]
@@ -44,11 +45,11 @@ def best(levels_: DataFrame) -> DataFrame:
     return found.withColumn("spread", F.col("ask") - F.col("bid"))
 
 
-def running_depth(updates: DataFrame) -> DataFrame:
+def running_depth(updates: DataFrame, block: int = FOLD_BLOCK) -> DataFrame:
     """After each update: the side's populated levels and displayed size."""
-    w = Window.partitionBy(*BOOK, "side").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
     step = F.when((F.col("size") > 0) & (F.col("prev_size") == 0), 1).when((F.col("size") == 0) & (F.col("prev_size") > 0), -1).otherwise(0)
-    found = levels(updates).withColumn("n_levels", F.sum(step).over(w)).withColumn("total_size", F.sum(F.col("size") - F.col("prev_size")).over(w))
+    sums = {"n_levels": step, "total_size": F.col("size") - F.col("prev_size")}
+    found = running(levels(updates), [*BOOK, "side"], ["seq"], F.floor(F.col("seq") / F.lit(block)), sums)
     return found.select("seq", *BOOK, "side", "n_levels", "total_size")
 
 
@@ -86,15 +87,14 @@ def touch_by_fold(updates: DataFrame, block: int = FOLD_BLOCK) -> DataFrame:
     """The touch after every update, folded by book and block of sequence numbers.
 
     A block starts from the levels alive at its border, so a hot symbol's stream is shared by as
-    many tasks as it has blocks.
+    many tasks as it has blocks. Levels are copied only to blocks in which their book has updates.
     """
     number = lambda c: F.floor(F.col(c) / F.lit(block)).cast("long")
-    cut = levels(updates).withColumn("block", number("seq"))
-    own = cut.select(*BOOK, "block", "seq", "side", "price", "size", F.col("flags").cast("int").alias("flags"), F.lit(False).alias("seeded"))
-    # a level that lives on past its block seeds every block up to the one where its next update lies
-    ends = cut.groupBy(*BOOK).agg(F.max("block").alias("last_block"))  # a row for each book
-    alive = cut.join(ends, BOOK).withColumn("to_block", F.coalesce(number("until"), F.col("last_block"))).where((F.col("size") > 0) & (F.col("to_block") > F.col("block")))
-    seeds = alive.select(*BOOK, F.explode(F.sequence(F.col("block") + 1, F.col("to_block"))).alias("block"), F.lit(-1).cast("long").alias("seq"), "side", "price", "size", F.lit(0).alias("flags"), F.lit(True).alias("seeded"))
+    blocks = dense_blocks(updates, BOOK, "seq", block)
+    cut = levels(updates).withColumn("block", number("seq")).join(blocks, [*BOOK, "block"])
+    own = cut.select(*BOOK, "rank", "seq", "side", "price", "size", F.col("flags").cast("int").alias("flags"), F.lit(False).alias("seeded"))
+    seeds = _alive_to(cut.where("size > 0"), blocks, number("until")).where("to_rank > rank")
+    seeds = seeds.select(*BOOK, F.explode(F.sequence(F.col("rank") + 1, F.col("to_rank"))).alias("rank"), F.lit(-1).cast("long").alias("seq"), "side", "price", "size", F.lit(0).alias("flags"), F.lit(True).alias("seeded"))
 
     def touches(table: pa.Table) -> pa.Table:
         table = table.sort_by([("seq", "ascending")])
@@ -104,17 +104,29 @@ def touch_by_fold(updates: DataFrame, block: int = FOLD_BLOCK) -> DataFrame:
         same = {"book_epoch": pa.array(table["book_epoch"].slice(0, 1).to_pylist() * n, pa.int64()), "symbol": pa.array(table["symbol"].slice(0, 1).to_pylist() * n, pa.string())}
         return pa.table({**same, **{k: pa.array(v, pa.bool_() if k == "stable" else pa.int64()) for k, v in out.items()}})
 
-    return own.unionByName(seeds).groupBy(*BOOK, "block").applyInArrow(touches, TOUCH)
+    return own.unionByName(seeds).groupBy(*BOOK, "rank").applyInArrow(touches, TOUCH)
+
+
+def _alive_to(cut: DataFrame, blocks: DataFrame, until_block) -> DataFrame:
+    """Levels with ``to_rank``, their book's block in which the level's next update lies, or its last one."""
+    last = blocks.groupBy(*BOOK).agg(F.max("rank").alias("last_rank"))  # a row for each book
+    ends = blocks.select(*BOOK, F.col("block").alias("until_block"), F.col("rank").alias("until_rank"))
+    met = cut.withColumn("until_block", until_block).join(ends, [*BOOK, "until_block"], "left").join(last, BOOK)
+    return met.withColumn("to_rank", F.coalesce("until_rank", "last_rank"))
 
 
 def touch_by_join(updates: DataFrame, bucket: int = JOIN_BUCKET) -> DataFrame:
-    """The same by a range join: updates meet the level intervals of their book, bucketed by sequence number."""
+    """The same by a range join: updates meet the level intervals of their book, bucketed by sequence number.
+
+    An interval goes only to buckets in which its book has updates.
+    """
     number = lambda c: F.floor(F.col(c) / F.lit(bucket)).cast("long")
-    last = updates.groupBy(*BOOK).agg(F.max("seq").alias("last_seq"))  # a row for each book
-    span = levels(updates).where("size > 0").join(last, BOOK).withColumn("end", F.coalesce(F.col("until"), F.col("last_seq") + 1))
-    span = span.select(*BOOK, "side", "price", "size", F.col("seq").alias("start"), "end", F.explode(F.sequence(number("seq"), F.floor((F.col("end") - 1) / F.lit(bucket)).cast("long"))).alias("bucket"))
-    at = updates.select(*BOOK, F.col("seq"), event_complete(F.col("flags")).alias("stable"), number("seq").alias("bucket"))
-    met = at.join(span, [*BOOK, "bucket"], "left")
+    blocks = dense_blocks(updates, BOOK, "seq", bucket)
+    cut = levels(updates).withColumn("block", number("seq")).join(blocks, [*BOOK, "block"])
+    span = _alive_to(cut.where("size > 0"), blocks, number("until"))
+    span = span.select(*BOOK, "side", "price", "size", F.col("seq").alias("start"), F.coalesce("until", F.lit(2**63 - 1)).alias("end"), F.explode(F.sequence("rank", "to_rank")).alias("rank"))
+    at = cut.select(*BOOK, "seq", event_complete(F.col("flags")).alias("stable"), "rank")
+    met = at.join(span, [*BOOK, "rank"], "left")
     live = (F.col("start") <= F.col("seq")) & (F.col("seq") < F.col("end"))
     bid, ask = live & (F.col("side") == "B"), live & (F.col("side") == "S")
     return met.groupBy(*BOOK, "seq").agg(
@@ -149,12 +161,15 @@ def book_counters(updates: DataFrame, touches: DataFrame) -> DataFrame:
     return of_updates.join(F.broadcast(of_touches))  # one row each
 
 
-def touch_changes(touches: DataFrame) -> DataFrame:
+def touch_changes(touches: DataFrame, block: int = FOLD_BLOCK) -> DataFrame:
     """Stable, two-sided touches that differ from the symbol's one before."""
-    values = F.struct("bid", "bid_size", "ask", "ask_size")
-    w = Window.partitionBy(*BOOK).orderBy("seq")
-    judged = touches.where("stable AND bid IS NOT NULL AND ask IS NOT NULL").withColumn("now", values).withColumn("was", F.lag("now").over(w))
-    return judged.where(F.col("was").isNull() | (F.col("now") != F.col("was"))).drop("now", "was", "stable")
+    values = ("bid", "bid_size", "ask", "ask_size")
+    judged = touches.where("stable AND bid IS NOT NULL AND ask IS NOT NULL")
+    judged = previous(judged, BOOK, "seq", F.floor(F.col("seq") / F.lit(block)), {f"was_{v}": v for v in values})
+    same = F.lit(True)
+    for v in values:
+        same = same & F.col(v).eqNullSafe(F.col(f"was_{v}"))
+    return judged.where(~same).drop("stable", *(f"was_{v}" for v in values))
 
 
 def crossed_events(updates: DataFrame, touches: DataFrame, limit: int = 20) -> DataFrame:

@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.prefix import previous
+
+#: Sequence numbers of a symbol that are one block.
+BLOCK = 50_000
 #: Least quotes and returns for a result, and the mark of significance.
 MIN_QUOTES, MIN_RETURNS, SIGNIFICANT = 100, 50, 1.96
 
@@ -14,11 +20,10 @@ def mid(quotes: DataFrame) -> DataFrame:
     return quotes.withColumn("mid", (F.col("bid") + F.col("ask")) / F.lit(2.0) / F.lit(10000.0))
 
 
-def order_flow_imbalance(quotes: DataFrame, key: str = "symbol") -> DataFrame:
+def order_flow_imbalance(quotes: DataFrame, key: str = "symbol", block: int = BLOCK) -> DataFrame:
     """``ofi`` of each quote against the one before; a symbol's first quote has none and is left out."""
-    w = Window.partitionBy(key).orderBy("seq")
     cols = ("bid", "bid_size", "ask", "ask_size")
-    q = quotes.select("*", *(F.lag(c).over(w).alias(f"p_{c}") for c in cols)).where(F.col("p_bid").isNotNull())
+    q = previous(quotes, [key], "seq", F.floor(F.col("seq") / F.lit(block)), {f"p_{c}": c for c in cols}).where(F.col("p_bid").isNotNull())
     when = lambda cond, v: F.when(cond, v).otherwise(0)
     ofi = (
         when(F.col("bid") >= F.col("p_bid"), F.col("bid_size")) - when(F.col("bid") <= F.col("p_bid"), F.col("p_bid_size"))
@@ -30,9 +35,9 @@ def order_flow_imbalance(quotes: DataFrame, key: str = "symbol") -> DataFrame:
 def buckets(quotes: DataFrame, width_ns: int, key: str = "symbol") -> DataFrame:
     """OFI and last mid of each observed bucket; bucket 0 begins at a symbol's second quote."""
     flow = mid(order_flow_imbalance(quotes, key))
-    start = F.first("ts_nanos").over(Window.partitionBy(key).orderBy("seq"))
-    idx = F.floor((F.col("ts_nanos") - start) / F.lit(width_ns)).cast("long")
-    return flow.withColumn("idx", idx).groupBy(key, "idx").agg(F.sum("ofi").alias("ofi"), F.max_by("mid", "seq").alias("last_mid"))
+    start = flow.groupBy(key).agg(F.min_by("ts_nanos", "seq").alias("start"))  # a row for each symbol
+    idx = F.floor((F.col("ts_nanos") - F.col("start")) / F.lit(width_ns)).cast("long")
+    return flow.join(start, key).withColumn("idx", idx).groupBy(key, "idx").agg(F.sum("ofi").alias("ofi"), F.max_by("mid", "seq").alias("last_mid"))
 
 
 def regressors(quotes: DataFrame, width_ns: int, key: str = "symbol", min_quotes: int = MIN_QUOTES, min_returns: int = MIN_RETURNS) -> DataFrame:
@@ -45,11 +50,58 @@ def regressors(quotes: DataFrame, width_ns: int, key: str = "symbol", min_quotes
     return rows.join(n, key, "left_semi")
 
 
+def lag_sums(u: DataFrame, key: str, block: int = BLOCK) -> DataFrame:
+    """The weighted sums ``s00, s01, s11`` over lags 0 to ``lags`` of the products of errors ``e`` (and regressor ``x``), a lag with its transpose."""
+    size = F.greatest(F.lit(block), F.col("lags"))  # the lags never reach beyond the block before
+    number = F.floor(F.col("t") / size).cast("long")
+    to = F.when((F.pmod(F.col("t"), size) >= size - F.col("lags")), F.array(number, number + 1)).otherwise(F.array(number))
+    dealt = u.select(F.col(key).alias("_key"), "t", "x", "e", "lags", number.alias("own"), F.explode(to).alias("block"))
+
+    def sums(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("t", "ascending")])
+        t, x, e, own, block = (table[c].to_numpy() for c in ("t", "x", "e", "own", "block"))
+        lags, mine = int(table["lags"][0].as_py()), own == block
+        out = np.zeros(3)
+        for j in range(lags + 1):
+            at = np.searchsorted(t, t[mine] - j)  # the row j before, where there is one
+            hit = t[np.minimum(at, len(t) - 1)] == t[mine] - j
+            a, b = np.flatnonzero(mine)[hit], at[hit]
+            w, ee = (1.0 if j == 0 else 2.0 * (1 - j / (lags + 1.0))), e[a] * e[b]
+            out += w * np.array([ee.sum(), (ee * (x[a] + x[b]) / 2).sum(), (ee * x[a] * x[b]).sum()])
+        return pa.table({"_key": table["_key"].slice(0, 1), **{n: pa.array([v]) for n, v in zip(("s00", "s01", "s11"), out.tolist(), strict=True)}})
+
+    kind = u.schema[key].dataType.simpleString()
+    found = dealt.groupBy("_key", "block").applyInArrow(sums, f"_key {kind}, s00 double, s01 double, s11 double")
+    return found.groupBy(F.col("_key").alias(key)).agg(*(F.sum(c).alias(c) for c in ("s00", "s01", "s11")))
+
+
+def report(fit: DataFrame, key: str = "symbol") -> DataFrame:
+    """``(key, line_no, line)``: each regression as text, a heading, a line for each term, and the fit's figures."""
+    row = F.format_string("%-12s%14.6g%14.6g%10.2f  %s", "term", "beta", "stderr", "tstat", F.when(F.col("significant"), "significant").otherwise(""))
+    head = F.format_string("%-12s%14s%14s%10s", F.lit("term"), F.lit("coef"), F.lit("HAC s.e."), F.lit("t"))
+    foot = F.format_string("R2 = %.6f   n = %d   HAC lags = %d", "r2", "n", "lags")
+    terms = fit.select(key, (F.when(F.col("term") == "intercept", 1).otherwise(2)).alias("line_no"), F.rtrim(row).alias("line"))
+    ends = fit.where("term = 'intercept'").select(key, F.explode(F.array(F.struct(F.lit(0).alias("n"), head.alias("line")), F.struct(F.lit(3).alias("n"), foot.alias("line")))).alias("r"))
+    return terms.unionByName(ends.select(key, F.col("r.n").alias("line_no"), F.col("r.line").alias("line")))
+
+
+def positive_control(spark: SparkSession, n: int = 20_000, beta: float = 0.002, seed: int = 11, noise: float = 0.01, spread: float = 500.0) -> DataFrame:
+    """Data with a known coefficient and what the regression makes of them: ``beta, low, high, contains`` of the slope's 95% interval.
+
+    A null result says something only of an estimator that finds an effect of this size when there is one.
+    """
+    rows = spark.range(n).select(F.lit("control").alias("symbol"), (F.col("id") + 1).alias("t"), (F.randn(seed) * spread).alias("x"), (F.randn(seed + 1) * noise).alias("e"))
+    fit = ols_hac(rows.select("symbol", "t", "x", (F.lit(beta) * F.col("x") + F.col("e")).alias("y"))).where("term = 'ofi'")
+    low, high = (F.col("beta") + s * SIGNIFICANT * F.col("stderr") for s in (-1, 1))
+    return fit.select(F.lit(beta).alias("true_beta"), "beta", low.alias("low"), high.alias("high"), F.lit(beta).between(low, high).alias("contains"))
+
+
 def ols_hac(rows: DataFrame, key: str = "symbol", lags: int | None = None) -> DataFrame:
     """y on an intercept and x by key, with Newey-West errors: one row for each key and term.
 
-    Moments are aggregates; autocovariances join each row to those up to ``lags`` before it. Keys
-    with no more rows than terms, or a constant x, give no result.
+    Moments are aggregates. Autocovariances are sums over blocks of row numbers, each with the rows
+    up to ``lags`` before it, so a row is copied once at most. Keys with no more rows than terms, or
+    a constant x, give no result.
     """
     m = rows.groupBy(key).agg(
         F.count("*").alias("n"), F.sum("x").alias("sx"), F.sum(F.col("x") * F.col("x")).alias("sxx"), F.avg("x").alias("mx"), F.avg("y").alias("my"),
@@ -59,10 +111,7 @@ def ols_hac(rows: DataFrame, key: str = "symbol", lags: int | None = None) -> Da
     bandwidth = F.lit(lags).cast("int") if lags is not None else F.greatest(F.lit(1), F.floor(4 * F.pow(F.col("n") / 100, F.lit(2.0 / 9.0))).cast("int"))
     m = m.withColumn("lags", bandwidth)
     u = rows.join(m, key).select(key, "t", "x", (F.col("y") - F.col("intercept") - F.col("slope") * F.col("x")).alias("e"), "lags")
-    earlier = u.select(key, F.explode(F.sequence(F.lit(0), F.col("lags"))).alias("j"), (F.col("t") + F.col("j")).alias("t"), F.col("x").alias("x2"), F.col("e").alias("e2"))
-    weight = F.when(F.col("j") == 0, 1.0).otherwise(2.0 * (1 - F.col("j") / (F.col("lags") + 1.0)))  # a lag counts with its transpose
-    ee = weight * F.col("e") * F.col("e2")
-    s = u.join(earlier, [key, "t"]).groupBy(key).agg(F.sum(ee).alias("s00"), F.sum(ee * (F.col("x") + F.col("x2")) / 2).alias("s01"), F.sum(ee * F.col("x") * F.col("x2")).alias("s11"))
+    s = lag_sums(u, key)
     rss = u.groupBy(key).agg(F.sum(F.col("e") * F.col("e")).alias("rss"))
     j = m.join(s, key).join(rss, key)
     a, b, d = F.col("sxx") / F.col("det"), -F.col("sx") / F.col("det"), F.col("n") / F.col("det")

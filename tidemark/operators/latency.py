@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.prefix import running
+
 #: Fixed values. Each power of two is divided into this many bits of buckets; values from 2^MAX_EXPONENT overflow.
 SUB_BITS, MAX_EXPONENT = 11, 42
 
@@ -52,14 +54,16 @@ def quantiles(hist: DataFrame, qs: list[float]) -> DataFrame:
     return first.select("q", low.alias("bucket_low"), ((F.col("count") > 0) & F.col("b.bucket_low").isNull()).alias("overflow"))
 
 
-def queued(items: DataFrame, keys: tuple[str, ...] = ("server",)) -> DataFrame:
+def queued(items: DataFrame, keys: tuple[str, ...] = ("server",), block: int = 100_000_000) -> DataFrame:
     """Finish time, service and corrected latency of each item of a first-come queue, and whether it had to wait.
 
     With C the running sum of service, the finish is C plus the running maximum of ``sched - (C - service)``.
+    A server's items are shared by as many tasks as ``sched`` has blocks.
     """
-    w = Window.partitionBy(*keys).orderBy("sched", "item").rowsBetween(Window.unboundedPreceding, 0)
-    out = items.withColumn("c", F.sum("service").over(w))
-    out = out.withColumn("finish", F.col("c") + F.max(F.col("sched") - F.col("c") + F.col("service")).over(w))
+    cut, order = F.floor(F.col("sched") / F.lit(block)), ["sched", "item"]
+    out = running(items, list(keys), order, cut, sums={"c": F.col("service")})
+    out = running(out, list(keys), order, cut, maxima={"start": F.col("sched") - F.col("c") + F.col("service")})
+    out = out.withColumn("finish", F.col("c") + F.col("start"))
     return out.select(*keys, "item", "sched", "service", "finish", (F.col("finish") - F.col("sched")).alias("corrected"), (F.col("finish") - F.col("service") > F.col("sched")).alias("behind"))
 
 
