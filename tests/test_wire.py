@@ -28,7 +28,7 @@ def test_capture_files():
 def test_frames():
     frame = wire.frame_bytes(b"hello")
     for f in (frame, wire.frame_bytes(b"hello", 0), wire.frame_bytes(b"hello", 2), frame + bytes(20)):
-        assert wire.datagram(f) == (None, 10378, 10378, "233.215.21.4", b"hello")
+        assert wire.datagram(f) == (None, 20_480, 20_480, "239.1.2.3", b"hello")
     base = bytearray(wire.frame_bytes(b"hello", 0))
     for at, value, skip in ((23, 6, "not_udp"), (20, 0x20, "fragmented"), (21, 1, "fragmented"), (12, 0x86, "not_ipv4")):
         bad = bytearray(base)
@@ -37,8 +37,8 @@ def test_frames():
 
 
 def test_segments_and_messages():
-    seg = wire.segment(wire.segment_bytes([b"abc", b"de"], 1140588544, 42))
-    assert (seg["message_count"], seg["messages"], seg["first_sequence"], seg["session"]) == (2, [b"abc", b"de"], 42, 1140588544)
+    seg = wire.segment(wire.segment_bytes([b"first", b"2nd", b""], 88, 7_000))
+    assert (seg["message_count"], seg["messages"], seg["first_sequence"], seg["session"]) == (3, [b"first", b"2nd", b""], 7_000, 88)
     assert wire.segment(wire.segment_bytes([b"x"], 1, 1, count=9))["messages"] == [b"x"] and wire.segment(wire.segment_bytes([], 1, 1))["messages"] == []
     body = wire.message_bytes(0x38, 1_500_000_000_000_000_000, symbol="AAPL", flags=1, size=4_000_000_000, price=-1)
     m = wire.message(body)
@@ -48,8 +48,78 @@ def test_segments_and_messages():
     from tidemark.functions.market import KINDS
 
     assert {k: len(wire.message_bytes(k, 5)) for k in wire.LAYOUTS} == {k: n for k, (_, n) in KINDS.items()}
-    for k in wire.LAYOUTS:
-        assert "error" not in wire.message(wire.message_bytes(k, 5)) and wire.message(wire.message_bytes(k, 5))["ts_nanos"] == 5
+
+
+#: Offset and struct format of each field, written down apart from the layouts.
+PLACES = {
+    0x38: {"flags": (1, "B"), "size": (18, "<I"), "price": (22, "<q")}, 0x54: {"sale_condition": (1, "B"), "size": (18, "<I"), "price": (22, "<q"), "trade_id": (30, "<q")},
+    0x53: {"event": (1, "B")}, 0x44: {"flags": (1, "B"), "round_lot": (18, "<I"), "adj_poc": (22, "<q"), "luld_tier": (30, "B")}, 0x48: {"status": (1, "B")},
+    0x4F: {"value": (1, "B")}, 0x50: {"value": (1, "B"), "detail": (18, "B")}, 0x58: {"price_type": (1, "B"), "price": (18, "<q")},
+    0x41: {"auction_type": (1, "B"), "paired": (18, "<I"), "ref_price": (22, "<q"), "indicative_price": (30, "<q"), "imbalance": (38, "<I"), "imbalance_side": (42, "B")},
+}
+PLACES |= {0x35: PLACES[0x38], 0x42: PLACES[0x54], 0x45: PLACES[0x4F], 0x49: PLACES[0x4F]}
+
+
+def plain_message(body):
+    if not body:
+        return {"error": "empty"}
+    kind = body[0]
+    if kind not in PLACES:
+        return {"kind": kind}
+    if len(body) != len(wire.message_bytes(kind, 0)):
+        return {"kind": kind, "error": f"wrong_length: expected {len(wire.message_bytes(kind, 0))}, got {len(body)}"}
+    out = {"kind": kind, "ts_nanos": struct.unpack_from("<q", body, 2)[0]} | {n: struct.unpack_from(f, body, at)[0] for n, (at, f) in PLACES[kind].items()}
+    if kind != 0x53:
+        out |= {"symbol_raw": body[10:18], "symbol": wire._text(body[10:18])}
+    if kind == 0x48 and (reason := wire._text(body[18:22])) is not None:
+        out["reason"] = reason
+    return out | ({"detail": 0} if kind in (0x4F, 0x45, 0x49) else {})
+
+
+def test_columns_of_random_bodies_equal_a_plain_parse():
+    rng = np.random.default_rng(3)
+    bodies = [b"", b"\x00", b"\xee" * 9]
+    for kind in [*PLACES] * 12:
+        size = len(wire.message_bytes(kind, 0))
+        bodies.append(bytes([kind]) + rng.bytes(size - 1 if rng.random() < 0.8 else int(rng.integers(0, 90))))
+        bodies.append(wire.message_bytes(kind, 9, symbol="AB", reason="R1", price=-5, size=4_000_000_000, flags=200))
+    order = rng.permutation(len(bodies))
+    bodies = [bodies[i] for i in order]
+    sizes = np.array([len(b) for b in bodies])
+    found = wire.messages(np.frombuffer(b"".join(bodies), np.uint8), np.cumsum(sizes) - sizes, sizes)
+    for i, body in enumerate(bodies):
+        row = {k: int(v[0][i]) for k, v in found.items() if isinstance(v, tuple) and v[1][i]} | {k: v[i] for k, v in found.items() if isinstance(v, list) and v[i] is not None}
+        want = {k: v for k, v in plain_message(body).items() if v is not None}
+        assert row == want
+
+
+def test_files_in_ranges_equal_whole_files(spark, tmp_path):
+    """Any cut of a file at records gives its packets, with a section of another byte order inside."""
+    items = [(1_000_000 + 7_000 * i, bytes([i % 251]) * (i % 90)) for i in range(300)]
+    files = {
+        "a.pcap": wire.pcap_bytes(items, ">"), "b.pcap": wire.pcap_bytes(items, nanos=True) + b"cut",
+        "c.pcapng": wire.pcapng_bytes(items, "<", 9) + wire.pcapng_bytes(items[:50], ">", 6) + wire.pcapng_bytes(items[:50], "<", None), "d.pcap": wire.pcap_bytes([]),
+    }
+    for name, data in files.items():
+        (tmp_path / name).write_bytes(data)
+    for size in (1, 500, 4096, 1 << 30):
+        for name, data in files.items():
+            kind, link, whole = wire.packets(data)
+            got, number = [], 0
+            for form, first, start, stop, state in wire.record_ranges(str(tmp_path / name), size):
+                found_link, packets = wire.range_packets(str(tmp_path / name), form, start, stop, state)
+                packets = list(packets)
+                assert (form, found_link, first) == (kind, link, number)
+                got, number = got + packets, number + len(packets)
+            assert got == list(whole)
+    paths = [str(tmp_path / n) for n in files]
+    key = lambda r: (r.capture_id.split("/")[-1], r.packet_no)
+    a = sorted(((*key(r), r.format, r.linktype, r.ts_nanos, bytes(r.data), r.orig_len, r.position) for r in capture.read_large(spark, paths, 2000).collect()))
+    b = sorted(((*key(r), r.format, r.linktype, r.ts_nanos, bytes(r.data), r.orig_len, r.position) for r in capture.read_packets(spark, str(tmp_path)).collect()))
+    assert a == b and len(a) == 1000
+    with pytest.raises(wire.BadMagic):
+        (tmp_path / "e").write_bytes(bytes(40))
+        list(wire.record_ranges(str(tmp_path / "e"), 10))
 
 
 def test_every_prefix_is_safe():
@@ -95,15 +165,23 @@ def test_greeks_match_differences(spark):
     assert r[0].gamma == pytest.approx((r[1].delta - r[2].delta) / 2e-3, rel=1e-5)
 
 
-def test_implied_vol_round_trip():
-    grid = [(v, s) for v in (0.05, 0.15, 0.35, 0.9) for s in (80.0, 100.0, 125.0)]
-    vol, s = (np.array(c) for c in zip(*grid))
-    n = len(grid)
-    k, r, t, call = np.full(n, 100.0), np.full(n, 0.03), np.full(n, 0.75), np.ones(n, bool)
-    target, _ = pricing._price_vega(s, k, r, t, call, vol)
-    got, _, well = pricing.solve_vol(target, s, k, r, t, call)
-    assert well.sum() >= 9 and np.allclose(got[well], vol[well], atol=1e-6)
-    assert np.isnan(pricing.solve_vol(np.array([200.0]), s[:1], k[:1], r[:1], t[:1], call[:1])[0][0])
+def textbook_call(spot, strike, rate, vol, time):
+    """The call's price by the standard library's error function."""
+    cdf = lambda x: 0.5 * (1 + math.erf(x / math.sqrt(2)))
+    d = (math.log(spot / strike) + (rate + vol * vol / 2) * time) / (vol * math.sqrt(time))
+    return spot * cdf(d) - strike * math.exp(-rate * time) * cdf(d - vol * math.sqrt(time))
+
+
+def test_implied_vols_of_textbook_prices():
+    rng = np.random.default_rng(9)
+    rows = [(rng.uniform(60, 160), 110.0, rng.uniform(0, 0.08), rng.uniform(0.08, 1.2), rng.uniform(0.1, 3)) for _ in range(200)]
+    spot, strike, rate, vol, time = (np.array(c) for c in zip(*rows))
+    target = np.array([textbook_call(*r) for r in rows])
+    got, _, well = pricing.solve_vol(target, spot, strike, rate, time, np.ones(200, bool))
+    again = [textbook_call(s, k, r, v, t) for s, k, r, v, t in zip(spot, strike, rate, got, time)]
+    assert np.allclose(again, target, atol=1e-7) and well.mean() > 0.9 and np.allclose(got[well], vol[well], atol=1e-5)
+    beyond = pricing.solve_vol(np.array([spot[0] * 2, -1.0]), spot[:2], strike[:2], rate[:2], time[:2], np.ones(2, bool))[0]
+    assert np.isnan(beyond).all()
 
 
 def test_monte_carlo_intervals(spark):

@@ -9,6 +9,8 @@ from __future__ import annotations
 import struct
 from collections.abc import Iterator
 
+import numpy as np
+
 # Magics, block types and ether types of the public capture and network formats.
 CLASSIC = {b"\xa1\xb2\xc3\xd4": (">", 1000), b"\xa1\xb2\x3c\x4d": (">", 1), b"\xd4\xc3\xb2\xa1": ("<", 1000), b"\x4d\x3c\xb2\xa1": ("<", 1)}
 SECTION, INTERFACE, SIMPLE, ENHANCED = 0x0A0D0D0A, 1, 3, 6
@@ -34,8 +36,8 @@ def packets(data: bytes) -> tuple[str, int | None, Iterator[tuple]]:
     return "pcap", struct.unpack_from(order + "I", data, 20)[0], _records(data, order, unit)
 
 
-def _records(data: bytes, order: str, unit: int) -> Iterator[tuple]:
-    head, at = struct.Struct(order + "IIII"), 24
+def _records(data: bytes, order: str, unit: int, at: int = 24) -> Iterator[tuple]:
+    head = struct.Struct(order + "IIII")
     while at + 16 <= len(data):
         sec, part, size, orig = head.unpack_from(data, at)
         if at + 16 + size > len(data):
@@ -44,9 +46,9 @@ def _records(data: bytes, order: str, unit: int) -> Iterator[tuple]:
         at += 16 + size
 
 
-def _walk(data: bytes) -> Iterator[tuple[str, int, bytes, int]]:
+def _walk(data: bytes, order: str = "<") -> Iterator[tuple[str, int, bytes, int]]:
     """Byte order, type, body and end of each block."""
-    order, at = "<", 0
+    at = 0
     while at + 12 <= len(data):
         if data[at : at + 4] == b"\x0a\x0d\x0d\x0a":
             order = ">" if data[at + 8 : at + 12] == b"\x1a\x2b\x3c\x4d" else "<"
@@ -75,9 +77,9 @@ def _first_link(data: bytes) -> int | None:
     return next((struct.unpack_from(o + "H", b)[0] for o, k, b, _ in _walk(data) if k == INTERFACE and len(b) >= 2), None)
 
 
-def _blocks(data: bytes) -> Iterator[tuple]:
-    units: list[int] = []
-    for order, kind, body, end in _walk(data):
+def _blocks(data: bytes, order: str = "<", units: list[int] | None = None) -> Iterator[tuple]:
+    units = list(units or ())
+    for order, kind, body, end in _walk(data, order):
         if kind == SECTION:
             units = []
         elif kind == INTERFACE:
@@ -92,6 +94,71 @@ def _blocks(data: bytes) -> Iterator[tuple]:
             yield 0, body[4 : 4 + size], orig, end
 
 
+def _read(file, at: int, size: int) -> bytes:
+    file.seek(at)
+    return file.read(size)
+
+
+def record_ranges(path: str, range_bytes: int) -> Iterator[tuple[str, int, int, int, str]]:
+    """``(format, first packet, start, stop, state)`` of ranges of whole records, about ``range_bytes`` each.
+
+    Only headers are read. ``state`` holds what a reader must know at ``start``: the byte order and
+    units of the section it lies in (of pcapng), or the file's (of a classic capture).
+    """
+    import os
+
+    with open(path, "rb") as file:
+        end, magic = os.fstat(file.fileno()).st_size, file.read(24)
+        if magic[:4] in CLASSIC:
+            order, unit = CLASSIC[magic[:4]]
+            if len(magic) < 24:
+                raise ValueError("truncated header")
+            state = f"{order}{unit}"
+            number = first = 0
+            at = start = 24
+            while at + 16 <= end:
+                size = struct.unpack(order + "I", _read(file, at + 8, 4))[0]
+                if at + 16 + size > end:
+                    break
+                at, number = at + 16 + size, number + 1
+                if at - start >= range_bytes:
+                    yield "pcap", first, start, at, state
+                    start, first = at, number
+            yield "pcap", first, start, at, state
+        elif magic[:4] == b"\x0a\x0d\x0d\x0a":
+            order, units, number, first, at, start = "<", [], 0, 0, 0, 0
+            held = (order, "")
+            while at + 12 <= end:
+                head = _read(file, at, 36)
+                if head[:4] == b"\x0a\x0d\x0d\x0a":
+                    order, units = ">" if head[8:12] == b"\x1a\x2b\x3c\x4d" else "<", []
+                kind, size = struct.unpack_from(order + "II", head)
+                if size < 12 or at + size > end:
+                    break
+                if kind == INTERFACE:
+                    units.append(_unit(order, _read(file, at + 8, size - 12)))
+                number += (kind == ENHANCED and size >= 32 and 20 + struct.unpack_from(order + "I", head, 20)[0] <= size - 12) or (kind == SIMPLE and size >= 16)
+                at += size
+                if at - start >= range_bytes:
+                    yield "pcapng", first, start, at, held[0] + held[1]
+                    start, first, held = at, number, (order, ",".join(map(str, units)))
+            yield "pcapng", first, start, at, held[0] + held[1]
+        else:
+            raise BadMagic(magic[:4].hex())
+
+
+def range_packets(path: str, kind: str, start: int, stop: int, state: str) -> tuple[int | None, Iterator[tuple]]:
+    """The link type of a file and the packets of one of its :func:`record_ranges`, positions counted from the file's start."""
+    with open(path, "rb") as file:
+        head, data = file.read(1 << 16), _read(file, start, stop - start)
+    order, rest = state[0], state[1:]
+    if kind == "pcap":
+        link, found = struct.unpack_from(order + "I", head, 20)[0], _records(data, order, int(rest), 0)
+    else:
+        link, found = _first_link(head), _blocks(data, order, [int(u) for u in rest.split(",") if u])
+    return link, ((ts, body, orig, at + start) for ts, body, orig, at in found)
+
+
 def datagram(frame: bytes) -> tuple[str | None, int, int, str, bytes]:
     """Skip reason (None if there is a datagram), source and target ports, target address, payload."""
     none = (0, 0, "", b"")
@@ -142,22 +209,33 @@ def segment(payload: bytes) -> dict | None:
     return {"version": version, "protocol": protocol, "channel": channel, "session": session, "message_count": count, "stream_offset": offset, "first_sequence": first, "send_time": sent, "messages": bodies}
 
 
-#: Fixed values of the message format. After kind@0, one byte@1 and the time@2: fields by kind, as struct format and names ('_' skips).
+#: Fixed values of the message format: after kind@0, one byte@1 and the time@2, each kind's fields in order ('_' is kept raw only).
 _LAYOUTS = {
-    0x38: ("8sIq", ("symbol", "size", "price"), "flags"), 0x35: ("8sIq", ("symbol", "size", "price"), "flags"),
-    0x54: ("8sIqq", ("symbol", "size", "price", "trade_id"), "sale_condition"), 0x42: ("8sIqq", ("symbol", "size", "price", "trade_id"), "sale_condition"),
-    0x53: ("", (), "event"), 0x44: ("8sIqB", ("symbol", "round_lot", "adj_poc", "luld_tier"), "flags"), 0x48: ("8s4s", ("symbol", "reason"), "status"),
-    0x4F: ("8s", ("symbol",), "value"), 0x45: ("8s", ("symbol",), "value"), 0x49: ("8s", ("symbol",), "value"), 0x50: ("8sB", ("symbol", "detail"), "value"),
-    0x58: ("8sq", ("symbol", "price"), "price_type"),
-    0x41: ("8sIqqIB37s", ("symbol", "paired", "ref_price", "indicative_price", "imbalance", "imbalance_side", "_"), "auction_type"),
+    0x38: ("flags", "symbol:S8 size:u4 price:i8"), 0x35: ("flags", "symbol:S8 size:u4 price:i8"),
+    0x54: ("sale_condition", "symbol:S8 size:u4 price:i8 trade_id:i8"), 0x42: ("sale_condition", "symbol:S8 size:u4 price:i8 trade_id:i8"),
+    0x53: ("event", ""), 0x44: ("flags", "symbol:S8 round_lot:u4 adj_poc:i8 luld_tier:u1"), 0x48: ("status", "symbol:S8 reason:S4"),
+    0x4F: ("value", "symbol:S8"), 0x45: ("value", "symbol:S8"), 0x49: ("value", "symbol:S8"), 0x50: ("value", "symbol:S8 detail:u1"),
+    0x58: ("price_type", "symbol:S8 price:i8"),
+    0x41: ("auction_type", "symbol:S8 paired:u4 ref_price:i8 indicative_price:i8 imbalance:u4 imbalance_side:u1 _:V37"),
 }
-LAYOUTS = {k: (struct.Struct("<Bxq".replace("x", "B") + f), names, second) for k, (f, names, second) in _LAYOUTS.items()}
+
+
+def _dtype(second: str, fields: str) -> np.dtype:
+    """The packed little-endian layout of a kind's whole body."""
+    named = [f.split(":") for f in fields.split()]
+    return np.dtype([("kind", "u1"), (second, "u1"), ("ts_nanos", "<i8"), *((n, t.replace("S", "V") if t[0] in "SV" else f"<{t}") for n, t in named)])
+
+
+LAYOUTS = {k: _dtype(*v) for k, v in _LAYOUTS.items()}
 DETAIL_ZERO = frozenset((0x4F, 0x45, 0x49))
+#: Text fields and their bytes.
+TEXTS = {"symbol": 8, "reason": 4}
 
 FIELDS = (
     "flags", "symbol", "size", "price", "trade_id", "sale_condition", "event", "status", "reason", "round_lot", "adj_poc", "luld_tier", "value", "detail", "price_type",
     "auction_type", "paired", "ref_price", "indicative_price", "imbalance", "imbalance_side",
 )
+LONGS = frozenset("size price trade_id round_lot adj_poc paired ref_price indicative_price imbalance".split())
 
 
 def _text(raw: bytes) -> str | None:
@@ -167,33 +245,70 @@ def _text(raw: bytes) -> str | None:
         return None
 
 
+def texts_of(raw: np.ndarray) -> list[str | None]:
+    """Space-padded byte fields as texts; null where they aren't UTF-8. Each distinct value is decoded once."""
+    distinct, at = np.unique(raw.view(f"S{raw.dtype.itemsize}") if raw.size else np.empty(0, "S1"), return_inverse=True)
+    whole = [x.ljust(raw.dtype.itemsize, b"\0") for x in distinct.tolist()]  # numpy drops zero bytes at the end
+    return np.array([_text(x) for x in whole] or [None], object)[at].tolist()
+
+
+def messages(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> dict[str, np.ndarray | list]:
+    """Columns of the bodies at ``starts`` in the bytes ``data``: kind, time, fields and ``error``.
+
+    Empty bodies and known kinds of a wrong length are errors; unknown kinds have a kind alone. A
+    column is a pair of values and of a mask of those present; texts and errors are lists.
+    """
+    n = len(starts)
+    out = {name: (np.zeros(n, np.int64), np.zeros(n, bool)) for name in ("kind", "ts_nanos", *(f for f in FIELDS if f not in TEXTS))}
+    texts = {name: [None] * n for name in (*TEXTS, "symbol_raw", "error")}
+    some = np.flatnonzero(sizes > 0)
+    kinds = np.zeros(n, np.int64)
+    kinds[some] = data[starts[some]]
+    out["kind"][0][some], out["kind"][1][some] = kinds[some], True
+    for i in np.flatnonzero(sizes == 0).tolist():
+        texts["error"][i] = "empty"
+    for kind in np.unique(kinds[some]).tolist():
+        layout = LAYOUTS.get(kind)
+        if layout is None:
+            continue
+        mine = some[kinds[some] == kind]
+        for i in mine[sizes[mine] != layout.itemsize].tolist():
+            texts["error"][i] = f"wrong_length: expected {layout.itemsize}, got {sizes[i]}"
+        mine = mine[sizes[mine] == layout.itemsize]
+        rows = data[starts[mine][:, None] + np.arange(layout.itemsize)].reshape(-1).view(layout)
+        for name in layout.names[1:]:
+            if name in TEXTS:
+                raw = np.ascontiguousarray(rows[name])
+                found = texts_of(raw)
+                cut = raw.view(f"V{TEXTS[name]}").tolist() if name == "symbol" else ()
+                for at, i in enumerate(mine.tolist()):
+                    texts[name][i] = found[at]
+                    if name == "symbol":
+                        texts["symbol_raw"][i] = cut[at]
+            elif name != "_":
+                out[name][0][mine], out[name][1][mine] = rows[name], True
+        if kind in DETAIL_ZERO:
+            out["detail"][1][mine] = True
+    return {**out, **texts}
+
+
 def message(body: bytes) -> dict:
-    """A message's kind, time and fields; ``error`` for empty bodies and known kinds of a wrong length. Unknown kinds are kept raw."""
-    if not body:
-        return {"error": "empty"}
-    kind = body[0]
-    if kind not in LAYOUTS:
-        return {"kind": kind}
-    layout, names, second = LAYOUTS[kind]
-    if len(body) != layout.size:
-        return {"kind": kind, "error": f"wrong_length: expected {layout.size}, got {len(body)}"}
-    _, byte, ts, *values = layout.unpack(body)
-    out = {"kind": kind, "ts_nanos": ts, second: byte, **{n: v for n, v in zip(names, values, strict=True) if n != "_"}}
-    if "symbol" in out:
-        out["symbol_raw"], out["symbol"] = out["symbol"], _text(out["symbol"])
-    if "reason" in out:
-        out["reason"] = _text(out["reason"])
-    if kind in DETAIL_ZERO:
-        out["detail"] = 0
-    return out
+    """One message's fields that are present, as :func:`messages` gives them."""
+    found = messages(np.frombuffer(body, np.uint8), np.zeros(1, np.int64), np.array([len(body)]))
+    row = {k: int(v[0][0]) for k, v in found.items() if isinstance(v, tuple) and v[1][0]} | {k: v[0] for k, v in found.items() if isinstance(v, list) and v[0] is not None}
+    return row | ({"symbol": None} if "symbol_raw" in row and "symbol" not in row else {})
 
 
 def message_bytes(kind: int, ts_nanos: int, **fields) -> bytes:
     """The body of a message of a known kind; symbols are padded with spaces."""
-    layout, names, second = LAYOUTS[kind]
-    pad = {"symbol": 8, "reason": 4}
-    values = [b"\0" * 37 if n == "_" else str(fields.get(n) or "").encode()[: pad[n]].ljust(pad[n]) if n in pad else int(fields.get(n) or 0) for n in names]
-    return layout.pack(kind, int(fields.get(second) or 0), ts_nanos, *values)
+    row = np.zeros(1, LAYOUTS[kind])
+    row["kind"], row["ts_nanos"] = kind, ts_nanos
+    for name in LAYOUTS[kind].names:
+        if name in TEXTS:
+            row[name] = np.array([str(fields.get(name) or "").encode()[: TEXTS[name]].ljust(TEXTS[name])]).view(f"V{TEXTS[name]}")
+        elif name not in ("kind", "ts_nanos", "_"):
+            row[name] = int(fields.get(name) or 0)
+    return row.tobytes()
 
 
 def segment_bytes(bodies: list[bytes], session: int, first_sequence: int, channel: int = 1, send_time: int = 0, stream_offset: int = 0, count: int | None = None, protocol: int = 0x8004, version: int = 1) -> bytes:
@@ -201,7 +316,7 @@ def segment_bytes(bodies: list[bytes], session: int, first_sequence: int, channe
     return HEADER.pack(version, protocol, channel, session, len(block) & 0xFFFF, len(bodies) if count is None else count, stream_offset, first_sequence, send_time) + block
 
 
-def frame_bytes(payload: bytes, tags: int = 1, target: tuple[int, ...] = (233, 215, 21, 4), port: int = 10378) -> bytes:
+def frame_bytes(payload: bytes, tags: int = 1, target: tuple[int, ...] = (239, 1, 2, 3), port: int = 20_480) -> bytes:
     udp = struct.pack(">HHHH", port, port, 8 + len(payload), 0) + payload
     ip = struct.pack(">BBHHHBBH4s4s", 0x45, 0, 20 + len(udp), 0, 0, 64, UDP, 0, bytes(4), bytes(target))
     return bytes(12) + b"\x81\x00\x00\x01" * tags + b"\x08\x00" + ip + udp

@@ -1,11 +1,14 @@
 """Capture files to packets, datagrams, segments and typed messages, and back.
 
-Files are read by Spark's binary source, so any store that Spark reads will do; a file is one task's
-work and has to fit the source's limit of 2 GB. From packets on, every step is an Arrow-batched map.
+Small files are read whole by Spark's binary source, so any store that Spark reads will do. Files
+of any size go through a source of their own: one pass over the record headers cuts a file at
+records into ranges, and every range is a task. From packets on, each step is an Arrow-batched map
+in NumPy columns; no row becomes a Python dict.
 """
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,40 +24,43 @@ MESSAGES = (
     "sale_condition int, event int, status int, reason string, round_lot long, adj_poc long, luld_tier int, value int, detail int, price_type int, auction_type int, paired long, ref_price long, "
     "indicative_price long, imbalance long, imbalance_side int, raw binary, error string"
 )
-#: Rows of a batch that the maps below emit at once.
-OUT_ROWS = 20_000
+#: Rows of a batch that the maps below emit at once, and bytes of a file that one task reads.
+OUT_ROWS, RANGE_BYTES = 20_000, 128 << 20
 
 
-def _emit(schema: str):
-    """From row dicts to Arrow batches of bounded size."""
-    kinds = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "array<binary>": pa.list_(pa.binary())}
-    fields = [(n, kinds[t]) for n, t in (f.strip().split(" ") for f in schema.split(","))]
-    arrow = pa.schema(fields)
+_KINDS = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "array<binary>": pa.list_(pa.binary())}
 
-    def run(rows):
-        held = []
-        for row in rows:
-            held.append(row)
-            if len(held) >= OUT_ROWS:
-                yield pa.RecordBatch.from_pylist(held, arrow)
-                held = []
-        yield pa.RecordBatch.from_pylist(held, arrow)
 
-    return run
+def _fields(schema: str) -> dict[str, pa.DataType]:
+    return {n: _KINDS[t] for n, t in (f.strip().split(" ") for f in schema.split(","))}
 
 
-def _map(df: DataFrame, fn, schema: str) -> DataFrame:
-    """``fn`` turns a row dict into row dicts."""
+def _batch(schema: str, columns: dict) -> pa.RecordBatch:
+    kinds = _fields(schema)
+    return pa.RecordBatch.from_arrays([c if isinstance(c := columns[n], pa.Array) else pa.array(c, t) for n, t in kinds.items()], list(kinds))
 
-    def run(batches):
-        emit = _emit(schema)
-        yield from emit(row for batch in batches for source in batch.to_pylist() for row in fn(source))
 
-    return df.mapInArrow(run, schema)
+def _packet_batches(name: str, content: bytes):
+    """Packets of a file's bytes, a bounded number at a time."""
+    kind, link, found = wire.packets(content)
+    number, rows = 0, []
+
+    def batch():
+        ts, data, orig, position = zip(*rows, strict=True) if rows else ((), (), (), ())
+        n = len(rows)
+        return _batch(PACKETS, {"capture_id": [name] * n, "format": [kind] * n, "linktype": [link] * n, "packet_no": range(number - n, number), "ts_nanos": ts, "data": data, "orig_len": orig, "position": position})
+
+    for row in found:
+        rows.append(row)
+        number += 1
+        if len(rows) >= OUT_ROWS:
+            yield batch()
+            rows = []
+    yield batch()
 
 
 def read_packets(spark: SparkSession, path: str) -> DataFrame:
-    """The packets of every capture file under ``path``; a file of an unknown format is an error."""
+    """The packets of every capture file under ``path``, each up to 2 GB; a file of an unknown format is an error."""
     files = spark.read.format("binaryFile").load(path).select("path", "content")
     return packets_of(files.withColumnRenamed("path", "capture_id"))
 
@@ -62,33 +68,85 @@ def read_packets(spark: SparkSession, path: str) -> DataFrame:
 def packets_of(files: DataFrame) -> DataFrame:
     """Packets of ``(capture_id, content)`` rows."""
 
-    def fn(row):
-        kind, link, found = wire.packets(row["content"])
-        for n, (ts, data, orig, position) in enumerate(found):
-            yield {"capture_id": row["capture_id"], "format": kind, "linktype": link, "packet_no": n, "ts_nanos": ts, "data": data, "orig_len": orig, "position": position}
+    def run(batches):
+        for batch in batches:
+            for name, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                yield from _packet_batches(name, content.as_py())
+
+    return files.select("capture_id", "content").mapInArrow(run, PACKETS)
+
+
+RANGES = "path string, format string, first_packet long, start long, stop long, state string"
+
+
+def large_ranges(spark: SparkSession, paths: list[str], range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """Ranges of whole records of capture files of any size, found by one pass over their record headers: a task for each file.
+
+    The files lie where executors can open them by these paths; headers alone are read.
+    """
+
+    def run(batches):
+        for batch in batches:
+            for path in batch.column(0).to_pylist():
+                rows = list(wire.record_ranges(path, range_bytes))
+                columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
+                yield _batch(RANGES, {"path": [path] * len(rows), **dict(zip(("format", "first_packet", "start", "stop", "state"), columns, strict=True))})
 
-    return _map(files.select("capture_id", "content"), fn, PACKETS)
+    found = spark.createDataFrame([(p,) for p in paths], "path string").repartition(max(1, len(paths)))
+    return found.mapInArrow(run, RANGES)
+
+
+def read_large(spark: SparkSession, paths: list[str], range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """The packets of capture files of any size: one task reads one range. The rows are those of :func:`read_packets`."""
+    ranges = large_ranges(spark, paths, range_bytes)
+
+    def run(batches):
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                path, kind, first, start, stop, state = row
+                link, found = wire.range_packets(path, kind, start, stop, state)
+                rows, number = [], first
+                for packet in found:
+                    rows.append(packet)
+                    if len(rows) >= OUT_ROWS:
+                        yield _large_batch(path, kind, link, number, rows)
+                        number += len(rows)
+                        rows = []
+                yield _large_batch(path, kind, link, number, rows)
+
+    number = ranges.count()
+    return ranges.repartition(max(1, number), "path", "start").mapInArrow(run, PACKETS)
+
+
+def _large_batch(path: str, kind: str, link: int | None, number: int, rows: list[tuple]) -> pa.RecordBatch:
+    ts, data, orig, position = zip(*rows, strict=True) if rows else ((), (), (), ())
+    n = len(rows)
+    return _batch(PACKETS, {"capture_id": [path] * n, "format": [kind] * n, "linktype": [link] * n, "packet_no": range(number, number + n), "ts_nanos": ts, "data": data, "orig_len": orig, "position": position})
 
 
 def datagrams(packets: DataFrame) -> DataFrame:
     """One row for each packet: its datagram, or in ``skip`` why there is none."""
 
-    def fn(row):
-        skip, source, target, address, payload = wire.datagram(row.pop("data"))
-        yield row | {"skip": skip, "src_port": source, "dst_port": target, "dst_ip": address or None, "payload": None if skip else payload}
+    def run(batches):
+        for batch in batches:
+            skip, source, target, address, payload = zip(*map(wire.datagram, batch.column(3).to_pylist()), strict=True) if batch.num_rows else ((),) * 5
+            columns = {"skip": skip, "src_port": source, "dst_port": target, "dst_ip": [a or None for a in address], "payload": [None if s else p for s, p in zip(skip, payload, strict=True)]}
+            yield _batch(DATAGRAMS, {**{n: batch.column(i) for i, n in enumerate(("capture_id", "packet_no", "ts_nanos"))}, **columns})
 
-    return _map(packets.select("capture_id", "packet_no", "ts_nanos", "data"), fn, DATAGRAMS)
+    return packets.select("capture_id", "packet_no", "ts_nanos", "data").mapInArrow(run, DATAGRAMS)
 
 
 def segments(found: DataFrame) -> DataFrame:
     """The segments of datagrams; payloads too short for a header give none."""
 
-    def fn(row):
-        seg = wire.segment(row.pop("payload"))
-        if seg:
-            yield row | seg
+    def run(batches):
+        for batch in batches:
+            cut = [wire.segment(p) for p in batch.column(3).to_pylist()]
+            rows = [s for s in cut if s]
+            own = batch.filter(pa.array([s is not None for s in cut], pa.bool_()))
+            yield _batch(SEGMENTS, {**{n: own.column(i) for i, n in enumerate(("capture_id", "packet_no", "ts_nanos"))}, **{n: [s[n] for s in rows] for n in _fields(SEGMENT)}})
 
-    return _map(found.where("skip IS NULL").select("capture_id", "packet_no", "ts_nanos", "payload"), fn, SEGMENTS)
+    return found.where("skip IS NULL").select("capture_id", "packet_no", "ts_nanos", "payload").mapInArrow(run, SEGMENTS)
 
 
 def heartbeats(found: DataFrame) -> DataFrame:
@@ -97,12 +155,25 @@ def heartbeats(found: DataFrame) -> DataFrame:
 
 def messages(found: DataFrame) -> DataFrame:
     """Typed messages of segments, one wide row each; unknown kinds and errors keep their bytes in ``raw``."""
+    kinds = _fields(MESSAGES)
 
-    def fn(row):
-        for n, body in enumerate(row["messages"]):
-            yield {k: row[k] for k in ("capture_id", "packet_no", "channel", "session")} | {"msg_no": n, "sequence": row["first_sequence"] + n, "raw": body} | wire.message(body)
-
-    return _map(found.select("capture_id", "packet_no", "channel", "session", "first_sequence", "messages"), fn, MESSAGES)
+    def run(batches):
+        for batch in batches:
+            lists = batch.column(5)
+            per_row = np.diff(lists.offsets.to_numpy())
+            bodies = lists.flatten()
+            owner = np.repeat(np.arange(batch.num_rows), per_row)
+            number = np.arange(len(owner)) - np.repeat(np.cumsum(per_row) - per_row, per_row)
+            edges = np.frombuffer(bodies.buffers()[1], np.int32)[bodies.offset : bodies.offset + len(bodies) + 1].astype(np.int64) if len(bodies) else np.zeros(1, np.int64)
+            data = np.frombuffer(bodies.buffers()[2], np.uint8) if len(bodies) and bodies.buffers()[2] else np.empty(0, np.uint8)
+            parsed = wire.messages(data, edges[:-1], np.diff(edges))
+            columns = {n: batch.column(i).take(pa.array(owner)) for i, n in enumerate(("capture_id", "packet_no", "channel", "session"))}
+            columns |= {"msg_no": pa.array(number, pa.int64()), "sequence": pa.array(batch.column(4).to_numpy()[owner] + number, pa.int64()), "raw": bodies}
+            for name, values in parsed.items():
+                columns[name] = pa.array(values[0], mask=~values[1]).cast(kinds[name]) if isinstance(values, tuple) else pa.array(values, kinds[name])
+            yield _batch(MESSAGES, columns)
+
+    return found.select("capture_id", "packet_no", "channel", "session", "first_sequence", "messages").mapInArrow(run, MESSAGES)
 
 
 def skip_counts(found: DataFrame) -> DataFrame:
@@ -117,22 +188,32 @@ def kind_lengths(found: DataFrame) -> DataFrame:
     return n.withColumn("second", F.row_number().over(Window.partitionBy("kind").orderBy(F.desc("n"), "length")) > 1)
 
 
-def encode_updates(updates: DataFrame, segment_messages: int = 5, session: int = 1140588544, packets_per_capture: int = 10_000) -> DataFrame:
+def encode_updates(updates: DataFrame, segment_messages: int = 5, session: int = 7_001, packets_per_capture: int = 4_000) -> DataFrame:
     """Packets that carry price-level updates in order of ``seq``: ``(capture_id, packet_no, ts_nanos, data)``.
 
     A segment has the updates of ``segment_messages`` successive sequence numbers, a capture the
-    segments of ``packets_per_capture``; both are bounded groups.
+    segments of ``packets_per_capture``: a capture is one bounded group, its bodies one array.
     """
-    rows = updates.select(F.floor(F.col("seq") / segment_messages).cast("long").alias("segment"), "seq", "symbol", "side", "flags", "size", "price", "ts_nanos")
+    segment = F.floor(F.col("seq") / segment_messages).cast("long")
+    rows = updates.select(F.floor(segment / packets_per_capture).cast("long").alias("capture"), segment.alias("segment"), "seq", "symbol", "side", "flags", "size", "price", "ts_nanos")
+    layout = wire.LAYOUTS[0x38]
 
     def build(table: pa.Table) -> pa.Table:
-        found = table.sort_by([("seq", "ascending")]).to_pylist()
-        bodies = [wire.message_bytes(0x38 if r["side"] == "B" else 0x35, r["ts_nanos"], symbol=r["symbol"], flags=r["flags"], size=r["size"], price=r["price"]) for r in found]
-        frame = wire.frame_bytes(wire.segment_bytes(bodies, session, found[0]["seq"] + 1, send_time=found[-1]["ts_nanos"]))
-        number = found[0]["segment"]
-        return pa.table({"capture_id": [f"capture-{number // packets_per_capture:06d}"], "packet_no": pa.array([number % packets_per_capture], pa.int64()), "ts_nanos": pa.array([found[-1]["ts_nanos"]], pa.int64()), "data": pa.array([frame], pa.binary())})
-
-    return rows.groupBy("segment").applyInArrow(build, "capture_id string, packet_no long, ts_nanos long, data binary")
+        table = table.sort_by([("seq", "ascending")])
+        own, seq, ts = (table[c].to_numpy() for c in ("segment", "seq", "ts_nanos"))
+        bodies = np.zeros(len(seq), layout)
+        for name in ("flags", "size", "price", "ts_nanos"):
+            bodies[name] = table[name].to_numpy()
+        bodies["kind"] = np.where(table["side"].to_numpy(zero_copy_only=False) == "B", 0x38, 0x35)
+        bodies["symbol"] = np.array([s.encode()[:8].ljust(8) for s in table["symbol"].to_pylist()]).view("V8")
+        cut = np.frombuffer(bodies.tobytes(), f"V{layout.itemsize}").tolist()
+        first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+        ends = [*first[1:].tolist(), len(own)]
+        frames = [wire.frame_bytes(wire.segment_bytes(cut[a:b], session, int(seq[a]) + 1, send_time=int(ts[b - 1]))) for a, b in zip(first.tolist(), ends, strict=True)]
+        name = f"capture-{table['capture'][0].as_py():06d}"
+        return pa.table({"capture_id": [name] * len(first), "packet_no": pa.array(own[first] % packets_per_capture), "ts_nanos": pa.array(ts[np.array(ends) - 1]), "data": pa.array(frames, pa.binary())})
+
+    return rows.groupBy("capture").applyInArrow(build, "capture_id string, packet_no long, ts_nanos long, data binary")
 
 
 def capture_files(packets: DataFrame) -> DataFrame:

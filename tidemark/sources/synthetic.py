@@ -26,7 +26,7 @@ def updates(spark: SparkSession, n: int, seed: int = 1, symbols: int = 8, depth:
     )
 
 
-def arrivals(spark: SparkSession, segments: int, seed: int = 1, messages: int = 3, duplicate_share: float = 0.1, lost_share: float = 0.0, session: int = 1140588544) -> DataFrame:
+def arrivals(spark: SparkSession, segments: int, seed: int = 1, messages: int = 3, duplicate_share: float = 0.1, lost_share: float = 0.0, session: int = 7_001) -> DataFrame:
     """Segment arrivals of one feed: a share is lost, another arrives twice."""
     base = spark.range(segments).where(_uniform(seed, "lost") >= lost_share)
     copies = F.when(_uniform(seed, "twice") < duplicate_share, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
