@@ -93,6 +93,13 @@ def test_columns_of_random_bodies_equal_a_plain_parse():
         assert row == want
 
 
+def test_catalogue_of_captures(spark, tmp_path):
+    for name, size in (("feed_20180127_A.pcap", 30), ("own.pcapng", 5), ("notes.txt", 9)):
+        (tmp_path / name).write_bytes(b"x" * size)
+    found = {r.path.split("/")[-1]: (str(r.day), r.n_bytes) for r in capture.catalogue(spark, str(tmp_path)).collect()}
+    assert found == {"feed_20180127_A.pcap": ("2018-01-27", 30), "own.pcapng": ("None", 5)}
+
+
 def test_files_in_ranges_equal_whole_files(spark, tmp_path):
     """Any cut of a file at records gives its packets, with a section of another byte order inside."""
     items = [(1_000_000 + 7_000 * i, bytes([i % 251]) * (i % 90)) for i in range(300)]

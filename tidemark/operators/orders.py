@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.market import symbol_bytes
+from tidemark.functions.market import KINDS, symbol_bytes
 from tidemark.operators import book, sequencing
+from tidemark.operators.prefix import running
 from tidemark.sources import capture
+from tidemark.tables import stored
 
 # The default rule (spread in 1/10000 dollar, shares) and the order message's token range.
 MIN_SPREAD, ORDER_SIZE, TOKEN_WRAP, U32 = 200, 100, 10**12, 2**32
@@ -54,6 +56,7 @@ def encoded(orders: DataFrame) -> DataFrame:
     return orders.withColumn("message", F.when(fits, message)).withColumn("error", F.when(~fits, "price_out_of_range"))
 
 
+LEVEL_KINDS, TRADE_KINDS = (0x38, 0x35), (0x54, 0x42)
 STAGES = ("receive", "sequence", "parse", "book", "decide", "encode")
 
 
@@ -105,9 +108,8 @@ def sequenced(segments: DataFrame) -> DataFrame:
     before = Window.orderBy(*feed).rowsBetween(Window.unboundedPreceding, -1)  # a row for each feed
     sizes = packets.groupBy(*feed).agg(F.sum("message_count").alias("n"), (F.max("book_epoch") + 1).alias("epochs"))
     starts = sizes.select(*feed, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"), F.coalesce(F.sum("epochs").over(before), F.lit(0)).alias("first_epoch"))
-    within = F.coalesce(F.sum("message_count").over(Window.partitionBy(*feed).orderBy("delivery_no").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    numbered = packets.withColumn("within", within).join(F.broadcast(starts), feed)
-    return numbered.select("capture_id", "packet_no", (F.col("first") + F.col("within")).alias("start"), (F.col("first_epoch") + F.col("book_epoch")).alias("book_epoch"))
+    numbered = running(packets, feed, ["delivery_no"], F.floor(F.col("delivery_no") / F.lit(50_000)), {"within": F.col("message_count")}, before=True).join(starts, feed)
+    return numbered.select("capture_id", "packet_no", (F.col("first") + F.coalesce("within", F.lit(0))).alias("start"), (F.col("first_epoch") + F.col("book_epoch")).alias("book_epoch"))
 
 
 def received(packets: DataFrame) -> DataFrame:
@@ -119,10 +121,40 @@ def received(packets: DataFrame) -> DataFrame:
 
 def updates_of(messages: DataFrame) -> DataFrame:
     """Price-level messages as updates of the book."""
-    levels = messages.where("error IS NULL").where(F.col("kind").isin(0x38, 0x35))
+    levels = messages.where("error IS NULL").where(F.col("kind").isin(*LEVEL_KINDS))
     return levels.select("seq", "book_epoch", "symbol", F.when(F.col("kind") == 0x38, "B").otherwise("S").alias("side"), "flags", "size", "price", "ts_nanos")
 
 
+def verdict(packets: DataFrame) -> DataFrame:
+    """One row on a session's packets: what came, what was in it, and whether it can be trusted.
+
+    Segments that had to wait are not replayed here. Trades include breaks; gaps are those opened;
+    ``crossed`` counts stable crosses; low and high are prices that aren't deletes.
+    """
+    found = capture.segments(capture.datagrams(packets))
+    arrivals = arrivals_of(found)
+    feed = ["capture_id", "channel"]
+    stats = sequencing.statistics(arrivals, replay_buffered=False).agg(F.coalesce(F.sum("gaps_opened"), F.lit(0)).alias("gaps"), F.coalesce(F.sum("duplicates"), F.lit(0)).alias("duplicates"))
+    sent = sequencing.sequence_exact(arrivals, replay_buffered=False).where(F.col("action").isin(sequencing.DELIVER, sequencing.RESET))
+    taken = found.join(sent.select(*feed, F.col("arrival_no").alias("packet_no")), [*feed, "packet_no"], "left_semi")
+    m = capture.messages(taken).where("kind IS NOT NULL")
+    update, good = F.col("kind").isin(*LEVEL_KINDS), F.col("error").isNull()
+    live = update & good & (F.col("size") > 0)
+    of_messages = m.agg(
+        F.count_if(good).alias("messages"), F.count_if(~good).alias("errors"), F.count_if(~F.col("kind").isin(*KINDS)).alias("unknown"), F.count_distinct("symbol").alias("symbols"),
+        F.count_if(update & good).alias("price_updates"), F.count_if(good & F.col("kind").isin(*TRADE_KINDS)).alias("trades"), F.min(F.when(live, F.col("price"))).alias("low"), F.max(F.when(live, F.col("price"))).alias("high"),
+    )
+    starts = running(taken.select(*feed, "packet_no", "message_count"), feed, ["packet_no"], F.floor(F.col("packet_no") / F.lit(50_000)), {"start": F.col("message_count")}, before=True)
+    numbered = m.join(starts.select(*feed, "packet_no", F.coalesce("start", F.lit(0)).alias("start")), [*feed, "packet_no"])
+    numbered = numbered.withColumn("seq", F.col("start") + F.col("msg_no")).withColumn("book_epoch", F.lit(0).cast("long")).withColumn("symbol", F.concat_ws("/", *feed, "symbol"))
+    touches = book.touch(stored(updates_of(numbered), "feed-updates"))
+    crosses = touches.agg(F.count_if(book.crossed(touches)["crossed_when_stable"]).alias("crossed"))
+    out = packets.agg(F.count("*").alias("packets"))
+    for one in (of_messages, stats, crosses):
+        out = out.join(F.broadcast(one))  # one row each
+    return out
+
+
 def feed_counters(packets: DataFrame, upto: str = "encode") -> DataFrame:
     """One row from packets on: the counters of :func:`counters`, packets and the sequencer's losses, each 0 beyond the stage ``upto``.
 
@@ -143,5 +175,13 @@ def feed_counters(packets: DataFrame, upto: str = "encode") -> DataFrame:
     if at < 2:
         return out.select("*", *map(none, ("messages", "book_updates", "quotes", "orders_encoded", "encode_errors")))
     messages = received(packets)
-    out = out.join(F.broadcast(messages.agg(F.count_if(F.col("error").isNull()).alias("messages"))))
-    return out.join(F.broadcast(counters(updates_of(messages), upto).drop("messages")))
+    good = F.col("error").isNull()
+    updates = good & F.col("kind").isin(*LEVEL_KINDS)
+    zero = F.lit(0).cast("long")
+    out = out.join(F.broadcast(messages.agg(F.count_if(good).alias("messages"), (F.count_if(updates) if at >= STAGES.index("book") else zero).alias("book_updates"))))
+    if at < STAGES.index("decide"):
+        return out.select("*", *map(none, ("quotes", "orders_encoded", "encode_errors")))
+    quotes = stored(spread_threshold(book.touch(stored(updates_of(messages), "feed-updates"))), "feed-quotes")  # both are read more than once
+    encodes = upto == "encode"
+    made = encoded(with_tokens(quotes)) if encodes else quotes
+    return out.join(F.broadcast(made.agg(F.count("*").alias("quotes"), *((F.count(c) if encodes else zero).alias(n) for c, n in (("message" if encodes else "seq", "orders_encoded"), ("error" if encodes else "seq", "encode_errors"))))))

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.sources import capture
+
 #: Updates in a book epoch, in a segment, and segments in a session.
 EPOCH, SEGMENT, SESSION = 4000, 5, 100
 
@@ -45,6 +47,11 @@ SELECT session, first_sequence, CAST(message_count AS BIGINT) AS message_count,
 )
 """
 
+#: The same with a heartbeat after every ninth segment.
+BEATS_SQL = ARRIVALS_SQL + """UNION ALL
+SELECT seg // 100, (seg % 100) * 5 + 1, 0, 'A', seg * 40 + 39 FROM (SELECT DISTINCT event_id // 5 AS seg FROM events) WHERE seg % 9 = 0
+"""
+
 #: Waiting work: arrival and service times in nanoseconds, by user as one server each.
 QUEUE_SQL = "SELECT event_id AS item, user_id % 20 AS server, event_id * 1000 AS sched, CAST(floor(value * 400) AS BIGINT) AS service FROM events"
 
@@ -77,6 +84,29 @@ def arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.unionByName(b).select("session", "first_sequence", "message_count", "feed", F.expr("seg * 40 + slot").alias("arrival_no"))
 
 
+def arrivals_with_beats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """:func:`arrivals` with heartbeats in between."""
+    seg = events(spark, sf_dir).select(F.expr("event_id div 5").alias("seg")).distinct().where("seg % 9 = 0")
+    beats = seg.select(F.expr("seg div 100").alias("session"), F.expr("(seg % 100) * 5 + 1").alias("first_sequence"), F.lit(0).cast("long").alias("message_count"), F.lit("A").alias("feed"), F.expr("seg * 40 + 39").alias("arrival_no"))
+    return arrivals(spark, sf_dir).unionByName(beats)
+
+
+def packets(spark: SparkSession, sf_dir: str, sessions: int) -> DataFrame:
+    """The arrivals with heartbeats as packets that carry the updates, every tenth a trade instead: a capture and channel for each ``sessions`` sessions."""
+    level = F.when(F.col("side") == "B", 0x38).otherwise(0x35)
+    kind = F.when(F.col("seq") % 50 == 3, 0x42).when(F.col("seq") % 10 == 3, 0x54).otherwise(level)
+    bodies = capture.encode_messages(updates(spark, sf_dir).select("seq", kind.alias("kind"), "ts_nanos", "symbol", "flags", "size", "price", F.col("seq").alias("trade_id")))
+    by_segment = bodies.groupBy(F.expr("seq div 5").alias("seg")).agg(F.sort_array(F.collect_list(F.struct("seq", "body"))).alias("m"))
+    full = F.expr("session * 100 + (first_sequence - 1) div 5")
+    rows = arrivals_with_beats(spark, sf_dir).withColumn("seg", F.when(F.col("message_count") > 0, full)).join(by_segment, "seg", "left")
+    channel = F.floor(F.col("session") / F.lit(sessions)).cast("long")
+    none = F.array().cast("array<binary>")
+    return capture.encode_segments(rows.select(
+        F.format_string("feed-%06d", channel).alias("capture_id"), F.col("arrival_no").alias("packet_no"), (F.col("arrival_no") * 1000).alias("ts_nanos"), channel.alias("channel"), "session", "first_sequence",
+        F.coalesce(F.transform("m", lambda r: r["body"]), none).alias("bodies"),
+    ))
+
+
 def queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scheduled items with service times: item, server, sched, service."""
     return events(spark, sf_dir).selectExpr("event_id AS item", "user_id % 20 AS server", "event_id * 1000 AS sched", "CAST(floor(value * 400) AS BIGINT) AS service")

@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.functions import wire
 
@@ -216,11 +217,57 @@ def encode_updates(updates: DataFrame, segment_messages: int = 5, session: int =
     return rows.groupBy("capture").applyInArrow(build, "capture_id string, packet_no long, ts_nanos long, data binary")
 
 
-def capture_files(packets: DataFrame) -> DataFrame:
-    """``(capture_id, content)``: a classic capture file of each capture's packets, microsecond times."""
+def encode_messages(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``body``, the message of their ``kind``, ``ts_nanos`` and field columns (null is 0 or blank)."""
+    schema = T.StructType([*rows.schema.fields, T.StructField("body", T.BinaryType())])
+    names = rows.columns
+
+    def run(batches):
+        for batch in batches:
+            kinds, bodies = batch.column(names.index("kind")).to_numpy(), [None] * batch.num_rows
+            for kind in np.unique(kinds).tolist():
+                mine, layout = np.flatnonzero(kinds == kind), wire.LAYOUTS[kind]
+                own, made = batch.take(pa.array(mine)), np.zeros(len(mine), layout)
+                for name in layout.names:
+                    if name in wire.TEXTS:
+                        texts = own.column(names.index(name)).to_pylist() if name in names else [""] * len(mine)
+                        made[name] = np.array([(t or "").encode()[: wire.TEXTS[name]].ljust(wire.TEXTS[name]) for t in texts]).view(f"V{wire.TEXTS[name]}")
+                    elif name in names:
+                        made[name] = own.column(names.index(name)).fill_null(0).to_numpy()
+                for i, body in zip(mine.tolist(), np.frombuffer(made.tobytes(), f"V{layout.itemsize}").tolist(), strict=True):
+                    bodies[i] = body
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(bodies, pa.binary())], [*names, "body"])
+
+    return rows.mapInArrow(run, schema)
+
+
+def encode_segments(rows: DataFrame) -> DataFrame:
+    """Packets of segments ``(capture_id, packet_no, ts_nanos, channel, session, first_sequence, bodies array<binary>)``."""
+
+    def run(batches):
+        for batch in batches:
+            *_, channel, session, first, bodies = (c.to_pylist() for c in batch.columns)
+            frames = [wire.frame_bytes(wire.segment_bytes(b, s, f, channel=c)) for c, s, f, b in zip(channel, session, first, bodies, strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(frames, pa.binary())], ["capture_id", "packet_no", "ts_nanos", "data"])
+
+    chosen = rows.select("capture_id", *(F.col(c).cast("long").alias(c) for c in ("packet_no", "ts_nanos", "channel", "session", "first_sequence")), "bodies")
+    return chosen.mapInArrow(run, "capture_id string, packet_no long, ts_nanos long, data binary")
+
+
+def catalogue(spark: SparkSession, path: str) -> DataFrame:
+    """``(path, day, n_bytes)`` of the capture files under ``path``; the day is the date in a file's name. No content is read."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.pcap*").load(path).select("path", "length")
+    day = F.to_date(F.nullif(F.regexp_extract(F.element_at(F.split("path", "/"), -1), "([0-9]{8})", 1), F.lit("")), "yyyyMMdd")
+    return files.select("path", day.alias("day"), F.col("length").alias("n_bytes"))
+
+
+def capture_files(packets: DataFrame, form: str = "pcap") -> DataFrame:
+    """``(capture_id, content)``: a file of each capture's packets in order of ``packet_no``, classic with microsecond times or pcapng with nanoseconds."""
 
     def build(table: pa.Table) -> pa.Table:
-        rows = table.sort_by([("packet_no", "ascending")]).to_pylist()
-        return pa.table({"capture_id": [rows[0]["capture_id"]], "content": pa.array([wire.pcap_bytes([(r["ts_nanos"], r["data"]) for r in rows])], pa.binary())})
+        table = table.sort_by([("packet_no", "ascending")])
+        items = list(zip(table["ts_nanos"].to_pylist(), table["data"].to_pylist(), strict=True))
+        content = wire.pcap_bytes(items) if form == "pcap" else wire.pcapng_bytes(items, tsresol=9)
+        return pa.table({"capture_id": table["capture_id"].slice(0, 1), "content": pa.array([content], pa.binary())})
 
     return packets.select("capture_id", "packet_no", "ts_nanos", "data").groupBy("capture_id").applyInArrow(build, "capture_id string, content binary")
