@@ -7,6 +7,7 @@ import zlib
 import numpy as np
 import pytest
 
+from tidemark.tables import stored
 from tidemark.llm import bpe_sql, html_extract, langid, packing, quality, repetition, topk_search
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -20,22 +21,19 @@ def docs(spark, rows, schema="doc_id long, text string"):
 
 
 def brute_top(vectors, k):
-    ints = {}
-    for i, v in vectors:
-        if i is None or v is None or any(x is None or not np.isfinite(x) for x in v):
-            continue
-        w = [int(np.floor(64 * float(x))) for x in v]
-        ints[i] = min(ints[i], w) if i in ints else w
+    """Every row is a vector of its own."""
+    rows = [(i, [int(np.floor(64 * float(x))) for x in v]) for i, v in vectors if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
     out = []
-    for q in ints:
+    for at, (q, v) in enumerate(rows):
         if q % 20 == 0:
-            found = sorted((-sum(a * b for a, b in zip(ints[q], ints[c])), c) for c in ints if c != q)[:k]
+            found = sorted((-sum(a * b for a, b in zip(v, w)), c) for other, (c, w) in enumerate(rows) if other != at)[:k]
             out += [(q, r + 1, c, -s) for r, (s, c) in enumerate(found)]
     return sorted(out)
 
 
 def top(spark, vectors, k=20, **blocks):
-    v = topk_search.quantized(spark.createDataFrame(vectors, "vec_id long, embedding array<float>")).cache()
+    frame = spark.createDataFrame([(*v, 1, "x") for v in vectors], "vec_id long, embedding array<float>, row int, v string")
+    v = stored(topk_search.quantized(frame), "test-vectors")
     return sorted(tuple(r) for r in topk_search.top_k(v.where("vec_id % 20 = 0"), v, k, **blocks).collect())
 
 
@@ -43,10 +41,19 @@ def test_top_k_equals_brute_force_over_blocks(spark):
     rng = np.random.default_rng(1)
     vectors = [(i, [float(np.float32(x)) for x in rng.normal(0, 0.1, 8)]) for i in range(90)]
     vectors += [(200 + i, vectors[0][1]) for i in range(30)]  # ties
-    vectors += [(5, vectors[5][1]), (None, [0.1]), (400, None), (401, [0.1, None]), (402, [float("nan")]), (403, [float("inf")]), (404, []), (405, [0.5] * 12)]
+    vectors += [(5, vectors[5][1]), (40, vectors[3][1]), (40, vectors[40][1]), (None, [0.1]), (400, None), (401, [0.1, None]), (402, [float("nan")]), (403, [float("inf")]), (404, []), (405, [0.5] * 12)]
     assert top(spark, vectors, 7, query_block=3, candidate_block=16) == brute_top(vectors, 7)
 
 
+def test_blocks_grow_before_cells_become_many(spark, monkeypatch):
+    assert topk_search._block_count(100_000_000, 528, 8192, 64) < 1000 and topk_search._block_count(51_282, 528, 8192, 64) == 7
+    rng = np.random.default_rng(2)
+    vectors = [(i, rng.normal(0, 0.3, 4).astype(np.float32).tolist()) for i in range(200)]
+    for name, value in (("QUERY_BLOCKS", 2), ("CANDIDATE_BLOCKS", 3), ("BLOCK_BYTES", 2000)):
+        monkeypatch.setattr(topk_search, name, value)
+    assert top(spark, vectors, 5, query_block=2, candidate_block=4) == brute_top(vectors, 5)
+
+
 def test_top_k_of_few_and_of_none(spark):
     assert top(spark, [(0, [1.0]), (1, [2.0])]) == [(0, 1, 1, 64 * 128)]
     assert top(spark, []) == []
@@ -73,7 +80,56 @@ def test_suffix_repeats_equal_brute_force():
     for _ in range(150):
         texts = [[rng.choice("ab" if rng.random() < 0.5 else "abcd") for _ in range(rng.randint(0, 30))] for _ in range(rng.randint(1, 4))]
         codes = [c for d, ws in enumerate(texts) for c in [*(d * 200 + ord(w) for w in ws), -1 - d]]
-        assert repetition.suffix_repeats(np.array(codes)).tolist() == [x for ws in texts for x in [*brute_longest(ws), 0]]
+        assert repetition.longest_of(repetition.suffix_array(np.array(codes))).tolist() == [x for ws in texts for x in [*brute_longest(ws), 0]]
+
+
+def brute_maximal(words, least):
+    """Spans of maximal repeats of at least ``least`` words: runs that occur twice or more and can't be extended to either side everywhere."""
+    at = {}
+    for i in range(len(words)):
+        for n in range(least, len(words) - i + 1):
+            at.setdefault(tuple(words[i : i + n]), []).append(i)
+    reach, longest = [0] * len(words), 0
+    for run, places in at.items():
+        if len(places) < 2:
+            continue
+        before = {words[i - 1] if i else None for i in places} if all(places) else {0, 1}
+        after = {words[i + len(run)] if i + len(run) < len(words) else (i,) for i in places}
+        if len(before) > 1 and len(after) > 1:
+            longest = max(longest, len(run))
+            for i in places:
+                for j in range(i, i + len(run)):
+                    reach[j] = 1
+    return sum(reach), longest
+
+
+def test_maximal_repeats_and_the_verdict_equal_brute_force(spark):
+    rng = random.Random(13)
+    rows = []
+    for i in range(60):
+        base = [rng.choice("abcdefghij") + str(rng.randint(0, 3)) for _ in range(rng.randint(40, 90))]
+        for _ in range(rng.randint(0, 3)):
+            a, n, to = rng.randint(0, 30), rng.randint(5, 30), rng.randint(0, len(base))
+            base[to:to] = base[a : a + n]
+        rows.append((i, " ".join(base)))
+    rows += [(100, "x y " * 60), (101, "z " * 80), (102, " ".join(f"u{i}" for i in range(70)))]
+    found = {r.doc_id: r for r in repetition.repetition_rules(docs(spark, rows)).collect()}
+    for i, text in rows:
+        words = text.split()
+        n, r = len(words), found[i]
+        n_covered, longest = brute_maximal(words, 8)
+        windows = {}
+        for k in range(n - 2):
+            windows.setdefault(tuple(words[k : k + 3]), []).append(k)
+        repeated = {k + j for places in windows.values() if len(places) > 1 for k in places for j in range(3)}
+        failed = n < 50 or 100 * len(repeated) > 50 * n
+        assert (r.n_covered_words, r.longest_repeat, r.n_repeat_words, r.base_failed) == (n_covered, longest, len(repeated), failed)
+        assert r.kept == (not failed and n_covered <= 0.3 * n and (longest <= 50 or longest <= 0.2 * n))
+
+
+def test_rules_of_clashing_columns_and_of_an_empty_table(spark):
+    frame = spark.createDataFrame([(1, "a b c", 5, "x")], "doc_id long, text string, n_words int, kept string")
+    assert repetition.repetition_rules(frame).first().n_words == 3 and repetition.repetition_rules(frame.limit(0)).count() == 0
 
 
 def test_rules_of_odd_texts(spark):

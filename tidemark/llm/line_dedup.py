@@ -28,7 +28,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import SPACE, free_name, join_facts, map_texts, slices, stored
+from tidemark.llm.common import SPACE, free_name, join_facts, map_texts, slices
+from tidemark.tables import stored
 
 SLOTS = 4
 #: Bits of a fingerprint.

@@ -23,7 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import discard, join_facts, map_texts, stored
+from tidemark.llm.common import join_facts, map_texts
+from tidemark.tables import discard, stored
 
 WIDTH = 5
 #: The sketch has all bins, the bands the first BANDS * ROWS of them.

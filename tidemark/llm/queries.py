@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import bpe_sql, chat, html_extract, langid, line_dedup, near_dedup, packing, quality, repetition, topk_search
-from tidemark.llm.common import stored
+from tidemark.tables import stored
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,17 +64,16 @@ QUERIES = {f.__name__: f for f in (op1_topk_search, op2_line_dedup, op3_repetiti
 ORACLES = {
     "op1_topk_search": """
 WITH sound AS (
-    SELECT vec_id, min(embedding) AS e FROM embeddings
+    SELECT row_number() OVER () AS r, vec_id, embedding AS e FROM embeddings
     WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
-    GROUP BY vec_id
 ), terms AS (
-    SELECT vec_id, i, floor(64 * e[i]::DOUBLE)::BIGINT AS w FROM sound, unnest(range(1, len(e) + 1)) AS u(i)
+    SELECT r, vec_id, i, floor(64 * e[i]::DOUBLE)::BIGINT AS w FROM sound, unnest(range(1, len(e) + 1)) AS u(i)
 ), scores AS (
-    SELECT q.vec_id AS query_id, c.vec_id, sum(q.w * c.w)::BIGINT AS score
-    FROM terms q JOIN terms c ON q.i = c.i AND q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0 GROUP BY ALL
+    SELECT q.r, q.vec_id AS query_id, c.r AS other, c.vec_id, sum(q.w * c.w)::BIGINT AS score
+    FROM terms q JOIN terms c ON q.i = c.i AND q.r <> c.r WHERE q.vec_id % 20 = 0 GROUP BY ALL
 )
 SELECT query_id, rank, vec_id, score
-FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM scores) WHERE rank <= 20
+FROM (SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id)::INTEGER AS rank FROM scores) WHERE rank <= 20
 """,
     "op2_line_dedup": r"""
 WITH lines AS (

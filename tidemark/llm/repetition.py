@@ -3,10 +3,10 @@
 The words of many whole texts are numbered and laid end to end, each text closed by a mark of its
 own, so that one suffix array (prefix doubling) serves a slice of texts and no repeat crosses
 them. The ranks kept at each doubling give the longest common prefix of neighbouring suffixes by
-descending powers of two. A suffix's longest repeat is the larger of its two neighbouring values,
-that is, the deepest LCP interval it lies in; the union of these spans, for repeats of at least
-``min_words`` words, covers what maximal repeats cover. A text is kept when the covered fraction
-and its longest repeat stay within limits.
+descending powers of two. A pass over the LCP intervals of at least ``min_words`` words finds those
+that are maximal repeats: their words stand in several places, and neither the word before nor the
+word after is the same in all of them. The spans of maximal repeats are united; a text is kept when
+the covered fraction and its longest repeat stay within limits.
 """
 
 from __future__ import annotations
@@ -23,11 +23,11 @@ from tidemark.llm.common import SPACE, map_texts
 SYMBOLS = "#*$%&|<>"
 
 
-def suffix_repeats(codes: np.ndarray) -> np.ndarray:
-    """For each position, how many words starting there also stand elsewhere. Marks (< 0) are unique and repeat nothing."""
+def suffix_array(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The positions in order of their suffixes, and each one's words in common with the one before. Marks (< 0) are unique and repeat nothing."""
     n = len(codes)
     if n < 2:
-        return np.zeros(n, np.int64)
+        return np.arange(n), np.zeros(n, np.int64)
     order = np.argsort(codes, kind="stable")
     ordered = codes[order]
     first = np.r_[True, ordered[1:] != ordered[:-1]]
@@ -64,18 +64,65 @@ def suffix_repeats(codes: np.ndarray) -> np.ndarray:
         shared[eq] += 1 << k
         left[eq] += 1 << k
         right[eq] += 1 << k
-    lcp = np.zeros(n + 1, np.int64)
+    lcp = np.zeros(n, np.int64)
     lcp[same + 1] = shared
-    longest = np.empty(n, np.int64)
-    longest[order] = np.maximum(lcp[:-1], lcp[1:])
+    return order, lcp
+
+
+def longest_of(suffixes: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """For each position, how many words starting there also stand elsewhere."""
+    order, lcp = suffixes
+    longest = np.empty(len(order), np.int64)
+    longest[order] = np.maximum(lcp, np.r_[lcp[1:], 0])
     return longest
 
 
-def covered(longest: np.ndarray, least: int) -> np.ndarray:
-    """Marks the positions inside a repeat of at least ``least`` words."""
-    n = len(longest)
-    reach = np.where(longest >= least, np.arange(n) + longest, 0)
-    return np.maximum.accumulate(reach) > np.arange(n)
+def maximal_repeats(codes: np.ndarray, suffixes: tuple[np.ndarray, np.ndarray], least: int) -> np.ndarray:
+    """For each position, the length of the longest maximal repeat of at least ``least`` words that starts there (0: none).
+
+    Only stretches of the suffix array whose neighbours share ``least`` words or more are walked.
+    An interval is closed when a smaller common prefix comes; it is a maximal repeat if the words
+    before its places differ. A place belongs to the deepest such interval around it, so it is
+    marked once and an interval hands on only the places that none inside it has marked.
+    """
+    order, lcp = suffixes
+    found = np.zeros(len(codes), np.int64)
+    deep = lcp >= least
+    starts = np.flatnonzero(deep & ~np.r_[False, deep[:-1]])
+    stops = np.flatnonzero(deep & ~np.r_[deep[1:], False]) + 1
+    differ = None  # stands for: the words before are not all one
+    for a, b in zip(starts.tolist(), stops.tolist(), strict=True):
+        places = order[a - 1 : b]
+        before = np.where(places > 0, codes[np.maximum(places - 1, 0)], -1).tolist()
+        stack: list[list] = []  # open intervals: length, the word before their places, places not marked yet
+        for place, word, length in zip(places.tolist(), before, [*lcp[a:b].tolist(), 0], strict=True):
+            word, loose = differ if word < 0 else word, [place]  # nothing before is like nothing else
+            while stack and stack[-1][0] > length:
+                _join(stack[-1], word, loose)
+                size, word, loose = stack.pop()
+                if word is differ:
+                    found[loose] = size
+                    loose = []
+            if stack and stack[-1][0] == length:
+                _join(stack[-1], word, loose)
+            elif length:
+                stack.append([length, word, loose])
+    return found
+
+
+def _join(interval: list, word: int | None, loose: list[int]) -> None:
+    """Puts places with the word before them into an interval; the shorter list moves."""
+    if interval[1] != word:
+        interval[1] = None
+    if len(loose) > len(interval[2]):
+        interval[2], loose = loose, interval[2]
+    interval[2].extend(loose)
+
+
+def covered(repeats: np.ndarray) -> np.ndarray:
+    """Marks the positions inside the union of the repeats' spans."""
+    n = len(repeats)
+    return np.maximum.accumulate(np.arange(n) + repeats) > np.arange(n)
 
 
 def _window_covered(longest: np.ndarray, width: int) -> np.ndarray:
@@ -100,11 +147,11 @@ def text_rules(batch: pa.RecordBatch, min_words: int, max_covered: float, max_lo
     laid[at] = doc * max(len(ids), 1) + codes  # a word of another text is another symbol
     ends = np.cumsum(n_words) + np.arange(len(texts))
     laid[ends] = -1 - np.arange(len(texts))
-    longest = suffix_repeats(laid)
+    suffixes = suffix_array(laid)
+    repeats = maximal_repeats(laid, suffixes, min_words)
     per_text = lambda flags: np.add.reduceat(np.r_[flags, False].astype(np.int64), ends - n_words) if len(texts) else np.empty(0, np.int64)
-    flags = covered(longest, min_words)
-    longest_of = np.maximum.reduceat(np.r_[longest, 0], ends - n_words) if len(texts) else np.empty(0, np.int64)
-    n_repeat, n_covered = per_text(_window_covered(longest, 3)), per_text(flags)
+    longest = np.maximum.reduceat(np.r_[repeats, 0], ends - n_words) if len(texts) else np.empty(0, np.int64)
+    n_repeat, n_covered = per_text(_window_covered(longest_of(suffixes), 3)), per_text(covered(repeats))
     word_chars = np.array([len(t) - sum(map(t.count, SPACE)) for t in texts], np.int64)
     n_symbols = np.array([sum(map(t.count, SYMBOLS)) for t in texts], np.int64)
     n_dup_lines = np.empty(len(texts), np.int64)
@@ -112,10 +159,10 @@ def text_rules(batch: pa.RecordBatch, min_words: int, max_covered: float, max_lo
         lines = [x for x in t.split("\n") if x.strip(SPACE)]
         n_dup_lines[i] = len(lines) - len(set(lines))
     base_failed = (n_words < 50) | (100 * n_repeat > 50 * n_words)
-    verdict = (n_covered <= max_covered * n_words) & ((longest_of <= longest_least) | (longest_of <= max_longest * n_words))
+    verdict = (n_covered <= max_covered * n_words) & ((longest <= longest_least) | (longest <= max_longest * n_words))
     return {
         "n_words": n_words, "word_chars": word_chars, "n_symbols": n_symbols, "n_dup_lines": n_dup_lines, "n_repeat_words": n_repeat,
-        "base_failed": base_failed, "kept": ~base_failed & verdict, "n_covered_words": n_covered, "longest_repeat": longest_of,
+        "base_failed": base_failed, "kept": ~base_failed & verdict, "n_covered_words": n_covered, "longest_repeat": longest,
     }
 
 
@@ -124,8 +171,9 @@ def repetition_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     ``kept`` is false where ``base_failed``, where repeats of ``min_words`` words or more cover more
     than ``max_covered`` of the words, or where one repeat has over ``longest_least`` words and over
-    ``max_longest`` of the text. Null and empty texts have no words and fail the base rule. Repeated
-    rows and null ids stay as rows of their own; other columns are left out.
+    ``max_longest`` of the text. ``longest_repeat`` is the longest of these repeats, 0 where there is none. Null and empty texts have no words and fail the base rule. Repeated
+    rows and null ids stay as rows of their own; texts of any length are taken whole, other columns
+    are left out, an empty table gives no rows.
     """
     schema = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, n_covered_words long, longest_repeat long"
 
