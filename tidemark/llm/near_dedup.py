@@ -37,6 +37,8 @@ SMALL = 64
 BLOCK, BLOCK_SHINGLES, GROUP_SHINGLES = 2048, 1_000_000, 2_000_000
 #: Rows of blocks whose sketches make one task's group.
 GROUP_ROWS = 20_000
+#: Ids that may be broadcast.
+BROADCAST_IDS = 1_000_000
 #: Edges from which the nodes of very many edges are dealt to several tasks.
 MANY_EDGES = 1_000_000
 
@@ -115,6 +117,7 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             keys = np.zeros((len(values), BANDS), np.uint64) + band_no
             for k in range(ROWS):
                 keys = _mix(keys * _GOLD + rows[:, :, k])
+            keys = (keys & ~np.uint64(BANDS - 1)) | (band_no - np.uint64(1))  # a key tells its band
             keys, marks = keys.view(np.int64), _mix(table).astype(np.uint8)
             for at, (i, _) in enumerate((i, x) for i, x in enumerate(n) if x):
                 bands[i], sketches[i] = keys[at], marks[at].tobytes()
@@ -126,7 +129,11 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def shingle_sets(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id, words_digest, shingles)`` of the documents in ``ids``."""
+    """``(id, words_digest, shingles)`` of the documents in ``ids``.
+
+    Up to BROADCAST_IDS ids (8 bytes each) are counted and sent to every task, so that the texts
+    stay where they are; more are joined by a shuffle.
+    """
     from xxhash import xxh3_128_digest
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -135,7 +142,9 @@ def shingle_sets(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id", text_c
         sets = [shingles(w, hashes).view(np.int64) for w in words]
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), pa.array(sets, pa.list_(pa.int64()))], ["id", "words_digest", "shingles"])
 
-    chosen = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(ids, "id", "left_semi")
+    ids = stored(ids, "near-ids")
+    wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    chosen = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(wanted, "id", "left_semi")
     return map_texts(chosen.select("id", "text"), run, "id long, words_digest binary, shingles array<long>")
 
 
@@ -182,7 +191,9 @@ def confirmed(likely: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     both = both.join(sets.select(F.col("id").alias("doc_id"), F.col("shingles").alias("set_d")), "doc_id")
     shared = F.size(F.array_intersect("set_c", "set_d"))
     fits = 100 * shared >= percent * (F.size("set_c") + F.size("set_d") - shared)
-    return stored(both.where(fits).select(F.least("centre", "doc_id").alias("a"), F.greatest("centre", "doc_id").alias("b")).distinct(), "near-links")
+    links = stored(both.where(fits).select(F.least("centre", "doc_id").alias("a"), F.greatest("centre", "doc_id").alias("b")).distinct(), "near-links")
+    discard(sets)
+    return links
 
 
 class Cells:
@@ -190,7 +201,8 @@ class Cells:
 
     def __init__(self, table: pa.Table):
         self.table = table = table.sort_by([(c, "ascending") for c in ("bucket", "s", "m", "stray")]).combine_chunks()
-        self.doc, self.root, self.n, self.stray, self.band, bucket, s, m = (table[c].to_numpy() for c in ("doc_id", "root", "n_shingles", "stray", "band", "bucket", "s", "m"))
+        self.doc, self.root, self.n, self.stray, bucket, s, m = (table[c].to_numpy() for c in ("doc_id", "root", "n_shingles", "stray", "bucket", "s", "m"))
+        self.band = bucket & (BANDS - 1)
         self.sketch = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint8).reshape(-1, BINS)
         edges = np.flatnonzero(np.r_[True, (bucket[1:] != bucket[:-1]) | (s[1:] != s[:-1]) | (m[1:] != m[:-1]), True]) if len(bucket) else [0]
         self.cells = [(a, a + int(np.searchsorted(self.stray[a:b], True)), b) for a, b in zip(edges[:-1], edges[1:], strict=True)]
@@ -216,12 +228,12 @@ class Cells:
 
 
 def stray_links(pool: DataFrame, links: DataFrame, known: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """Confirmed links ``(a, b)`` between different components that share a bucket; ``pool`` is ``(bucket, band, doc_id)``.
+    """Confirmed links ``(a, b)`` between different components that share a bucket; ``pool`` is ``(bucket, doc_id)``.
 
     Of the links between a stray and one component, which all join the same, one is given for each block.
     """
     roots = components(links).withColumnRenamed("node", "doc_id")
-    pool = stored(pool.join(roots, "doc_id", "left").select("bucket", "band", "doc_id", F.coalesce("root", "doc_id").alias("root")), "near-rooted")
+    pool = stored(pool.join(roots, "doc_id", "left").select("bucket", "doc_id", F.coalesce("root", "doc_id").alias("root")), "near-rooted")
     by_root = pool.groupBy("bucket", "root").agg(F.count("*").alias("n"))
     open_ = by_root.groupBy("bucket").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("roots"), F.sum("n").alias("n"))
     met = join_facts(pool, open_.where("roots > 1").drop("roots"), "bucket", "n", "doc_id")
@@ -237,7 +249,7 @@ def stray_links(pool: DataFrame, links: DataFrame, known: DataFrame, docs: DataF
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     strays = rows.where("stray").withColumn("s", own("n_s")).withColumn("m", each("n_m"))
     members = rows.withColumn("m", own("n_m")).withColumn("s", each("n_s")).withColumn("stray", F.lit(False))
-    columns = ["bucket", "band", "s", "m", "stray", "doc_id", "words_digest", "root", "n_shingles"]
+    columns = ["bucket", "s", "m", "stray", "doc_id", "words_digest", "root", "n_shingles"]
     cells = strays.select(columns).unionByName(members.select(columns)).join(known.select("doc_id", "words_digest", "sketch"), ["doc_id", "words_digest"])
     dealt = lambda df, n: df.groupBy(F.pmod(F.xxhash64("bucket", "s", "m"), F.lit(max(12, n))).alias("_group"))
 
@@ -248,7 +260,7 @@ def stray_links(pool: DataFrame, links: DataFrame, known: DataFrame, docs: DataF
             some[i], some[at] = True, True
         return found.table.select([*columns, "sketch"]).filter(pa.array(some))
 
-    kinds = "bucket long, band int, s int, m int, stray boolean, doc_id long, words_digest binary, root long, n_shingles long, sketch binary"
+    kinds = "bucket long, s int, m int, stray boolean, doc_id long, words_digest binary, root long, n_shingles long, sketch binary"
     hits = stored(dealt(cells, -(-total // GROUP_ROWS)).applyInArrow(with_partners, kinds), "near-hits")
     weight = hits.agg(F.sum("n_shingles")).first()[0] or 0
     sets = shingle_sets(docs, hits.select(F.col("doc_id").alias("id")).distinct()).withColumnRenamed("id", "doc_id").dropDuplicates(["doc_id", "words_digest"])
@@ -279,21 +291,26 @@ def stray_links(pool: DataFrame, links: DataFrame, known: DataFrame, docs: DataF
                         found.append((min(cells.doc[i], cells.doc[j]), max(cells.doc[i], cells.doc[j])))
         return pa.table({"a": pa.array([f[0] for f in found], pa.int64()), "b": pa.array([f[1] for f in found], pa.int64())})
 
-    return stored(dealt(full, -(-weight // GROUP_SHINGLES)).applyInArrow(meet, "a long, b long").distinct(), "near-links")
+    found = stored(dealt(full, -(-weight // GROUP_SHINGLES)).applyInArrow(meet, "a long, b long").distinct(), "near-links")
+    for table in (hits, met, pool):
+        discard(table)
+    return found
 
 
 def star_links(reps: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """Confirmed links ``(a, b)``, a < b, that join the documents of ``reps`` (rows of :func:`signatures`)."""
     known = reps.select("doc_id", "words_digest", "n_shingles", "sketch")
-    buckets = reps.select(F.posexplode("bands").alias("band", "bucket"), "doc_id")
+    buckets = reps.select(F.explode("bands").alias("bucket"), "doc_id")
     shared = buckets.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    pool = stored(join_facts(buckets, shared.withColumn("size", F.col("n")), "bucket", "n", "doc_id"), "near-pool")  # bucket, band, doc_id, size
+    pool = stored(join_facts(buckets, shared.withColumn("size", F.col("n")), "bucket", "n", "doc_id"), "near-pool")
     popular = pool.groupBy("doc_id").agg(F.sum("size").alias("met"))
     first = F.max(F.struct("met", (-F.col("doc_id")).alias("id"), "size")).alias("c")
     centre = pool.join(popular, "doc_id").groupBy("bucket").agg(first).select("bucket", (-F.col("c.id")).alias("centre"), F.col("c.size").alias("n"))
     stars = join_facts(pool.select("bucket", "doc_id"), centre, "bucket", "n", "doc_id").where("doc_id != centre").select("centre", "doc_id").distinct()
-    links = confirmed(likely_stars(stored(stars, "near-stars"), known, percent), docs, percent)
-    return links.union(stray_links(pool.select("bucket", "band", "doc_id"), links, known, docs, percent)).distinct()
+    stars = stored(stars, "near-stars")
+    links = confirmed(likely_stars(stars, known, percent), docs, percent)
+    discard(stars)
+    return links.union(stray_links(pool.select("bucket", "doc_id"), links, known, docs, percent)).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -338,12 +355,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = stored(able.groupBy("words_digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), "near-classes")
     firsts = able.join(classes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
     reps = stored(firsts.dropDuplicates(["doc_id", "words_digest"]).select("doc_id", "words_digest", "n_shingles", "bands", "sketch"), "near-reps")
-    links = star_links(reps, docs, percent)
+    worded_ids = stored(signed.select("doc_id", "n_shingles", "words_digest"), "near-digests")
+    discard(signed)
+    links = stored(star_links(reps, docs, percent), "near-links")
     # an id whose rows have different texts joins their classes
     torn = reps.select("doc_id", "words_digest").join(classes, "words_digest").where("doc_id != rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
     roots = stored(components(links.union(torn)), "near-roots")
     placed = classes.join(roots, F.col("rep") == F.col("node"), "left").select("words_digest", F.coalesce("root", "rep").alias("component_id"), "n")
     columns = ["doc_id", "n_shingles", "component_id"]
-    joined = join_facts(signed.select("doc_id", "n_shingles", "words_digest").where(worded), placed, "words_digest", "n", "doc_id").select(columns)
-    alone = signed.where(~worded).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    joined = join_facts(worded_ids.where(worded), placed, "words_digest", "n", "doc_id").select(columns)
+    alone = worded_ids.where(~worded).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return joined.unionByName(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
