@@ -17,7 +17,7 @@ from tidemark.functions.normal import cdf, cdf_sql, pdf_sql
 
 MIN_VEGA, Z95 = 1e-4, 1.959963985
 
-#: Steps from inputs to results, as SQL that Spark and DuckDB share: each level may use the ones before.
+#: Steps from inputs to results, as SQL expressions: each level may use the ones before.
 LEVELS = (
     {"live": "time > 0 AND vol > 0", "disc": "exp(-rate * time)"},
     {"d1": "CASE WHEN live THEN (ln(spot / strike) + (rate + 0.5e0 * vol * vol) * time) / (vol * sqrt(time)) ELSE 0e0 END"},
@@ -44,13 +44,6 @@ def priced(options: DataFrame) -> DataFrame:
     return options.select(*names, *RESULTS)
 
 
-def priced_sql(source: str, columns: str) -> str:
-    """The same in SQL over the query ``source``."""
-    for level in LEVELS:
-        source = f"SELECT *, {', '.join(f'{v} AS {k}' for k, v in level.items())} FROM ({source})"
-    return f"SELECT {columns}, {', '.join(RESULTS)} FROM ({source})"
-
-
 def parity_residual(options: DataFrame) -> DataFrame:
     """Call less put less the discounted forward: 0 but for rounding."""
     both = priced(options.withColumn("kind", F.lit("call"))).withColumnRenamed("price", "call").drop(*RESULTS[1:], "kind")
