@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe_sql, chat, html_extract, langid, line_dedup, near_dedup, packing, quality, repetition, topk_search
+from tidemark.llm import bpe_sql, chat, html_extract, langid, line_dedup, near_dedup, packing, quality, repetition, resampling, topk_search, whitening
 from tidemark.tables import stored
 
 
@@ -59,7 +59,15 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, langid.train(docs))
 
 
-QUERIES = {f.__name__: f for f in (op1_topk_search, op2_line_dedup, op3_repetition_rules, op4_near_dedup, op5_html_extraction, op6_packing, op7_chat, op8_quality, op9_bpe, op10_language_id)}
+def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_topk_search, op2_line_dedup, op3_repetition_rules, op4_near_dedup, op5_html_extraction, op6_packing, op7_chat, op8_quality, op9_bpe, op10_language_id, op11_resampling, op12_whitening)}
 
 ORACLES = {
     "op1_topk_search": """
