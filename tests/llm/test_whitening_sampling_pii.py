@@ -10,7 +10,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from tidemark.llm import resampling, whitening
+from tidemark.llm import pii, pii_examples, resampling, whitening
 
 VECTORS = "vec_id long, embedding array<float>, component int, n string"
 
@@ -138,3 +138,99 @@ def test_resampling_of_none_and_of_copies(spark):
     assert resampled(spark, [(1, "a")], []) == plain_resample([(1, "a")], [])
     copies = [(i, "w " * 25) for i in range(60)]
     assert resampled(spark, copies, ["w"]) == plain_resample(copies, ["w"])
+
+
+# ---- personal data -------------------------------------------------------------------------
+
+PLAIN = {
+    "email": re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"),
+    "ip": re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
+    "card": re.compile(r"[0-9]([\x20-]?[0-9])+"),
+    "phone": re.compile(r"\+[0-9][\x20().0-9-]+[0-9]"),
+}
+
+
+def plain_counts(kind, span):
+    digits = [int(c) for c in span if c in "0123456789"]
+    if kind == "ip":
+        return all(int(p) <= 255 for p in span.split("."))
+    if kind == "card":
+        return 13 <= len(digits) <= 19 and sum(d if i % 2 == 0 else sum(divmod(2 * d, 10)) for i, d in enumerate(reversed(digits))) % 10 == 0
+    return kind == "email" or 9 <= len(digits) <= 15
+
+
+def plain_base(text):
+    return [(kind, m.start(), m.end()) for kind, p in PLAIN.items() for m in p.finditer(text or "") if plain_counts(kind, m.group())]
+
+
+@pytest.fixture(scope="module")
+def pii_model(spark):
+    return pii.train(spark)
+
+
+def found_pii(spark, model, rows):
+    docs = spark.createDataFrame([(i, t, 3, "x") for i, t in rows], "doc_id long, text string, uid int, start string")
+    return sorted((tuple(r) for r in pii.find_pii(docs.repartition(3), model).collect()), key=repr)
+
+
+def test_base_spans_equal_plain_patterns(spark, pii_model):
+    rng = random.Random(9)
+    bits = ["a@b.c", "@", ".", "_", "d@e", " ", "-", "+", "1", "22", "333", "4111 1111 1111 1111", "4111-1111-1111-1112", "+1 (017) 555-7713", "1.2.3.4", "256.1.1.1", "0001.02.3.255", "é", "\U0001f600", "\n", "(", ")", "x.y@z.com_q@r.s", "\0", "日"]
+    rows = [(i, "".join(rng.choice(bits) for _ in range(rng.randint(0, 40)))) for i in range(400)]
+    rows += [(500, None), (501, ""), (None, "a@b.c"), (3, rows[3][1]), (502, "a@b.c_d@e.f@g.h"), (503, "1.2.3.4.5.6.7.8.9"), (504, "+12345678 9+123456789012345 +1234567890123456"), (505, "a@b-.c..d@e.f")]
+    rows += [(600 + i, "mail me: q@w.er 4111111111111111") for i in range(200)]  # a third of all rows
+    expected = []
+    for i, t in rows:
+        base = plain_base(t)
+        expected.append((i, *(sum(k == kind for k, _, _ in base) for kind in pii.KINDS), hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in base).encode()).hexdigest()))
+    found = found_pii(spark, pii_model, rows)
+    assert [r[:6] for r in found] == sorted(expected, key=repr)
+    text = {(i, t) for i, t in rows}
+    for doc, *_, spans, added in found:
+        listed = [tuple(s.split(":")) for s in spans.split(",") if s]
+        keys = [(pii.KINDS.index(k), int(a)) for k, a, b in listed]
+        assert keys == sorted(keys) and added >= 0
+        if doc is not None and doc != 3:
+            base = plain_base(dict(text)[doc])
+            assert {(k, str(a), str(b)) for k, a, b in base} <= set(listed) and len(listed) == len(base) + added
+
+
+def test_long_runs_take_time_in_proportion(spark, pii_model):
+    """Runs that a pattern entered at each place would take hours for, and that recursion would overflow on."""
+    n = 300_000
+    rows = [(1, "a" * n), (2, "1 " * n), (3, "1" * n), (4, "a." * n + "@"), (5, "x at " * n), (6, "1.2.3." * n), (7, "+1 " + " " * n), (8, "ab:" * n), (9, "w " * n + "me@here.org"), (10, "(" * n), (11, "a@b.c " * 20_000)]
+    found = {r[0]: r for r in found_pii(spark, pii_model, rows)}
+    assert found[9][6] == f"email:{2 * n}:{2 * n + 11}" and found[11][1] == 20_000 and found[11][6].endswith(f"email:{6 * 19_999}:{6 * 19_999 + 5}")
+    assert [found[i][1] for i in (1, 3, 4, 10)] == [0] * 4
+
+
+def test_trees_add_what_the_patterns_miss_and_leave_the_rest(spark, pii_model):
+    held_out = pii_examples.examples(600, seed=77)
+    found = {r[0]: r[6] for r in found_pii(spark, pii_model, list(enumerate(e["text"] for e in held_out)))}
+    hits = wrong = missed = 0
+    for i, e in enumerate(held_out):
+        base = {f"{k}:{a}:{b}" for k, a, b in plain_base(e["text"])}
+        added = {s for s in found[i].split(",") if s} - base
+        label = {f"{e['kind']}:{e['start']}:{e['end']}"} - base if e["kind"] else set()
+        hits, wrong, missed = hits + len(added & label), wrong + len(added - label), missed + len(label - added)
+    assert hits > 150 and wrong <= 0.04 * hits and missed <= 0.15 * (hits + missed), (hits, wrong, missed)
+
+
+def test_clean_texts_have_no_spans_and_forms_are_found(spark, pii_model):
+    clean = ["The order 555123456 of 2024-05-06 came at noon.Then we left.", "Version 1.2.3 costs 1 234 567 or 12.50, pages 10-12.", 'token = "04dbebab91ab85687d33eeaaf9ac699e1188f962"', "2669109448945251 on re", "std::vector at 12:30:45", "1 2 3 4 5 6 7 8 9 10", "w" * 50_000]
+    personal = [("Call (017) 555-7713 now", "phone:5:19"), ("write to jane.roe [at] mail [dot] com please", "email:9:37"), ("my card 4111.1111.1111.1111 ok", "card:8:27"), ("host 10[.]20[.]3[.]4 down", "ip:5:20"), ("phone: 017 555 7713.", "phone:7:19")]
+    found = found_pii(spark, pii_model, [*enumerate(clean), *((100 + i, t) for i, (t, _) in enumerate(personal))])
+    assert {r[0]: r[6] for r in found} == {**dict.fromkeys(range(len(clean)), ""), **{100 + i: s for i, (_, s) in enumerate(personal)}}
+
+
+def test_redaction_replaces_clusters(spark, pii_model):
+    rows = [(1, "é a@b.c, +41 11 11 11 11 11 11 11 end"), (2, None), (3, ""), (4, "plain"), (5, "1.2.3.4"), (None, "x y@z.de")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.doc_id: r.redacted for r in pii.redact(docs, pii_model).collect()}
+    assert found[2] is None and found[3] == "" and found[4] == "plain" and found[5] == "[ip]" and found[None] == "x [email]" and found[1].startswith("é [email], ")
+
+
+def test_plan_is_native_and_empty_tables_give_none(spark, pii_model):
+    assert found_pii(spark, pii_model, []) == []
+    plan = pii.find_pii(spark.createDataFrame([(1, "a@b.c")], "doc_id long, text string"), pii_model)._jdf.queryExecution().toString()
+    assert not re.search("Python|Pandas|Arrow", plan)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe_sql, chat, html_extract, langid, line_dedup, near_dedup, packing, quality, repetition, resampling, topk_search, whitening
+from tidemark.llm import bpe_sql, chat, html_extract, langid, line_dedup, near_dedup, packing, pii, quality, repetition, resampling, topk_search, whitening
 from tidemark.tables import stored
 
 
@@ -67,7 +67,11 @@ def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_topk_search, op2_line_dedup, op3_repetition_rules, op4_near_dedup, op5_html_extraction, op6_packing, op7_chat, op8_quality, op9_bpe, op10_language_id, op11_resampling, op12_whitening)}
+def op13_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_pii(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_topk_search, op2_line_dedup, op3_repetition_rules, op4_near_dedup, op5_html_extraction, op6_packing, op7_chat, op8_quality, op9_bpe, op10_language_id, op11_resampling, op12_whitening, op13_pii)}
 
 ORACLES = {
     "op1_topk_search": """
