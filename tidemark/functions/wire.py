@@ -84,14 +84,21 @@ def _blocks(data: bytes, order: str = "<", units: list[int] | None = None) -> It
             units = []
         elif kind == INTERFACE:
             units.append(_unit(order, body))
-        elif kind == ENHANCED and len(body) >= 20:
-            iface, high, low, size, orig = struct.unpack_from(order + "IIIII", body)
-            if 20 + size <= len(body):
-                yield ((high << 32) | low) * (units[iface] if iface < len(units) else 1000), body[20 : 20 + size], orig, end
-        elif kind == SIMPLE and len(body) >= 4:
-            orig = struct.unpack_from(order + "I", body)[0]
-            size = min(len(body) - 4, orig)
-            yield 0, body[4 : 4 + size], orig, end
+        packet = packet_of(order, kind, body, units)
+        if packet:
+            yield *packet, end
+
+
+def packet_of(order: str, kind: int, body: bytes, units: list[int]) -> tuple[int, bytes, int] | None:
+    """``(ts_nanos, data, orig_len)`` of a block's body; None if it has no packet, or one that is cut."""
+    if kind == ENHANCED and len(body) >= 20:
+        iface, high, low, size, orig = struct.unpack_from(order + "IIIII", body)
+        if 20 + size <= len(body):
+            return ((high << 32) | low) * (units[iface] if iface < len(units) else 1000), body[20 : 20 + size], orig
+    elif kind == SIMPLE and len(body) >= 4:
+        orig = struct.unpack_from(order + "I", body)[0]
+        return 0, body[4 : 4 + min(len(body) - 4, orig)], orig
+    return None
 
 
 def _read(file, at: int, size: int) -> bytes:

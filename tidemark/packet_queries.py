@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import functions as F
@@ -10,7 +11,8 @@ from tidemark.functions import wire
 from tidemark.operators import flow, orders, sequencing
 from tidemark.plans import feeds
 from tidemark.queries import ORACLES, U, WIDTH, _quotes, query
-from tidemark.sources import capture
+from tidemark.sources import capture, capture_source
+from tidemark.tables import shared_dir
 
 _SENT = "STRUCT(first BIGINT, action VARCHAR, epoch INTEGER)[]"
 
@@ -167,3 +169,31 @@ def regression_control(spark, sf_dir):
 @query()
 def regression_report(spark, sf_dir):
     return flow.report(flow.ols_hac(flow.regressors(_quotes(spark, sf_dir), WIDTH)))
+
+
+# ---- the capture format --------------------------------------------------------------------
+
+
+def _captured(spark, sf_dir, spoil: bool = False):
+    """Capture files of the updates, written to the shared folder and read as ranges of 64 KB; with ``spoil`` every third file loses its last byte, and every third is no capture."""
+    folder = f"{shared_dir(spark)}/captures-{uuid.uuid4().hex}"
+    files = capture.capture_files(capture.encode_updates(feeds.updates(spark, sf_dir), packets_per_capture=500))
+    if spoil:
+        turn, content = F.regexp_extract("capture_id", "([0-9]+)$", 1).cast("int") % 3, F.col("content")
+        files = files.withColumn("content", F.when(turn == 1, F.substring(content, 1, F.length(content) - 1)).when(turn == 2, F.encode(F.lit("no capture"), "utf-8")).otherwise(content))
+    capture_source.write_captures(files, folder).agg(F.sum("n_bytes")).collect()
+    return capture_source.read_captures(spark, folder, rangeBytes=65_536, lookBack=1 << 20)
+
+
+@query(f"WITH {U} SELECT seq + 1 AS sequence, symbol, CASE side WHEN 'B' THEN 56 ELSE 53 END AS kind, flags, size, price, ts_nanos FROM u")
+def capture_format(spark, sf_dir):
+    found = capture_source.packets(_captured(spark, sf_dir))
+    return capture.messages(capture.segments(capture.datagrams(found))).select("sequence", "symbol", "kind", "flags", "size", "price", "ts_nanos")
+
+
+@query("""WITH p AS (SELECT event_id // 5 AS packet, event_id // 5 // 500 AS file FROM events), f AS (SELECT file, count(DISTINCT packet) AS n FROM p GROUP BY file)
+    SELECT file::BIGINT AS file, CASE file % 3 WHEN 2 THEN 0 WHEN 1 THEN n - 1 ELSE n END::BIGINT AS packets, CASE file % 3 WHEN 1 THEN 'cut_record' WHEN 2 THEN 'bad_magic' END AS reason FROM f""")
+def capture_errors(spark, sf_dir):
+    file = F.regexp_extract("capture_id", "([0-9]+)\\.pcap$", 1).cast("long").alias("file")
+    found = _captured(spark, sf_dir, spoil=True)
+    return found.groupBy(file).agg(F.count_if(F.col("error").isNull()).alias("packets"), F.max(F.split("error", ":")[0]).alias("reason"))
