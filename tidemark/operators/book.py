@@ -2,13 +2,15 @@
 
 Updates are ``(book_epoch, seq, symbol, side, flags, size, price)``; ``seq`` orders them and an
 epoch begins with empty books. Everything here is a window over the level's key, except the touch
-after each update, which deletes make non-decomposable: it is a fold over blocks of updates that
-start from the levels alive at the block's border, or a range join of updates and intervals.
+after each update, which deletes make non-decomposable: it is an offline maximum over the intervals
+of a block of updates, or a range join of updates and intervals.
 """
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,8 +19,8 @@ from tidemark.operators.prefix import dense_blocks, previous, running
 
 LEVEL = ["book_epoch", "symbol", "side", "price"]
 BOOK = ["book_epoch", "symbol"]
-#: Sequence numbers that share a block of the fold, or a bucket of the range join.
-FOLD_BLOCK, JOIN_BUCKET = 50_000, 1_000
+#: Updates of a book that share a block, sequence numbers of a bucket of the range join, rows of several blocks worked on at once.
+FOLD_BLOCK, JOIN_BUCKET, TOUCH_ROWS = 50_000, 1_000, 100_000
 
 TOUCH = "book_epoch long, symbol string, seq long, bid long, bid_size long, ask long, ask_size long, stable boolean"
 
@@ -60,51 +62,94 @@ def ladders(levels_: DataFrame) -> DataFrame:
     return levels_.groupBy(*BOOK, "side").agg(text.alias("ladder"), F.count("*").alias("n_levels"))
 
 
-def _fold(rows: list[tuple], out: dict[str, list]) -> None:
-    """Applies ordered ``(seq, side, price, size, flags, seeded)`` rows to one book; writes a touch for each that isn't seeded."""
-    sides: dict[str, dict[int, int]] = {"B": {}, "S": {}}
-    tops: dict[str, int | None] = {"B": None, "S": None}
-    better = {"B": max, "S": min}
-    for seq, side, price, size, flags, seeded in rows:
-        held, pick = sides[side], better[side]
-        if size:
-            held[price] = size
-            top = tops[side]
-            tops[side] = price if top is None else pick(top, price)
-        elif held.pop(price, None) is not None and tops[side] == price:
-            tops[side] = pick(held) if held else None
-        if not seeded:
-            bid, ask = tops["B"], tops["S"]
-            out["seq"].append(seq)
-            out["bid"].append(bid)
-            out["bid_size"].append(None if bid is None else sides["B"][bid])
-            out["ask"].append(ask)
-            out["ask_size"].append(None if ask is None else sides["S"][ask])
-            out["stable"].append(bool(flags & 1))
+def _highest(n: int, start: np.ndarray, stop: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """The highest rank among the intervals ``[start, stop)`` that hold each of n places; -1 where none does.
+
+    An offline segment tree: a step for each of its levels, over all intervals at once.
+    """
+    size = 1 << max(0, (n - 1).bit_length())
+    tree = np.full(2 * size, -1, np.int64)
+    low, high = start + size, stop + size
+    while len(low):
+        left, right = (low & 1) == 1, (high & 1) == 1
+        np.maximum.at(tree, low[left], rank[left])
+        np.maximum.at(tree, high[right] - 1, rank[right])
+        low, high = (low + 1) >> 1, high >> 1
+        going = low < high
+        low, high, rank = low[going], high[going], rank[going]
+    width = 1
+    while width < size:
+        np.maximum(tree[2 * width : 4 * width], np.repeat(tree[width : 2 * width], 2), out=tree[2 * width : 4 * width])
+        width *= 2
+    return tree[size : size + n]
+
+
+def touch_places(group: np.ndarray, bid: np.ndarray, price: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The rows of the best bid and of the best ask after each row, -1 for an empty side. Rows are in order within their group, one book each.
+
+    A row that sets a level holds from its place to the next of the same level, or to its group's end.
+    """
+    n = len(group)
+    order = np.lexsort((np.arange(n), price, bid, group))
+    ends = np.searchsorted(group, group, "right")  # groups are numbered upwards
+    same = (group[order[1:]] == group[order[:-1]]) & (bid[order[1:]] == bid[order[:-1]]) & (price[order[1:]] == price[order[:-1]])
+    ends[order[:-1][same]] = order[1:][same]
+    found = []
+    for side, sign in ((True, 1), (False, -1)):
+        held = np.flatnonzero((bid == side) & (size > 0))
+        held = held[np.argsort(sign * price[held], kind="stable")]
+        best = _highest(n, held, ends[held], np.arange(len(held)))
+        found.append(np.where(best < 0, -1, held[best] if len(held) else -1))
+    return found[0], found[1]
+
+
+def _touches(table: pa.Table) -> list[pa.RecordBatch]:
+    """The touch after each row that isn't seeded, for whole groups in order."""
+    keys = [pc.fill_null(c.combine_chunks().dictionary_encode().indices, -1).to_numpy(zero_copy_only=False) if pa.types.is_string(c.type) else pc.fill_null(c, -1).to_numpy() for c in (table[k] for k in (*BOOK, "block"))]
+    new = np.zeros(table.num_rows, bool)
+    for key in keys:
+        new[1:] |= key[1:] != key[:-1]
+    price, size = table["price"].to_numpy(), table["size"].to_numpy()
+    bid, ask = touch_places(np.cumsum(new), pc.equal(table["side"], "B").to_numpy(), price, size)
+    own = np.flatnonzero(~table["seeded"].to_numpy())
+    columns = {k: table[k].take(pa.array(own)) for k in (*BOOK, "seq")}
+    for name, at in (("bid", bid[own]), ("ask", ask[own])):
+        columns[name], columns[f"{name}_size"] = (pa.array(v[np.maximum(at, 0)], pa.int64(), mask=at < 0) for v in (price, size))
+    columns["stable"] = pa.array((table["flags"].to_numpy()[own] & 1) == 1)
+    return pa.table(columns).select([f.split(" ")[0] for f in TOUCH.split(", ")]).combine_chunks().to_batches(max_chunksize=max(1, len(own)))
 
 
 def touch_by_fold(updates: DataFrame, block: int = FOLD_BLOCK) -> DataFrame:
-    """The touch after every update, folded by book and block of sequence numbers.
+    """The touch after every update, by blocks of a book's updates.
 
-    A block starts from the levels alive at its border, so a hot symbol's stream is shared by as
-    many tasks as it has blocks. Levels are copied only to blocks in which their book has updates.
+    A book's updates are numbered (by sums of blocks, so a hot book is many tasks) and cut into
+    blocks of ``block``. A level that outlives its block is copied to the book's later ones until
+    its next update; a block has many more updates than a book has levels. Books of a few updates
+    share a batch, whose touches are one offline pass in NumPy.
     """
-    number = lambda c: F.floor(F.col(c) / F.lit(block)).cast("long")
-    blocks = dense_blocks(updates, BOOK, "seq", block)
-    cut = levels(updates).withColumn("block", number("seq")).join(blocks, [*BOOK, "block"])
-    own = cut.select(*BOOK, "rank", "seq", "side", "price", "size", F.col("flags").cast("int").alias("flags"), F.lit(False).alias("seeded"))
-    seeds = _alive_to(cut.where("size > 0"), blocks, number("until")).where("to_rank > rank")
-    seeds = seeds.select(*BOOK, F.explode(F.sequence(F.col("rank") + 1, F.col("to_rank"))).alias("rank"), F.lit(-1).cast("long").alias("seq"), "side", "price", "size", F.lit(0).alias("flags"), F.lit(True).alias("seeded"))
-
-    def touches(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("seq", "ascending")])
-        out: dict[str, list] = {k: [] for k in ("seq", "bid", "bid_size", "ask", "ask_size", "stable")}
-        _fold(list(zip(*(table[c].to_pylist() for c in ("seq", "side", "price", "size", "flags", "seeded")), strict=True)), out)
-        n = len(out["seq"])
-        same = {"book_epoch": pa.array(table["book_epoch"].slice(0, 1).to_pylist() * n, pa.int64()), "symbol": pa.array(table["symbol"].slice(0, 1).to_pylist() * n, pa.string())}
-        return pa.table({**same, **{k: pa.array(v, pa.bool_() if k == "stable" else pa.int64()) for k, v in out.items()}})
-
-    return own.unionByName(seeds).groupBy(*BOOK, "rank").applyInArrow(touches, TOUCH)
+    numbered = running(updates, BOOK, ["seq"], F.floor(F.col("seq") / F.lit(block)), {"n": F.lit(1)}).withColumn("block", F.floor((F.col("n") - 1) / F.lit(block)).cast("long"))
+    last = numbered.groupBy(*BOOK).agg(F.max("block").alias("last_block"))  # a row for each book
+    w = Window.partitionBy(*LEVEL).orderBy("seq")
+    cut = numbered.withColumn("next_block", F.lead("block").over(w)).join(last, BOOK)
+    until = F.when(F.col("size") > 0, F.greatest("block", F.coalesce("next_block", "last_block"))).otherwise(F.col("block"))
+    dealt = cut.select(*BOOK, "seq", "side", "price", "size", F.col("flags").cast("int").alias("flags"), F.col("block").alias("own"), F.explode(F.sequence("block", until)).alias("block"))
+    rows = dealt.withColumn("seeded", F.col("block") != F.col("own")).drop("own").repartition(*BOOK, "block").sortWithinPartitions(*BOOK, "block", F.desc("seeded"), "seq")
+
+    def run(batches):
+        held = None
+        for batch in batches:
+            held = pa.concat_tables([held, pa.table(batch)]) if held is not None else pa.table(batch)
+            if held.num_rows >= TOUCH_ROWS:
+                ends = held.slice(held.num_rows - 1)
+                last_group = pc.and_(pc.and_(pc.equal(held["book_epoch"], ends["book_epoch"][0]), pc.equal(held["symbol"], ends["symbol"][0])), pc.equal(held["block"], ends["block"][0]))
+                whole = held.num_rows - int(pc.sum(pc.fill_null(last_group, False)).as_py() or 0)
+                if 0 < whole < held.num_rows:
+                    yield from _touches(held.slice(0, whole))
+                    held = held.slice(whole)
+        if held is not None and held.num_rows:
+            yield from _touches(held)
+
+    return rows.mapInArrow(run, TOUCH)
 
 
 def _alive_to(cut: DataFrame, blocks: DataFrame, until_block) -> DataFrame:

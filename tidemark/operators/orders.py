@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import time
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.market import KINDS, symbol_bytes
@@ -94,13 +95,13 @@ def arrivals_of(segments: DataFrame) -> DataFrame:
     return segments.select("capture_id", "channel", F.col("packet_no").alias("arrival_no"), "session", "first_sequence", "message_count")
 
 
-def sequenced(segments: DataFrame) -> DataFrame:
-    """The packets that the sequencer delivers: ``start``, the number of their first message in delivery order over all feeds, and ``book_epoch``.
+def sequenced(segments: DataFrame, events: DataFrame) -> DataFrame:
+    """The packets that the sequencer delivers, by its events: ``start``, the number of their first message in delivery order over all feeds, and ``book_epoch``.
 
     A held segment is delivered from its last copy up to the arrival that releases it.
     """
     feed = ["capture_id", "channel"]
-    out = sequencing.sequence_exact(arrivals_of(segments)).where("delivery_no IS NOT NULL").select(*feed, "session", "first_sequence", "delivery_no", "book_epoch", "arrival_no")
+    out = events.where("delivery_no IS NOT NULL").select(*feed, "session", "first_sequence", "delivery_no", "book_epoch", "arrival_no")
     copies = segments.where("message_count > 0").select(*feed, "session", "first_sequence", "packet_no", "message_count")
     met = out.join(copies, [*feed, "session", "first_sequence"]).where("packet_no <= arrival_no")
     last = F.max(F.struct("packet_no", "message_count")).alias("last")
@@ -112,10 +113,14 @@ def sequenced(segments: DataFrame) -> DataFrame:
     return numbered.select("capture_id", "packet_no", (F.col("first") + F.coalesce("within", F.lit(0))).alias("start"), (F.col("first_epoch") + F.col("book_epoch")).alias("book_epoch"))
 
 
-def received(packets: DataFrame) -> DataFrame:
-    """Typed messages of packets, each once and in sequence: ``seq`` numbers them in delivery order."""
-    segments = capture.segments(capture.datagrams(packets))
-    found = capture.messages(segments).join(sequenced(segments), ["capture_id", "packet_no"])
+def segments_of(packets: DataFrame) -> DataFrame:
+    """The packets' segments, decoded once: all that follows reads them again."""
+    return stored(capture.segments(capture.datagrams(packets)), "segments")
+
+
+def received(segments: DataFrame, events: DataFrame) -> DataFrame:
+    """Typed messages of segments, each once and in sequence: ``seq`` numbers them in delivery order."""
+    found = capture.messages(segments).join(sequenced(segments, events), ["capture_id", "packet_no"])
     return found.withColumn("seq", F.col("start") + F.col("msg_no")).drop("start")
 
 
@@ -131,13 +136,13 @@ def verdict(packets: DataFrame) -> DataFrame:
     Segments that had to wait are not replayed here. Trades include breaks; gaps are those opened;
     ``crossed`` counts stable crosses; low and high are prices that aren't deletes.
     """
-    found = capture.segments(capture.datagrams(packets))
-    arrivals = arrivals_of(found)
+    found = segments_of(packets)
     feed = ["capture_id", "channel"]
-    stats = sequencing.statistics(arrivals, replay_buffered=False).agg(F.coalesce(F.sum("gaps_opened"), F.lit(0)).alias("gaps"), F.coalesce(F.sum("duplicates"), F.lit(0)).alias("duplicates"))
-    sent = sequencing.sequence_exact(arrivals, replay_buffered=False).where(F.col("action").isin(sequencing.DELIVER, sequencing.RESET))
+    done = sequencing.run_feeds(arrivals_of(found), replay_buffered=False)
+    stats = done.statistics.agg(F.coalesce(F.sum("gaps_opened"), F.lit(0)).alias("gaps"), F.coalesce(F.sum("duplicates"), F.lit(0)).alias("duplicates"))
+    sent = done.events.where(F.col("action").isin(sequencing.DELIVER, sequencing.RESET))
     taken = found.join(sent.select(*feed, F.col("arrival_no").alias("packet_no")), [*feed, "packet_no"], "left_semi")
-    m = capture.messages(taken).where("kind IS NOT NULL")
+    m = stored(capture.messages(taken).where("kind IS NOT NULL").select(*feed, "packet_no", "msg_no", "kind", "error", "symbol", "flags", "size", "price", "ts_nanos"), "feed-messages")
     update, good = F.col("kind").isin(*LEVEL_KINDS), F.col("error").isNull()
     live = update & good & (F.col("size") > 0)
     of_messages = m.agg(
@@ -147,7 +152,7 @@ def verdict(packets: DataFrame) -> DataFrame:
     starts = running(taken.select(*feed, "packet_no", "message_count"), feed, ["packet_no"], F.floor(F.col("packet_no") / F.lit(50_000)), {"start": F.col("message_count")}, before=True)
     numbered = m.join(starts.select(*feed, "packet_no", F.coalesce("start", F.lit(0)).alias("start")), [*feed, "packet_no"])
     numbered = numbered.withColumn("seq", F.col("start") + F.col("msg_no")).withColumn("book_epoch", F.lit(0).cast("long")).withColumn("symbol", F.concat_ws("/", *feed, "symbol"))
-    touches = book.touch(stored(updates_of(numbered), "feed-updates"))
+    touches = book.touch(updates_of(numbered))
     crosses = touches.agg(F.count_if(book.crossed(touches)["crossed_when_stable"]).alias("crossed"))
     out = packets.agg(F.count("*").alias("packets"))
     for one in (of_messages, stats, crosses):
@@ -155,33 +160,61 @@ def verdict(packets: DataFrame) -> DataFrame:
     return out
 
 
-def feed_counters(packets: DataFrame, upto: str = "encode") -> DataFrame:
-    """One row from packets on: the counters of :func:`counters`, packets and the sequencer's losses, each 0 beyond the stage ``upto``.
+#: What the chain counts, in the order of the columns.
+COUNTERS = ("packets", "resyncs", "book_resets", "messages_lost", "messages", "book_updates", "quotes", "orders_encoded", "encode_errors")
+
 
-    A resynchronisation begins a new book, so ``book_resets`` are the ``resyncs`` from the book stage on.
+def run_stages(packets: DataFrame, upto: str = "encode") -> Iterator[tuple[str, float, dict[str, int]]]:
+    """Runs the chain once, as far as the stage ``upto``: each stage with its seconds and all counters so far.
+
+    A stage's rows are written where it ends, so the next begins with them, a stage's time holds its
+    own work alone, and its counts are those of the rows written. Packets are counted on their way
+    through the task that decodes and writes them. A resynchronisation begins a new book, so
+    ``book_resets`` are the ``resyncs`` from the book stage on.
     """
     if upto not in STAGES:
         raise ValueError(f"unknown stage {upto!r}")
-    at = STAGES.index(upto)
-    out = packets.agg(F.count("*").alias("packets"))
-    none = lambda name: F.lit(0).cast("long").alias(name)
-    if at >= 1:
-        stats = sequencing.statistics(arrivals_of(capture.segments(capture.datagrams(packets))))
-        resyncs = F.coalesce(F.sum("resyncs"), F.lit(0))
-        lost = stats.agg(resyncs.alias("resyncs"), (resyncs if at >= 3 else F.lit(0).cast("long")).alias("book_resets"), F.coalesce(F.sum("messages_lost"), F.lit(0)).alias("messages_lost"))
-        out = out.join(F.broadcast(lost))  # one row each
-    else:
-        out = out.select("*", none("resyncs"), none("book_resets"), none("messages_lost"))
-    if at < 2:
-        return out.select("*", *map(none, ("messages", "book_updates", "quotes", "orders_encoded", "encode_errors")))
-    messages = received(packets)
-    good = F.col("error").isNull()
-    updates = good & F.col("kind").isin(*LEVEL_KINDS)
-    zero = F.lit(0).cast("long")
-    out = out.join(F.broadcast(messages.agg(F.count_if(good).alias("messages"), (F.count_if(updates) if at >= STAGES.index("book") else zero).alias("book_updates"))))
-    if at < STAGES.index("decide"):
-        return out.select("*", *map(none, ("quotes", "orders_encoded", "encode_errors")))
-    quotes = stored(spread_threshold(book.touch(stored(updates_of(messages), "feed-updates"))), "feed-quotes")  # both are read more than once
-    encodes = upto == "encode"
-    made = encoded(with_tokens(quotes)) if encodes else quotes
-    return out.join(F.broadcast(made.agg(F.count("*").alias("quotes"), *((F.count(c) if encodes else zero).alias(n) for c, n in (("message" if encodes else "seq", "orders_encoded"), ("error" if encodes else "seq", "encode_errors"))))))
+    counts, last = dict.fromkeys(COUNTERS, 0), [time.perf_counter()]
+
+    def border(stage: str, **found: int) -> tuple[str, float, dict[str, int]]:
+        counts.update(found)
+        now = time.perf_counter()
+        seconds, last[0] = now - last[0], now
+        return stage, seconds, dict(counts)
+
+    came = Observation()
+    segments = segments_of(packets.observe(came, F.count("*").alias("packets")))
+    yield border("receive", packets=came.get["packets"])
+    if upto == "receive":
+        return
+    done = sequencing.run_feeds(arrivals_of(segments))
+    told = done.statistics.agg(F.coalesce(F.sum("resyncs"), F.lit(0)).alias("resyncs"), F.coalesce(F.sum("messages_lost"), F.lit(0)).alias("lost")).first()
+    yield border("sequence", resyncs=told.resyncs, messages_lost=told.lost)
+    if upto == "sequence":
+        return
+    messages = stored(received(segments, done.events), "feed-messages")
+    yield border("parse", messages=messages.where("error IS NULL").count())
+    if upto == "parse":
+        return
+    touches = stored(book.touch(updates_of(messages)), "feed-touches")
+    yield border("book", book_updates=touches.count(), book_resets=told.resyncs)
+    if upto == "book":
+        return
+    quotes = stored(spread_threshold(touches), "feed-quotes")
+    yield border("decide", quotes=quotes.count())
+    if upto == "decide":
+        return
+    made = stored(encoded(with_tokens(quotes)), "feed-orders").agg(F.count("message").alias("orders"), F.count("error").alias("errors")).first()
+    yield border("encode", orders_encoded=made.orders, encode_errors=made.errors)
+
+
+def feed_counters(packets: DataFrame, upto: str = "encode") -> DataFrame:
+    """The counters after the stage ``upto``, in one row; those of later stages are 0."""
+    *_, (_, _, counts) = run_stages(packets, upto)
+    return packets.sparkSession.createDataFrame([tuple(counts[c] for c in COUNTERS)], ", ".join(f"{c} long" for c in COUNTERS))
+
+
+def stage_counters(packets: DataFrame, upto: str = "encode") -> DataFrame:
+    """A row for each stage of one run: ``stage`` and the counters after it."""
+    rows = [(stage, *(counts[c] for c in COUNTERS)) for stage, _, counts in run_stages(packets, upto)]
+    return packets.sparkSession.createDataFrame(rows, "stage string, " + ", ".join(f"{c} long" for c in COUNTERS))

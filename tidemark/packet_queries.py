@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import uuid
-from functools import reduce
-
 from pyspark.sql import functions as F
 
 from tidemark.functions import wire
@@ -85,9 +83,7 @@ touch AS (SELECT a.seq, max(l.price) FILTER (l.side = 'B') AS bid, min(l.price)
         CASE WHEN k >= 5 THEN quotes ELSE 0 END AS orders_encoded, 0::BIGINT AS encode_errors
     FROM n, t, (VALUES (0, 'receive'), (1, 'sequence'), (2, 'parse'), (3, 'book'), (4, 'decide'), (5, 'encode')) AS s(k, stage)""")
 def packet_stages(spark, sf_dir):
-    packets = feeds.packets(spark, sf_dir, 5)
-    rows = [orders.feed_counters(packets, stage).select(F.lit(stage).alias("stage"), "*") for stage in orders.STAGES]
-    return reduce(lambda a, b: a.unionByName(b), rows)
+    return orders.stage_counters(feeds.packets(spark, sf_dir, 5))
 
 
 @query(fold_sql(feeds.BEATS_SQL, 1, 10**9) + """,
