@@ -373,3 +373,35 @@ def test_pipeline_stages_keep_the_columns_and_take_effect(spark, tmp_path):
         frame = after
     packed = corpus_pipeline.STAGES[-1][1](spark, frame, path)
     assert {r.doc_id for r in packed.select("doc_id").collect()} == {r.doc_id for r in frame.select("doc_id").collect()}
+
+
+def test_near_copies_stage_drops_copies_alone(spark, tmp_path):
+    """Rows that share an id but not their text are documents of their own; null ids stay; odd column names and empty tables pass."""
+    import corpus_pipeline
+
+    rng = random.Random(31)
+    text = lambda: " ".join(rng.choices(["red", "blue", "oak", "elm", "fox", "owl", "sky", "sea", "ice", "sun"], k=40))
+    a, b, c, d = (text() for _ in range(4))
+    rows = [(7, a, 1, "x"), (7, b, 2, "x"), (7, b, 1, "y"), (9, b + " end", 1, "x"), (3, c, 1, "x"), (12, a, 1, "x"), (None, c, 1, "x"), (None, None, 1, "x"), (5, None, 2, "x"), (5, "", 2, "x"), (5, None, 1, "x"), (20, d, 1, "x"), (21, d, 1, "x")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, _number int, n string").repartition(3)
+    kept = sorted((tuple(r) for r in corpus_pipeline.drop_near_copies(spark, frame, "").collect()), key=repr)
+    # 7 has three texts' worth of rows: its rows of a and b come after 12 and 9, which stay for them
+    assert kept == sorted([(12, a, 1, "x"), (9, b + " end", 1, "x"), (3, c, 1, "x"), (None, c, 1, "x"), (None, None, 1, "x"), (5, None, 1, "x"), (20, d, 1, "x")], key=repr)
+    alone = spark.createDataFrame([(7, a, 1, "x"), (7, c, 2, "x")], frame.schema)
+    assert corpus_pipeline.drop_near_copies(spark, alone, "").count() == 2
+    assert corpus_pipeline.drop_near_copies(spark, frame.limit(0), "").count() == 0
+
+
+def test_pipeline_passes_an_empty_table_and_odd_rows(spark, tmp_path):
+    import corpus_pipeline
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame([(1, 1, 0), (2, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for name, rows in (("none", []), ("odd", [(None, None, None, None, None), (1, "good words " * 30, "en", "s", 1), (1, "good words " * 30, "en", "s", 1), (2, "", "en", "s", 0)])):
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+        frame = spark.read.parquet(f"{tmp_path}/{name}.parquet")
+        for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            out = f"{tmp_path}/{name}-{k}"
+            stage(spark, frame, str(tmp_path)).write.parquet(out)
+            frame = spark.read.parquet(out)
+        assert name == "odd" or frame.count() == 0

@@ -420,6 +420,30 @@ def test_all_tokens_and_long_pieces_encode_as_they_should():
     assert [np.frombuffer(ids, "<u4").tolist() for ids, _ in bpe.encode(long)] == [own._encode_single_piece(x) for x in long]
 
 
+def test_pieces_beyond_a_query_are_encoded_in_parts(monkeypatch):
+    import public_tokenizers as P
+
+    own, rng = reference_encoding(), random.Random(21)
+    bpe = bpe_sql.SqlBpe(P.path("byte_bpe_50k.tiktoken"))
+    letters = lambda n, some="abcdefghijklmnopqrstuvwxyz": "".join(rng.choices(some, k=n))
+    pieces = [letters(6000), "a" * 5003, "ab" * 3001 + "c", letters(4000, "é日ab"), letters(5000, "ETAOIN"), letters(7000, "aehnrt"), "0123456789" * 500]
+    want = [np.array(own._encode_single_piece(p.encode()), "<u4").tobytes() for p in pieces]
+    for most, window, overlap, back, part in ((3000, 240, 80, 16, 400), (500, 45, 7, 1, 60)):  # the second so narrow that windows often disagree
+        for name, value in (("QUERY_BYTES", most), ("WINDOW", window), ("OVERLAP", overlap), ("GIVEN_BACK", back), ("PART", part)):
+            monkeypatch.setattr(bpe_sql, name, value)
+        found = bpe.encode([p.encode() for p in pieces])
+        assert [f[0] for f in found] == want and [f[1].decode() for f in found] == pieces
+
+
+def test_pieces_far_beyond_a_query_stay_within_its_memory():
+    import public_tokenizers as P
+
+    bpe = bpe_sql.SqlBpe(P.path("byte_bpe_50k.tiktoken"), memory="300MB")
+    for text in ("".join(random.Random(22).choices("abcdefghijklmnopqrstuvwxyz", k=500_000)), "a" * 3_000_000):
+        ((ids, decoded),) = bpe.encode([text.encode()])
+        assert ids == np.array(reference_encoding()._encode_single_piece(text.encode()), "<u4").tobytes() and decoded == text.encode()
+
+
 def test_long_pieces_of_a_vocabulary_where_merges_make_lower_ranks(tmp_path):
     """Here all places at once would be wrong: ``bc`` makes ``bcb``, which has a lower rank."""
     import base64

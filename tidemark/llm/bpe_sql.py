@@ -9,6 +9,13 @@ results of pieces, kept in a bounded memory, give those of whole texts.
 Long pieces would take a step for each token, so there a step contracts all places of the least
 pair, from the left, and checks that this is what one place at a time would have done: that no
 contraction made a pair of lower rank. A piece that fails the check is encoded one place at a time.
+
+No query holds more than some 400,000 rows. A piece of more than 2,000 bytes becomes windows that
+overlap, a query's worth at a time. A chain of tokens is the encoding of its bytes if every two neighbours are the
+encoding of theirs (each token encodes to itself): so where two windows have a border in common and
+the same token after it, one goes on from the other, as all neighbours then come from one window's
+encoding. Where two windows never agree, as in some periodic runs, a part is encoded anew from a
+border of the first, and the two tokens that meet there are encoded together as a check.
 """
 
 from __future__ import annotations
@@ -29,8 +36,12 @@ from tidemark.llm.common import map_texts
 POSITION_BITS = 32
 #: Pieces of more bytes are contracted at all places of their least pair in one step, where that is the same.
 LONG = 96
-#: Bytes of pieces a query takes at once.
-QUERY_BYTES = 400_000
+#: Bytes of pieces a query takes at once; the step of windows (many token lengths divide it) and their overlap.
+QUERY_BYTES, WINDOW, OVERLAP = 400_000, 240, 80
+#: Pieces of more bytes become windows: one query would take a step for each distinct rank.
+WHOLE = 2000
+#: Tokens at a window's end that a part encoded anew takes over, and its bytes at first.
+GIVEN_BACK, PART = 16, 4096
 
 _STEP = """
 WITH RECURSIVE state(k, id, done) AS (
@@ -99,6 +110,9 @@ class SqlBpe:
         self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": memory, "temp_directory": ""})
         self.load("merges", pair=np.array([s[0] for s in splits], np.int64), id=np.array([s[1] for s in splits], np.int32))
         self.load("vocabulary", id=np.array(list(ranks.values()), np.int32), hex=[t.hex() for t in ranks])
+        self.token = {rank: token for token, rank in ranks.items()}
+        self.size = np.zeros(max(ranks.values(), default=0) + 1, np.int64)
+        self.size[list(ranks.values())] = [len(t) for t in ranks]
         self.byte_id = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
 
     def load(self, table: str, **columns) -> None:
@@ -113,10 +127,82 @@ class SqlBpe:
         """For each piece its ids (little-endian unsigned 32 bits) and the bytes these decode to."""
         found: list = [(b"", b"")] * len(pieces)
         self._encode_all(pieces, [i for i, p in enumerate(pieces) if len(p) <= LONG], _STEP, found)
-        wrong = self._encode_all(pieces, [i for i, p in enumerate(pieces) if len(p) > LONG], _LONG_STEP, found)
+        wrong = self._encode_all(pieces, [i for i, p in enumerate(pieces) if LONG < len(p) <= WHOLE], _LONG_STEP, found)
         self._encode_all(pieces, wrong, _STEP, found)
+        for i, p in enumerate(pieces):
+            if len(p) > WHOLE:
+                found[i] = self._in_parts(p)
         return found
 
+    def _ids(self, parts: list[bytes]) -> list[np.ndarray]:
+        found: list = [None] * len(parts)
+        short = [i for i, p in enumerate(parts) if len(p) <= LONG]
+        wrong = self._encode_all(parts, [i for i, p in enumerate(parts) if len(p) > LONG], _LONG_STEP, found)
+        self._encode_all(parts, short + wrong, _STEP, found)
+        return [np.frombuffer(ids, "<u4").astype(np.int64) for ids, _ in found]
+
+    def _placed(self, ids: np.ndarray, start: int) -> tuple[np.ndarray, np.ndarray, int]:
+        """Where each token begins, the tokens, and where the last one ends."""
+        sizes = self.size[ids]
+        ends = start + np.cumsum(sizes)
+        return ends - sizes, ids, int(ends[-1])
+
+    def _windows(self, piece: bytes):
+        """The piece's windows in order, encoded a query's worth at a time."""
+        starts = range(0, max(1, len(piece) - OVERLAP), WINDOW)
+        at_once = max(1, QUERY_BYTES // (WINDOW + OVERLAP))
+        for i in range(0, len(starts), at_once):
+            some = starts[i : i + at_once]
+            for start, ids in zip(some, self._ids([piece[a : a + WINDOW + OVERLAP] for a in some]), strict=True):
+                yield self._placed(ids, start)
+
+    def _in_parts(self, piece: bytes) -> tuple[bytes, bytes]:
+        """The same for a piece of any length, in queries of bounded size."""
+        windows, kept, grown = self._windows(piece), [], PART
+        places, ids, end = next(windows)
+        while end < len(piece):
+            window = next((w for w in windows if w[2] > end), None)
+            common = np.intersect1d(places, window[0], assume_unique=True) if window else ()
+            if len(common):
+                here, there = np.searchsorted(places, common), np.searchsorted(window[0], common)
+                same = np.flatnonzero(ids[here] == window[1][there])
+                if len(same):
+                    kept.append(ids[: here[same[0]]])
+                    places, ids, end = window[0][there[same[0]] :], window[1][there[same[0]] :], window[2]
+                    grown = PART
+                    continue
+            back = min(GIVEN_BACK, len(ids) - 1)
+            while True:  # a part anew from a border of this window
+                cut = len(ids) - back
+                (fresh,) = self._ids([piece[places[cut] : places[cut] + grown]])
+                if cut == 0 or self.stay_apart(int(ids[cut - 1]), int(fresh[0])):
+                    break
+                back += 1
+            if cut == 0 and kept and not self.stay_apart(int(kept[-1][-1]), int(fresh[0])):  # go back into what was kept
+                ids = np.concatenate([kept.pop(), ids])
+                places, _, end = self._placed(ids, end - int(self.size[ids].sum()))
+                continue
+            kept.append(ids[:cut])
+            places, ids, end = self._placed(fresh, int(places[cut]))
+            grown = min(2 * grown, QUERY_BYTES)
+        kept.append(ids)
+        whole = np.concatenate(kept)
+        return whole.astype("<u4").tobytes(), self.decoded(whole)
+
+    def decoded(self, ids: np.ndarray) -> bytes:
+        """The bytes of ids, by ordered aggregation, a bounded number at a time."""
+        out = []
+        for i in range(0, len(ids), QUERY_BYTES):
+            some = ids[i : i + QUERY_BYTES]
+            self.load("ids", k=np.arange(len(some), dtype=np.int64), id=some.astype(np.int32))
+            out.append(bytes.fromhex(self.rows(_DECODE)["hex"][0]))
+        return b"".join(out)
+
+    def stay_apart(self, a: int, b: int) -> bool:
+        """Whether two neighbouring tokens are the encoding of their bytes."""
+        both = self.token[a] + self.token[b]
+        return self._ids([both])[0].tolist() == [a, b]
+
     def _encode_all(self, pieces: list[bytes], chosen: list[int], step: str, found: list) -> list[int]:
         """Puts the results of the chosen pieces in ``found``, a bounded number of bytes at a time; gives the pieces that failed the step's check."""
         at, wrong = 0, []
@@ -173,8 +259,8 @@ def memory_for(path: str, pattern: str) -> ChunkMemory:
 def bpe_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranks_path: str | None = None, pattern: str | None = None) -> DataFrame:
     """``(doc_id, n_tokens, ids_sha256, decoded_sha256)`` of every whole text.
 
-    Null and empty texts have no tokens (digests of no bytes). Pieces of any length are encoded
-    whole. Null ids and repeated rows stay, other columns are left out, an empty table gives no rows.
+    Null and empty texts have no tokens (digests of no bytes). Pieces of any length are encoded,
+    those of more than 2,000 bytes in windows. Null ids and repeated rows stay, other columns are left out, an empty table gives no rows.
     """
     ranks_path, pattern = _defaults(ranks_path, pattern)
 
