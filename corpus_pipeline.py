@@ -38,17 +38,38 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     return found.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
+def _by_text(spark: SparkSession, docs: DataFrame, number: str) -> DataFrame:
+    """``docs`` with ``number``: its id, or, where rows of one id have different texts, a number of the row's id and text beyond all ids.
+
+    Ids that stand for several texts are few: up to a counted million are sent to every task, more are joined by a shuffle.
+    """
+    key = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
+    several = stored(docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(key).alias("low"), F.max(key).alias("high")).where("low != high").select("doc_id"), "repeated-ids")
+    n = several.count()
+    if not n:
+        return docs.withColumn(number, F.col("doc_id"))
+    most, _key = docs.agg(F.max("doc_id")).first()[0], free_name(docs, "_key")
+    keyed = docs.withColumn(_key, key)
+    pairs = keyed.select("doc_id", _key).join(F.broadcast(several) if n <= near_dedup.BROADCAST_IDS else several, "doc_id", "left_semi").distinct()
+    pairs = stored(pairs.repartitionByRange("doc_id", _key).sortWithinPartitions("doc_id", _key).withColumn(number, most + 1 + F.monotonically_increasing_id()), "numbered-texts")
+    pairs = F.broadcast(pairs) if pairs.count() <= near_dedup.BROADCAST_IDS else pairs
+    return keyed.join(pairs, ["doc_id", _key], "left").withColumn(number, F.coalesce(number, "doc_id")).select(*docs.columns, number)
+
+
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document of the smallest id of each group of near-duplicates, in one row.
 
-    Of rows that repeat an id the smallest stays (by text, then by the other columns, which must
-    have an order). Documents without words and rows without an id stay.
+    Rows of one id with different texts are documents of their own, which come after all others (by
+    id, then by a digest of the text). Of rows that repeat id and text the smallest by the other columns, which
+    must have an order, stays. Documents without words and rows without an id stay.
     """
-    kept = near_dedup.near_duplicates(docs).where("kept AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n"))
-    once, again = (docs.join(kept.where(c).select("doc_id"), "doc_id", "left_semi").select(*docs.columns) for c in ("n = 1", "n > 1"))
-    row = F.struct("text", *(c for c in docs.columns if c not in ("doc_id", "text")))
-    smallest = again.groupBy("doc_id").agg(F.min(row).alias("row")).select("doc_id", "row.*").select(*docs.columns)
-    return once.unionByName(smallest).unionByName(docs.where(F.col("doc_id").isNull()))
+    number = free_name(docs, "_number")
+    docs = _by_text(spark, docs, number)
+    kept = near_dedup.near_duplicates(docs, number).where("kept AND doc_id IS NOT NULL").groupBy(F.col("doc_id").alias(number)).agg(F.count("*").alias("n"))
+    once, again = (docs.join(kept.where(c).select(number), number, "left_semi").select(*docs.columns) for c in ("n = 1", "n > 1"))
+    row = F.struct("doc_id", "text", *(c for c in docs.columns if c not in ("doc_id", "text", number)))
+    smallest = again.groupBy(number).agg(F.min(row).alias("row")).select("row.*", number).select(*docs.columns)
+    return once.unionByName(smallest).unionByName(docs.where(F.col(number).isNull())).drop(number)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
