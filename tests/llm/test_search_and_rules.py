@@ -277,6 +277,36 @@ def test_the_labelled_table_is_learnt():
     assert len(y) > 200 and set(y) == {0, 1} and ((html_extract.model().predict(x) >= 0.5) == (y == 1)).mean() > 0.97
 
 
+def test_wrappers_and_odd_names_leave_the_article():
+    """Marked elements around a page, names whose last word isn't the marked one, and notices without a name."""
+    t = "The council voted late on Monday to repair the old bridge, after two years in which engineers had warned that its northern arch would not stand."
+    for page, want in (
+        (f'<form id="aspnetForm"><div id="content"><h1>Bridge</h1><p>{t}</p><p>{t}</p></div></form>', ["Bridge", t, t]),
+        (f"<form><p>{t}</p><p>{t}</p></form>", [t, t]),
+        (f'<div class="ad-free"><article><h1>Bridge</h1><p>{t}</p></article></div>', ["Bridge", t]),
+        (f'<article><p>{t}</p><section id="related-work"><p>{t}</p></section><div class="comment-on-law"><p>{t}</p></div></article>', [t] * 3),
+        (f"<main><p>{t}</p><div>We use cookies. <a>Accept</a></div></main>", [t]),
+        (f'<div><p>{t}</p><p>{t}</p></div><div class="rail"><a href=/>More stories here</a> <a>Less</a></div>', [t, t]),
+        (f'<article><p>{t}</p></article><div class="comments"><article><p>{t} {t}</p></article></div>', [t]),
+        (f'<article><p>{t}</p></article><div class="ad-slot-2"><p>{t}</p></div>', [t]),
+    ):
+        assert html_extract.extract([page])[0].split("\n\n") == want, page
+
+
+def test_words_links_and_neighbours_take_part_in_every_decision():
+    import pyarrow.parquet as pq
+
+    tree, marks = html_extract.model(), {html_extract.FEATURES.index(f) for f in ("tag_mark", "name_mark", "region", "heading", "inline")}
+    assert tree.feature[0] not in marks
+    pages = [r["html"] for r in pq.read_table("/root/testdata/sf0.01/pages.parquet").to_pylist() if r["html"]]
+    for row in np.concatenate([html_extract.features(html_extract.blocks(p)) for p in pages]):
+        node, seen = 0, set()
+        while tree.feature[node] >= 0:
+            seen.add(int(tree.feature[node]))
+            node = tree.left[node] if row[tree.feature[node]] <= tree.threshold[node] else tree.right[node]
+        assert seen - marks
+
+
 def test_extraction_of_an_empty_table(spark):
     none = spark.createDataFrame([], "page_id long, url string, html string")
     assert html_extract.extract_pages(none).count() == 0

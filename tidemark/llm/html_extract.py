@@ -2,9 +2,10 @@
 
 A page is cut into flat text blocks at block-level tags. A block has its word count and link
 density, the same two of its neighbours, and what its ancestors say: whether it is a heading, which
-region of the page it is in, and how strongly tags and names mark it as boilerplate. Names are graded (``warning`` says less than ``advert``) and none of these
-decides alone: a decision tree trained on the labelled blocks of :mod:`labelled_pages` weighs them
-all. An inline element with a marked name is judged like a block of its own inside its paragraph.
+region of the page it is in, and how strongly tags and names mark it as boilerplate. Names are
+graded (``warning`` says less than ``advert``). A decision tree weighs them all, trained on the labelled
+blocks of :mod:`labelled_pages` with their names, without, and without names and sections: its root
+is a block's link density. An inline element with a marked name is judged like a block of its own inside its paragraph.
 Script and style content and markup never become text.
 """
 
@@ -42,6 +43,11 @@ STRONG_WORDS = frozenset(
     signup login skip skyscraper social sponsor sponsored subscribe subscription toolbar widget widgets complementary outbrain taboola""".split()
 )
 WEAK_WORDS = frozenset("alert banner banners byline dialog disclaimer form header notice notices notification popover privacy search side tags teaser topbar warning".split())
+#: Words at a name's end that say nothing of what the thing is.
+PLACE_WORDS = frozenset(
+    """area bar block bottom box btn button buttons card center col column container content count desktop fixed frame group heading holder horizontal icon icons info inner item items label large layout left
+    link links list main middle mobile module outer panel placeholder primary right row secondary section side size slot small space sticky strip text title top unit vertical wrap wrapper zone""".split()
+)
 MAIN_WORDS = frozenset("article articlebody body content entry main maincontent post story text".split())
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 #: A start of one of these ends an open paragraph.
@@ -69,6 +75,8 @@ class Marks(NamedTuple):
     main: bool = False
     heading: bool = False
     label: float = -1.0
+    source: int = -1  # the number of the outermost element with a mark
+    inner: bool = False  # within a main element, whatever is marked around it
 
 
 class Block(NamedTuple):
@@ -85,14 +93,19 @@ def name_mark(names: str) -> float:
     """How far class, id or role names speak for boilerplate: 0, 0.5 or 1.
 
     Of the known words in a compound name the last one counts, as it says what the thing is; a
-    strong word that isn't last makes it doubtful.
+    strong word that isn't last makes it doubtful, and so does a last word that isn't known and
+    is no word for a place or number: an ``ad-slot-2`` is an advert, what is ``ad-free`` may not be.
     """
     most = 0.0
     for name in CAMEL.sub("-", names).lower().split():
-        words = [w for w in SPLIT.split(name) if w in STRONG_WORDS or w in WEAK_WORDS or w in MAIN_WORDS]
+        parts = [w for w in SPLIT.split(name) if w]
+        words = [w for w in parts if w in STRONG_WORDS or w in WEAK_WORDS or w in MAIN_WORDS]
         if words:
             last = 1.0 if words[-1] in STRONG_WORDS else 0.5 if words[-1] in WEAK_WORDS else 0.0
-            most = max(most, last if last or len(words) == 1 or words[0] not in STRONG_WORDS else 0.5)
+            mark = last if last or len(words) == 1 or words[0] not in STRONG_WORDS else 0.5
+            after = parts[len(parts) - parts[::-1].index(words[-1]) :]
+            known = all(w in PLACE_WORDS or w.isdigit() or len(w) == 1 or w[0].isdigit() for w in after)
+            most = max(most, mark if known else min(mark, 0.5))
     return most
 
 
@@ -114,18 +127,47 @@ def attributes(tag: str, attrs: str) -> tuple[bool, float, bool, float]:
     return hidden, name, main, label
 
 
-def inside(tag: str, attrs: str, outer: Marks) -> Marks:
-    """The marks of an element that starts within ``outer``."""
+def inside(tag: str, attrs: str, outer: Marks, number: int = -1, wraps: bool = False) -> Marks:
+    """The marks of the element of this number that starts within ``outer``; one that ``wraps`` the article has none of its own."""
     hidden, name, main, label = attributes(tag, attrs)
-    boiler = tag in BOILER_TAGS and not (tag == "header" and outer.main and name < 1)  # an article's own header holds its title
+    name = 0.0 if wraps else name
+    boiler = not wraps and tag in BOILER_TAGS and not (tag == "header" and outer.main and name < 1)  # an article's own header holds its title
     fresh = tag in MAIN_TAGS and outer.name < 1  # doubtful names around an article don't speak about it
     name = max(name, 0.0 if fresh else outer.name)
     tagged = outer.tag or boiler
-    return Marks(outer.hidden or hidden, tagged, name, (outer.main or tag in MAIN_TAGS or main) and name < 1 and not tagged, outer.heading or tag in HEADINGS, label if label >= 0 else outer.label)
+    source = outer.source if outer.source >= 0 or not (tagged or name >= 1) else number
+    is_main = tag in MAIN_TAGS or main
+    return Marks(
+        outer.hidden or hidden, tagged, name, (outer.main or is_main) and name < 1 and not tagged, outer.heading or tag in HEADINGS, label if label >= 0 else outer.label, source, outer.inner or is_main,
+    )
+
+
+#: More words than this in a block say no more.
+MANY_WORDS = 30
+#: An element that holds this share of a page's words, and the only main element, is around the article and not beside it.
+WRAPS = 0.5
 
 
 def blocks(page: str) -> list[Block]:
-    """The page's text blocks in order."""
+    """The page's text blocks in order. Marked elements around the whole article, such as one form for the page, don't mark it."""
+    wraps: set[int] = set()
+    for _ in range(4):  # each turn may find one more layer
+        found = _blocks(page, wraps)
+        if any(b.marks.main for b in found):
+            return found
+        words: Counter = Counter()
+        for b in found:
+            words[b.marks.source] += b.words
+        about = {b.marks.source for b in found if b.marks.inner}
+        most = next(((s, n) for s, n in words.most_common() if s >= 0), None)
+        share = most[1] / sum(words.values()) if most else 0.0
+        if share < WRAPS or (most[0] not in about and share < 0.95):
+            return found
+        wraps.add(most[0])
+    return found
+
+
+def _blocks(page: str, wraps: set[int]) -> list[Block]:
     found: list[Block] = []
     stack: list[tuple[str, Marks]] = []
     is_open: Counter = Counter()
@@ -133,6 +175,7 @@ def blocks(page: str) -> list[Block]:
     linked: list[str] = []
     inline: list[tuple[str, float, float, list[str]]] = []  # tag, mark, label, texts in links
     links, marked, depth = 0, -1, 0
+    number = 0  # of the elements that aren't inline
     hush: str | None = None  # tag of a hidden inline element
     state = Marks()
 
@@ -220,7 +263,8 @@ def blocks(page: str) -> list[Block]:
             if attrs.endswith("/") and tag in ("svg", "math", "object"):
                 continue
             links = 0 if tag in ENDS_P and tag != "div" else links
-            state = inside(tag, attrs, state)
+            number += 1
+            state = inside(tag, attrs, state, number, number in wraps)
             stack.append((tag, state))
             is_open[tag] += 1
     flush()
@@ -231,32 +275,50 @@ def features(found: list[Block]) -> np.ndarray:
     """A row of FEATURES for each block, then one for each marked inline element, whose neighbours are its own block."""
     has_main = any(b.marks.main for b in found)
     region = [1 if b.marks.main else -1 if has_main else 0 for b in found]
-    own = np.array([(b.words, b.linked / b.words) for b in found], float).reshape(-1, 2)
+    own = np.array([(min(b.words, MANY_WORDS), b.linked / b.words) for b in found], float).reshape(-1, 2)
     x = np.zeros((len(found), len(FEATURES)))
     x[:, :2], x[1:, 2:4], x[:-1, 4:6] = own, own[:-1], own[1:]
     x[:, 6:10] = [(b.marks.tag, b.marks.name, r, b.marks.heading) for b, r in zip(found, region, strict=True)]
     inline = [
-        (n, k / n, *own[i], *own[i], b.marks.tag, mark, region[i], b.marks.heading, 1)
+        (min(n, MANY_WORDS), k / n, *own[i], *own[i], b.marks.tag, mark, region[i], b.marks.heading, 1)
         for i, b in enumerate(found) for n, k, mark, _ in b.inline if n
     ]
     return np.vstack([x, inline]) if inline else x
 
 
-@lru_cache(1)
-def labelled() -> tuple[np.ndarray, np.ndarray]:
-    """Features and labels of the labelled pages' blocks."""
+_NAMES = re.compile(r"""\s(?:class|id|role)=("[^"]*"|[^\s>]+)""")
+_SECTIONS = re.compile(r"(</?)(?:nav|footer|aside|form|header|main|article|section)\b")
+
+
+def _table(pages: tuple[str, ...]) -> tuple[np.ndarray, np.ndarray]:
     xs, ys = [], []
-    for page in PAGES:
+    for page in pages:
         found = blocks(page)
         xs.append(features(found))
         ys += [b.marks.label for b in found] + [label if label >= 0 else b.marks.label for b in found for n, _, _, label in b.inline if n]
     return np.vstack(xs), np.array(ys)
 
 
+@lru_cache(1)
+def labelled() -> tuple[np.ndarray, np.ndarray]:
+    """Features and labels of the labelled pages' blocks."""
+    return _table(PAGES)
+
+
 @lru_cache(1)
 def model() -> FlatTree:
-    x, y = labelled()
-    return train_tree(x[y >= 0], y[y >= 0], max_depth=7, least=2)
+    """The tree, trained on the labelled pages as they are, without names, and without names and sections: there words, links and neighbours must decide.
+
+    What surrounds an article in plain sentences, with nothing but its name to tell it, is no example without its name.
+    """
+    unnamed = tuple(_NAMES.sub("", p) for p in PAGES)
+    tables = [labelled()]
+    for pages in (unnamed, tuple(_SECTIONS.sub(r"\1div", p) for p in unnamed)):
+        x, y = _table(pages)
+        told = (y == 1) | (x[:, FEATURES.index("link_density")] > 0.2) | (x[:, 0] <= 5) | (x[:, FEATURES.index("region")] < 0) | (x[:, FEATURES.index("tag_mark")] > 0)
+        tables.append((x[told], y[told]))
+    x, y = (np.concatenate(t) for t in zip(*tables, strict=True))
+    return train_tree(x[y >= 0], y[y >= 0], max_depth=8, least=3)
 
 
 def extract(pages: list[str | None]) -> list[str]:
