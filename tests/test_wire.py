@@ -199,3 +199,67 @@ def test_monte_carlo_intervals(spark):
     assert hits >= 4 and m.stderr < 0.05
     asian = pricing.monte_carlo(spark, 100.0, 100.0, 0.05, 0.2, 1.0, steps=52, paths=20_000).first()
     assert 0 < asian.price < 10.45
+
+
+def plain_datagram(frame):
+    if len(frame) < 14:
+        return "too_short"
+    at, kind = 12, int.from_bytes(frame[12:14], "big")
+    while kind == 0x8100:
+        at += 4
+        if at + 2 > len(frame):
+            return "too_short"
+        kind = int.from_bytes(frame[at : at + 2], "big")
+    ip = frame[at + 2 :]
+    if kind != 0x0800:
+        return "not_ipv4"
+    if len(ip) < 20:
+        return "too_short"
+    if ip[0] >> 4 != 4:
+        return "not_ipv4"
+    size = ip[0] % 16 * 4
+    if size < 20 or len(ip) < size:
+        return "too_short"
+    if ip[9] != 17:
+        return "not_udp"
+    if int.from_bytes(ip[6:8], "big") % 0x4000:
+        return "fragmented"
+    udp = ip[size:]
+    if len(udp) < 8:
+        return "too_short"
+    length = int.from_bytes(udp[4:6], "big")
+    if length < 8 or length > len(udp):
+        return "too_short"
+    return (int.from_bytes(udp[:2], "big"), int.from_bytes(udp[2:4], "big"), ".".join(str(b) for b in ip[16:20]), udp[8:length])
+
+
+def plain_messages(payload):
+    if len(payload) < 40:
+        return None
+    count, at, out = int.from_bytes(payload[14:16], "little"), 40, []
+    while len(out) < count and at + 2 <= len(payload):
+        size = int.from_bytes(payload[at : at + 2], "little")
+        if at + 2 + size > len(payload):
+            break
+        out.append(payload[at + 2 : at + 2 + size])
+        at += 2 + size
+    return out
+
+
+def test_framing_in_columns_equals_a_packet_at_a_time(spark):
+    rng, frames = __import__("random").Random(41), [None, b""]
+    for _ in range(400):
+        bodies = [bytes(rng.randint(0, 255) for _ in range(rng.choice((0, 1, 9)))) for _ in range(rng.choice((0, 1, 3, 40)))]
+        payload = wire.segment_bytes(bodies, 7, rng.randint(-5, 10**12), channel=rng.randint(0, 2**32 - 1), count=rng.choice((None, 0, 2, 60)))
+        frame = bytearray(wire.frame_bytes(payload[: rng.choice((len(payload), len(payload), 39, len(payload) - 1))], rng.randint(0, 3), port=rng.randint(0, 65535)))
+        for _ in range(rng.choice((0, 0, 1, 2))):
+            frame[rng.randrange(len(frame))] = rng.choice((0, 1, 0x45, 0x46, 0x60, 0x81, 17, 255))
+        frames.append(bytes(frame[: rng.choice((len(frame), len(frame), len(frame), rng.randint(0, len(frame))))]))
+    packets = spark.createDataFrame([("c", i, i, bytearray(f) if f is not None else None) for i, f in enumerate(frames)], "capture_id string, packet_no long, ts_nanos long, data binary")
+    found = capture.datagrams(packets.repartition(3))
+    for r in found.collect():
+        want = plain_datagram(frames[r.packet_no] or b"")
+        assert (r.skip, r.payload) == (want, None) if isinstance(want, str) else (r.skip, r.src_port, r.dst_port, r.dst_ip, bytes(r.payload)) == (None, *want)
+    segments = {r.packet_no: [bytes(m) for m in r.messages] for r in capture.segments(found).collect()}
+    payloads = {i: d[3] for i, f in enumerate(frames) if not isinstance(d := plain_datagram(f or b""), str)}
+    assert segments == {i: m for i, p in payloads.items() if (m := plain_messages(p)) is not None} and len(segments) > 100

@@ -166,54 +166,118 @@ def range_packets(path: str, kind: str, start: int, stop: int, state: str) -> tu
     return link, ((ts, body, orig, at + start) for ts, body, orig, at in found)
 
 
+#: What can become of a packet, by its code.
+SKIPS = (None, TOO_SHORT, NOT_IPV4, NOT_UDP, FRAGMENTED)
+
+
+def _padded(data: np.ndarray) -> np.ndarray:
+    """``data`` with zeros behind it, so that a field of a cut packet can be read before its length is judged."""
+    return np.concatenate([data, np.zeros(64, np.uint8)])
+
+
+def _big(data: np.ndarray, at: np.ndarray, n: int = 2) -> np.ndarray:
+    return sum(data[at + k].astype(np.int64) << (8 * (n - 1 - k)) for k in range(n))
+
+
+def datagrams(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> dict[str, np.ndarray]:
+    """Of the frames at ``starts`` in the bytes ``data``: a code of :data:`SKIPS`, source and target ports, target address, and where the payload lies.
+
+    One step for each header over all frames that are still good, and one for each depth of VLAN tags.
+    """
+    n, data, ends = len(starts), _padded(data), starts + sizes
+    code = np.zeros(n, np.int64)
+    out = {name: np.zeros(n, np.int64) for name in ("src_port", "dst_port", "dst_ip", "start", "size")}
+    live = np.arange(n)
+
+    def judge(bad: np.ndarray, reason: str, *columns: np.ndarray) -> tuple[np.ndarray, ...]:
+        nonlocal live
+        code[live[bad]] = SKIPS.index(reason)
+        live = live[~bad]
+        return tuple(c[~bad] for c in columns)
+
+    judge(sizes < 14, TOO_SHORT)
+    at = starts[live] + 12
+    kind = _big(data, at)
+    while (kind == VLAN).any():
+        at = np.where(kind == VLAN, at + 4, at)
+        at, kind = judge(at + 2 > ends[live], TOO_SHORT, at, kind)
+        kind = np.where(kind == VLAN, _big(data, at), kind)
+    (at,) = judge(kind != IPV4, NOT_IPV4, at)
+    ip = at + 2
+    (ip,) = judge(ends[live] - ip < 20, TOO_SHORT, ip)
+    (ip,) = judge(data[ip] >> 4 != 4, NOT_IPV4, ip)
+    size = (data[ip] & 15).astype(np.int64) * 4
+    ip, size = judge((size < 20) | (ends[live] - ip < size), TOO_SHORT, ip, size)
+    ip, size = judge(data[ip + 9] != UDP, NOT_UDP, ip, size)
+    ip, size = judge(_big(data, ip + 6) & 0x3FFF != 0, FRAGMENTED, ip, size)
+    udp = ip + size
+    ip, udp = judge(ends[live] - udp < 8, TOO_SHORT, ip, udp)
+    length = _big(data, udp + 4)
+    ip, udp, length = judge((length < 8) | (length > ends[live] - udp), TOO_SHORT, ip, udp, length)
+    for name, values in (("src_port", _big(data, udp)), ("dst_port", _big(data, udp + 2)), ("dst_ip", _big(data, ip + 16, 4)), ("start", udp + 8), ("size", length - 8)):
+        out[name][live] = values
+    return {"code": code, **out}
+
+
+def addresses(values: np.ndarray) -> list[str]:
+    """Addresses as text; each distinct one is written once."""
+    distinct, at = np.unique(values, return_inverse=True)
+    return np.array([".".join(str(int(v) >> s & 255) for s in (24, 16, 8, 0)) for v in distinct] or [""], object)[at].tolist()
+
+
 def datagram(frame: bytes) -> tuple[str | None, int, int, str, bytes]:
-    """Skip reason (None if there is a datagram), source and target ports, target address, payload."""
-    none = (0, 0, "", b"")
-    if len(frame) < 14:
-        return TOO_SHORT, *none
-    at = 12
-    kind = int.from_bytes(frame[at : at + 2], "big")
-    while kind == VLAN:
-        at += 4
-        if at + 2 > len(frame):
-            return TOO_SHORT, *none
-        kind = int.from_bytes(frame[at : at + 2], "big")
-    if kind != IPV4:
-        return NOT_IPV4, *none
-    ip = frame[at + 2 :]
-    if len(ip) < 20:
-        return TOO_SHORT, *none
-    if ip[0] >> 4 != 4:
-        return NOT_IPV4, *none
-    size = (ip[0] & 15) * 4
-    if size < 20 or len(ip) < size:
-        return TOO_SHORT, *none
-    if ip[9] != UDP:
-        return NOT_UDP, *none
-    if int.from_bytes(ip[6:8], "big") & 0x3FFF:
-        return FRAGMENTED, *none
-    udp = ip[size:]
-    if len(udp) < 8:
-        return TOO_SHORT, *none
-    source, target, length = struct.unpack_from(">HHH", udp)
-    if length < 8 or length > len(udp):
-        return TOO_SHORT, *none
-    return None, source, target, ".".join(map(str, ip[16:20])), udp[8:length]
+    """Skip reason (None if there is a datagram), source and target ports, target address, payload of one frame."""
+    found = {k: int(v[0]) for k, v in datagrams(np.frombuffer(frame, np.uint8), np.zeros(1, np.int64), np.array([len(frame)])).items()}
+    if found["code"]:
+        return SKIPS[found["code"]], 0, 0, "", b""
+    return None, found["src_port"], found["dst_port"], addresses(np.array([found["dst_ip"]]))[0], frame[found["start"] : found["start"] + found["size"]]
+
+
+_HEADER = np.dtype([("version", "u1"), ("_", "u1"), ("protocol", "<u2"), ("channel", "<u4"), ("session", "<u4"), ("length", "<u2"), ("message_count", "<u2"), ("stream_offset", "<i8"), ("first_sequence", "<i8"), ("send_time", "<i8")])
+
+
+def segments(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of the payloads at ``starts``: which have a header, the headers, and of all messages in order the header's row, the place and the size.
+
+    Messages end at the count or the end of the bytes. All payloads step from length to length together.
+    """
+    data, whole = _padded(data), sizes >= HEADER.size
+    at, ends = starts[whole], (starts + sizes)[whole]
+    headers = data[at[:, None] + np.arange(HEADER.size)].reshape(-1).view(_HEADER) if len(at) else np.zeros(0, _HEADER)
+    counts, live, place = headers["message_count"].astype(np.int64), np.arange(len(at)), at + HEADER.size
+    owners, places, lengths = [], [], []
+    turn = 0
+    while True:
+        going = (counts[live] > turn) & (place + 2 <= ends[live])
+        live, place = live[going], place[going]
+        size = data[place].astype(np.int64) | data[place + 1].astype(np.int64) << 8
+        fits = place + 2 + size <= ends[live]
+        live, place, size = live[fits], place[fits], size[fits]
+        if not len(live):
+            break
+        owners.append(live)
+        places.append(place + 2)
+        lengths.append(size)
+        place, turn = place + 2 + size, turn + 1
+    none = np.zeros(0, np.int64)
+    owner, where, length = (np.concatenate(v) if v else none for v in (owners, places, lengths))
+    order = np.argsort(owner, kind="stable")
+    return whole, headers, owner[order], where[order], length[order]
 
 
 def segment(payload: bytes) -> dict | None:
-    """A segment's header and message bodies; None if the header is cut. Messages end at the count or the end of the bytes."""
-    if len(payload) < HEADER.size:
+    """A segment's header and message bodies; None if the header is cut."""
+    whole, headers, _, places, sizes = segments(np.frombuffer(payload, np.uint8), np.zeros(1, np.int64), np.array([len(payload)]))
+    if not whole[0]:
         return None
-    version, protocol, channel, session, _, count, offset, first, sent = HEADER.unpack_from(payload)
-    bodies, at = [], HEADER.size
-    while len(bodies) < count and at + 2 <= len(payload):
-        size = int.from_bytes(payload[at : at + 2], "little")
-        if at + 2 + size > len(payload):
-            break
-        bodies.append(payload[at + 2 : at + 2 + size])
-        at += 2 + size
-    return {"version": version, "protocol": protocol, "channel": channel, "session": session, "message_count": count, "stream_offset": offset, "first_sequence": first, "send_time": sent, "messages": bodies}
+    found = {n: int(headers[n][0]) for n in _HEADER.names if n not in ("_", "length")}
+    return found | {"messages": [payload[a : a + n] for a, n in zip(places.tolist(), sizes.tolist(), strict=True)]}
+
+
+def gathered(data: np.ndarray, places: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets and bytes of the pieces at ``places``, put one after the other."""
+    offsets = np.concatenate([[0], np.cumsum(sizes)])
+    return offsets.astype(np.int32), data[np.repeat(places - offsets[:-1], sizes) + np.arange(offsets[-1])]
 
 
 #: Fixed values of the message format: after kind@0, one byte@1 and the time@2, each kind's fields in order ('_' is kept raw only).

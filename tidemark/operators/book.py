@@ -22,6 +22,7 @@ BOOK = ["book_epoch", "symbol"]
 #: Updates of a book that share a block, sequence numbers of a bucket of the range join, rows of several blocks worked on at once.
 FOLD_BLOCK, JOIN_BUCKET, TOUCH_ROWS = 50_000, 1_000, 100_000
 
+DEPTH = ", bid_levels long, bid_far long, ask_levels long, ask_far long"
 TOUCH = "book_epoch long, symbol string, seq long, bid long, bid_size long, ask long, ask_size long, stable boolean"
 
 
@@ -84,17 +85,21 @@ def _highest(n: int, start: np.ndarray, stop: np.ndarray, rank: np.ndarray) -> n
     return tree[size : size + n]
 
 
+def _ends(group: np.ndarray, bid: np.ndarray, price: np.ndarray) -> np.ndarray:
+    """The next row of each row's level, or its group's end."""
+    order = np.lexsort((np.arange(len(group)), price, bid, group))
+    ends = np.searchsorted(group, group, "right")  # groups are numbered upwards
+    same = (group[order[1:]] == group[order[:-1]]) & (bid[order[1:]] == bid[order[:-1]]) & (price[order[1:]] == price[order[:-1]])
+    ends[order[:-1][same]] = order[1:][same]
+    return ends
+
+
 def touch_places(group: np.ndarray, bid: np.ndarray, price: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The rows of the best bid and of the best ask after each row, -1 for an empty side. Rows are in order within their group, one book each.
 
     A row that sets a level holds from its place to the next of the same level, or to its group's end.
     """
-    n = len(group)
-    order = np.lexsort((np.arange(n), price, bid, group))
-    ends = np.searchsorted(group, group, "right")  # groups are numbered upwards
-    same = (group[order[1:]] == group[order[:-1]]) & (bid[order[1:]] == bid[order[:-1]]) & (price[order[1:]] == price[order[:-1]])
-    ends[order[:-1][same]] = order[1:][same]
-    found = []
+    n, ends, found = len(group), _ends(group, bid, price), []
     for side, sign in ((True, 1), (False, -1)):
         held = np.flatnonzero((bid == side) & (size > 0))
         held = held[np.argsort(sign * price[held], kind="stable")]
@@ -103,24 +108,44 @@ def touch_places(group: np.ndarray, bid: np.ndarray, price: np.ndarray, size: np
     return found[0], found[1]
 
 
-def _touches(table: pa.Table) -> list[pa.RecordBatch]:
-    """The touch after each row that isn't seeded, for whole groups in order."""
+def depth_places(group: np.ndarray, bid: np.ndarray, price: np.ndarray, size: np.ndarray) -> dict[str, np.ndarray]:
+    """After each row, for either side, its number of levels and the row of the level furthest from the touch (-1: none)."""
+    ends, found = _ends(group, bid, price), {}
+    for name, side, sign in (("bid", True, -1), ("ask", False, 1)):
+        held = np.flatnonzero((bid == side) & (size > 0))
+        held = held[np.argsort(sign * price[held], kind="stable")]
+        worst = _highest(len(group), held, ends[held], np.arange(len(held)))
+        found[f"{name}_far"] = np.where(worst < 0, -1, held[worst] if len(held) else -1)
+        steps = np.bincount(held, minlength=len(group) + 1) - np.bincount(ends[held], minlength=len(group) + 1)
+        found[f"{name}_levels"] = np.cumsum(steps)[: len(group)]
+    return found
+
+
+def _touches(table: pa.Table, depth: bool = False) -> list[pa.RecordBatch]:
+    """The touch (and with ``depth`` what :data:`DEPTH` adds) after each row that isn't seeded, for whole groups in order."""
     keys = [pc.fill_null(c.combine_chunks().dictionary_encode().indices, -1).to_numpy(zero_copy_only=False) if pa.types.is_string(c.type) else pc.fill_null(c, -1).to_numpy() for c in (table[k] for k in (*BOOK, "block"))]
     new = np.zeros(table.num_rows, bool)
     for key in keys:
         new[1:] |= key[1:] != key[:-1]
     price, size = table["price"].to_numpy(), table["size"].to_numpy()
-    bid, ask = touch_places(np.cumsum(new), pc.equal(table["side"], "B").to_numpy(), price, size)
+    sides = (np.cumsum(new), pc.equal(table["side"], "B").to_numpy(), price, size)
+    bid, ask = touch_places(*sides)
     own = np.flatnonzero(~table["seeded"].to_numpy())
     columns = {k: table[k].take(pa.array(own)) for k in (*BOOK, "seq")}
     for name, at in (("bid", bid[own]), ("ask", ask[own])):
         columns[name], columns[f"{name}_size"] = (pa.array(v[np.maximum(at, 0)], pa.int64(), mask=at < 0) for v in (price, size))
     columns["stable"] = pa.array((table["flags"].to_numpy()[own] & 1) == 1)
-    return pa.table(columns).select([f.split(" ")[0] for f in TOUCH.split(", ")]).combine_chunks().to_batches(max_chunksize=max(1, len(own)))
+    if depth:
+        found = depth_places(*sides)
+        for name in ("bid", "ask"):
+            far = found[f"{name}_far"][own]
+            columns[f"{name}_levels"] = pa.array(found[f"{name}_levels"][own], pa.int64())
+            columns[f"{name}_far"] = pa.array(price[np.maximum(far, 0)], pa.int64(), mask=far < 0)
+    return pa.table(columns).select([f.split(" ")[0] for f in (TOUCH + DEPTH if depth else TOUCH).split(", ")]).combine_chunks().to_batches(max_chunksize=max(1, len(own)))
 
 
-def touch_by_fold(updates: DataFrame, block: int = FOLD_BLOCK) -> DataFrame:
-    """The touch after every update, by blocks of a book's updates.
+def touch_by_fold(updates: DataFrame, block: int = FOLD_BLOCK, depth: bool = False) -> DataFrame:
+    """The touch after every update, by blocks of a book's updates; with ``depth`` also each side's levels and furthest price.
 
     A book's updates are numbered (by sums of blocks, so a hot book is many tasks) and cut into
     blocks of ``block``. A level that outlives its block is copied to the book's later ones until
@@ -144,12 +169,12 @@ def touch_by_fold(updates: DataFrame, block: int = FOLD_BLOCK) -> DataFrame:
                 last_group = pc.and_(pc.and_(pc.equal(held["book_epoch"], ends["book_epoch"][0]), pc.equal(held["symbol"], ends["symbol"][0])), pc.equal(held["block"], ends["block"][0]))
                 whole = held.num_rows - int(pc.sum(pc.fill_null(last_group, False)).as_py() or 0)
                 if 0 < whole < held.num_rows:
-                    yield from _touches(held.slice(0, whole))
+                    yield from _touches(held.slice(0, whole), depth)
                     held = held.slice(whole)
         if held is not None and held.num_rows:
-            yield from _touches(held)
+            yield from _touches(held, depth)
 
-    return rows.mapInArrow(run, TOUCH)
+    return rows.mapInArrow(run, TOUCH + DEPTH if depth else TOUCH)
 
 
 def _alive_to(cut: DataFrame, blocks: DataFrame, until_block) -> DataFrame:
@@ -235,20 +260,24 @@ def quote_board(updates: DataFrame, limit: int = 8) -> DataFrame:
     return best(held).where("bid IS NOT NULL AND ask IS NOT NULL").join(depth, BOOK).orderBy("symbol").limit(limit)
 
 
-def shape_samples(updates: DataFrame, every: int) -> DataFrame:
-    """Depth, span and spread of each book at every ``every``-th sequence number of its epoch."""
-    alive = levels(updates).where("size > 0").select(*BOOK, "side", "price", F.col("seq").alias("start"), "until")
-    last = updates.groupBy("book_epoch").agg(F.max("seq").alias("last_seq"))
-    alive = alive.join(last, "book_epoch").withColumn("end", F.coalesce(F.col("until") - 1, F.col("last_seq")))
-    first, final = F.ceil(F.col("start") / F.lit(every)).cast("long"), F.floor(F.col("end") / F.lit(every)).cast("long")
-    points = alive.where(first <= final).withColumn("step", F.explode(F.sequence(first, final))).withColumn("point", F.col("step") * every)
-    side = points.groupBy(*BOOK, "point").agg(
-        F.count_if(F.col("side") == "B").alias("bid_levels"), F.count_if(F.col("side") == "S").alias("ask_levels"),
-        ((F.max(F.when(F.col("side") == "B", F.col("price"))) - F.min(F.when(F.col("side") == "B", F.col("price")))) / 100).cast("long").alias("bid_span"),
-        ((F.max(F.when(F.col("side") == "S", F.col("price"))) - F.min(F.when(F.col("side") == "S", F.col("price")))) / 100).cast("long").alias("ask_span"),
-        F.greatest((F.min(F.when(F.col("side") == "S", F.col("price"))) - F.max(F.when(F.col("side") == "B", F.col("price")))) / 100, F.lit(0)).cast("long").alias("spread"),
+def shape_samples(updates: DataFrame, every: int, block: int = FOLD_BLOCK) -> DataFrame:
+    """Depth, span and spread of each book at every ``every``-th sequence number of its epoch, where it has a level.
+
+    The state after an update holds until the book's next one; it becomes a row for each point in
+    between, so rows follow the points of books, not the life of levels.
+    """
+    states = touch_by_fold(updates, block, depth=True)
+    number = F.floor(F.col("seq") / F.lit(block))
+    forward = previous(states.withColumn("back", -F.col("seq")), BOOK, "back", -number, {"next": "seq"})  # the row before, seen from the end
+    last = updates.groupBy("book_epoch").agg(F.max("seq").alias("last_seq"))  # a row for each epoch
+    held = forward.where("bid_levels + ask_levels > 0").join(last, "book_epoch").withColumn("until", F.coalesce(F.col("next") - 1, F.col("last_seq")))
+    first, final = F.ceil(F.col("seq") / F.lit(every)).cast("long"), F.floor(F.col("until") / F.lit(every)).cast("long")
+    points = held.where(first <= final).withColumn("step", F.explode(F.sequence(first, final)))
+    ticks = lambda a, b: ((F.col(a) - F.col(b)) / 100).cast("long")
+    return points.select(
+        *BOOK, (F.col("step") * every).alias("point"), "bid_levels", "ask_levels", ticks("bid", "bid_far").alias("bid_span"), ticks("ask_far", "ask").alias("ask_span"),
+        F.when(F.col("bid").isNotNull() & F.col("ask").isNotNull(), F.greatest(ticks("ask", "bid"), F.lit(0))).alias("spread"),
     )
-    return side.withColumn("spread", F.when((F.col("bid_levels") > 0) & (F.col("ask_levels") > 0), F.col("spread")))
 
 
 def deepest(updates: DataFrame, limit: int = 8) -> DataFrame:

@@ -51,56 +51,53 @@ def parity_residual(options: DataFrame) -> DataFrame:
     return both.withColumn("residual", F.expr("call - put - (spot - strike * exp(-rate * time))"))
 
 
-def _price_vega(s, k, r, t, call, vol):
-    root = vol * np.sqrt(t)
+def _above_intrinsic(x, w):
+    """What an out-of-the-money option is worth over the root of forward times strike, at log-moneyness ``x <= 0`` and total deviation ``w``, and its slope in ``w``."""
     with np.errstate(all="ignore"):
-        d1 = (np.log(s / k) + (r + 0.5 * vol * vol) * t) / root
-        d2 = d1 - root
-        disc = np.exp(-r * t)
-        value = s * cdf(d1) - k * disc * cdf(d2)
-        value = np.where(call, value, value - s + k * disc)
-        vega = s * np.exp(-0.5 * d1 * d1) * 0.3989422804014327 * np.sqrt(t)
-    bad = ~(root > 0)
-    return np.where(bad, np.maximum(np.where(call, s - k, k - s), 0), value), np.where(bad, 0.0, vega)
-
-
-def solve_vol(target, s, k, r, t, call, tol: float = 1e-10, steps: int = 50):
-    """Implied volatility, vega there, and whether it tells the volatility: Newton from 0.30, the rest by bisection. NaN outside the no-arbitrage bounds."""
-    disc = np.exp(-r * t)
-    low, high = np.maximum(np.where(call, s - k * disc, k * disc - s), 0), np.where(call, s, k * disc)
-    possible = (target >= low - 1e-12) & (target <= high + 1e-12)
-    vol, done, newton = np.full(len(target), 0.30), ~possible, possible.copy()
-    for _ in range(steps):
-        value, vega = _price_vega(s, k, r, t, call, vol)
-        miss = value - target
-        done |= newton & (np.abs(miss) < tol)
-        newton &= ~done & (vega >= 1e-10)
-        with np.errstate(all="ignore"):
-            step = vol - miss / vega
-        newton &= (step > 0) & (step <= 10)
-        if not newton.any():
-            break
-        vol = np.where(newton, step, vol)
-    left = ~done
-    a, b = np.full(len(target), 1e-9), np.full(len(target), 10.0)
-    for _ in range(200):
-        if not left.any():
+        up, down = x / w + w / 2, x / w - w / 2
+        value, slope = np.exp(x / 2) * cdf(up) - np.exp(-x / 2) * cdf(down), np.exp(x / 2 - up * up / 2) / np.sqrt(2 * np.pi)
+    flat = ~(w > 0)
+    return np.where(flat, 0.0, value), np.where(flat, 0.0, slope)
+
+
+def solve_vol(target, s, k, r, t, call, tol: float = 1e-10, widest: float = 10.0, rounds: int = 120):
+    """Implied volatility, vega there, and whether it tells the volatility. NaN outside the no-arbitrage bounds, 0 without time.
+
+    Each price becomes that of the option of the same strike that is out of the money (by parity),
+    as a function of the total deviation. That function bends at ``sqrt(2 * abs(x))``: from there
+    Newton's steps approach the root from one side. Each step narrows a bracket; one that leaves
+    it is replaced by the bracket's middle.
+    """
+    root, grown = np.sqrt(np.maximum(t, 0)), np.exp(r * t)
+    scale, x = np.sqrt(s * grown * k) / grown, -np.abs(np.log(s * grown / k))
+    rich = target - np.maximum(np.where(call, s - k / grown, k / grown - s), 0)  # over the bound below
+    possible = (rich >= -1e-12) & (target <= np.where(call, s, k / grown) + 1e-12)
+    wanted = np.clip(rich / scale, 0, None)
+    low, high = np.zeros(len(target)), widest * root
+    w = np.clip(np.where(x < 0, np.sqrt(-2 * x), wanted * np.sqrt(2 * np.pi)), 1e-12, np.maximum(high, 1e-12))
+    open_ = possible & (root > 0)
+    for _ in range(rounds):
+        value, slope = _above_intrinsic(x, w)
+        miss = value - wanted
+        open_ = open_ & (np.abs(miss) * scale >= tol) & (high - low > 1e-15)
+        if not open_.any():
             break
-        middle = (a + b) / 2
-        vol = np.where(left, middle, vol)
-        miss = _price_vega(s, k, r, t, call, vol)[0] - target
-        left &= np.abs(miss) >= tol
-        a, b = np.where(left & (miss <= 0), middle, a), np.where(left & (miss > 0), middle, b)
-    vega = _price_vega(s, k, r, t, call, vol)[1]
-    return np.where(possible, vol, np.nan), np.where(possible, vega, 0.0), possible & (vega >= MIN_VEGA)
+        low, high = np.where(open_ & (miss < 0), w, low), np.where(open_ & (miss > 0), w, high)
+        with np.errstate(all="ignore"):
+            step = w - miss / slope
+        w = np.where(open_, np.where((step > low) & (step < high), step, (low + high) / 2), w)
+    with np.errstate(all="ignore"):
+        vol = np.where(root > 0, w / root, 0.0)
+    vega = np.where(possible, _above_intrinsic(x, w)[1] * scale * root, 0.0)
+    return np.where(possible, vol, np.nan), vega, possible & (vega >= MIN_VEGA)
 
 
-@F.pandas_udf(T.StructType([T.StructField("vol", T.DoubleType()), T.StructField("vega", T.DoubleType()), T.StructField("well_conditioned", T.BooleanType())]))
+@F.pandas_udf(T.StructType([T.StructField("vol", T.DoubleType()), T.StructField("vega", T.DoubleType()), T.StructField("identified", T.BooleanType())]))
 def implied_vol(target: pd.Series, spot: pd.Series, strike: pd.Series, rate: pd.Series, time: pd.Series, kind: pd.Series) -> pd.DataFrame:
     """A struct for each option; iterative, so vectorised over Arrow batches."""
     columns = [x.to_numpy(dtype=float) for x in (target, spot, strike, rate, time)]
     vol, vega, well = solve_vol(*columns, (kind == "call").to_numpy())
-    return pd.DataFrame({"vol": vol, "vega": vega, "well_conditioned": well})
+    return pd.DataFrame({"vol": vol, "vega": vega, "identified": well})
 
 
 def monte_carlo(spark, spot: float, strike: float, rate: float, vol: float, time: float, kind: str = "call", paths: int = 400_000, steps: int = 0, seed: int = 7, antithetic: bool = True, control: bool = True, chunk: int = 50_000) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import wire
 from tidemark.operators import flow, orders, sequencing
 from tidemark.plans import feeds
-from tidemark.queries import ORACLES, U, WIDTH, _quotes, query
+from tidemark.queries import _FLOW, ORACLES, U, WIDTH, _fit_sql, _quotes, query
 from tidemark.sources import capture, capture_source
 from tidemark.tables import shared_dir
 
@@ -157,9 +157,10 @@ def frame_reasons(spark, sf_dir):
 # ---- regression reports --------------------------------------------------------------------
 
 
-@query("SELECT 0.002::DOUBLE AS true_beta, true AS contains")
+@query(_FLOW + _fit_sql("SELECT symbol, t, x, 0.002::DOUBLE * x + ((t * 7919) % 1000 - 500) / 10000.0::DOUBLE AS y FROM x") + " SELECT symbol, 0.002::DOUBLE AS true_beta, abs(beta - 0.002::DOUBLE) <= 1.96::DOUBLE * stderr AS contains FROM r WHERE term = 'ofi'")
 def regression_control(spark, sf_dir):
-    return flow.positive_control(spark).select("true_beta", "contains")
+    """A coefficient planted in the flow of the events: whether the fit's interval has it."""
+    return flow.covers(flow.ols_hac(flow.planted(flow.regressors(_quotes(spark, sf_dir), WIDTH))), 0.002)
 
 
 @query()

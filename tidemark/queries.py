@@ -406,18 +406,44 @@ def flow_buckets(spark, sf_dir):
     return flow.buckets(_quotes(spark, sf_dir), WIDTH)
 
 
-@query(_FLOW + """, m AS (SELECT symbol, count(*) AS n, sum(x) AS sx, sum(x * x) AS sxx, regr_slope(y, x) AS b1, regr_intercept(y, x) AS b0, regr_r2(y, x) AS r2, greatest(1, floor(4 * pow(count(*) / 100, 2.0::DOUBLE / 9)))::INT AS lags FROM x GROUP BY symbol HAVING count(*) >= 50),
-    e AS (SELECT x.symbol, t, x, y - b0 - b1 * x AS e, lags FROM x JOIN m USING (symbol)),
+def _fit_sql(rows: str) -> str:
+    """The regression of y on x by symbol over ``rows``, then ``r``: one row for each symbol and term."""
+    return f""", f AS ({rows}),
+    m AS (SELECT symbol, count(*) AS n, sum(x) AS sx, sum(x * x) AS sxx, regr_slope(y, x) AS b1, regr_intercept(y, x) AS b0, regr_r2(y, x) AS r2, greatest(1, floor(4 * pow(count(*) / 100, 2.0::DOUBLE / 9)))::INT AS lags FROM f GROUP BY symbol HAVING count(*) >= 50),
+    e AS (SELECT f.symbol, t, x, y - b0 - b1 * x AS e, lags FROM f JOIN m USING (symbol)),
     g AS (SELECT a.symbol, sum(w * a.e * b.e) AS s00, sum(w * a.e * b.e * (a.x + b.x) / 2) AS s01, sum(w * a.e * b.e * a.x * b.x) AS s11
         FROM (SELECT *, unnest(range(0, lags + 1)) AS j FROM e) a JOIN e b ON b.symbol = a.symbol AND b.t = a.t - a.j, LATERAL (SELECT CASE WHEN a.j = 0 THEN 1 ELSE 2 * (1 - a.j / (a.lags + 1.0::DOUBLE)) END AS w) GROUP BY a.symbol),
     v AS (SELECT m.*, n * sxx - sx * sx AS det, s00, s01, s11 FROM m JOIN g USING (symbol)),
     r AS (SELECT symbol, 'intercept' AS term, b0 AS beta, sqrt(greatest((sxx * sxx * s00 - 2 * sxx * sx * s01 + sx * sx * s11) / det / det, 0)) AS stderr, r2, n, lags FROM v UNION ALL
-        SELECT symbol, 'ofi', b1, sqrt(greatest((sx * sx * s00 - 2 * sx * n * s01 + n * n * s11) / det / det, 0)), r2, n, lags FROM v)
-    SELECT symbol, term, round(beta, 7) AS beta, round(stderr, 7) AS stderr, round(beta / stderr, 4) AS tstat, abs(beta / stderr) > 1.96 AS significant, round(r2, 6) AS r2, n, lags FROM r""")
+        SELECT symbol, 'ofi', b1, sqrt(greatest((sx * sx * s00 - 2 * sx * n * s01 + n * n * s11) / det / det, 0)), r2, n, lags FROM v)"""
+
+
+_ROUNDED = " SELECT symbol, term, round(beta, 7) AS beta, round(stderr, 7) AS stderr, round(beta / stderr, 4) AS tstat, abs(beta / stderr) > 1.96 AS significant, round(r2, 6) AS r2, n, lags FROM r"
+_DIGITS = {"beta": 7, "stderr": 7, "tstat": 4, "r2": 6}
+
+
+@query(_FLOW + _fit_sql("SELECT * FROM x") + _ROUNDED)
 def flow_regression(spark, sf_dir):
     fit = flow.ols_hac(flow.regressors(_quotes(spark, sf_dir), WIDTH))
-    digits = {"beta": 7, "stderr": 7, "tstat": 4, "r2": 6}
-    return fit.withColumns({c: F.round(c, d) for c, d in digits.items()})
+    return fit.withColumns({c: F.round(c, d) for c, d in _DIGITS.items()})
+
+
+@query(_FLOW + """, f AS (SELECT * FROM (SELECT *, lag(x) OVER (PARTITION BY symbol ORDER BY t) AS z FROM x WHERE symbol IN (SELECT symbol FROM x GROUP BY symbol HAVING count(*) >= 50)) WHERE z IS NOT NULL),
+    m AS (SELECT symbol, count(*) AS n, avg(x) AS mx, avg(z) AS mz, avg(y) AS my, var_pop(x) AS vx, var_pop(z) AS vz, var_pop(y) AS vy, covar_pop(x, z) AS xz, covar_pop(x, y) AS xy, covar_pop(z, y) AS zy FROM f GROUP BY symbol),
+    b AS (SELECT *, vx * vz - xz * xz AS det, (xy * vz - zy * xz) / det AS b1, (zy * vx - xy * xz) / det AS b2, my - b1 * mx - b2 * mz AS b0, greatest(1, floor(4 * pow(n / 100, 2.0::DOUBLE / 9)))::INT AS lags,
+        vz / det / n AS i11, -xz / det / n AS i12, vx / det / n AS i22 FROM m),
+    w AS (SELECT symbol, t, lags, y - b0 - b1 * x - b2 * z AS u0, u0 * (x - mx) AS u1, u0 * (z - mz) AS u2 FROM f JOIN b USING (symbol)),
+    g AS (SELECT a.symbol, sum(w * a.u0 * b.u0) AS s00, sum(w * (a.u0 * b.u1 + a.u1 * b.u0)) / 2 AS s01, sum(w * (a.u0 * b.u2 + a.u2 * b.u0)) / 2 AS s02, sum(w * a.u1 * b.u1) AS s11, sum(w * (a.u1 * b.u2 + a.u2 * b.u1)) / 2 AS s12, sum(w * a.u2 * b.u2) AS s22
+        FROM (SELECT *, unnest(range(0, lags + 1)) AS j FROM w) a JOIN w b ON b.symbol = a.symbol AND b.t = a.t - a.j, LATERAL (SELECT CASE WHEN a.j = 0 THEN 1 ELSE 2 * (1 - a.j / (a.lags + 1.0::DOUBLE)) END AS w) GROUP BY a.symbol),
+    q AS (SELECT symbol, sum(u0 * u0) AS rss FROM w GROUP BY symbol),
+    k AS (SELECT *, unnest([{'term': 'intercept', 'beta': b0, 'p': 1.0::DOUBLE / n, 'q': -(i11 * mx + i12 * mz), 'r': -(i12 * mx + i22 * mz)}, {'term': 'ofi', 'beta': b1, 'p': 0::DOUBLE, 'q': i11, 'r': i12}, {'term': 'ofi_before', 'beta': b2, 'p': 0::DOUBLE, 'q': i12, 'r': i22}], recursive := true)
+          FROM b JOIN g USING (symbol) JOIN q USING (symbol)),
+    r AS (SELECT symbol, term, beta, sqrt(greatest(p * p * s00 + q * q * s11 + r * r * s22 + 2 * p * q * s01 + 2 * p * r * s02 + 2 * q * r * s12, 0)) AS stderr, 1 - rss / (n * vy) AS r2, n, lags FROM k)""" + _ROUNDED)
+def flow_regression_two(spark, sf_dir):
+    """The next return on a bucket's flow and on that of the bucket before."""
+    rows = flow.with_lagged_flow(flow.regressors(_quotes(spark, sf_dir), WIDTH))
+    fit = flow.ols_hac(rows, columns=("x", "x2"), names=("ofi", "ofi_before"))
+    return fit.withColumns({c: F.round(c, d) for c, d in _DIGITS.items()})
 
 
 # ---- option pricing ------------------------------------------------------------------------
@@ -468,12 +494,14 @@ def put_call_parity(spark, sf_dir):
     return found.select("id", (F.abs("residual") < 1e-10).alias("holds"))
 
 
-@query("SELECT event_id AS id, true AS reprices FROM events WHERE event_id % 10 > 0 AND event_id % 9 > 0")
+@query(f"""WITH o AS (SELECT {_OPTIONS} FROM events), d AS (SELECT *, (ln(spot / strike) + (rate + vol * vol / 2) * time) / (vol * sqrt(time)) AS d FROM o WHERE vol > 0 AND time > 0)
+    SELECT id, true AS reprices, CASE WHEN spot * sqrt(time) * exp(-0.5e0 * d * d) / sqrt(2 * pi()) > 1 THEN round(vol, 6) END AS vol FROM d""")
 def implied_vols(spark, sf_dir):
-    live = pricing.priced(_options(spark, sf_dir).where("vol > 0 AND time > 0")).withColumnRenamed("price", "target").drop(*pricing.RESULTS[1:])
+    """The volatility that a price was made with, where a price tells it, and whether the one found gives the price again."""
+    live = pricing.priced(_options(spark, sf_dir).where("vol > 0 AND time > 0")).withColumnRenamed("price", "target").withColumnRenamed("vega", "told").drop(*pricing.RESULTS[1:])
     solved = live.withColumn("iv", pricing.implied_vol("target", "spot", "strike", "rate", "time", "kind"))
-    again = pricing.priced(solved.select("id", "kind", "spot", "strike", "rate", "time", "target", F.col("iv.vol").alias("vol")))
-    return again.select("id", (F.abs(F.col("price") - F.col("target")) < 1e-8).alias("reprices"))
+    again = pricing.priced(solved.select("id", "kind", "spot", "strike", "rate", "time", "target", "told", F.col("iv.vol").alias("vol")))
+    return again.select("id", (F.abs(F.col("price") - F.col("target")) < 1e-8).alias("reprices"), F.when(F.col("told") > 1, F.round("vol", 6)).alias("vol"))
 
 
 @query()

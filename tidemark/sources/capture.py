@@ -125,13 +125,37 @@ def _large_batch(path: str, kind: str, link: int | None, number: int, rows: list
     return _batch(PACKETS, {"capture_id": [path] * n, "format": [kind] * n, "linktype": [link] * n, "packet_no": range(number, number + n), "ts_nanos": ts, "data": data, "orig_len": orig, "position": position})
 
 
+def _pieces(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes of a column of byte strings, where each begins, and its size (0 for null)."""
+    if not len(column):
+        return np.zeros(0, np.uint8), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    _, offsets, data = column.buffers()
+    edges = np.frombuffer(offsets, np.int64 if pa.types.is_large_binary(column.type) else np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    sizes = np.where(np.asarray(column.is_valid()), np.diff(edges), 0)
+    return np.frombuffer(data, np.uint8) if data else np.zeros(0, np.uint8), edges[:-1], sizes
+
+
+def _binary(data: np.ndarray, places: np.ndarray, sizes: np.ndarray, absent: np.ndarray | None = None) -> pa.Array:
+    """A column of the pieces of ``data``, null where ``absent``."""
+    offsets, values = wire.gathered(data, places, sizes)
+    valid = None if absent is None else pa.py_buffer(np.packbits(~absent, bitorder="little"))
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [valid, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(values))])
+
+
 def datagrams(packets: DataFrame) -> DataFrame:
-    """One row for each packet: its datagram, or in ``skip`` why there is none."""
+    """One row for each packet: its datagram, or in ``skip`` why there is none. A null packet is too short."""
+    reasons = np.array(wire.SKIPS, object)
 
     def run(batches):
         for batch in batches:
-            skip, source, target, address, payload = zip(*map(wire.datagram, batch.column(3).to_pylist()), strict=True) if batch.num_rows else ((),) * 5
-            columns = {"skip": skip, "src_port": source, "dst_port": target, "dst_ip": [a or None for a in address], "payload": [None if s else p for s, p in zip(skip, payload, strict=True)]}
+            data, starts, sizes = _pieces(batch.column(3))
+            found = wire.datagrams(data, starts, sizes)
+            skipped = found["code"] > 0
+            address = wire.addresses(found["dst_ip"])
+            columns = {
+                "skip": reasons[found["code"]].tolist(), "src_port": pa.array(found["src_port"], pa.int32()), "dst_port": pa.array(found["dst_port"], pa.int32()),
+                "dst_ip": pa.array(address, pa.string(), mask=skipped) if len(skipped) else [], "payload": _binary(data, found["start"], found["size"], skipped),
+            }
             yield _batch(DATAGRAMS, {**{n: batch.column(i) for i, n in enumerate(("capture_id", "packet_no", "ts_nanos"))}, **columns})
 
     return packets.select("capture_id", "packet_no", "ts_nanos", "data").mapInArrow(run, DATAGRAMS)
@@ -139,13 +163,17 @@ def datagrams(packets: DataFrame) -> DataFrame:
 
 def segments(found: DataFrame) -> DataFrame:
     """The segments of datagrams; payloads too short for a header give none."""
+    kinds = _fields(SEGMENT)
 
     def run(batches):
         for batch in batches:
-            cut = [wire.segment(p) for p in batch.column(3).to_pylist()]
-            rows = [s for s in cut if s]
-            own = batch.filter(pa.array([s is not None for s in cut], pa.bool_()))
-            yield _batch(SEGMENTS, {**{n: own.column(i) for i, n in enumerate(("capture_id", "packet_no", "ts_nanos"))}, **{n: [s[n] for s in rows] for n in _fields(SEGMENT)}})
+            data, starts, sizes = _pieces(batch.column(3))
+            whole, headers, owner, places, lengths = wire.segments(data, starts, sizes)
+            own = batch.filter(pa.array(whole))
+            edges = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(headers)))]).astype(np.int32)
+            columns = {n: pa.array(headers[n].astype(np.int64)).cast(kinds[n]) for n in kinds if n != "messages"}
+            columns["messages"] = pa.ListArray.from_arrays(pa.array(edges), _binary(data, places, lengths))
+            yield _batch(SEGMENTS, {**{n: own.column(i) for i, n in enumerate(("capture_id", "packet_no", "ts_nanos"))}, **columns})
 
     return found.where("skip IS NULL").select("capture_id", "packet_no", "ts_nanos", "payload").mapInArrow(run, SEGMENTS)
 
