@@ -436,9 +436,9 @@ def flow_regression(spark, sf_dir):
     g AS (SELECT a.symbol, sum(w * a.u0 * b.u0) AS s00, sum(w * (a.u0 * b.u1 + a.u1 * b.u0)) / 2 AS s01, sum(w * (a.u0 * b.u2 + a.u2 * b.u0)) / 2 AS s02, sum(w * a.u1 * b.u1) AS s11, sum(w * (a.u1 * b.u2 + a.u2 * b.u1)) / 2 AS s12, sum(w * a.u2 * b.u2) AS s22
         FROM (SELECT *, unnest(range(0, lags + 1)) AS j FROM w) a JOIN w b ON b.symbol = a.symbol AND b.t = a.t - a.j, LATERAL (SELECT CASE WHEN a.j = 0 THEN 1 ELSE 2 * (1 - a.j / (a.lags + 1.0::DOUBLE)) END AS w) GROUP BY a.symbol),
     q AS (SELECT symbol, sum(u0 * u0) AS rss FROM w GROUP BY symbol),
-    k AS (SELECT *, unnest([{'term': 'intercept', 'beta': b0, 'p': 1.0::DOUBLE / n, 'q': -(i11 * mx + i12 * mz), 'r': -(i12 * mx + i22 * mz)}, {'term': 'ofi', 'beta': b1, 'p': 0::DOUBLE, 'q': i11, 'r': i12}, {'term': 'ofi_before', 'beta': b2, 'p': 0::DOUBLE, 'q': i12, 'r': i22}], recursive := true)
+    terms AS (SELECT *, unnest([{'term': 'intercept', 'beta': b0, 'p': 1.0::DOUBLE / n, 'q': -(i11 * mx + i12 * mz), 'r': -(i12 * mx + i22 * mz)}, {'term': 'ofi', 'beta': b1, 'p': 0::DOUBLE, 'q': i11, 'r': i12}, {'term': 'ofi_before', 'beta': b2, 'p': 0::DOUBLE, 'q': i12, 'r': i22}], recursive := true)
           FROM b JOIN g USING (symbol) JOIN q USING (symbol)),
-    r AS (SELECT symbol, term, beta, sqrt(greatest(p * p * s00 + q * q * s11 + r * r * s22 + 2 * p * q * s01 + 2 * p * r * s02 + 2 * q * r * s12, 0)) AS stderr, 1 - rss / (n * vy) AS r2, n, lags FROM k)""" + _ROUNDED)
+    r AS (SELECT symbol, term, beta, sqrt(greatest(p * p * s00 + q * q * s11 + r * r * s22 + 2 * p * q * s01 + 2 * p * r * s02 + 2 * q * r * s12, 0)) AS stderr, 1 - rss / (n * vy) AS r2, n, lags FROM terms)""" + _ROUNDED)
 def flow_regression_two(spark, sf_dir):
     """The next return on a bucket's flow and on that of the bucket before."""
     rows = flow.with_lagged_flow(flow.regressors(_quotes(spark, sf_dir), WIDTH))
