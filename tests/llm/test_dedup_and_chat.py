@@ -117,6 +117,25 @@ def test_hot_keys_are_joined_apart(spark):
     assert join_facts(rows.limit(0), facts.limit(0), "key", "n", "id").count() == 0
 
 
+def test_an_index_goes_on_after_saving_and_opening(spark, tmp_path):
+    rng = random.Random(61)
+    rows = [(i, "\n".join(f"a line of number {rng.randint(0, 40)}" for _ in range(rng.randint(1, 5)))) for i in range(120)]
+    frame = lambda some: docs(spark, [(*r, "x") for r in some])
+    index = line_dedup.insert(line_dedup.insert(line_dedup.LineIndex(spark, bits=6), frame(rows[:50])), frame(rows[50:90]))
+    index = line_dedup.delete(index, spark.createDataFrame([(r[0],) for r in rows[20:40]], "doc_id long"))
+    line_dedup.save(index, f"{tmp_path}/one")
+    again = line_dedup.opened(spark, f"{tmp_path}/one")
+    held = rows[:20] + rows[40:90]
+    assert cleaned(spark, again, held) == brute_lines(held) and again.refs.select("doc_id").distinct().count() == len(held) and again.keys == index.keys
+    again = line_dedup.insert(again, frame(rows[90:] + rows[20:30]))
+    again = line_dedup.delete(again, spark.createDataFrame([(r[0],) for r in rows[:10]], "doc_id long"))
+    line_dedup.save(again, f"{tmp_path}/two")
+    held = rows[10:30] + rows[40:]
+    assert cleaned(spark, line_dedup.opened(spark, f"{tmp_path}/two"), held) == brute_lines(held)
+    line_dedup.save(line_dedup.LineIndex(spark), f"{tmp_path}/none")
+    assert line_dedup.opened(spark, f"{tmp_path}/none").version == 0
+
+
 def test_lines_of_an_empty_table(spark):
     index = line_dedup.insert(line_dedup.LineIndex(spark), docs(spark, []))
     assert line_dedup.clean(index, docs(spark, [])).count() == 0

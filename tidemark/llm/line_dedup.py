@@ -150,6 +150,30 @@ class LineIndex:
         return keys.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(self.shards)).cast("int"))
 
 
+def save(index: LineIndex, path: str) -> None:
+    """Writes an index to a folder of its own, compacted: the current count of each key, the references that still hold, the filters.
+
+    What later deletions or insertions made out of date isn't written, so an index that is saved and
+    opened again has tables in proportion to the documents it holds.
+    """
+    tables = {"counts": index.latest_counts().where("n_lines > 0"), "refs": index.live_refs().select("key", "doc_id", "n"), "filters": index.filters} if index.version else {}
+    for name, table in tables.items():
+        table.write.parquet(f"{path}/{name}")
+    state = index.spark.createDataFrame([(index.min_chars, index.shards, index.version, index.keys, index.bits)], _STATE)
+    state.coalesce(1).write.parquet(f"{path}/state")  # the last one: without it the folder holds no index
+
+
+def opened(spark: SparkSession, path: str) -> LineIndex:
+    """The index that :func:`save` wrote; documents can be inserted and deleted as before."""
+    state = spark.read.parquet(f"{path}/state").first()
+    index = LineIndex(spark, state.min_chars, state.shards, int(state.version > 0), state.keys, bits=state.bits)
+    if not state.version:
+        return index
+    counts, refs = (spark.read.parquet(f"{path}/{name}").withColumn("version", F.lit(1)) for name in ("counts", "refs"))
+    return replace(index, counts=counts, refs=refs, filters=spark.read.parquet(f"{path}/filters"))
+
+
+_STATE = "min_chars int, shards int, version int, keys long, bits int"
 _FILTERS = "shard int, part int, n long, slots binary"
 
 
