@@ -54,6 +54,65 @@ def quantiles(hist: DataFrame, qs: list[float]) -> DataFrame:
     return first.select("q", low.alias("bucket_low"), ((F.col("count") > 0) & F.col("b.bucket_low").isNull()).alias("overflow"))
 
 
+#: A histogram as one value: totals, and the buckets that are not empty in order (at most some 65,000, mostly a few hundred).
+SKETCH = ("count", "overflow", "total", "least", "greatest", "buckets")
+
+
+def sketches(values: DataFrame, column: str, keys: tuple[str, ...] = ()) -> DataFrame:
+    """A row for each key with its histogram as columns :data:`SKETCH`, which :func:`merged_sketches` adds up. Null values are passed over.
+
+    Counts by bucket are aggregated first, so a key of any size reaches its row as its buckets.
+    """
+    v = F.col(column)
+    low = F.when(v < F.lit(1 << MAX_EXPONENT), bucket_low(v))
+    found = values.where(v.isNotNull()).groupBy(*keys, low.alias("low")).agg(F.count("*").alias("n"), F.sum(v).alias("total"), F.min(v).alias("least"), F.max(v).alias("greatest"))
+    return _gathered(found, keys)
+
+
+def _gathered(found: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    inside = F.col("low").isNotNull()
+    return found.groupBy(*keys).agg(
+        F.sum("n").alias("count"), F.coalesce(F.sum(F.when(~inside, F.col("n"))), F.lit(0)).alias("overflow"), F.coalesce(F.sum(F.when(inside, F.col("total"))), F.lit(0)).alias("total"),
+        F.min(F.when(inside, F.col("least"))).alias("least"), F.max(F.when(inside, F.col("greatest"))).alias("greatest"),
+        F.sort_array(F.collect_list(F.when(inside, F.struct("low", "n")))).alias("buckets"),
+    )
+
+
+def merged_sketches(parts: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """The sketches of parts added up by key: the same as one over all their values."""
+    by_bucket = parts.select(*keys, F.explode("buckets").alias("b")).groupBy(*keys, F.col("b.low").alias("low")).agg(F.sum("b.n").alias("n"))
+    buckets = by_bucket.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("low", "n"))).alias("buckets"))
+    sums = parts.groupBy(*keys).agg(*(F.sum(c).alias(c) for c in ("count", "overflow", "total")), F.min("least").alias("least"), F.max("greatest").alias("greatest"))
+    if not keys:
+        return sums.join(F.broadcast(buckets))  # one row each
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}"))
+    none = F.array().cast(buckets.schema["buckets"].dataType)
+    joined = sums.alias("a").join(buckets.alias("b"), same, "left")
+    return joined.select("a.*", F.coalesce("b.buckets", none).alias("buckets"))
+
+
+def sketch_quantile(q: float) -> Column:
+    """The quantile as :func:`quantiles` has it, of a row of :data:`SKETCH`; null in the overflow, 0 for no values."""
+    rank = F.greatest(F.ceil(F.lit(float(q)) * F.col("count")), F.lit(1))
+    start = F.struct(F.lit(0).cast("long").alias("upto"), F.lit(None).cast("long").alias("low"))
+    step = lambda acc, b: F.struct((acc["upto"] + b["n"]).alias("upto"), F.when(acc["low"].isNull() & (acc["upto"] + b["n"] >= rank), b["low"]).otherwise(acc["low"]).alias("low"))
+    return F.when(F.col("count") == 0, F.lit(0)).otherwise(F.aggregate("buckets", start, step)["low"])
+
+
+def keep_sketches(values: DataFrame, column: str, keys: tuple[str, ...], folder: str, checkpoint: str):
+    """Starts a stream that keeps each micro-batch's sketches under ``folder``, by batch; the table's :func:`merged_sketches` is the whole.
+
+    A batch that is run again replaces its own files, so no value counts twice.
+    """
+
+    def keep(batch: DataFrame, number: int) -> None:
+        sketches(batch, column, keys).write.mode("overwrite").parquet(f"{folder}/batch={number}")
+
+    return values.writeStream.foreachBatch(keep).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def queued(items: DataFrame, keys: tuple[str, ...] = ("server",), block: int = 100_000_000) -> DataFrame:
     """Finish time, service and corrected latency of each item of a first-come queue, and whether it had to wait.
 

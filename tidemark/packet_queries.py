@@ -6,10 +6,10 @@ import uuid
 from pyspark.sql import functions as F
 
 from tidemark.functions import wire
-from tidemark.operators import flow, orders, sequencing
+from tidemark.operators import book, flow, orders, sequencing
 from tidemark.plans import feeds
-from tidemark.queries import _FLOW, ORACLES, U, WIDTH, _fit_sql, _quotes, query
-from tidemark.sources import capture, capture_source
+from tidemark.queries import _FLOW, ORACLES, TOUCH, U, WIDTH, _fit_sql, _quotes, query
+from tidemark.sources import capture, capture_source, quotes
 from tidemark.tables import shared_dir
 
 _SENT = "STRUCT(first BIGINT, action VARCHAR, epoch INTEGER)[]"
@@ -133,6 +133,26 @@ def all_kinds_round_trip(spark, sf_dir):
     return found.where("error IS NULL").select("sequence", "kind", "ts_nanos", *_VALUES)
 
 
+#: What is done to every seventh message: the last byte goes, all go, or the kind becomes one that isn't known.
+_CUT, _EMPTY, _UNKNOWN = 2, 4, 5
+
+
+@query(f"""WITH k AS (SELECT event_id % 7 AS turn, [{', '.join(map(str, _KIND_LIST))}][event_id % {len(_KIND_LIST)} + 1] AS kind FROM events)
+    SELECT CASE turn WHEN {_EMPTY} THEN NULL WHEN {_UNKNOWN} THEN 238 ELSE kind END::INTEGER AS kind, CASE turn WHEN {_CUT} THEN 'wrong_length' WHEN {_EMPTY} THEN 'empty' END AS reason, count(*)::BIGINT AS n FROM k GROUP BY ALL""")
+def message_errors(spark, sf_dir):
+    events = feeds.events(spark, sf_dir)
+    kind = F.element_at(F.array(*map(F.lit, _KIND_LIST)), (F.col("event_id") % len(_KIND_LIST) + 1).cast("int"))
+    rows = capture.encode_messages(events.select(F.col("event_id").alias("seq"), kind.alias("kind"), F.lit(0).cast("long").alias("ts_nanos"), F.lit("K").alias("symbol")))
+    turn, body = F.col("seq") % 7, F.col("body")
+    spoilt = F.when(turn == _CUT, F.substring(body, 1, F.length(body) - 1)).when(turn == _EMPTY, F.substring(body, 1, 0)).when(turn == _UNKNOWN, _with_byte(body, 0, 238)).otherwise(body)
+    packed = rows.groupBy(F.expr("seq div 9").alias("packet_no")).agg(F.sort_array(F.collect_list(F.struct("seq", spoilt.alias("body")))).alias("m"))
+    segments = packed.select(
+        F.lit("spoilt").alias("capture_id"), "packet_no", F.lit(0).alias("ts_nanos"), F.lit(1).alias("channel"), F.lit(5).alias("session"), (F.col("packet_no") * 9 + 1).alias("first_sequence"), F.transform("m", lambda r: r["body"]).alias("bodies"),
+    )
+    found = capture.messages(capture.segments(capture.datagrams(capture.encode_segments(segments))))
+    return found.groupBy("kind", F.split("error", ":")[0].alias("reason")).agg(F.count("*").alias("n"))
+
+
 def _with_byte(data, at: int, value: int):
     """``data`` with one byte replaced."""
     return F.concat(F.substring(data, 1, at), F.unhex(F.lit(f"{value:02X}")), F.substring(data, at + 2, 100_000))
@@ -163,11 +183,28 @@ def regression_control(spark, sf_dir):
     return flow.covers(flow.ols_hac(flow.planted(flow.regressors(_quotes(spark, sf_dir), WIDTH))), 0.002)
 
 
-@query()
+@query(_FLOW + _fit_sql("SELECT * FROM x") + """, l AS (
+        SELECT symbol, 0 AS line_no, printf('%d buckets, %.2f%% explained, errors over %d lags', n, r2 * 100, lags) AS line FROM r WHERE term = 'intercept'
+        UNION ALL SELECT symbol, CASE term WHEN 'intercept' THEN 1 ELSE 2 END, printf('  %s = %.5e +- %.1e%s', term, beta, 1.96::DOUBLE * stderr, CASE WHEN abs(beta / stderr) > 1.96 THEN ' *' ELSE '' END) FROM r)
+    SELECT symbol, line_no::INTEGER AS line_no, line FROM l""")
 def regression_report(spark, sf_dir):
     return flow.report(flow.ols_hac(flow.regressors(_quotes(spark, sf_dir), WIDTH)))
 
 
+# ---- touches as files ----------------------------------------------------------------------
+
+
+@query(TOUCH + """, j AS (SELECT * FROM touch WHERE stable AND bid IS NOT NULL AND ask IS NOT NULL),
+    w AS (SELECT *, lag(bid) OVER v AS b, lag(bid_size) OVER v AS bs, lag(ask) OVER v AS a, lag(ask_size) OVER v AS s FROM j WINDOW v AS (PARTITION BY book_epoch, symbol ORDER BY seq))
+    SELECT u.ts_nanos, w.symbol, w.bid, w.bid_size, w.ask, w.ask_size FROM w JOIN u USING (seq) WHERE (b IS NULL OR b <> w.bid OR bs <> w.bid_size OR a <> w.ask OR s <> w.ask_size) AND w.symbol = (SELECT min(symbol) FROM u)""")
+def touch_export(spark, sf_dir):
+    """Touch changes written as CSV, and those of the first symbol read again."""
+    updates, folder = feeds.updates(spark, sf_dir), f"{shared_dir(spark)}/touches-{uuid.uuid4().hex}"
+    changes = book.touch_changes(book.touch(updates)).join(updates.select("seq", "ts_nanos"), "seq")
+    quotes.write_touches(changes, folder)
+    return quotes.read_touches(spark, folder, updates.agg(F.min("symbol")).first()[0])
+
+
 # ---- the capture format --------------------------------------------------------------------
 
 
@@ -188,6 +225,16 @@ def capture_format(spark, sf_dir):
     return capture.messages(capture.segments(capture.datagrams(found))).select("sequence", "symbol", "kind", "flags", "size", "price", "ts_nanos")
 
 
+@query("""WITH p AS (SELECT event_id // 5 // 500 AS file, 102 + 32 * count(*) AS record FROM events GROUP BY event_id // 5, event_id // 5 // 500)
+    SELECT file::BIGINT AS file, count(*)::BIGINT AS packets, (24 + sum(record))::BIGINT AS file_bytes, sum(record - 16)::BIGINT AS packet_bytes, 'pcap' AS format, 1::BIGINT AS linktype FROM p GROUP BY file""")
+def capture_positions(spark, sf_dir):
+    """How far the reader of each file has come after its last packet, and what it has passed on."""
+    file = F.regexp_extract("capture_id", "([0-9]+)\\.pcap$", 1).cast("long").alias("file")
+    return capture_source.packets(_captured(spark, sf_dir)).groupBy(file).agg(
+        (F.max("packet_no") + 1).alias("packets"), F.max("position").alias("file_bytes"), F.sum("orig_len").alias("packet_bytes"), F.first("format").alias("format"), F.first("linktype").alias("linktype"),
+    )
+
+
 @query("""WITH p AS (SELECT event_id // 5 AS packet, event_id // 5 // 500 AS file FROM events), f AS (SELECT file, count(DISTINCT packet) AS n FROM p GROUP BY file)
     SELECT file::BIGINT AS file, CASE file % 3 WHEN 2 THEN 0 WHEN 1 THEN n - 1 ELSE n END::BIGINT AS packets, CASE file % 3 WHEN 1 THEN 'cut_record' WHEN 2 THEN 'bad_magic' END AS reason FROM f""")
 def capture_errors(spark, sf_dir):

@@ -360,6 +360,16 @@ def service_quantiles(spark, sf_dir):
     return latency.quantiles(latency.histogram(feeds.queue(spark, sf_dir), "service"), [0.0, 0.5, 0.9, 0.99, 1.0])
 
 
+@query(_Q.replace("SELECT service, (service", "SELECT server, service, (service") + """, r AS (SELECT server, bucket_low, row_number() OVER (PARTITION BY server ORDER BY bucket_low) AS i, count(*) OVER (PARTITION BY server) AS n FROM b)
+    SELECT server, count(*)::BIGINT AS count, 0::BIGINT AS overflow, sum(service)::BIGINT AS total, min(service) AS least, max(service) AS greatest, count(DISTINCT bucket_low)::INTEGER AS n_buckets,
+        (SELECT min(bucket_low) FROM r WHERE r.server = b.server AND i >= ceil(0.5::DOUBLE * n)) AS median, (SELECT min(bucket_low) FROM r WHERE r.server = b.server AND i >= ceil(0.99::DOUBLE * n)) AS p99 FROM b GROUP BY server""")
+def merged_sketches(spark, sf_dir):
+    """Histograms of seven parts of each server's items, kept as values and added up."""
+    parts = latency.sketches(feeds.queue(spark, sf_dir).withColumn("part", F.col("item") % 7), "service", ("server", "part"))
+    whole = latency.merged_sketches(parts, ("server",))
+    return whole.select("server", "count", "overflow", "total", "least", "greatest", F.size("buckets").alias("n_buckets"), latency.sketch_quantile(0.5).alias("median"), latency.sketch_quantile(0.99).alias("p99"))
+
+
 @query(f"SELECT count(*)::BIGINT AS n, 0::BIGINT AS overflow, min(service) AS least, max(service) AS greatest, sum(service)::DOUBLE / count(*) AS mean FROM ({feeds.QUEUE_SQL})")
 def service_summary(spark, sf_dir):
     return latency.summary(feeds.queue(spark, sf_dir), "service")
