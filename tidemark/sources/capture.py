@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions import wire
+from tidemark.tables import stored
 
 PACKETS = "capture_id string, format string, linktype long, packet_no long, ts_nanos long, data binary, orig_len long, position long"
 DATAGRAMS = "capture_id string, packet_no long, ts_nanos long, skip string, src_port int, dst_port int, dst_ip string, payload binary"
@@ -99,7 +100,7 @@ def large_ranges(spark: SparkSession, paths: list[str], range_bytes: int = RANGE
 
 def read_large(spark: SparkSession, paths: list[str], range_bytes: int = RANGE_BYTES) -> DataFrame:
     """The packets of capture files of any size: one task reads one range. The rows are those of :func:`read_packets`."""
-    ranges = large_ranges(spark, paths, range_bytes)
+    ranges = stored(large_ranges(spark, paths, range_bytes), "capture-ranges")  # counted, then read: the headers are walked once
 
     def run(batches):
         for batch in batches:
