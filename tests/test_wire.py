@@ -263,3 +263,49 @@ def test_framing_in_columns_equals_a_packet_at_a_time(spark):
     segments = {r.packet_no: [bytes(m) for m in r.messages] for r in capture.segments(found).collect()}
     payloads = {i: d[3] for i, f in enumerate(frames) if not isinstance(d := plain_datagram(f or b""), str)}
     assert segments == {i: m for i, p in payloads.items() if (m := plain_messages(p)) is not None} and len(segments) > 100
+
+
+def test_one_worker_for_successive_steps(spark):
+    from tidemark import packet_queries, queries  # noqa: F401  registers its queries beside the others
+
+    for name in ("kind_counts", "kind_lengths", "session_verdict", "wire_round_trip", "frame_skips", "frame_reasons", "segment_headers", "all_kinds_round_trip"):
+        plan = queries.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        maps = [line for line in plan.splitlines() if "InArrow" in line]
+        assert len(maps) == (3 if name == "all_kinds_round_trip" else 2), (name, maps)  # two encoders there; else one map writes packets and one reads them
+
+
+@pytest.mark.parametrize("form", ["pcap", "pcapng"])
+def test_chained_steps_equal_single_ones(spark, form):
+    """Frames whole, cut, of other protocols and of segments with cut, empty, unknown and no messages."""
+    good = wire.message_bytes(0x38, 1, symbol="A", size=3, price=4)
+    bodies = [[good, good[:9], b"", b"\xee"], [], [good] * 40, [wire.message_bytes(0x41, 2, symbol="é")]]
+    frames = [wire.frame_bytes(wire.segment_bytes(b, 7, 10 * i), i % 3) for i, b in enumerate(bodies)] * 3
+    frames += [b"", frames[0][:30], frames[0][:50], frames[2][:-3], wire.frame_bytes(b"x" * 39), frames[0].replace(b"\x45\x00", b"\x65\x00", 1)]
+    packets = spark.createDataFrame([(f"c{i % 4}", i, i * 1000, bytearray(f)) for i, f in enumerate(frames)], "capture_id string, packet_no long, ts_nanos long, data binary")
+    files = capture.capture_files(packets, form)
+    framed = capture.datagrams(capture.packets_of(files))
+    rows = lambda df: sorted(map(str, df.collect()))
+    steps = ("packets", "datagrams", "segments", "messages")
+    for n, one in enumerate((capture.packets_of(files), framed, capture.segments(framed), capture.messages(capture.segments(framed))), 1):
+        want = rows(one)
+        assert len(want) > 10 and rows(capture.chain(files, *steps[:n])) == want and rows(capture.through_files(packets, *steps[:n], form=form)) == want
+    assert rows(capture.chain(packets, *steps[1:])) == rows(capture.messages(capture.segments(capture.datagrams(packets))))
+
+
+def test_batches_are_bounded(monkeypatch):
+    """By rows and by bytes, however many packets a file and messages a segment have; nothing is lost at a border."""
+    monkeypatch.setattr(capture, "OUT_ROWS", 50)
+    monkeypatch.setattr(capture, "OUT_BYTES", 10_000)
+    body = wire.message_bytes(0x53, 1)
+    frames = [wire.frame_bytes(wire.segment_bytes([body] * n, 7, i)) for i, n in enumerate([3, 0, 60, 7, 20, 30, 1] * 40 + [1000, 2])]
+    file = wire.pcap_bytes([(i * 1000, f) for i, f in enumerate(frames)])
+    files = [capture.pa.record_batch({"capture_id": ["c"], "content": capture.pa.array([file], capture.pa.binary())})]
+    found = list(capture._packets(files))
+    assert all(b.num_rows <= 50 and (b.num_rows == 1 or sum(map(len, b["data"].to_pylist())) <= 10_000) for b in found)
+    assert [p for b in found for p in b["packet_no"].to_pylist()] == list(range(len(frames))) and [d for b in found for d in b["data"].to_pylist()] == frames
+    at_once = capture.pa.Table.from_batches(list(capture._segments(capture._datagrams(found)))).combine_chunks().to_batches()
+    parsed = list(capture._messages(at_once))
+    assert len(at_once) == 1 and all(b.num_rows <= 50 or len(set(b["packet_no"].to_pylist())) == 1 for b in parsed)
+    got = [x for b in parsed for x in zip(b["packet_no"].to_pylist(), b["msg_no"].to_pylist(), b["sequence"].to_pylist(), b["raw"].to_pylist())]
+    counts = [3, 0, 60, 7, 20, 30, 1] * 40 + [1000, 2]
+    assert got == [(i, k, i + k, body) for i, n in enumerate(counts) for k in range(n)]

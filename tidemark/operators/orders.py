@@ -115,7 +115,7 @@ def sequenced(segments: DataFrame, events: DataFrame) -> DataFrame:
 
 def segments_of(packets: DataFrame) -> DataFrame:
     """The packets' segments, decoded once: all that follows reads them again."""
-    return stored(capture.segments(capture.datagrams(packets)), "segments")
+    return stored(capture.chain(packets, "datagrams", "segments"), "segments")
 
 
 def received(segments: DataFrame, events: DataFrame) -> DataFrame:

@@ -128,8 +128,7 @@ def all_kinds_round_trip(spark, sf_dir):
         F.format_string("kinds-%04d", F.expr("packet div 2000")).alias("capture_id"), F.expr("packet % 2000").alias("packet_no"), (F.col("packet") * 1000).alias("ts_nanos"), F.lit(1).alias("channel"), F.lit(5).alias("session"),
         (F.col("packet") * 8 + 1).alias("first_sequence"), F.transform("m", lambda r: r["body"]).alias("bodies"),
     )
-    files = capture.capture_files(capture.encode_segments(segments), "pcapng")
-    found = capture.messages(capture.segments(capture.datagrams(capture.packets_of(files))))
+    found = capture.through_files(capture.encode_segments(segments), "packets", "datagrams", "segments", "messages", form="pcapng")
     return found.where("error IS NULL").select("sequence", "kind", "ts_nanos", *_VALUES)
 
 
@@ -149,7 +148,7 @@ def message_errors(spark, sf_dir):
     segments = packed.select(
         F.lit("spoilt").alias("capture_id"), "packet_no", F.lit(0).alias("ts_nanos"), F.lit(1).alias("channel"), F.lit(5).alias("session"), (F.col("packet_no") * 9 + 1).alias("first_sequence"), F.transform("m", lambda r: r["body"]).alias("bodies"),
     )
-    found = capture.messages(capture.segments(capture.datagrams(capture.encode_segments(segments))))
+    found = capture.chain(capture.encode_segments(segments), "datagrams", "segments", "messages")
     return found.groupBy("kind", F.split("error", ":")[0].alias("reason")).agg(F.count("*").alias("n"))
 
 
@@ -170,8 +169,7 @@ def frame_reasons(spark, sf_dir):
     spoiled = F.when(turn == 5, F.substring(data, 1, 40))
     for k, (at, value, _) in _SPOILED.items():
         spoiled = spoiled.when(turn == k, _with_byte("data", at, value))
-    files = capture.capture_files(packets.withColumn("data", spoiled.otherwise(data)), "pcapng")
-    return capture.skip_counts(capture.datagrams(capture.packets_of(files)))
+    return capture.skip_counts(capture.through_files(packets.withColumn("data", spoiled.otherwise(data)), "packets", "datagrams", form="pcapng"))
 
 
 # ---- regression reports --------------------------------------------------------------------
@@ -222,7 +220,7 @@ def _captured(spark, sf_dir, spoil: bool = False):
 @query(f"WITH {U} SELECT seq + 1 AS sequence, symbol, CASE side WHEN 'B' THEN 56 ELSE 53 END AS kind, flags, size, price, ts_nanos FROM u")
 def capture_format(spark, sf_dir):
     found = capture_source.packets(_captured(spark, sf_dir))
-    return capture.messages(capture.segments(capture.datagrams(found))).select("sequence", "symbol", "kind", "flags", "size", "price", "ts_nanos")
+    return capture.chain(found, "datagrams", "segments", "messages").select("sequence", "symbol", "kind", "flags", "size", "price", "ts_nanos")
 
 
 @query("""WITH p AS (SELECT event_id // 5 // 500 AS file, 102 + 32 * count(*) AS record FROM events GROUP BY event_id // 5, event_id // 5 // 500)

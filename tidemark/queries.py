@@ -291,7 +291,7 @@ def _sent(spark, sf_dir) -> DataFrame:
 
 
 def _received(spark, sf_dir) -> DataFrame:
-    return capture.messages(capture.segments(capture.datagrams(capture.packets_of(capture.capture_files(_sent(spark, sf_dir))))))
+    return capture.through_files(_sent(spark, sf_dir), "packets", "datagrams", "segments", "messages")
 
 
 @query(f"WITH {U} SELECT seq + 1 AS sequence, symbol, CASE side WHEN 'B' THEN 56 ELSE 53 END AS kind, flags, size, price, ts_nanos FROM u")
@@ -301,12 +301,12 @@ def wire_round_trip(spark, sf_dir):
 
 @query("SELECT 'datagram' AS reason, count(DISTINCT event_id // 5)::BIGINT AS n FROM events")
 def frame_skips(spark, sf_dir):
-    return capture.skip_counts(capture.datagrams(capture.packets_of(capture.capture_files(_sent(spark, sf_dir)))))
+    return capture.skip_counts(capture.through_files(_sent(spark, sf_dir), "packets", "datagrams"))
 
 
 @query("SELECT event_id // 5 * 5 + 1 AS first_sequence, count(*)::INTEGER AS message_count, event_id // 5 * 5 + 1 + count(*) AS next_sequence FROM events GROUP BY event_id // 5")
 def segment_headers(spark, sf_dir):
-    found = capture.segments(capture.datagrams(_sent(spark, sf_dir)))
+    found = capture.chain(_sent(spark, sf_dir), "datagrams", "segments")
     return found.select("first_sequence", "message_count", (F.col("first_sequence") + F.col("message_count")).alias("next_sequence"))
 
 

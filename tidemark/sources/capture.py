@@ -3,11 +3,14 @@
 Small files are read whole by Spark's binary source, so any store that Spark reads will do. Files
 of any size go through a source of their own: one pass over the record headers cuts a file at
 records into ranges, and every range is a task. From packets on, each step is an Arrow-batched map
-in NumPy columns; no row becomes a Python dict.
+in NumPy columns; no row becomes a Python dict. Steps that follow each other go in one map
+(:func:`chain`), so a task has one Python worker for all of them.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -26,8 +29,8 @@ MESSAGES = (
     "sale_condition int, event int, status int, reason string, round_lot long, adj_poc long, luld_tier int, value int, detail int, price_type int, auction_type int, paired long, ref_price long, "
     "indicative_price long, imbalance long, imbalance_side int, raw binary, error string"
 )
-#: Rows of a batch that the maps below emit at once, and bytes of a file that one task reads.
-OUT_ROWS, RANGE_BYTES = 20_000, 128 << 20
+#: Rows of a batch that the maps below emit at once, bytes of its packets, and bytes of a file that one task reads.
+OUT_ROWS, OUT_BYTES, RANGE_BYTES = 20_000, 8 << 20, 128 << 20
 
 
 _KINDS = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "array<binary>": pa.list_(pa.binary())}
@@ -42,22 +45,21 @@ def _batch(schema: str, columns: dict) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c := columns[n], pa.Array) else pa.array(c, t) for n, t in kinds.items()], list(kinds))
 
 
-def _packet_batches(name: str, content: bytes):
-    """Packets of a file's bytes, a bounded number at a time."""
-    kind, link, found = wire.packets(content)
-    number, rows = 0, []
+def _packet_batches(name: str, kind: str, link: int | None, number: int, found):
+    """Packets numbered from ``number``, so many at a time as :data:`OUT_ROWS` and :data:`OUT_BYTES` allow (a larger one alone)."""
+    rows, held = [], 0
 
     def batch():
         ts, data, orig, position = zip(*rows, strict=True) if rows else ((), (), (), ())
         n = len(rows)
-        return _batch(PACKETS, {"capture_id": [name] * n, "format": [kind] * n, "linktype": [link] * n, "packet_no": range(number - n, number), "ts_nanos": ts, "data": data, "orig_len": orig, "position": position})
+        return _batch(PACKETS, {"capture_id": [name] * n, "format": [kind] * n, "linktype": [link] * n, "packet_no": range(number, number + n), "ts_nanos": ts, "data": data, "orig_len": orig, "position": position})
 
     for row in found:
-        rows.append(row)
-        number += 1
-        if len(rows) >= OUT_ROWS:
+        if rows and (len(rows) >= OUT_ROWS or held + len(row[1]) > OUT_BYTES):
             yield batch()
-            rows = []
+            number, rows, held = number + len(rows), [], 0
+        rows.append(row)
+        held += len(row[1])
     yield batch()
 
 
@@ -69,13 +71,14 @@ def read_packets(spark: SparkSession, path: str) -> DataFrame:
 
 def packets_of(files: DataFrame) -> DataFrame:
     """Packets of ``(capture_id, content)`` rows."""
+    return chain(files, "packets")
 
-    def run(batches):
-        for batch in batches:
-            for name, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                yield from _packet_batches(name, content.as_py())
 
-    return files.select("capture_id", "content").mapInArrow(run, PACKETS)
+def _packets(batches):
+    for batch in batches:
+        for name, content in zip(batch.column("capture_id").to_pylist(), batch.column("content"), strict=True):
+            kind, link, found = wire.packets(content.as_py())
+            yield from _packet_batches(name, kind, link, 0, found)
 
 
 RANGES = "path string, format string, first_packet long, start long, stop long, state string"
@@ -107,25 +110,12 @@ def read_large(spark: SparkSession, paths: list[str], range_bytes: int = RANGE_B
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 path, kind, first, start, stop, state = row
                 link, found = wire.range_packets(path, kind, start, stop, state)
-                rows, number = [], first
-                for packet in found:
-                    rows.append(packet)
-                    if len(rows) >= OUT_ROWS:
-                        yield _large_batch(path, kind, link, number, rows)
-                        number += len(rows)
-                        rows = []
-                yield _large_batch(path, kind, link, number, rows)
+                yield from _packet_batches(path, kind, link, first, found)
 
     number = ranges.count()
     return ranges.repartition(max(1, number), "path", "start").mapInArrow(run, PACKETS)
 
 
-def _large_batch(path: str, kind: str, link: int | None, number: int, rows: list[tuple]) -> pa.RecordBatch:
-    ts, data, orig, position = zip(*rows, strict=True) if rows else ((), (), (), ())
-    n = len(rows)
-    return _batch(PACKETS, {"capture_id": [path] * n, "format": [kind] * n, "linktype": [link] * n, "packet_no": range(number, number + n), "ts_nanos": ts, "data": data, "orig_len": orig, "position": position})
-
-
 def _pieces(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The bytes of a column of byte strings, where each begins, and its size (0 for null)."""
     if not len(column):
@@ -145,38 +135,39 @@ def _binary(data: np.ndarray, places: np.ndarray, sizes: np.ndarray, absent: np.
 
 def datagrams(packets: DataFrame) -> DataFrame:
     """One row for each packet: its datagram, or in ``skip`` why there is none. A null packet is too short."""
-    reasons = np.array(wire.SKIPS, object)
+    return chain(packets, "datagrams")
 
-    def run(batches):
-        for batch in batches:
-            data, starts, sizes = _pieces(batch.column(3))
-            found = wire.datagrams(data, starts, sizes)
-            skipped = found["code"] > 0
-            address = wire.addresses(found["dst_ip"])
-            columns = {
-                "skip": reasons[found["code"]].tolist(), "src_port": pa.array(found["src_port"], pa.int32()), "dst_port": pa.array(found["dst_port"], pa.int32()),
-                "dst_ip": pa.array(address, pa.string(), mask=skipped) if len(skipped) else [], "payload": _binary(data, found["start"], found["size"], skipped),
-            }
-            yield _batch(DATAGRAMS, {**{n: batch.column(i) for i, n in enumerate(("capture_id", "packet_no", "ts_nanos"))}, **columns})
 
-    return packets.select("capture_id", "packet_no", "ts_nanos", "data").mapInArrow(run, DATAGRAMS)
+def _datagrams(batches):
+    reasons = np.array(wire.SKIPS, object)
+    for batch in batches:
+        data, starts, sizes = _pieces(batch.column("data"))
+        found = wire.datagrams(data, starts, sizes)
+        skipped = found["code"] > 0
+        address = wire.addresses(found["dst_ip"])
+        columns = {
+            "skip": reasons[found["code"]].tolist(), "src_port": pa.array(found["src_port"], pa.int32()), "dst_port": pa.array(found["dst_port"], pa.int32()),
+            "dst_ip": pa.array(address, pa.string(), mask=skipped) if len(skipped) else [], "payload": _binary(data, found["start"], found["size"], skipped),
+        }
+        yield _batch(DATAGRAMS, {**{n: batch.column(n) for n in ("capture_id", "packet_no", "ts_nanos")}, **columns})
 
 
 def segments(found: DataFrame) -> DataFrame:
     """The segments of datagrams; payloads too short for a header give none."""
-    kinds = _fields(SEGMENT)
+    return chain(found.where("skip IS NULL"), "segments")
 
-    def run(batches):
-        for batch in batches:
-            data, starts, sizes = _pieces(batch.column(3))
-            whole, headers, owner, places, lengths = wire.segments(data, starts, sizes)
-            own = batch.filter(pa.array(whole))
-            edges = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(headers)))]).astype(np.int32)
-            columns = {n: pa.array(headers[n].astype(np.int64)).cast(kinds[n]) for n in kinds if n != "messages"}
-            columns["messages"] = pa.ListArray.from_arrays(pa.array(edges), _binary(data, places, lengths))
-            yield _batch(SEGMENTS, {**{n: own.column(i) for i, n in enumerate(("capture_id", "packet_no", "ts_nanos"))}, **columns})
 
-    return found.where("skip IS NULL").select("capture_id", "packet_no", "ts_nanos", "payload").mapInArrow(run, SEGMENTS)
+def _segments(batches):
+    kinds = _fields(SEGMENT)
+    for batch in batches:
+        batch = batch.filter(batch.column("skip").is_null())
+        data, starts, sizes = _pieces(batch.column("payload"))
+        whole, headers, owner, places, lengths = wire.segments(data, starts, sizes)
+        own = batch.filter(pa.array(whole))
+        edges = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(headers)))]).astype(np.int32)
+        columns = {n: pa.array(headers[n].astype(np.int64)).cast(kinds[n]) for n in kinds if n != "messages"}
+        columns["messages"] = pa.ListArray.from_arrays(pa.array(edges), _binary(data, places, lengths))
+        yield _batch(SEGMENTS, {**{n: own.column(n) for n in ("capture_id", "packet_no", "ts_nanos")}, **columns})
 
 
 def heartbeats(found: DataFrame) -> DataFrame:
@@ -185,11 +176,14 @@ def heartbeats(found: DataFrame) -> DataFrame:
 
 def messages(found: DataFrame) -> DataFrame:
     """Typed messages of segments, one wide row each; unknown kinds and errors keep their bytes in ``raw``."""
-    kinds = _fields(MESSAGES)
+    return chain(found, "messages")
 
-    def run(batches):
-        for batch in batches:
-            lists = batch.column(5)
+
+def _messages(batches):
+    kinds = _fields(MESSAGES)
+    for whole in batches:
+        for batch in _within(whole, np.diff(whole.column("messages").offsets.to_numpy()), OUT_ROWS):
+            lists = batch.column("messages")
             per_row = np.diff(lists.offsets.to_numpy())
             bodies = lists.flatten()
             owner = np.repeat(np.arange(batch.num_rows), per_row)
@@ -197,13 +191,45 @@ def messages(found: DataFrame) -> DataFrame:
             edges = np.frombuffer(bodies.buffers()[1], np.int32)[bodies.offset : bodies.offset + len(bodies) + 1].astype(np.int64) if len(bodies) else np.zeros(1, np.int64)
             data = np.frombuffer(bodies.buffers()[2], np.uint8) if len(bodies) and bodies.buffers()[2] else np.empty(0, np.uint8)
             parsed = wire.messages(data, edges[:-1], np.diff(edges))
-            columns = {n: batch.column(i).take(pa.array(owner)) for i, n in enumerate(("capture_id", "packet_no", "channel", "session"))}
-            columns |= {"msg_no": pa.array(number, pa.int64()), "sequence": pa.array(batch.column(4).to_numpy()[owner] + number, pa.int64()), "raw": bodies}
+            columns = {n: batch.column(n).take(pa.array(owner)) for n in ("capture_id", "packet_no", "channel", "session")}
+            columns |= {"msg_no": pa.array(number, pa.int64()), "sequence": pa.array(batch.column("first_sequence").to_numpy()[owner] + number, pa.int64()), "raw": bodies}
             for name, values in parsed.items():
                 columns[name] = pa.array(values[0], mask=~values[1]).cast(kinds[name]) if isinstance(values, tuple) else pa.array(values, kinds[name])
             yield _batch(MESSAGES, columns)
 
-    return found.select("capture_id", "packet_no", "channel", "session", "first_sequence", "messages").mapInArrow(run, MESSAGES)
+
+def _within(batch: pa.RecordBatch, weights: np.ndarray, most: int):
+    """Successive rows of ``batch`` whose weights come to ``most`` together; a heavier row is alone."""
+    sums, at = np.cumsum(weights), 0
+    while at < batch.num_rows:
+        end = max(at + 1, int(np.searchsorted(sums, (sums[at - 1] if at else 0) + most, "right")))
+        yield batch.slice(at, end - at)
+        at = end
+
+
+#: What each step reads, does to batches and returns.
+_STEPS = {
+    "packets": (("capture_id", "content"), _packets, PACKETS),
+    "datagrams": (("capture_id", "packet_no", "ts_nanos", "data"), _datagrams, DATAGRAMS),
+    "segments": (("capture_id", "packet_no", "ts_nanos", "skip", "payload"), _segments, SEGMENTS),
+    "messages": (("capture_id", "packet_no", "channel", "session", "first_sequence", "messages"), _messages, MESSAGES),
+}
+
+
+def chain(rows: DataFrame, *steps: str) -> DataFrame:
+    """Successive steps of ``packets``, ``datagrams``, ``segments`` and ``messages`` over ``rows`` in one map: the rows of the operators one after the other.
+
+    Maps that follow each other have a Python worker each in every task, all alive at once. A chain
+    has one worker, which holds a bounded batch of each step.
+    """
+    made = [_STEPS[step][1] for step in steps]
+
+    def run(batches):
+        for step in made:
+            batches = step(batches)
+        return batches
+
+    return rows.select(*_STEPS[steps[0]][0]).mapInArrow(run, _STEPS[steps[-1]][2])
 
 
 def skip_counts(found: DataFrame) -> DataFrame:
@@ -290,13 +316,30 @@ def catalogue(spark: SparkSession, path: str) -> DataFrame:
     return files.select("path", day.alias("day"), F.col("length").alias("n_bytes"))
 
 
+def _file(table: pa.Table, form: str) -> pa.RecordBatch:
+    table = table.sort_by([("packet_no", "ascending")])
+    items = list(zip(table["ts_nanos"].to_pylist(), table["data"].to_pylist(), strict=True))
+    content = wire.pcap_bytes(items) if form == "pcap" else wire.pcapng_bytes(items, tsresol=9)
+    return pa.record_batch({"capture_id": table["capture_id"].slice(0, 1).combine_chunks(), "content": pa.array([content], pa.binary())})
+
+
 def capture_files(packets: DataFrame, form: str = "pcap") -> DataFrame:
     """``(capture_id, content)``: a file of each capture's packets in order of ``packet_no``, classic with microsecond times or pcapng with nanoseconds."""
 
     def build(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("packet_no", "ascending")])
-        items = list(zip(table["ts_nanos"].to_pylist(), table["data"].to_pylist(), strict=True))
-        content = wire.pcap_bytes(items) if form == "pcap" else wire.pcapng_bytes(items, tsresol=9)
-        return pa.table({"capture_id": table["capture_id"].slice(0, 1), "content": pa.array([content], pa.binary())})
+        return pa.Table.from_batches([_file(table, form)])
 
     return packets.select("capture_id", "packet_no", "ts_nanos", "data").groupBy("capture_id").applyInArrow(build, "capture_id string, content binary")
+
+
+def through_files(packets: DataFrame, *steps: str, form: str = "pcap") -> DataFrame:
+    """``chain(capture_files(packets, form), *steps)``, with every file read where it was written: one worker in each task, which holds one file at a time."""
+    made = [_STEPS[step][1] for step in steps]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = iter([_file(pa.Table.from_batches(batches), form)])
+        for step in made:
+            found = step(found)
+        return found
+
+    return packets.select("capture_id", "packet_no", "ts_nanos", "data").groupBy("capture_id").applyInArrow(run, _STEPS[steps[-1]][2])
